@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from strandline.llm import mixing
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_mixing": mixing.ORACLE,
+    }

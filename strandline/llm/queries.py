@@ -18,7 +18,31 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as media, sniffed by signature and read back."""
+    from strandline.llm.media import media_digest
+
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and fuzzy licence notices in all documents."""
+    from strandline.llm.licenses import license_digest
+
+    return license_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed to target weights."""
+    from strandline.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_media_columns": op3_media_columns,
+        "op5_license_scan": op5_license_scan,
+        "op7_mixing": op7_mixing,
     }
