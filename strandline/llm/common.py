@@ -113,16 +113,16 @@ class Words(NamedTuple):
     row: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """All words of rows whose lower-cased bytes are ``data``.
+def word_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, row, sums, unshift) of the words of rows.
 
-    Equal words have equal hashes wherever they stand: the hash is a difference
-    of running sums of a polynomial modulo 2**64, shifted back to the origin.
+    ``(sums[b] - sums[a]) * unshift[a]`` is the polynomial of bytes a to b
+    modulo 2**64, the same wherever those bytes stand.
     """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none.astype(np.uint64), none)
+        return none, none, none, np.zeros(1, np.uint64), np.ones(1, np.uint64)
     if len(_powers[0]) <= n:
         _grow(n)
     inside = table[data]
@@ -132,6 +132,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     end = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _powers[1][start])
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(start, end, hashes, row)
+    return start, end, row, sums, _powers[1]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+    """All words of rows; equal words have equal hashes wherever they stand."""
+    start, end, row, sums, unshift = word_sums(data, offsets, table)
+    return Words(start, end, mix((sums[end] - sums[start]) * unshift[start]), row)

@@ -32,6 +32,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from weak votes and training labels."""
+    from strandline.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed to target weights."""
     from strandline.llm.mixing import mix_sources
@@ -44,5 +51,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op3_media_columns": op3_media_columns,
         "op5_license_scan": op5_license_scan,
+        "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
     }
