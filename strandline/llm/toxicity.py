@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import LOWER, TEXT_WORDS, bounded_batches, durable, mix, pieces, utf8, word_sums, words
+from strandline.llm.folds import fold, sample_rows
 
 # Common insults, by language.
 LEXICONS = {
@@ -44,11 +45,6 @@ GROUPS = 3
 ROUNDS = 8
 
 
-def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")), F.lit(folds))
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind, (row, hash) of the words of lower-cased bytes."""
     start, end, row, sums, unshift = word_sums(data, offsets, TEXT_WORDS)
@@ -117,12 +113,6 @@ def _presence(data: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np
     return pairs // (len(lookup.keys) + 1), pairs % (len(lookup.keys) + 1)
 
 
-def sample_rows(rows: DataFrame, bound: int, fraction_of: int, seed: int) -> DataFrame:
-    """About ``bound`` of ``fraction_of`` rows, by a hash of the id."""
-    share = min(1.0, bound / max(1, fraction_of))
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-
-
 def mine(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, kind, log odds) of the features that mark one class in labelled training rows.
 
