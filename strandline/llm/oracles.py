@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import mixing
+from strandline.llm import decontamination, mixing
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontamination.ORACLE,
         "op7_mixing": mixing.ORACLE,
     }

@@ -25,6 +25,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in all documents through a positional index."""
+    from strandline.llm.decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and fuzzy licence notices in all documents."""
     from strandline.llm.licenses import license_digest
@@ -57,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op3_media_columns": op3_media_columns,
+        "op4_decontamination": op4_decontamination,
         "op5_license_scan": op5_license_scan,
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
