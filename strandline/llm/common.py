@@ -14,11 +14,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 that a kernel handles at once, unless one text is longer.
 PIECE_BYTES = 1 << 20
 #: Bytes of an Arrow batch sent to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Rows of a side that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +47,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else left to shuffle.
+
+    ``df`` must be cheap to count.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so long texts don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import durable
+from strandline.llm.common import durable, small
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -35,11 +33,6 @@ def text_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item, window, terms): windows of ``WINDOW`` words, or one of all words.
 
