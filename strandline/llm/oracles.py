@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontamination, mixing
+from strandline.llm import decontamination, lines, mixing
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontamination.ORACLE,
         "op7_mixing": mixing.ORACLE,
+        "op10_line_dedup": lines.ORACLE,
     }

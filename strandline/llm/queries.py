@@ -67,6 +67,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents without exact and near repeats, counted by document."""
+    from strandline.llm.lines import line_digest
+
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -77,4 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_line_dedup": op10_line_dedup,
     }
