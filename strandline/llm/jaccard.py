@@ -262,13 +262,14 @@ def _with_sets(texts: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, text_id) for each row of ``docs``.
+    """(doc_id, class_id, n_links, text_id, text_key, first) for each row of ``docs``.
 
     Two rows are linked if their shingle sets have a Jaccard similarity of 0.8
     or more, or their texts are equal.  ``class_id`` is the smallest id (by
     row, where ids repeat) of all rows connected by links; ``text_id`` that of
     the rows with an equal text; ``n_links`` counts the other rows linked to a
-    row, copies included.  Null reads as empty text.  Texts without words link
+    row, copies included.  ``first`` marks one row of each class, of the
+    smallest id; ``text_key`` is a digest of the text.  Null reads as empty text.  Texts without words link
     to equal texts alone.  Extra columns are ignored.
     """
     rows = members(docs)
@@ -302,6 +303,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = unique.select("id", "text_key", "copies", "text_id").join(roots, "id", "left").join(links, "id", "left")
     named = classes.withColumn("root", F.coalesce("root", "id"))
     # Roots are smallest by row number; ids may be in another order.
-    by_class = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    full = named.join(by_class, "root").select("text_key", "class_id", "text_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "text_key").join(full, "text_key").select("doc_id", "class_id", "n_links", "text_id")
+    by_class = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("absent"), "text_id", "id")).alias("least"))
+    full = named.join(by_class, "root").select("text_key", F.col("least.text_id").alias("class_id"), F.col("least.id").alias("first_doc"), "text_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc", "doc_id", "text_key").join(full, "text_key").select("doc_id", "class_id", "n_links", "text_id", "text_key", (F.col("doc") == F.col("first_doc")).alias("first"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, that of the smallest id, all columns kept."""
+    classes = durable(jaccard_classes(docs).select("doc_id", "text_key", "first"), "jaccard-classes")
+    rows = classes.groupBy("doc_id", "text_key").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    gone = rows.filter(~F.col("first")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("d")) & (key == F.col("k")), "left_anti")
+    # Rows that repeat both id and text are one document.
+    repeated = rows.filter(F.col("first") & (F.col("n") > 1)).limit(1).count()
+    return kept.withColumn("_k", key).dropDuplicates(["doc_id", "_k"]).drop("_k") if repeated else kept

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import durable
+from strandline.llm.common import durable, small
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -76,7 +76,7 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row for each row of ``docs``.
+    """(doc_id, size, source_size, target, taken, copies), one row for each row of ``docs``.
 
     ``size`` counts words between blanks (null: 0).  ``taken`` counts the words
     the mix takes, repeats included: complete epochs, and one more copy of the
@@ -102,13 +102,21 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
         cut.withColumn("upto", F.sum("size").over(inside))
         .join(starts, ["name", "absent", "slice"])
         .join(plan, ["name", "absent"])
-        .select(
-            "doc_id", "size", "source_size", "target",
-            (F.col("epochs") * F.col("size") + F.when(F.col("start") + F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(0)).cast("long").alias("taken"),
-        )
+        .withColumn("copies", (F.col("epochs") + F.when(F.col("start") + F.col("upto") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).cast("int"))
+        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
     )
 
 
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it, all columns kept.
+
+    Of rows that repeat an id, each is taken as often as the one taken most.
+    """
+    copies = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    joined = docs.join(small(copies), docs["doc_id"].eqNullSafe(copies["_d"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 #: The same mix in DuckDB: one running sum for each source.
 ORACLE = rf"""
 WITH sized AS (
@@ -129,6 +137,7 @@ targets AS (SELECT name, absent, source_size, least(CAST(cap AS DOUBLE), coalesc
 plan AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS epochs FROM targets),
 summed AS (SELECT k.*, sum(size) OVER (PARTITION BY name, absent ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM keyed k)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(epochs * size + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN size ELSE 0 END AS BIGINT) AS taken
+  CAST(epochs * size + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN size ELSE 0 END AS BIGINT) AS taken,
+  CAST(epochs + CASE WHEN upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END AS INT) AS copies
 FROM summed JOIN plan USING (name, absent)
 """

@@ -176,8 +176,8 @@ def uniform_shards(
     """All rows of ``docs`` in random order, with ``shard`` and ``slot``.
 
     ``key`` names the columns that tell rows apart; rows equal in all of them
-    take neighbouring places in an order that does not matter.  Nulls are
-    values like any other.  ``slot`` counts from 0 without gaps in each shard.
+    are numbered, so copies too go to places of their own.  Nulls are values
+    like any other.  ``slot`` counts from 0 without gaps in each shard.
     Columns ``shard`` and ``slot`` of the input are replaced.  An empty input
     gives an empty result with the same columns.  The input is counted once
     (its block sizes) and exchanged twice, by block and by place in the shard;
@@ -188,11 +188,12 @@ def uniform_shards(
     levels = max(1, (max(least_blocks, -(-n // block_rows)) - 1).bit_length())
     slices = max(4, -(-n // (shards * block_rows)))
     mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *key)
-    rows = docs.select(
-        *kept,
-        F.pmod(mix("block"), F.lit(2**levels)).alias("_block"), mix("first").alias("_first"), mix("second").alias("_second"),
+    blocks = docs.select(*kept, F.pmod(mix("block"), F.lit(2**levels)).alias("_block"))
+    copy = Window.partitionBy("_block", *key).orderBy("_block")
+    rows = blocks.withColumn("_copy", F.row_number().over(copy)).select(
+        *kept, "_block", F.xxhash64(mix("first"), "_copy").alias("_first"), F.xxhash64(mix("second"), "_copy").alias("_second"),
     )
-    counts = rows.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n"))
+    counts = blocks.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n"))
     cuts = communication_matrix(counts, levels, shards, seed).withColumnRenamed("block", "_block")
     local = Window.partitionBy("_block").orderBy("_first", *key)
     dealt = (
