@@ -18,6 +18,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents under a hidden Markov model."""
+    from strandline.llm.hmm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as media, sniffed by signature and read back."""
     from strandline.llm.media import media_digest
@@ -84,6 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_hmm_scoring": op2_hmm_scoring,
         "op3_media_columns": op3_media_columns,
         "op4_decontamination": op4_decontamination,
         "op5_license_scan": op5_license_scan,
