@@ -22,9 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from strandline.plans import series  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
