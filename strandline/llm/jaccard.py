@@ -34,7 +34,7 @@ STEP, TOLERANCE = 16, 1e-6
 #: Texts that are looked up by broadcast, at most.
 WANTED_ROWS = 200_000
 #: Members of a block.
-BLOCK = 512
+BLOCK = 256
 
 _RNG = np.random.default_rng(5)
 _FACTORS = (_RNG.integers(1, 2**32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
