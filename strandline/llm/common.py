@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of UTF-8 that a kernel handles at once, unless one text is longer.
 PIECE_BYTES = 1 << 20
 #: Bytes of an Arrow batch sent to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -138,7 +138,7 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             toxic = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), np.int64)
-            for first, last in pieces(offsets, 4 << 20):
+            for first, last in pieces(offsets):
                 own = LOWER[data[offsets[first] : offsets[last]]]
                 for kind, (r, h) in zip(KINDS, features(own, offsets[first : last + 1] - offsets[first]), strict=True):
                     order = np.lexsort((r, h))
@@ -201,7 +201,11 @@ class Voters:
         np.logical_or.at(fired, rows, self.fires[keys])
         out = np.full((n, len(self.names)), 2, np.uint8)
         out[fired] = 1
-        upper, letters, marks = (np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[offsets]) for x in ((data >= 65) & (data <= 90), ((data | 32) >= 97) & ((data | 32) <= 122), data == 33))
+        upper, letters, marks = (np.zeros(n, np.int64) for _ in range(3))
+        for first, last in pieces(offsets):
+            own, cut = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            for total, x in ((upper, (own >= 65) & (own <= 90)), (letters, ((own | 32) >= 97) & ((own | 32) <= 122)), (marks, own == 33)):
+                total[first:last] = np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int32)))[cut])
         size = np.maximum(1, np.diff(offsets))
         out[:, -4] = np.where(upper > 0.5 * np.maximum(letters, 20), 1, 2)
         out[:, -3] = np.where(marks * 50 > size, 1, 2)
