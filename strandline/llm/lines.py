@@ -19,17 +19,22 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import durable, small
 
-BLANKS = r"[\x20\x09-\x0D]+"
+#: Blanks inside lines other than the space.
+BLANKS = "\t\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANKS), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of all lines with words, in the order of the rows."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of all lines, with other blanks made spaces where a text has any."""
+    text = F.col("text")
+    other = text.contains(BLANKS[0])
+    for blank in BLANKS[1:]:
+        other = other | text.contains(blank)
+    plain = F.when(other, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+    return docs.select("doc_id", F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
 
 
 def _key(words: Column) -> Column:
@@ -62,7 +67,7 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     smaller (doc_id, line_no), null ids last.  Blank lines are no lines.
     """
     rows = docs.select("doc_id", "text")
-    cut = _cut(rows).withColumn("n", F.size("words"))
+    cut = _lines(rows).select("doc_id", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     lines = durable(cut.select("doc_id", "line_no", "n", _key(F.col("words")).alias("key"), _halves(F.col("words"), F.col("n")).alias("halves")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")
     unique = durable(lines.groupBy("key").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-unique")
@@ -70,10 +75,11 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = halves.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
     able = durable(halves.join(shared, "half").select("key").distinct().unionByName(unique.filter("n <= 2").select("key")).join(unique.select("key", "place"), "key"), "lines-able")
     wanted = small(able.select(F.col("key").alias("k"), F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"), "place"))
-    texts = _cut(rows).withColumn("key", _key(F.col("words")))
+    # Only the lines that are looked up are cut into words again.
+    texts = _lines(rows).join(wanted, (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
     held = durable(
-        texts.join(wanted, (F.col("key") == F.col("k")) & (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        .select("key", "place", "words").dropDuplicates(["key"]).withColumn("n", F.size("words")),
+        texts.select("k", "place", _words(F.col("line")).alias("words")).filter(F.col("k") == _key(F.col("words")))
+        .select(F.col("k").alias("key"), "place", "words").dropDuplicates(["key"]).withColumn("n", F.size("words")),
         "lines-held",
     )
     coded = held.select("key", "place", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
