@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 GRAVITY = 9.81
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     """``x`` between two limits; null stays null."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))

@@ -136,9 +136,9 @@ _CR = """, nb AS (SELECT line_id, seq, x, y, coalesce(lag(x) OVER w, x) AS x0, c
  cr AS (SELECT line_id, seq, k, """ + ", ".join(f"0.5 * (2 * {c} + (coalesce({c}2, {c}) - {c}0) * t + (2 * {c}0 - 5 * {c} + 4 * coalesce({c}2, {c}) - coalesce({c}3, {c}2, {c})) * t * t + (3 * {c} - {c}0 - 3 * coalesce({c}2, {c}) + coalesce({c}3, {c}2, {c})) * t * t * t) AS {c}" for c in "xy") + " FROM nt)"
 
 
-@query("line_spline", duck("line_node", then=_CR + " SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, k) - 1 AS seq, round(x, 6) AS x, round(y, 6) AS y FROM cr"))
+@query("line_spline", duck("line_node", then=_CR + " SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, k) - 1 AS seq, round(x, 9) AS x, round(y, 9) AS y FROM cr"))
 def line_spline(spark, sf):
-    return rounded(L.densify(_nodes(spark, sf), 5.0))
+    return rounded(L.densify(_nodes(spark, sf), 5.0), 9)
 
 
 @query("line_reverse", duck("line_node", then=" SELECT line_id, max(seq) OVER (PARTITION BY line_id) - seq AS seq, x, round(y, 6) AS y FROM line_node"))
