@@ -7,5 +7,8 @@ from pyspark.sql import functions as F
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """``df`` with its doubles rounded, so that engines that sum in another order agree."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """``df`` with its doubles rounded, so that engines that sum in another order agree.
+
+    Adding zero makes a negative zero positive.
+    """
+    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from strandline.functions.stage import cut
 from strandline.functions.expr import ahead, bearing
 
-LINE = Window.partitionBy("line_id").orderBy("seq")
+def _line():
+    """The nodes of one line, in order."""
+    return Window.partitionBy("line_id").orderBy("seq")
 
 
 def segments(nodes: DataFrame) -> DataFrame:
@@ -22,10 +24,10 @@ def segments(nodes: DataFrame) -> DataFrame:
     ``before`` is the length of the line up to the node; the last node has null
     segment columns.
     """
-    rows = nodes.select("line_id", "seq", "x", "y", F.lead("x").over(LINE).alias("x2"), F.lead("y").over(LINE).alias("y2"))
+    rows = nodes.select("line_id", "seq", "x", "y", F.lead("x").over(_line()).alias("x2"), F.lead("y").over(_line()).alias("y2"))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     rows = rows.withColumns({"length": F.hypot(dx, dy), "bearing": bearing(dx, dy)})
-    return rows.withColumn("before", F.coalesce(F.sum("length").over(LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return rows.withColumn("before", F.coalesce(F.sum("length").over(_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
 def line_lengths(nodes: DataFrame) -> DataFrame:
@@ -39,12 +41,13 @@ def points(nodes: DataFrame, spacing: float, keep_ends: bool) -> DataFrame:
     With ``keep_ends`` the end nodes stay; otherwise only points strictly
     inside the line are given.  Each segment makes its own points.
     """
-    seg = segments(nodes)
-    inner = seg.filter(F.col("length") > 0).withColumn("first", (F.floor(F.col("before") / spacing) + 1).cast("long")).withColumn("last", (F.ceil((F.col("before") + F.col("length")) / spacing) - 1).cast("long")).filter(F.col("first") <= F.col("last"))
-    inner = inner.withColumn("k", F.explode(F.sequence("first", "last"))).withColumn("t", (F.col("k") * spacing - F.col("before")) / F.col("length"))
+    seg = segments(nodes).withColumn("total", F.max(F.col("before") + F.coalesce("length", F.lit(0.0))).over(Window.partitionBy("line_id")))
+    # A segment holds the points after its first node up to its second, so a point on a node counts once.
+    inner = seg.filter(F.col("length") > 0).withColumn("first", (F.floor(F.col("before") / spacing) + 1).cast("long")).withColumn("last", F.floor((F.col("before") + F.col("length")) / spacing).cast("long")).filter(F.col("first") <= F.col("last"))
+    inner = inner.withColumn("k", F.explode(F.sequence("first", "last"))).filter(F.col("k") * spacing < F.col("total")).withColumn("t", (F.col("k") * spacing - F.col("before")) / F.col("length"))
     out = inner.select("line_id", (F.col("k") * spacing).alias("dist_along"), (F.col("x") + F.col("t") * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + F.col("t") * (F.col("y2") - F.col("y"))).alias("y"), "bearing")
     if keep_ends:
-        back = F.lag("bearing").over(LINE)
+        back = F.lag("bearing").over(_line())
         ends = seg.withColumn("back", back).filter((F.col("seq") == 0) | F.col("x2").isNull()).select("line_id", F.col("before").alias("dist_along"), "x", "y", F.coalesce("bearing", "back").alias("bearing"))
         out = out.unionByName(ends)
     return out.withColumn("seq", F.row_number().over(Window.partitionBy("line_id").orderBy("dist_along")) - 1)
@@ -110,7 +113,7 @@ def smooth(nodes: DataFrame, window: int, order: int = 3, passes: int = 1, neare
 
 def densify(nodes: DataFrame, step: float) -> DataFrame:
     """A cubic curve through all nodes (Catmull-Rom), with points about every ``step`` metres."""
-    rows = nodes.select("line_id", "seq", "x", "y", *[F.coalesce(F.lag(c).over(LINE), F.col(c)).alias(f"{c}0") for c in "xy"], *[F.lead(c).over(LINE).alias(f"{c}2") for c in "xy"], *[F.lead(c, 2).over(LINE).alias(f"{c}3") for c in "xy"])
+    rows = nodes.select("line_id", "seq", "x", "y", *[F.coalesce(F.lag(c).over(_line()), F.col(c)).alias(f"{c}0") for c in "xy"], *[F.lead(c).over(_line()).alias(f"{c}2") for c in "xy"], *[F.lead(c, 2).over(_line()).alias(f"{c}3") for c in "xy"])
     rows = rows.withColumn("m", F.when(F.col("x2").isNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) / step))).cast("int"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("t", F.col("k") / F.col("m"))
     t = F.col("t")
@@ -131,14 +134,14 @@ def reverse(nodes: DataFrame) -> DataFrame:
 
 def dedupe(nodes: DataFrame) -> DataFrame:
     """Lines without nodes that repeat the one before."""
-    moved = nodes.withColumn("_x", F.lag("x").over(LINE)).withColumn("_y", F.lag("y").over(LINE))
+    moved = nodes.withColumn("_x", F.lag("x").over(_line())).withColumn("_y", F.lag("y").over(_line()))
     kept = moved.filter(F.col("_x").isNull() | (F.col("x") != F.col("_x")) | (F.col("y") != F.col("_y"))).drop("_x", "_y")
-    return kept.withColumn("seq", F.row_number().over(LINE) - 1)
+    return kept.withColumn("seq", F.row_number().over(_line()) - 1)
 
 
 def offset(nodes: DataFrame, left: float, right: float) -> DataFrame:
     """Both offset lines: every node moved across its segment, the last across the one before."""
-    seg = segments(nodes).withColumn("b", F.coalesce("bearing", F.lag("bearing").over(LINE)))
+    seg = segments(nodes).withColumn("b", F.coalesce("bearing", F.lag("bearing").over(_line())))
     lx, ly = ahead(F.col("x"), F.col("y"), F.col("b") - 90, F.lit(left))
     rx, ry = ahead(F.col("x"), F.col("y"), F.col("b") + 90, F.lit(right))
     return seg.select("line_id", "seq", lx.alias("left_x"), ly.alias("left_y"), rx.alias("right_x"), ry.alias("right_y"))

@@ -90,21 +90,21 @@ def theil_sen(obs: DataFrame, keys: list[str]) -> DataFrame:
     A series is one row of two arrays; its pairs live in that row alone and no
     pair is ever shuffled.
     """
-    packed = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(days("obs_date").alias("x"), F.col("value").alias("y")))).alias("p")).filter(F.size("p") >= 3)
-    slopes = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
-    ties = lambda c: F.aggregate(F.array_distinct(F.col(f"p.{c}")), F.lit(0.0), lambda s, v: s + _tie(F.size(F.filter(F.col(f"p.{c}"), lambda o: o == v))))
-    n = F.size("p").cast("double")
-    table = packed.select(*keys, "p", F.array_sort(slopes).alias("s"), F.sqrt((n * (n - 1) * (2 * n + 5) - ties("x") - ties("y")) / 18).alias("sigma")).filter(F.size("s") > 0)
-    m = F.size("s")
+    packed = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(days("obs_date").alias("x"), F.col("value").alias("y")))).alias("_p")).filter(F.size("_p") >= 3)
+    slopes = F.flatten(F.transform("_p", lambda a: F.transform(F.filter("_p", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
+    ties = lambda c: F.aggregate(F.array_distinct(F.col(f"_p.{c}")), F.lit(0.0), lambda s, v: s + _tie(F.size(F.filter(F.col(f"_p.{c}"), lambda o: o == v))))
+    n = F.size("_p").cast("double")
+    table = packed.select(*keys, "_p", F.array_sort(slopes).alias("_s"), F.sqrt((n * (n - 1) * (2 * n + 5) - ties("x") - ties("y")) / 18).alias("sigma")).filter(F.size("_s") > 0)
+    m = F.size("_s")
     high = F.least(F.bround((m + Z95_EXACT * F.col("sigma")) / 2, 0).cast("int"), m - 1)
     low = F.greatest(F.bround((m - Z95_EXACT * F.col("sigma")) / 2, 0).cast("int") - 1, F.lit(0))
-    fit = table.select(*keys, "p", _median(F.col("s")).alias("b"), F.get("s", low).alias("lo"), F.get("s", high).alias("hi"),
-                       _median(F.array_sort(F.col("p.x"))).alias("mx"), _median(F.array_sort(F.col("p.y"))).alias("my"))
+    fit = table.select(*keys, "_p", _median(F.col("_s")).alias("b"), F.get("_s", low).alias("lo"), F.get("_s", high).alias("hi"),
+                       _median(F.array_sort(F.col("_p.x"))).alias("mx"), _median(F.array_sort(F.col("_p.y"))).alias("my"))
     fit = fit.withColumn("a", F.col("my") - F.col("b") * F.col("mx"))
-    mean = F.aggregate("p", F.lit(0.0), lambda s, o: s + o["y"]) / F.size("p")
-    rss = F.aggregate("p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("a") - F.col("b") * o["x"]) ** 2)
-    tss = F.aggregate("p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("mean")) ** 2)
-    return fit.withColumn("mean", mean).select(*keys, "b", "lo", "hi", "a", rss.alias("rss"), tss.alias("tss"), F.size("p").cast("long").alias("n")).select(
+    mean = F.aggregate("_p", F.lit(0.0), lambda s, o: s + o["y"]) / F.size("_p")
+    rss = F.aggregate("_p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("a") - F.col("b") * o["x"]) ** 2)
+    tss = F.aggregate("_p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("mean")) ** 2)
+    return fit.withColumn("mean", mean).select(*keys, "b", "lo", "hi", "a", rss.alias("rss"), tss.alias("tss"), F.size("_p").cast("long").alias("n")).select(
         *keys, (F.col("b") * YEAR).alias("rate"), (F.col("lo") * YEAR).alias("rate_lo"), (F.col("hi") * YEAR).alias("rate_hi"),
         F.sqrt(F.col("rss") / (F.col("n") - 2)).alias("residual_se"), F.col("a").alias("intercept"),
         F.when(F.col("tss") > 0, F.round(1 - F.col("rss") / F.col("tss"), 3)).alias("r2"), "n")

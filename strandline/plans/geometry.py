@@ -42,7 +42,7 @@ _SEG = """, seg0 AS (SELECT line_id, seq, x, y, lead(x) OVER w AS x2, lead(y) OV
 
 
 def _pts(spacing: float) -> str:
-    return f""", pin AS (SELECT *, (k * {spacing} - before) / length AS t FROM (SELECT *, unnest(range((floor(before / {spacing}) + 1)::BIGINT, ceil((before + length) / {spacing})::BIGINT)) AS k FROM seg WHERE length > 0)),
+    return f""", pin AS (SELECT *, (k * {spacing} - before) / length AS t FROM (SELECT *, unnest(range((floor(before / {spacing}) + 1)::BIGINT, floor((before + length) / {spacing})::BIGINT + 1)) AS k FROM (SELECT *, max(before + coalesce(length, 0)) OVER (PARTITION BY line_id) AS total FROM seg) WHERE length > 0) WHERE k * {spacing} < total),
  pts AS (SELECT line_id, k * {spacing} AS dist_along, x + t * (x2 - x) AS x, y + t * (y2 - y) AS y, bearing, row_number() OVER (PARTITION BY line_id ORDER BY k) - 1 AS seq FROM pin)"""
 
 

@@ -55,7 +55,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duck(*views: str, then: str) -> str:
-    """DuckDB SQL: the views as common table expressions, then ``then`` (which may begin with a comma and more)."""
+    """DuckDB SQL: the views as common table expressions, then ``then`` (which may begin with a comma and more).
+
+    Zero is added to rounded columns, which makes a negative zero positive.
+    """
+    then = re.sub(r", (\d+)\) AS (\w+)", r", \1) + 0 AS \2", then)
     names = {t: t for t in TABLES}
     heads = ", ".join(f"{v} AS ({_text(v).format(e0='embedding[1]', e1='embedding[2]', **names)})" for v in views)
     return f"WITH {heads}{then if then.lstrip().startswith(',') else ' ' + then}"
