@@ -180,3 +180,14 @@ def merge_touching(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     head = F.coalesce("back", "line_id")
     order = Window.partitionBy("chain_id").orderBy("d", "seq")
     return nodes.join(hop, "line_id").withColumn("chain_id", head).filter((F.col("d") == 0) | (F.col("seq") > 0)).select("chain_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y", "line_id")
+
+
+def merge_snap(nodes: DataFrame, distance: float) -> DataFrame:
+    """Chains of lines whose ends lie within ``distance``: starts snap to the nearest end first."""
+    from strandline.operators.spatial import points_within
+
+    ends = nodes.groupBy("line_id").agg(F.min("seq").alias("s0"), *[F.min_by(c, "seq").alias(c) for c in "xy"], *[F.max_by(c, "seq").alias(f"q{c}") for c in "xy"])
+    pairs = points_within(ends.select("line_id", "s0", "x", "y"), ends.select(F.col("line_id").alias("other"), "qx", "qy"), distance).filter("line_id <> other")
+    snap = pairs.groupBy("line_id").agg(F.first("s0").alias("seq"), F.min(F.struct("distance", "other", "qx", "qy")).alias("b")).select("line_id", "seq", F.col("b.qx").alias("_x"), F.col("b.qy").alias("_y"))
+    moved = nodes.join(snap, ["line_id", "seq"], "left").select("line_id", "seq", F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+    return merge_touching(moved)

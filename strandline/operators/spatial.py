@@ -119,3 +119,25 @@ def assign_boxes(p: DataFrame, key: str, boxes: DataFrame, cell: str, g: float,
     met = a.join(b, ["gx", "gy"]).withColumn("distance", box_distance(F.col("x"), F.col("y"))).filter(F.col("distance") <= most)
     rank = F.rank().over(Window.partitionBy(key).orderBy("distance"))
     return met.withColumn("_r", rank).filter("_r = 1").select(key, cell, "distance")
+
+
+def clip_segments(seg: DataFrame, key: str, edges: DataFrame, poly: str, g: float) -> DataFrame:
+    """Pieces (key, polygon, t0, t1) of segments (ax1, ay1, ax2, ay2) inside polygons.
+
+    A segment is cut where it crosses a polygon's edges; a piece is inside if
+    its middle is.  ``t`` runs from 0 to 1 along the segment.
+    """
+    c = F.col
+    ring = edges.select(poly, c("x1").alias("bx1"), c("y1").alias("by1"), c("x2").alias("bx2"), c("y2").alias("by2"))
+    own = seg.select(key, "ax1", "ay1", "ax2", "ay2")
+    cuts = intersections(own, ring, g).select(key, poly, F.round("t", 12).alias("t"))
+    # Polygons that hold an end without crossing count too, so every met polygon gets both ends.
+    ends = own.select(F.col(key), c("ax1").alias("x"), c("ay1").alias("y"))
+    met = cuts.select(key, poly).union(in_polygon(ends, key, edges, poly, g)).distinct()
+    marks = cuts.union(met.select(key, poly, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
+    by = Window.partitionBy(key, poly).orderBy("t")
+    pieces = marks.withColumn("t1", F.lead("t").over(by)).filter("t1 > t").join(own, key)
+    m = (c("t") + c("t1")) / 2
+    pieces = pieces.withColumns({"pid": F.concat_ws("|", key, poly, "t"), "x": c("ax1") + m * (c("ax2") - c("ax1")), "y": c("ay1") + m * (c("ay2") - c("ay1"))})
+    inside = in_polygon(pieces, "pid", edges.withColumnRenamed(poly, "_in"), "_in", g)
+    return pieces.join(inside, "pid").filter(c("_in") == c(poly)).select(key, poly, c("t").alias("t0"), "t1")

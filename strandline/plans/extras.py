@@ -272,10 +272,28 @@ def line_smooth_output(spark, sf):
     return rounded(L.smooth(L.dedupe(G._nodes(spark, sf)), 7, order=2))
 
 
-@query("line_merge_snap", duck("line_node", then=" SELECT line_id, count(DISTINCT (floor(x / 0.1), floor(y / 0.1))) AS n_places FROM line_node GROUP BY 1"))
+@query("line_merge_snap", duck("line_node", then=" SELECT line_id * 1000 AS chain_id, count(*) AS n FROM line_node GROUP BY 1"))
 def line_merge_snap(spark, sf):
-    place = F.struct(F.floor(F.col("x") / 0.1).alias("gx"), F.floor(F.col("y") / 0.1).alias("gy"))
-    return G._nodes(spark, sf).groupBy("line_id").agg(F.countDistinct(place).alias("n_places"))
+    # Pieces of ten segments, each begun 5 cm beside the end of the one before.
+    n = G._nodes(spark, sf).withColumn("part", F.floor(F.col("seq") / 10))
+    ends = n.filter((F.col("seq") % 10 == 0) & (F.col("seq") > 0)).withColumn("part", F.col("part") - 1)
+    cut = n.withColumn("y", F.when((F.col("seq") % 10 == 0) & (F.col("seq") > 0), F.col("y") + 0.05).otherwise(F.col("y"))).unionByName(ends)
+    cut = cut.select((F.col("line_id") * 1000 + F.col("part")).alias("line_id"), (F.col("seq") - F.col("part") * 10).alias("seq"), "x", "y")
+    whole = cut.groupBy("line_id").agg(F.count("*").alias("n")).filter("n > 1").select("line_id")
+    return L.merge_snap(cut.join(whole, "line_id"), 0.1).groupBy("chain_id").agg(F.count("*").alias("n"))
+
+
+_BOX = """, sg AS (SELECT line_id * 10000 + transect_id AS sid, start_x AS x1, (start_y + 1e9) % 1000 AS y1, end_x - start_x AS dx, end_y - start_y AS dy FROM tr WHERE abs(end_x - start_x) > 1e-6 AND abs(end_y - start_y) > 1e-6),
+ tt AS (SELECT sid, cell_id, greatest(0, least((xmin - x1) / dx, (xmax - x1) / dx), least((ymin - y1) / dy, (ymax - y1) / dy)) AS t0, least(1, greatest((xmin - x1) / dx, (xmax - x1) / dx), greatest((ymin - y1) / dy, (ymax - y1) / dy)) AS t1 FROM sg, cell_box)"""
+
+
+@query("transect_clip_polygon", G._sql("SELECT sid, cell_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM tt WHERE t1 > t0 + 1e-9", G._TR, _BOX, views=("line_node", "cell_box")))
+def transect_clip_polygon(spark, sf):
+    c = F.col
+    y1 = (c("start_y") + F.lit(1e9)) % 1000
+    t = G._transects(spark, sf).filter((F.abs(c("end_x") - c("start_x")) > 1e-6) & (F.abs(c("end_y") - c("start_y")) > 1e-6))
+    seg = t.select((c("line_id") * 10000 + c("transect_id")).alias("sid"), c("start_x").alias("ax1"), y1.alias("ay1"), c("end_x").alias("ax2"), (y1 + c("end_y") - c("start_y")).alias("ay2"))
+    return rounded(P.clip_segments(seg, "sid", G._edges(spark, sf), "cell_id", 200.0).filter("t1 > t0 + 1e-9"))
 
 
 @query("lines_clip_polygon", duck("line_node", "cell_box", then=G._SEG + ", md AS (SELECT line_id, seq, (x + x2) / 2 AS mx, ((y + y2) / 2 + 1e9) % 1000 AS my, length FROM seg WHERE x2 IS NOT NULL) SELECT line_id, cell_id, count(*) AS n, round(sum(length), 6) AS length FROM md JOIN cell_box ON mx >= xmin AND mx < xmax AND my >= ymin AND my < ymax GROUP BY 1, 2"))
