@@ -42,9 +42,10 @@ def _key(words: Column) -> Column:
 
 
 def _halves(words: Column, n: Column) -> Column:
-    """Keys of the halves that a line one edit away may share."""
-    sizes = F.array_distinct(F.array(F.floor(n / 2), F.floor((n - 1) / 2)))
-    both = F.transform(sizes, lambda h: F.array(F.xxhash64(F.lit(0), h, F.slice(words, 1, h.cast("int"))), F.xxhash64(F.lit(1), h, F.slice(words, (n - h + 1).cast("int"), h.cast("int")))))
+    """(side, size, hash) of the halves that a line one edit away may share: 0 the first, 1 the last."""
+    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
+    half = lambda side, h, at: F.struct(F.lit(side).alias("side"), h.alias("size"), F.xxhash64(F.lit(side), h, F.slice(words, at, h)).alias("hash"))
+    both = F.transform(sizes, lambda h: F.array(half(0, h, F.lit(1)), half(1, h, n - h + 1)))
     # Lines of one or two words share empty halves with all others, so they are kept without a test.
     return F.when(n > 2, F.flatten(both))
 
@@ -71,34 +72,37 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = durable(cut.select("doc_id", "line_no", "n", _key(F.col("words")).alias("key"), _halves(F.col("words"), F.col("n")).alias("halves")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")
     unique = durable(lines.groupBy("key").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-unique")
-    halves = unique.select("key", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
-    able = durable(halves.join(shared, "half").select("key").distinct().unionByName(unique.filter("n <= 2").select("key")).join(unique.select("key", "place"), "key"), "lines-able")
-    wanted = small(able.select(F.col("key").alias("k"), F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"), "place"))
+    halves = unique.select("key", F.explode("halves").alias("half")).select("key", "half.*")
+    shared = halves.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select("hash")
+    # Where a half is shared, the edit lies outside it.
+    spans = halves.join(shared, "hash").groupBy("key").agg(F.collect_set(F.struct("side", "size")).alias("spans"))
+    able = durable(spans.join(unique.select("key", "place"), "key").unionByName(unique.filter("n <= 2").select("key", "place", F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("size"))).alias("spans"))), "lines-able")
+    wanted = small(able.select(F.col("key").alias("k"), F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"), "place", "spans"))
     # Only the lines that are looked up are cut into words again.
     texts = _lines(rows).join(wanted, (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
     held = durable(
-        texts.select("k", "place", _words(F.col("line")).alias("words")).filter(F.col("k") == _key(F.col("words")))
-        .select(F.col("k").alias("key"), "place", "words").dropDuplicates(["key"]).withColumn("n", F.size("words")),
+        texts.select("k", "place", "spans", _words(F.col("line")).alias("words")).filter(F.col("k") == _key(F.col("words")))
+        .dropDuplicates(["k"]).select("place", "spans", "words", F.size("words").alias("n")),
         "lines-held",
     )
-    coded = held.select("key", "place", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    coded = held.select("place", "spans", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    outside = lambda i: F.exists("spans", lambda s: F.when(s["side"] == 0, i > s["size"]).otherwise(i <= F.col("n") - s["size"]))
+    places = F.filter(F.sequence(F.lit(1), F.col("n")), outside)
     deleted = durable(
-        coded.select("key", "place", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.concat(F.slice("h", F.lit(1), i - 1), F.slice("h", i + 1, F.col("n")))))).alias("at", "variant")),
+        coded.select("place", "n", F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.slice("h", F.lit(1), i - 1), F.slice("h", i + 1, F.col("n")))).alias("variant")))).alias("v")).select("place", "n", "v.at", "v.variant"),
         "lines-deleted",
     )
-    member = F.struct("place", "key")
     # One word changed: the same rest around the same place.
-    changed = deleted.groupBy("n", "at", "variant").agg(F.min(member).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    by_change = deleted.join(changed, ["n", "at", "variant"]).select("key", "place", F.col("first"))
+    changed = deleted.groupBy("n", "at", "variant").agg(F.min("place").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    by_change = deleted.join(changed, ["n", "at", "variant"]).select("place", "first")
     # One word more: a variant is another whole line.
-    whole = coded.select(F.xxhash64("h").alias("variant"), (F.col("n") + 1).alias("n"), F.struct("place", "key").alias("short"))
-    added = deleted.join(whole, ["n", "variant"]).select("key", "place", "short")
-    by_add = added.select("key", "place", F.col("short").alias("first")).unionByName(added.select(F.col("short.key").alias("key"), F.col("short.place").alias("place"), F.struct("place", "key").alias("first")))
-    near = by_change.unionByName(by_add).filter(F.col("first.place") < F.col("place")).groupBy("key").agg(F.min("first").alias("first"))
-    mine, other = held.select("key", "words"), held.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
-    verified = near.select("key", F.col("first.key").alias("other")).join(mine, "key").join(other, "other").filter(_one_edit(F.col("words"), F.col("other_words"))).select("key", F.lit(True).alias("near"))
-    firsts = unique.join(verified, "key", "left").select("place.doc_id", "place.line_no", F.coalesce("near", F.lit(False)).alias("near"))
+    whole = coded.select(F.xxhash64("h").alias("variant"), (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
+    added = deleted.join(whole, ["n", "variant"]).select("place", "short")
+    by_add = added.select("place", F.col("short").alias("first")).unionByName(added.select(F.col("short").alias("place"), F.col("place").alias("first")))
+    near = by_change.unionByName(by_add).filter(F.col("first") < F.col("place")).groupBy("place").agg(F.min("first").alias("first"))
+    mine, other = held.select("place", "words"), held.select(F.col("place").alias("first"), F.col("words").alias("other_words"))
+    verified = near.join(mine, "place").join(other, "first").filter(_one_edit(F.col("words"), F.col("other_words"))).select("place", F.lit(True).alias("near"))
+    firsts = unique.join(verified, "place", "left").select("place.doc_id", "place.line_no", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")), firsts
 
 
