@@ -45,9 +45,9 @@ def _halves(words: Column, n: Column) -> Column:
     """(side, size, hash) of the halves that a line one edit away may share: 0 the first, 1 the last."""
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
     half = lambda side, h, at: F.struct(F.lit(side).alias("side"), h.alias("size"), F.xxhash64(F.lit(side), h, F.slice(words, at, h)).alias("hash"))
-    both = F.transform(sizes, lambda h: F.array(half(0, h, F.lit(1)), half(1, h, n - h + 1)))
-    # Lines of one or two words share empty halves with all others, so they are kept without a test.
-    return F.when(n > 2, F.flatten(both))
+    # Empty halves are shared with all others, so they tell nothing; lines of one or two words are kept without a test,
+    # and those of two words have halves of one word for the sake of lines of three.
+    return F.when(n > 1, F.flatten(F.transform(F.filter(sizes, lambda h: h > 0), lambda h: F.array(half(0, h, F.lit(1)), half(1, h, n - h + 1)))))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -76,7 +76,7 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = halves.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select("hash")
     # Where a half is shared, the edit lies outside it.
     spans = halves.join(shared, "hash").groupBy("key").agg(F.collect_set(F.struct("side", "size")).alias("spans"))
-    able = durable(spans.join(unique.select("key", "place"), "key").unionByName(unique.filter("n <= 2").select("key", "place", F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("size"))).alias("spans"))), "lines-able")
+    able = durable(spans.join(unique.filter("n > 2").select("key", "place"), "key").unionByName(unique.filter("n <= 2").select("key", "place", F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("size"))).alias("spans"))), "lines-able")
     wanted = small(able.select(F.col("key").alias("k"), F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"), "place", "spans"))
     # Only the lines that are looked up are cut into words again.
     texts = _lines(rows).join(wanted, (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))

@@ -420,3 +420,26 @@ def test_lines_equal_all_pairs(spark, edge, empty):
     assert kept[0] == docs.filter("doc_id = 0").first()["text"] and kept[1] == "" and kept[2] == "a b q d e" and kept[3] is None
     assert lines.line_digest(edge).count() == edge.select("doc_id").distinct().count() and lines.line_digest(empty).count() == 0
     assert lines.deduplicate_lines(edge).columns == edge.columns
+
+
+def one_edit(a, b):
+    """Whether word lists differ by one word changed, added or removed."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_short_lines_equal_all_pairs_at_every_edit_place(spark):
+    # Each pair has words of its own, so no other line shares a half; either line comes first.
+    pairs = []
+    for n in (2, 3, 4, 5):
+        for at in range(n):
+            for turned in (False, True):
+                words = [f"w{n}{at}{int(turned)}{i}" for i in range(n)]
+                other = words[:at] + words[at + 1 :]
+                pairs += [(words, other) if turned else (other, words), (w := [x + "c" for x in words], w[:at] + ["new" + w[at]] + w[at + 1 :])]
+    rows = [(i, " ".join(p)) for i, p in enumerate(itertools.chain.from_iterable(pairs))]
+    got = {r["doc_id"]: r["n_near"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    split = [t.split() for _, t in rows]
+    assert got == {i: int(any(one_edit(split[j], split[i]) for j in range(i))) for i, _ in rows}
