@@ -90,23 +90,22 @@ def fix_topology(t: DataFrame, crossings: DataFrame, thin: int = 1) -> DataFrame
     return rows.select("line_id", "transect_id", "coast_x", "coast_y", *[F.col(f"_{e}_{c}").alias(f"{e}_{c}") for e in ("start", "end") for c in "xy"])
 
 
-def drop_overlaps(t: DataFrame, pairs: DataFrame, rounds: int = 10) -> DataFrame:
+def drop_overlaps(t: DataFrame, pairs: DataFrame) -> DataFrame:
     """Transects of which no two cross.
 
     ``pairs`` holds crossing (a, b) with lengths (la, lb).  In each round every
     transect that is the longest of all it still crosses goes (ties: the larger
-    number); rounds repeat until no pair is left.
+    number); rounds repeat until no pair is left.  The longest of all goes in
+    any round, so they end.
     """
-    left = pairs.select("line_id", "a", "b", "la", "lb")
+    left = pairs.select("line_id", "a", "b", "la", "lb").filter("line_id is not null and a <> b")
     gone = None
-    for _ in range(rounds):
+    while gone is None or left.limit(1).count():
         both = left.select("line_id", F.col("a").alias("me"), F.struct(F.col("la").alias("l"), F.col("a").alias("i")).alias("mine"), F.struct(F.col("lb").alias("l"), F.col("b").alias("i")).alias("other")).union(
             left.select("line_id", F.col("b"), F.struct(F.col("lb"), F.col("b")), F.struct(F.col("la"), F.col("a"))))
-        out = both.groupBy("line_id", "me").agg(F.first("mine").alias("mine"), F.max("other").alias("most")).filter("mine > most").select("line_id", F.col("me").alias("transect_id"))
+        out = both.groupBy("line_id", "me").agg(F.max("mine").alias("mine"), F.max("other").alias("most")).filter("mine > most").select("line_id", F.col("me").alias("transect_id"))
         gone = out if gone is None else gone.union(out)
         gone = cut(gone)
         a, b = gone.withColumnRenamed("transect_id", "a"), gone.withColumnRenamed("transect_id", "b")
         left = cut(left.join(a, ["line_id", "a"], "left_anti").join(b, ["line_id", "b"], "left_anti"))
-        if left.limit(1).count() == 0:
-            break
     return t.join(gone, ["line_id", "transect_id"], "left_anti")

@@ -176,6 +176,15 @@ def test_dropped_overlaps_leave_no_crossing(spark):
     assert {r["transect_id"] for r in T.drop_overlaps(t, pairs).collect()} == {0, 2, 3}
 
 
+@pytest.mark.parametrize("lengths", [[30.0 - i for i in range(30)], [7.0] * 30])
+def test_long_runs_of_overlaps_leave_no_crossing(spark, lengths):
+    # Each round removes one: falling lengths from the front, equal lengths from the back.
+    t = spark.createDataFrame([("a", i) for i in range(30)], "line_id string, transect_id int")
+    pairs = spark.createDataFrame([("a", i, i + 1, lengths[i], lengths[i + 1]) for i in range(29)], "line_id string, a int, b int, la double, lb double")
+    kept = {r["transect_id"] for r in T.drop_overlaps(t, pairs).collect()}
+    assert kept == ({29} if lengths[0] > lengths[1] else {0})
+
+
 def test_touching_lines_are_chained(spark):
     nodes = spark.createDataFrame([("b", 0, 1.0, 0.0), ("b", 1, 2.0, 0.0), ("a", 0, 0.0, 0.0), ("a", 1, 1.0, 0.0), ("c", 0, 9.0, 9.0), ("c", 1, 8.0, 8.0)], "line_id string, seq long, x double, y double")
     chains = {}
