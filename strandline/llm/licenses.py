@@ -10,6 +10,8 @@ inside a notice cost no edits.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -65,24 +67,40 @@ def _search() -> tuple[ahocorasick.Automaton, dict[str, regex.Pattern]]:
 
 
 def notices(text: str) -> list[tuple[str, int, int, int]]:
-    """(notice, start, end, edits) in a text of words, best first where spans of a notice overlap."""
+    """(notice, start, end, edits) in a text of words; of spans of a notice that overlap, that with the fewest edits.
+
+    Every seed's own window is searched, so no better match elsewhere hides a
+    notice; a window is no longer than a notice and its edits.
+    """
     automaton, patterns = _search()
-    windows: dict[str, list[list[int]]] = {}
+    windows: dict[str, set[tuple[int, int]]] = {}
     for last, (size, where) in automaton.iter(text):
         for notice, at in where:
             k = edits_of(notice)
             begin = max(0, last + 1 - size - at - k)
-            end = min(len(text), begin + len(notice) + 2 * k + 1)
-            own = windows.setdefault(notice, [])
-            if own and begin <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], end)
-            else:
-                own.append([begin, end])
+            windows.setdefault(notice, set()).add((begin, min(len(text), begin + len(notice) + 2 * k + 1)))
     found = []
-    for notice, spans in windows.items():
-        for begin, end in spans:
-            for m in patterns[notice].finditer(text, begin, end):
-                found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+    for notice, own in windows.items():
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def look(begin: int, end: int, notice: str = notice, heap: list = heap) -> None:
+            if end - begin >= len(notice) - edits_of(notice) and (m := patterns[notice].search(text, begin, end)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), begin, end))
+
+        for begin, end in own:
+            look(begin, end)
+        taken: list[tuple[int, int, int]] = []
+        while heap:
+            edits, start, stop, begin, end = heapq.heappop(heap)
+            at = bisect.bisect(taken, (start, stop, edits))
+            clash = next((s for s in taken[max(0, at - 1) : at + 1] if s[0] < stop and start < s[1]), None)
+            if clash is None:
+                taken.insert(at, (start, stop, edits))
+            else:
+                # What is beside the better span may hold another.
+                look(begin, clash[0])
+                look(clash[1], end)
+        found += [(notice, *span) for span in taken]
     return found
 
 

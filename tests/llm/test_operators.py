@@ -254,6 +254,15 @@ def test_fuzzy_notices_are_found_within_the_bound():
         assert any(n == notice for n, *_ in licenses.notices("".join(letters)))
 
 
+def test_adjacent_notices_are_all_found():
+    own = lambda text: [x[1:] for x in licenses.notices(text) if x[0] == "all rights reserved"]
+    text = "all rights reservd foo all rights reserved"
+    got = own(text)
+    assert [k for *_, k in got] == [1, 0] and got[0][0] == 0 and got[0][1] <= 19 and got[1] == (23, 42, 0)
+    many = " ".join(["all rights reservd", "all rights reserved", "all rigts reserved"] * 20)
+    assert [k for *_, k in own(many)] == [1, 0, 1] * 20
+
+
 # Mixing
 
 
