@@ -6,8 +6,8 @@ toxic, clean or nothing.  A generative label model, fitted by expectation
 maximisation on the counts of vote patterns over the whole training fold,
 estimates how each voter votes under either class; votes of correlated voters
 are discounted.  Its posteriors label a bounded sample, and a linear classifier
-on the presence of mined features is trained on them.  The classifier alone
-scores texts.
+on the presence of mined and lexicon words and on the votes of the lexicons and
+patterns is trained on them.  The classifier alone scores texts.
 """
 
 from __future__ import annotations
@@ -181,6 +181,8 @@ class Voters:
 
     def __post_init__(self):
         fixed = {name: _hash_words(words) for name, words in LEXICONS.items()}
+        #: Voters that are inputs of the classifier: lexicons and patterns; mined features are inputs themselves.
+        self.inputs = np.array([*range(len(fixed)), *range(len(fixed) + len(KINDS) * GROUPS, len(fixed) + len(KINDS) * GROUPS + 4)])
         self.names = [f"lexicon:{n}" for n in fixed] + [f"mined:{k}:{g}" for k in KINDS for g in range(GROUPS)] + ["shouting", "exclaims", "no toxic feature", "calm"]
         everything = np.unique(np.concatenate([self.keys, *fixed.values()]))
         self.lookup = Lookup(everything)
@@ -193,8 +195,12 @@ class Voters:
             own = (self.kinds == kind) & (self.odds > 0)
             self.fires[at[own], len(fixed) + i * GROUPS + (self.keys[own] % np.uint64(GROUPS)).astype(int)] = True
 
-    def votes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows by voters: 1 toxic, 0 clean, 2 no vote."""
+    @property
+    def size(self) -> int:
+        return len(self.lookup.keys) + len(self.inputs)
+
+    def votes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by voters (1 toxic, 0 clean, 2 no vote), and the (row, input) pairs of the classifier, by row."""
         n = len(offsets) - 1
         fired = np.zeros((n, len(self.names)), bool)
         rows, keys = _presence(data, offsets, self.lookup)
@@ -211,7 +217,11 @@ class Voters:
         out[:, -3] = np.where(marks * 50 > size, 1, 2)
         out[:, -2] = np.where(~fired.any(axis=1), 0, 2)
         out[:, -1] = np.where((marks == 0) & (upper * 10 < letters), 0, 2)
-        return out
+        # A lexicon's vote is an input too: it weighs words of the lexicon that the sample lacks.
+        voted, voter = np.nonzero(out[:, self.inputs] != 2)
+        rows, keys = np.concatenate([rows, voted]), np.concatenate([keys, len(self.lookup.keys) + voter])
+        order = np.argsort(rows, kind="stable")
+        return out, rows[order], keys[order]
 
 
 @dataclass
@@ -274,23 +284,23 @@ def fit_label_model(patterns: DataFrame, voters: int, prior: float) -> LabelMode
 
 @dataclass
 class Classifier:
-    """Logistic regression on the presence of features."""
+    """Logistic regression on the presence of words and votes."""
 
-    lookup: Lookup
+    voters: Voters
     weights: np.ndarray
     bias: float
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows, keys = _presence(data, offsets, self.lookup)
+        _, rows, keys = self.voters.votes(data, offsets)
         logit = self.bias + np.bincount(rows, weights=self.weights[keys], minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _train(lookup: Lookup, docs: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Classifier:
+def _train(voters: Voters, docs: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Classifier:
     """Full-batch gradient descent with momentum and a small quadratic penalty."""
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     key = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
-    weights, bias = np.zeros(len(lookup.keys) + 1), 0.0
+    weights, bias = np.zeros(voters.size), 0.0
     speed, bias_speed, n = np.zeros_like(weights), 0.0, max(1, len(docs))
     seen = np.maximum(1.0, np.bincount(key, minlength=len(weights)))
     for _ in range(rounds):
@@ -300,7 +310,7 @@ def _train(lookup: Lookup, docs: list[np.ndarray], target: np.ndarray, rounds: i
         slope = np.bincount(key, weights=error[row], minlength=len(weights)) / np.sqrt(seen * n) + 1e-3 * weights
         speed, bias_speed = 0.9 * speed - 1.0 * slope, 0.9 * bias_speed - 0.3 * error.sum() / n
         weights, bias = weights + speed, bias + bias_speed
-    return Classifier(lookup, weights, float(bias))
+    return Classifier(voters, weights, float(bias))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = FOLDS) -> DataFrame:
@@ -308,22 +318,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
 
     Labels are learned from rows of ``labels`` outside fold 0 whose label is
     not null.  Null texts are empty; an empty text gets the score of a text
-    without any feature.  Without labels every score is that of the prior of
-    the fixed lexicons' label model.  Other columns of ``docs`` are ignored.
+    without any feature.  Labels enter by the mined features and the label
+    model's counts; the classifier learns its posteriors.  Without labels the
+    voters are the lexicons and patterns.  Other columns of ``docs`` are ignored.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = durable(known, "toxicity-labels")
     voters = Voters(*mine(docs, known))
-    lookup, classes = Lookup(voters.keys), known.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
+    classes = known.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     prior = ((classes["bad"] or 0) + 1) / (classes["n"] + 10)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            votes = voters.votes(data, offsets)
-            rows, keys = _presence(data, offsets, lookup)
+            votes, rows, keys = voters.votes(data, offsets)
             cuts = np.searchsorted(rows, np.arange(len(votes) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(v + 48).tobytes().decode() for v in votes], pa.string()), lists], names=["doc_id", "votes", "keys"])
@@ -333,11 +343,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     voted = durable(training.mapInArrow(vote, f"doc_id {kind}, votes string, keys array<int>").join(known, "doc_id", "left"), "toxicity-votes")
     patterns = durable(voted.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxicity-patterns")
     model = fit_label_model(patterns, len(voters.names), prior)
-    sample = sample_rows(voted, TRAINING_ROWS, voted.count(), 2).limit(2 * TRAINING_ROWS).select("votes", "label", "keys").collect()
+    sample = sample_rows(voted, TRAINING_ROWS, voted.count(), 2).limit(2 * TRAINING_ROWS).select("votes", "keys").collect()
     votes = np.array([[int(c) for c in r["votes"]] for r in sample], np.int64).reshape(len(sample), len(voters.names))
     target = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -40, 40)))
-    target = np.where([r["label"] is None for r in sample], target, [r["label"] or 0 for r in sample]) if sample else target
-    classifier = _train(lookup, [np.array(r["keys"], np.int64) for r in sample], target)
+    classifier = _train(voters, [np.array(r["keys"], np.int64) for r in sample], target)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

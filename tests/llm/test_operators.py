@@ -322,6 +322,17 @@ def test_toxic_words_are_learned(spark):
     assert (held.predicted == held.toxic).mean() > 0.97
 
 
+def test_lexicon_words_count_without_being_mined(spark):
+    # One common insult of a lexicon in the training rows; a rare one of the same lexicon, never mined, and a clean text.
+    rng = random.Random(6)
+    rows = [(i, prose(i + 5000, 40) + (f" {rng.choice(['idiot', 'moron', 'stupid'])} " + prose(i + 9000, 5) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, prose(77, 40) + " jerk"), (1001, prose(77, 40))], "doc_id long, text string")
+    for labels in ([(r[0], r[2]) for r in rows], []):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+        # Without labels the label model may call all texts clean, but scores are no constant.
+        assert got[1000] > got[1001] and (not labels or got[1000] >= 0.5 > got[1001])
+
+
 def test_attention_learns_from_document_labels(spark):
     rows = []
     for i in range(400):
