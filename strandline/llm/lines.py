@@ -1,117 +1,152 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is the sequence of its words.  Two lines are near if one word changed,
-added or removed turns one into the other.  Lines emit the hashed key of every
-variant with one word deleted: equal variants with the deletion at one place
-are a changed word, a variant equal to a whole line is an added word.  Every
-line keeps only its earliest neighbour, by aggregation, so groups of any size
-are linear.
-
-Long lines have long neighbourhoods, so lines without a possible partner are
-set aside first: one edit leaves the first or the last half of the words as
-they are, so a line whose halves nobody shares has no neighbour.
+A line is its characters, with every run of blanks made one space and none at
+the ends.  Two lines are near if one character changed, added or removed turns
+one into the other and both have at least ``LEAST`` characters; shorter lines
+repeat exactly or not at all, for one character is too large a share of them.
+
+Lines emit the hashed key of every variant with one character deleted: equal
+variants with the deletion at one place are a changed character, a variant
+equal to a whole line is an added one.  Such groups hold lines that differ in
+one place, so they are no larger than the alphabet allows, however often a
+line occurs.
+
+One edit leaves the first or the last half of a line as it is.  So only lines
+that share a half with another line go on, with the rest outside that half,
+and of these only those whose rest shares a half again; neighbourhoods are
+emitted for what is left, about a quarter of the line.  Nothing is lost by it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm.common import durable, small
 
 #: Blanks inside lines other than the space.
 BLANKS = "\t\x0b\x0c\r"
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+#: Characters that a line needs for near matches.
+LEAST = 16
+#: Times that halves are set aside.
+LEVELS = 3
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines, with other blanks made spaces where a text has any."""
+    """(doc_id, line_no, line) of all lines that aren't blank."""
     text = F.col("text")
     other = text.contains(BLANKS[0])
     for blank in BLANKS[1:]:
         other = other | text.contains(blank)
     plain = F.when(other, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
-    return docs.select("doc_id", F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    single = F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    cut = docs.select("doc_id", F.posexplode(F.split(single, "\n")).alias("line_no", "line"))
+    return cut.withColumn("line", F.trim("line")).filter("line <> ''")
+
+
+def _halves(text: Column, n: Column, group: Column) -> Column:
+    """(group, from, size) for each half of ``text``: its hash and where the rest outside it lies.
+
+    Texts one edit apart, of n and n or n - 1 characters, have equal first or
+    last parts of any size up to floor((n - 1) / 2).  Sizes are multiples of 4,
+    so most texts have one, and those at a step also that of the text below.
+    """
+    sizes = F.array_distinct(F.array(F.floor(n / 8).cast("int") * 4, F.floor((n - 1) / 8).cast("int") * 4))
+
+    def both(h: Column) -> Column:
+        first = F.struct(F.xxhash64(group, F.lit(0), h, F.substring(text, F.lit(1), h)).alias("group"), (h + 1).alias("from"), (n - h).alias("size"))
+        last = F.struct(F.xxhash64(group, F.lit(1), h, F.substring(text, n - h + 1, h)).alias("group"), F.lit(1).alias("from"), (n - h).alias("size"))
+        return F.when(h > 0, F.array(first, last)).otherwise(F.array(first))
+
+    return F.flatten(F.transform(sizes, both))
 
 
-def _key(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ")))
+def _shared(entries: DataFrame, name: str) -> DataFrame:
+    """Entries (line, group, ...) whose ``group`` an entry of another line has too."""
+    groups = entries.groupBy("group").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("group")
+    return entries.join(small(durable(groups, name)), "group", "left_semi")
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """(side, size, hash) of the halves that a line one edit away may share: 0 the first, 1 the last."""
-    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    half = lambda side, h, at: F.struct(F.lit(side).alias("side"), h.alias("size"), F.xxhash64(F.lit(side), h, F.slice(words, at, h)).alias("hash"))
-    # Empty halves are shared with all others, so they tell nothing; lines of one or two words are kept without a test,
-    # and those of two words have halves of one word for the sake of lines of three.
-    return F.when(n > 1, F.flatten(F.transform(F.filter(sizes, lambda h: h > 0), lambda h: F.array(half(0, h, F.lit(1)), half(1, h, n - h + 1)))))
+def _variants(entries: DataFrame) -> DataFrame:
+    """(line, group, size, at, variant): each entry's rest with one character deleted, and whole (``at`` -1).
+
+    The hash of a text is the exclusive or of one hash for each character and
+    its place, so the variants of a rest of n characters take n steps in all.
+    """
+    c = F.col
+    cut = entries.select("line", "group", F.split("rest", "").alias("chars"))
+    chars = cut.select("line", "group", F.size("chars").alias("size"), F.posexplode("chars").alias("at", "char"))
+    chars = chars.withColumns({"here": F.xxhash64("char", "at"), "moved": F.xxhash64("char", c("at") - 1)})
+    order = Window.partitionBy("line", "group").orderBy("at")
+    whole = Window.partitionBy("line", "group")
+    before = F.coalesce(F.bit_xor("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    after = F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hashed = chars.select("line", "group", "size", "at", before.bitwiseXOR(after).alias("variant"), before.bitwiseXOR(c("here")).alias("upto"))
+    one = F.struct((c("size") - 1).alias("size"), "at", "variant")
+    every = F.struct("size", F.lit(-1).alias("at"), c("upto").alias("variant"))
+    return hashed.select("line", "group", F.explode(F.when(c("at") == c("size") - 1, F.array(one, every)).otherwise(F.array(one))).alias("v")).select("line", "group", "v.*")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether arrays ``a`` and ``b`` differ by at most one word changed, added or removed."""
-    long, short = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    differs = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
-    # Words that agree from the front and, after one word of the longer, from the back.
-    first = F.coalesce(F.array_position(F.zip_with(long, short, lambda x, y: ~x.eqNullSafe(y)), True), F.lit(0)).cast("int")
-    without = F.concat(F.slice(long, 1, first - 1), F.slice(long, first + 1, F.size(long)))
-    return F.when(F.size(a) == F.size(b), differs <= 1).otherwise((F.abs(F.size(a) - F.size(b)) == 1) & (without == short))
+    """Whether different texts are equal but for one character, in a number of steps that grows with their length."""
+    long, short = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    at = F.array_position(F.zip_with(F.split(long, ""), F.split(short, ""), lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+    more = F.length(long) - F.length(short)
+    return (more <= 1) & (F.substring(long, at + 1, F.length(long)) == F.substring(short, at + 1 - more, F.length(short)))
 
 
 def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines, and the first occurrence of each distinct line with its near flag.
+    """The lines of each id, and the first occurrence of each distinct line with its near flag.
 
     The first table holds (doc_id, n_lines); the second (doc_id, line_no, near)
     where ``near`` says that an earlier line is one edit away.  Earlier means
-    smaller (doc_id, line_no), null ids last.  Blank lines are no lines.
+    smaller (doc_id, line_no), null ids last; where rows repeat an id with other
+    texts, lines of equal place are ordered by digest.  Blank lines are no lines.
     """
+    c = F.col
+    n = F.length("line")
     rows = docs.select("doc_id", "text")
-    cut = _lines(rows).select("doc_id", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    lines = durable(cut.select("doc_id", "line_no", "n", _key(F.col("words")).alias("key"), _halves(F.col("words"), F.col("n")).alias("halves")), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")
-    unique = durable(lines.groupBy("key").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-unique")
-    halves = unique.select("key", F.explode("halves").alias("half")).select("key", "half.*")
-    shared = halves.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select("hash")
-    # Where a half is shared, the edit lies outside it.
-    spans = halves.join(shared, "hash").groupBy("key").agg(F.collect_set(F.struct("side", "size")).alias("spans"))
-    able = durable(spans.join(unique.filter("n > 2").select("key", "place"), "key").unionByName(unique.filter("n <= 2").select("key", "place", F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("size"))).alias("spans"))), "lines-able")
-    wanted = small(able.select(F.col("key").alias("k"), F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"), "place", "spans"))
-    # Only the lines that are looked up are cut into words again.
-    texts = _lines(rows).join(wanted, (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    held = durable(
-        texts.select("k", "place", "spans", _words(F.col("line")).alias("words")).filter(F.col("k") == _key(F.col("words")))
-        .dropDuplicates(["k"]).select("place", "spans", "words", F.size("words").alias("n")),
-        "lines-held",
-    )
-    coded = held.select("place", "spans", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    outside = lambda i: F.exists("spans", lambda s: F.when(s["side"] == 0, i > s["size"]).otherwise(i <= F.col("n") - s["size"]))
-    places = F.filter(F.sequence(F.lit(1), F.col("n")), outside)
-    deleted = durable(
-        coded.select("place", "n", F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.slice("h", F.lit(1), i - 1), F.slice("h", i + 1, F.col("n")))).alias("variant")))).alias("v")).select("place", "n", "v.at", "v.variant"),
-        "lines-deleted",
-    )
-    # One word changed: the same rest around the same place.
-    changed = deleted.groupBy("n", "at", "variant").agg(F.min("place").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    by_change = deleted.join(changed, ["n", "at", "variant"]).select("place", "first")
-    # One word more: a variant is another whole line.
-    whole = coded.select(F.xxhash64("h").alias("variant"), (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
-    added = deleted.join(whole, ["n", "variant"]).select("place", "short")
-    by_add = added.select("place", F.col("short").alias("first")).unionByName(added.select(F.col("short").alias("place"), F.col("place").alias("first")))
-    near = by_change.unionByName(by_add).filter(F.col("first") < F.col("place")).groupBy("place").agg(F.min("first").alias("first"))
-    mine, other = held.select("place", "words"), held.select(F.col("place").alias("first"), F.col("words").alias("other_words"))
-    verified = near.join(mine, "place").join(other, "first").filter(_one_edit(F.col("words"), F.col("other_words"))).select("place", F.lit(True).alias("near"))
-    firsts = unique.join(verified, "place", "left").select("place.doc_id", "place.line_no", F.coalesce("near", F.lit(False)).alias("near"))
+    key = F.unhex(F.md5("line"))
+    lines = durable(_lines(rows).select("doc_id", "line_no", key.alias("key"), F.when(n >= LEAST, _halves(c("line"), n, F.lit(0))).alias("halves")), "lines")
+    place = F.struct(c("doc_id").isNull().alias("absent"), "doc_id", "line_no", "key")
+    unique = durable(lines.groupBy("key").agg(F.min(place).alias("place")), "lines-unique")
+    halves = lines.select("key", F.xxhash64("key").alias("line"), F.explode("halves").alias("half")).select("key", "line", "half.*")
+    halves = durable(_shared(halves, "lines-shared").distinct(), "lines-halves")
+    wanted = durable(unique.join(small(durable(halves.select("key").distinct(), "lines-able")), "key", "left_semi"), "lines-wanted")
+    # Only the lines that go on are cut again, each from the row of its first place.
+    owners = small(durable(wanted.select("place.doc_id").distinct().withColumnRenamed("doc_id", "owner"), "lines-owners"))
+    again = _lines(rows.join(owners, c("doc_id").eqNullSafe(c("owner")), "left_semi")).withColumn("digest", key)
+    same = (c("digest") == c("key")) & (c("line_no") == c("place.line_no")) & again["doc_id"].eqNullSafe(c("place.doc_id"))
+    held = durable(again.join(small(wanted), same).select("key", "place", c("line").alias("whole")).dropDuplicates(["key"]), "lines-held")
+    # Numbers in the order of places, so that the least number is the earliest line.
+    held = durable(held.orderBy("place").withColumn("line", F.monotonically_increasing_id()), "lines-ranked")
+    entries = halves.drop("line").join(held.select("key", "line", "whole"), "key").select("line", "group", F.substring(c("whole"), c("from"), c("size")).alias("rest"))
+    for _ in range(LEVELS - 1):
+        pieces = entries.select("line", "rest", F.explode(_halves(c("rest"), F.length("rest"), c("group"))).alias("half"))
+        pieces = durable(pieces.select("line", "half.group", F.substring(c("rest"), c("half.from"), c("half.size")).alias("rest")), "lines-pieces")
+        entries = durable(_shared(pieces, "lines-groups"), "lines-entries")
+    variants = _variants(entries)
+    # Deleted at one place: a changed character.  Deleted against whole: an added one.
+    same_text = Window.partitionBy("group", "size", "variant")
+    same_place = Window.partitionBy("group", "size", "variant", "at")
+    is_whole = c("at") == -1
+    change = F.when(~is_whole, F.min("line").over(same_place))
+    added = F.when(is_whole, F.min(F.when(~is_whole, c("line"))).over(same_text)).otherwise(F.min(F.when(is_whole, c("line"))).over(same_text))
+    met = variants.select("line", F.array(change, added).alias("firsts")).select("line", F.explode("firsts").alias("first")).filter("first < line").distinct()
+    mine, other = held.select("line", "place", "whole"), held.select(c("line").alias("first"), c("whole").alias("first_whole"))
+    near = met.join(mine, "line").join(other, "first").filter(_one_edit(c("whole"), c("first_whole"))).select("place", F.lit(True).alias("near")).distinct()
+    firsts = unique.join(small(durable(near, "lines-near")), "place", "left").select("place.doc_id", "place.line_no", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")), firsts
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, n_kept) for each id of ``docs``.
 
-    ``n_lines`` counts lines with words; ``n_exact`` those that repeat an
+    ``n_lines`` counts lines that aren't blank; ``n_exact`` those that repeat an
     earlier line, ``n_near`` first occurrences one edit from an earlier line.
-    Null and empty texts have no lines.  Rows of one id count together.
+    Null and empty texts have no lines.  Rows of one id count together.  Lines
+    of any length are compared whole.  Extra columns are ignored.
     """
     lines, firsts = first_lines(docs)
     counts = firsts.groupBy("doc_id").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"))
@@ -125,32 +160,30 @@ def line_digest(docs: DataFrame) -> DataFrame:
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with only the lines that are kept in ``text``; blank lines go.
 
-    All columns stay.  A document without kept lines has an empty text; a null
-    text stays null.  Rows that repeat an id keep the lines of that id.
+    All columns stay, whatever their names.  A document without kept lines has
+    an empty text; a null text stays null.  Rows that repeat an id keep the
+    lines of that id.
     """
     _, firsts = first_lines(docs)
-    kept = firsts.filter(~F.col("near")).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_kept"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left")
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: F.array_contains(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), i)), "\n")
-    return joined.withColumn("text", text).select(*docs.columns)
+    kept = firsts.filter(~F.col("near")).groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = held.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left")
+    text = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: F.array_contains(F.coalesce(F.col("kept"), F.array().cast("array<int>")), i)), "\n")
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-#: The same in DuckDB: pairs of lines that share the first or the last word, compared in full.
+#: The same in DuckDB: pairs of lines that share a half, compared in full.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
-k AS (SELECT *, array_to_string(w, ' ') AS key, len(w) AS n FROM w WHERE len(w) > 0),
-u AS (SELECT key, min(row(doc_id, line_no)) AS place, any_value(w) AS w, any_value(n) AS n, any_value(w)[1] AS a, any_value(w)[-1] AS z FROM k GROUP BY key),
-p AS (
-  SELECT x.key, x.w AS xw, y.w AS yw, x.n AS xn, y.n AS yn FROM u x JOIN u y ON x.a = y.a AND abs(x.n - y.n) <= 1 AND y.place < x.place
-  UNION ALL SELECT x.key, x.w, y.w, x.n, y.n FROM u x JOIN u y ON x.z = y.z AND abs(x.n - y.n) <= 1 AND y.place < x.place
-  UNION ALL SELECT x.key, x.w, y.w, x.n, y.n FROM u x JOIN u y ON x.n <= 2 AND y.n <= 2 AND abs(x.n - y.n) <= 1 AND y.place < x.place),
-near AS (SELECT DISTINCT key FROM p WHERE
-  (xn = yn AND len(list_filter(range(1, xn + 1), lambda i: xw[i] <> yw[i])) <= 1)
-  OR (xn = yn + 1 AND len(list_filter(range(1, xn + 1), lambda i: list_concat(xw[:i-1], xw[i+1:]) = yw)) > 0)
-  OR (yn = xn + 1 AND len(list_filter(range(1, yn + 1), lambda i: list_concat(yw[:i-1], yw[i+1:]) = xw)) > 0)),
+k AS (SELECT doc_id, line_no, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM l),
+u AS (SELECT key, length(key) AS n, min(row(doc_id, line_no)) AS place FROM k WHERE key <> '' GROUP BY key),
+h AS (SELECT key, n, place, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM u WHERE n >= 16),
+s AS (SELECT *, 0 AS side, left(key, h) AS half FROM h UNION ALL SELECT *, 1, right(key, h) FROM h),
+p AS (SELECT DISTINCT x.key AS a, y.key AS b, x.n AS an, y.n AS bn FROM s x JOIN s y ON x.side = y.side AND x.half = y.half AND abs(x.n - y.n) <= 1 AND y.place < x.place),
+near AS (SELECT DISTINCT a AS key FROM p WHERE len(list_filter(range(0, greatest(an, bn)), lambda i: left(a, i) = left(b, i)
+  AND substr(a, i + CASE WHEN an < bn THEN 1 ELSE 2 END) = substr(b, i + CASE WHEN bn < an THEN 1 ELSE 2 END))) > 0),
 f AS (SELECT place[1] AS doc_id, count(*) AS n_first, count(near.key) AS n_near FROM u LEFT JOIN near USING (key) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_lines FROM k GROUP BY 1)
+t AS (SELECT doc_id, count(*) AS n_lines FROM k WHERE key <> '' GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (coalesce(n_lines, 0) - coalesce(n_first, 0))::BIGINT AS n_exact,
   coalesce(n_near, 0)::BIGINT AS n_near, (coalesce(n_first, 0) - coalesce(n_near, 0))::BIGINT AS n_kept
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)

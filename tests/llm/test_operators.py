@@ -432,34 +432,63 @@ def test_components_of_a_chain(spark):
 # Lines
 
 
-def test_lines_equal_all_pairs(spark, edge, empty):
-    docs = spark.createDataFrame([(0, "a b c d\nx\nlong line of some words here"), (1, "a b c e\na b c d\n\nlong line of many some words here"), (2, "a b q d e\ny\nx y"), (3, None), (4, "")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_lines"], r["n_exact"], r["n_near"], r["n_kept"]) for r in lines.line_digest(docs).collect()}
-    assert got == {0: (3, 0, 0, 3), 1: (3, 1, 2, 0), 2: (3, 0, 2, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
-    kept = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(docs).collect()}
-    assert kept[0] == docs.filter("doc_id = 0").first()["text"] and kept[1] == "" and kept[2] == "a b q d e" and kept[3] is None
-    assert lines.line_digest(edge).count() == edge.select("doc_id").distinct().count() and lines.line_digest(empty).count() == 0
-    assert lines.deduplicate_lines(edge).columns == edge.columns
-
-
 def one_edit(a, b):
-    """Whether word lists differ by one word changed, added or removed."""
+    """Whether texts differ by one character changed, added or removed."""
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
     long, short = (a, b) if len(a) > len(b) else (b, a)
     return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def test_short_lines_equal_all_pairs_at_every_edit_place(spark):
-    # Each pair has words of its own, so no other line shares a half; either line comes first.
-    pairs = []
-    for n in (2, 3, 4, 5):
-        for at in range(n):
-            for turned in (False, True):
-                words = [f"w{n}{at}{int(turned)}{i}" for i in range(n)]
-                other = words[:at] + words[at + 1 :]
-                pairs += [(words, other) if turned else (other, words), (w := [x + "c" for x in words], w[:at] + ["new" + w[at]] + w[at + 1 :])]
-    rows = [(i, " ".join(p)) for i, p in enumerate(itertools.chain.from_iterable(pairs))]
-    got = {r["doc_id"]: r["n_near"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    split = [t.split() for _, t in rows]
-    assert got == {i: int(any(one_edit(split[j], split[i]) for j in range(i))) for i, _ in rows}
+def digest_of(rows):
+    """The line digest of (doc_id, text) rows with ids in order, by comparing all lines with all."""
+    seen, out = {}, {}
+    for i, text in rows:
+        own = [t for t in (" ".join(BLANK.findall(t)) for t in (text or "").split("\n")) if t]
+        exact = near = 0
+        for t in own:
+            if t in seen:
+                exact += 1
+                continue
+            near += any(min(len(t), len(o)) >= lines.LEAST and one_edit(t, o) for o in seen)
+            seen[t] = i
+        out[i] = (len(own), exact, near, len(own) - exact - near)
+    return out
+
+
+def digest(frame):
+    return {r["doc_id"]: (r["n_lines"], r["n_exact"], r["n_near"], r["n_kept"]) for r in lines.line_digest(frame).collect()}
+
+
+def test_lines_keep_the_earliest(spark, edge, empty):
+    base = "a line of at least sixteen characters"
+    rows = [(0, f"{base}\nx\nanother line, as long as that"), (1, f"{base}s\n  {base.replace(' ', '  ')} \n\nanother  line, as long as That"), (2, f"{base[:-1]}\ny\nx"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(docs) == digest_of(rows) == {0: (3, 0, 0, 3), 1: (3, 1, 2, 0), 2: (3, 1, 1, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
+    kept = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(docs).collect()}
+    assert kept == {0: rows[0][1], 1: "", 2: "y", 3: None, 4: ""}
+    assert lines.line_digest(edge).count() == edge.select("doc_id").distinct().count() and lines.line_digest(empty).count() == 0
+    assert lines.deduplicate_lines(edge).columns == edge.columns
+
+
+@pytest.mark.parametrize("letters, low, high", [("ab", 15, 18), ("aé日", 16, 17), ("abcdefghij ", 14, 40)])
+def test_random_lines_equal_all_pairs(spark, letters, low, high):
+    # Every line has a copy with one edit at a random place, so all sizes and places occur.
+    rng = random.Random(low * high)
+    found = []
+    for _ in range(120):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+        at = rng.randrange(len(t) + 1)
+        found += [t, rng.choice([t[:at] + rng.choice(letters) + t[at + 1 :], t[:at] + t[at + 1 :], t[:at] + rng.choice(letters) + t[at:]])]
+    rng.shuffle(found)
+    rows = list(enumerate(found))
+    assert digest(spark.createDataFrame(rows, "doc_id long, text string")) == digest_of(rows)
+
+
+def test_long_and_many_near_lines(spark):
+    # A line of 200,000 characters, and a group of lines that all share their first part.
+    long = prose(5, 40_000)
+    rows = [(0, long), (1, long[:100_000] + "#" + long[100_001:]), (2, long + long)] + [(10 + i, f"the same beginning of many lines {i:05d}") for i in range(3000)]
+    got = digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[1][2] == 1 and got[2][2] == 0
+    assert [got[10 + i][2] for i in (0, 1, 10, 11, 100)] == [0, 1, 1, 1, 1]
