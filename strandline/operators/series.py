@@ -90,11 +90,13 @@ def theil_sen(obs: DataFrame, keys: list[str]) -> DataFrame:
     A series is one row of two arrays; its pairs live in that row alone and no
     pair is ever shuffled.
     """
-    packed = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(days("obs_date").alias("x"), F.col("value").alias("y")))).alias("_p")).filter(F.size("_p") >= 3)
+    packed = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(days("obs_date").alias("x"), F.col("value").alias("y")))).alias("_p"))
+    # Two dates make a pair; a test on the slopes themselves would compute them twice.
+    packed = packed.filter((F.size("_p") >= 3) & (F.array_min("_p.x") < F.array_max("_p.x")))
     slopes = F.flatten(F.transform("_p", lambda a: F.transform(F.filter("_p", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
     ties = lambda c: F.aggregate(F.array_distinct(F.col(f"_p.{c}")), F.lit(0.0), lambda s, v: s + _tie(F.size(F.filter(F.col(f"_p.{c}"), lambda o: o == v))))
     n = F.size("_p").cast("double")
-    table = packed.select(*keys, "_p", F.array_sort(slopes).alias("_s"), F.sqrt((n * (n - 1) * (2 * n + 5) - ties("x") - ties("y")) / 18).alias("sigma")).filter(F.size("_s") > 0)
+    table = packed.select(*keys, "_p", F.array_sort(slopes).alias("_s"), F.sqrt((n * (n - 1) * (2 * n + 5) - ties("x") - ties("y")) / 18).alias("sigma"))
     m = F.size("_s")
     high = F.least(F.bround((m + Z95_EXACT * F.col("sigma")) / 2, 0).cast("int"), m - 1)
     low = F.greatest(F.bround((m - Z95_EXACT * F.col("sigma")) / 2, 0).cast("int") - 1, F.lit(0))
@@ -146,7 +148,12 @@ METHODS = ("EPR", "OLS", "OLS5", "OLS10", "TheilSen", "TWR")
 
 
 def all_rates(obs: DataFrame, keys: list[str], tau: float = 10.0) -> DataFrame:
-    """(keys, method, rate, rate_se, rate_unc, residual_se, intercept, r2, n) for all six methods."""
+    """(keys, method, rate, rate_se, rate_unc, residual_se, intercept, r2, n) for all six methods.
+
+    Observations are dealt to partitions by series once; all fits group and
+    window in there.
+    """
+    obs = obs.select(*keys, "obs_date", "value", "error").repartition(*[F.col(k) for k in keys])
     fits = [end_point(obs, keys), least_squares(obs, keys), least_squares(obs, keys, 5), least_squares(obs, keys, 10), theil_sen(obs, keys), time_weighted(obs, keys, tau)]
     columns = {"rate": "double", "rate_se": "double", "rate_unc": "double", "residual_se": "double", "intercept": "double", "r2": "double", "n": "long"}
     parts = [f.select(*keys, F.lit(m).alias("method"), *[(F.col(c) if c in f.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]) for m, f in zip(METHODS, fits, strict=True)]

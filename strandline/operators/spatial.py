@@ -82,9 +82,13 @@ def points_within(p: DataFrame, q: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["gx", "gy"]).withColumn("distance", d).filter(F.col("distance") <= radius).drop("gx", "gy")
 
 
-def nearest_within(p: DataFrame, key: str, q: DataFrame, q_key: str, radius: float) -> DataFrame:
-    """The nearest of ``q`` within ``radius`` of each of ``p``; ties go to the smaller key."""
+def nearest_within(p: DataFrame, key: str, q: DataFrame, q_key: str, radius: float, same: bool = False) -> DataFrame:
+    """The nearest of ``q`` within ``radius`` of each of ``p``; ties go to the smaller key.
+
+    ``same`` says that both are one set of points, so a point isn't its own neighbour.
+    """
     pairs = points_within(p, q, radius)
+    pairs = pairs.filter(F.col(key) != F.col(q_key)) if same else pairs
     return pairs.groupBy(key).agg(F.min(F.struct("distance", F.col(q_key).alias("k"))).alias("b")).select(key, F.col("b.k").alias(q_key), F.col("b.distance").alias("distance"))
 
 

@@ -303,17 +303,17 @@ def lines_clip_polygon(spark, sf):
     return rounded(seg.join(inside, "sid").groupBy("line_id", "cell_id").agg(F.count("*").alias("n"), F.sum("length").alias("length")))
 
 
-@query("transect_from_contour", G._sql("""SELECT site_id, round(min(sqrt((px - (x + t * (x2 - x))) ** 2 + (py - (y + t * (y2 - y))) ** 2)), 6) AS length FROM (SELECT p.site_id, p.x AS px, p.y AS py, s.*, greatest(0, least(1, ((p.x - s.x) * (s.x2 - s.x) + (p.y - s.y) * (s.y2 - s.y)) / s.length ** 2)) AS t FROM site_point p, seg s WHERE s.length > 0 AND p.site_id % 5 = 0) GROUP BY 1""", views=("line_node", "site_point")))
+@query("transect_from_contour", G._sql("""SELECT site_id, round(min(sqrt((px - (x + t * (x2 - x))) ** 2 + (py - (y + t * (y2 - y))) ** 2)), 6) AS length FROM (SELECT p.site_id, p.x AS px, p.y AS py, s.*, greatest(0, least(1, ((p.x - s.x) * (s.x2 - s.x) + (p.y - s.y) * (s.y2 - s.y)) / s.length ** 2)) AS t FROM site_point p, seg s WHERE s.length > 0) GROUP BY 1""", views=("line_node", "site_point")))
 def transect_from_contour(spark, sf):
     seg = L.segments(G._nodes(spark, sf)).filter("length > 0").select(F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    near = P.nearest_segment(view(spark, sf, "site_point").filter("site_id % 5 = 0"), "site_id", seg, 100.0, 1e6)
+    near = P.nearest_segment(view(spark, sf, "site_point"), "site_id", seg, 100.0, 1e6)
     return rounded(near.select("site_id", F.col("distance").alias("length")))
 
 
-@query("extract_contours", G._sql("""SELECT site_id, level, round(min(sqrt((px - (x + t * (x2 - x))) ** 2 + (py - (y + t * (y2 - y))) ** 2)), 6) AS distance FROM (SELECT p.site_id, p.x AS px, p.y AS py, s.line_id % 2 AS level, s.*, greatest(0, least(1, ((p.x - s.x) * (s.x2 - s.x) + (p.y - s.y) * (s.y2 - s.y)) / s.length ** 2)) AS t FROM site_point p, seg s WHERE s.length > 0 AND p.site_id % 5 = 0) GROUP BY 1, 2""", views=("line_node", "site_point")))
+@query("extract_contours", G._sql("""SELECT site_id, level, round(min(sqrt((px - (x + t * (x2 - x))) ** 2 + (py - (y + t * (y2 - y))) ** 2)), 6) AS distance FROM (SELECT p.site_id, p.x AS px, p.y AS py, s.line_id % 2 AS level, s.*, greatest(0, least(1, ((p.x - s.x) * (s.x2 - s.x) + (p.y - s.y) * (s.y2 - s.y)) / s.length ** 2)) AS t FROM site_point p, seg s WHERE s.length > 0) GROUP BY 1, 2""", views=("line_node", "site_point")))
 def extract_contours(spark, sf):
     seg = L.segments(G._nodes(spark, sf)).filter("length > 0").select((F.col("line_id") % 2).alias("level"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    p = view(spark, sf, "site_point").filter("site_id % 5 = 0")
+    p = view(spark, sf, "site_point")
     parts = [P.nearest_segment(p, "site_id", seg.filter(F.col("level") == v), 100.0, 1e6).withColumn("level", F.lit(v).cast("long")) for v in (0, 1)]
     return rounded(parts[0].unionByName(parts[1]).select("site_id", "level", "distance"))
 

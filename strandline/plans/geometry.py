@@ -72,19 +72,19 @@ def scan_lines(spark, sf):
     return rounded(L.line_lengths(_nodes(spark, sf)).filter("length > 1500"))
 
 
-_PAIR = ", pr AS (SELECT site_id, x, y, lead(x) OVER (ORDER BY site_id) AS x2, lead(y) OVER (ORDER BY site_id) AS y2 FROM (SELECT * FROM site_point WHERE site_id < 200))"
+_PAIR = ", pr AS (SELECT site_id, x, y, lead(x) OVER (ORDER BY site_id) AS x2, lead(y) OVER (ORDER BY site_id) AS y2 FROM site_point)"
 
 
 @query("node_bearing", duck("site_point", then=_PAIR + " SELECT site_id, round((degrees(atan2(x2 - x, y2 - y)) + 360) % 360, 6) AS bearing FROM pr WHERE x2 IS NOT NULL"))
 def node_bearing(spark, sf):
-    p = view(spark, sf, "site_point").filter("site_id < 200")
+    p = view(spark, sf, "site_point")
     q = p.select((F.col("site_id") - 1).alias("site_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return rounded(p.join(q, "site_id").select("site_id", bearing(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("bearing")))
 
 
 @query("node_distance", duck("site_point", then=_PAIR + " SELECT site_id, round(sqrt((x2 - x) ** 2 + (y2 - y) ** 2), 6) AS distance FROM pr WHERE x2 IS NOT NULL"))
 def node_distance(spark, sf):
-    p = view(spark, sf, "site_point").filter("site_id < 200")
+    p = view(spark, sf, "site_point")
     q = p.select((F.col("site_id") - 1).alias("site_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return rounded(p.join(q, "site_id").select("site_id", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("distance")))
 
@@ -362,30 +362,31 @@ def shoreface_slope(spark, sf):
     return rounded(near.select("site_id", (12.1 / F.col("distance")).alias("slope")))
 
 
-_PP = "FROM (SELECT * FROM site_point WHERE site_id % 10 = 0) a JOIN (SELECT * FROM site_point WHERE site_id % 10 <> 0) b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 60"
+_PP = "FROM site_point a JOIN site_point b ON a.site_id <> b.site_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 60"
 
 
 def _two(spark, sf):
+    """All sites, and the same as partners."""
     p = view(spark, sf, "site_point")
-    return p.filter("site_id % 10 = 0").select("site_id", "x", "y"), p.filter("site_id % 10 <> 0").select(F.col("site_id").alias("other_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), "label")
+    return p.select("site_id", "x", "y"), p.select(F.col("site_id").alias("other_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), "label")
 
 
 @query("nearest_attr_within", duck("site_point", then=f" SELECT a.site_id, arg_min(b.site_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS other_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance {_PP} GROUP BY 1"))
 def nearest_attr_within(spark, sf):
     a, b = _two(spark, sf)
-    return rounded(P.nearest_within(a, "site_id", b, "other_id", 60.0))
+    return rounded(P.nearest_within(a, "site_id", b, "other_id", 60.0, same=True))
 
 
 @query("points_within", duck("site_point", then=f" SELECT a.site_id, b.site_id AS other_id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance {_PP}"))
 def points_within(spark, sf):
     a, b = _two(spark, sf)
-    return rounded(P.points_within(a, b, 60.0).select("site_id", "other_id", "distance"))
+    return rounded(P.points_within(a, b, 60.0).filter("site_id <> other_id").select("site_id", "other_id", "distance"))
 
 
 @query("clip_within_distance", duck("site_point", then=f" SELECT DISTINCT a.site_id {_PP}"))
 def clip_within_distance(spark, sf):
     a, b = _two(spark, sf)
-    return P.points_within(a, b, 60.0).select("site_id").distinct()
+    return P.points_within(a, b, 60.0).filter("site_id <> other_id").select("site_id").distinct()
 
 
 @query("topk_neighbours", duck("site_point", then=f" SELECT site_id, other_id, rank FROM (SELECT a.site_id, b.site_id AS other_id, row_number() OVER (PARTITION BY a.site_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.site_id) AS rank {_PP}) WHERE rank <= 12"))
@@ -394,7 +395,7 @@ def topk_neighbours(spark, sf):
 
     a, b = _two(spark, sf)
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy("distance", "other_id"))
-    return P.points_within(a, b, 60.0).withColumn("rank", rank).filter("rank <= 12").select("site_id", "other_id", F.col("rank").cast("long").alias("rank"))
+    return P.points_within(a, b, 60.0).filter("site_id <> other_id").withColumn("rank", rank).filter("rank <= 12").select("site_id", "other_id", F.col("rank").cast("long").alias("rank"))
 
 
 def _edges(spark, sf):

@@ -229,11 +229,11 @@ def profile_compare(spark, sf):
     return rounded(a.join(b, ["transect_id", "ix"]).select("transect_id", "ix", (F.col("z2") - F.col("z")).alias("dz")))
 
 
-# Projections: a quarter of the series, at every scenario, percentile and date.
+# Projections: all series, at every scenario, percentile and date.
 
 _ST = """, dim AS (SELECT scenario, percentile, make_date(proj_year, 1, 1) AS proj_date, level FROM rsl_dim),
  st AS (SELECT series_id, max(obs_date) AS latest_date, arg_max(value, obs_date) AS latest_distance, (arg_max(value, obs_date) - arg_min(value, obs_date)) / (date_diff('day', min(obs_date), max(obs_date)) / 365.25) AS rate, 1.2::DOUBLE AS hist_rslr,
- 0.02 + series_id % 7 / 100.0 AS hinterland, 0.015 + series_id % 5 / 100.0 AS shoreface, 12.1::DOUBLE AS depth, CASE WHEN series_id % 3 = 0 THEN 60.0::DOUBLE END AS defence, CASE WHEN series_id % 5 = 0 THEN 70.0::DOUBLE END AS rock FROM obs WHERE series_id % 4 = 0 GROUP BY 1 HAVING min(obs_date) < max(obs_date)),
+ 0.02 + series_id % 7 / 100.0 AS hinterland, 0.015 + series_id % 5 / 100.0 AS shoreface, 12.1::DOUBLE AS depth, CASE WHEN series_id % 3 = 0 THEN 60.0::DOUBLE END AS defence, CASE WHEN series_id % 5 = 0 THEN 70.0::DOUBLE END AS rock FROM obs GROUP BY 1 HAVING min(obs_date) < max(obs_date)),
  lv AS (SELECT scenario, percentile, min(proj_date) AS d1, (list(proj_date ORDER BY proj_date))[2] AS d2, (list(level ORDER BY proj_date))[1] AS l1, (list(level ORDER BY proj_date))[2] AS l2 FROM dim GROUP BY 1, 2),
  b0 AS (SELECT st.*, lv.*, greatest(least(hinterland, shoreface), 0.01) AS s, hist_rslr / 1000 + ((l2 - l1) / (date_diff('day', d1, d2) / 365.2425) - hist_rslr / 1000) * greatest(0, least(1, date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, (latest_date - INTERVAL 60 MONTH)::DATE) / date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, d2)::DOUBLE)) AS rc FROM st, lv),
  b1 AS (SELECT *, depth * -rate + depth / s * rc AS v FROM b0),
@@ -244,7 +244,7 @@ _VV = ("obs", "rsl_dim")
 
 
 def _state(spark, sf):
-    obs = view(spark, sf, "obs").filter("series_id % 4 = 0")
+    obs = view(spark, sf, "obs")
     ends = S.end_point(obs, ["series_id"]).select("series_id", "rate")
     i = F.col("series_id")
     return S.latest(obs, ["series_id"]).join(ends, "series_id").select(
@@ -315,19 +315,22 @@ def sink_future_transects(spark, sf):
     return rounded(p.select("series_id", "scenario", *[F.col(f"{y}_{c}").alias(f"{c}_{y}") for c in ("dist", "rsl") for y in (2050, 2100)]))
 
 
-_MC = """, fit AS (SELECT series_id, regr_slope(y, x) * 365.25 AS rate, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)) AS rse, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) * 365.25 AS se
- FROM (SELECT series_id, date_diff('day', DATE '1970-01-01', obs_date)::DOUBLE AS x, value AS y FROM obs WHERE series_id % 20 = 0) GROUP BY 1 HAVING count(*) >= 3),
- sm AS (SELECT fit.*, k, """ + ", ".join(f"sqrt(-2 * ln((((series_id * 7919 + k * 104729 + {s * 2} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) * cos(2 * pi() * ((((series_id * 7919 + k * 104729 + {s * 2 + 1} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) AS n{s}" for s in (0, 1)) + """ FROM fit, range(1, 101) r(k)),
- mc AS (SELECT series_id, k, (rate + n0 * se) * 50 + n1 * rse AS move FROM sm)"""
+_MC = _ST + """, fit AS (SELECT series_id, regr_slope(y, x) * 365.25 AS fit_rate, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)) AS rse, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) * 365.25 AS se
+ FROM (SELECT series_id, date_diff('day', DATE '1970-01-01', obs_date)::DOUBLE AS x, value AS y FROM obs) GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
+ sm AS (SELECT fit.*, k, """ + ", ".join(f"sqrt(-2 * ln((((series_id * 7919 + k * 104729 + {s * 2} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) * cos(2 * pi() * ((((series_id * 7919 + k * 104729 + {s * 2 + 1} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) AS n{s}" for s in (0, 1, 2)) + """ FROM fit, range(1, 101) r(k)),
+ sp AS (SELECT scenario, proj_date, max(level) FILTER (percentile = 50) AS mid, (max(level) FILTER (percentile = 95) - max(level) FILTER (percentile = 5)) / (2 * 1.64485) AS spread FROM dim GROUP BY 1, 2),
+ ls AS (SELECT scenario, min(proj_date) AS d1, (list(proj_date ORDER BY proj_date))[2] AS d2, (list(mid ORDER BY proj_date))[1] AS m1, (list(mid ORDER BY proj_date))[2] AS m2, (list(spread ORDER BY proj_date))[1] AS s1, (list(spread ORDER BY proj_date))[2] AS s2 FROM sp GROUP BY 1),
+ m0 AS (SELECT st.*, sm.k, sm.fit_rate + n0 * se AS rk, n1 * rse AS rest, n2 AS z, ls.scenario, d1, d2, m1 + n2 * s1 AS l1, m2 + n2 * s2 AS l2, greatest(least(hinterland, shoreface), 0.01) AS s FROM sm JOIN st USING (series_id), ls),
+ m1 AS (SELECT *, hist_rslr / 1000 + ((l2 - l1) / (date_diff('day', d1, d2) / 365.2425) - hist_rslr / 1000) * greatest(0, least(1, date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, (latest_date - INTERVAL 60 MONTH)::DATE) / date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, d2)::DOUBLE)) AS rc FROM m0),
+ m2 AS (SELECT m1.*, sp.proj_date, date_diff('day', latest_date, sp.proj_date) / 365.2425 AS dt, latest_distance - (-(mid + z * spread - l1) / s + (depth * -rk + depth / s * rc) * (date_diff('day', latest_date, sp.proj_date) / 365.2425) / depth) AS raw FROM m1 JOIN sp USING (scenario)),
+ mc AS (SELECT series_id, scenario, proj_date, rest + CASE WHEN dt <= 0 THEN latest_distance WHEN defence IS NOT NULL AND raw > defence THEN defence WHEN rock IS NOT NULL AND raw > rock THEN rock ELSE raw END AS d FROM m2)"""
 
 
-@query("bruun_montecarlo", duck("obs", then=_MC + " SELECT series_id, round(quantile_cont(move, 0.025), 5) AS q025, round(quantile_cont(move, 0.16), 5) AS q16, round(quantile_cont(move, 0.5), 5) AS q50, round(quantile_cont(move, 0.84), 5) AS q84, round(quantile_cont(move, 0.975), 5) AS q975 FROM mc GROUP BY 1"))
+@query("bruun_montecarlo", duck(*_VV, then=_MC + " SELECT series_id, scenario, proj_date, round(quantile_cont(d, 0.025), 5) AS q025, round(quantile_cont(d, 0.16), 5) AS q16, round(quantile_cont(d, 0.5), 5) AS q50, round(quantile_cont(d, 0.84), 5) AS q84, round(quantile_cont(d, 0.975), 5) AS q975 FROM mc GROUP BY 1, 2, 3"))
 def bruun_montecarlo(spark, sf):
-    fit = S.least_squares(view(spark, sf, "obs").filter("series_id % 20 = 0"), ["series_id"]).filter("rate_se is not null")
-    rows = fit.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long"))))
-    move = (F.col("rate") + J.normal(F.col("series_id"), F.col("k"), 0) * F.col("rate_se")) * 50 + J.normal(F.col("series_id"), F.col("k"), 1) * F.col("residual_se")
-    q = rows.withColumn("move", move).groupBy("series_id").agg(F.percentile("move", F.array(*[F.lit(x) for x in (0.025, 0.16, 0.5, 0.84, 0.975)])).alias("q"))
-    return rounded(q.select("series_id", *[F.col("q")[i].alias(n) for i, n in enumerate(("q025", "q16", "q50", "q84", "q975"))]), 5)
+    fit = S.least_squares(view(spark, sf, "obs"), ["series_id"]).filter("rate_se is not null").select("series_id", "rate", "rate_se", "residual_se")
+    q = J.monte_carlo(_state(spark, sf).drop("rate").join(fit, "series_id"), _dim(spark, sf), ["series_id"])
+    return rounded(q.select("series_id", "scenario", "proj_date", *[F.col("q")[i].alias(n) for i, n in enumerate(("q025", "q16", "q50", "q84", "q975"))]), 5)
 
 
 # Runs along lines of 50 series
