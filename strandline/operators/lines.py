@@ -156,30 +156,72 @@ def reorder(nodes: DataFrame, sea: str) -> DataFrame:
     ends = nodes.groupBy("line_id").agg(F.min_by("y", "seq").alias("y0"), F.max_by("y", "seq").alias("y1"), F.max("seq").alias("top"))
     turn = F.col("y1") > F.col("y0") if sea == "E" else F.col("y1") < F.col("y0")
     ends = ends.withColumn("turn", turn).withColumn("start_y", F.when(F.col("turn"), F.col("y1")).otherwise(F.col("y0")))
-    ranked = ends.withColumn("rank", F.row_number().over(Window.orderBy("start_y", "line_id")) - 1)
+    # Rows sorted by range: a line's rank is its place in its partition after all partitions before.
+    ranked = cut(ends.select("line_id", "turn", "top", "start_y").orderBy("start_y", "line_id").select("line_id", "turn", "top", F.monotonically_increasing_id().alias("_at")))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = ranked.withColumn("_part", part).join(starts, "_part").withColumn("rank", F.col("_start") + place)
     joined = nodes.join(ranked.select("line_id", "turn", "top", "rank"), "line_id")
     return joined.select("line_id", "rank", F.when(F.col("turn"), F.col("top") - F.col("seq")).otherwise(F.col("seq")).alias("seq"), "x", "y")
 
 
-def merge_touching(nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """Lines chained where one's end is another's start: (chain_id, seq, x, y, line_id).
+def _ranked(states: DataFrame, total: int) -> DataFrame:
+    """(line_id, dir, head_line, head_dir, d, done, low) by pointer doubling over ``states`` (line_id, dir, back_line, back_dir).
 
-    Pointer doubling: each line knows a line further back in its chain and how
-    many lines lie between; joins double the reach until all know the head.
-    A closed chain has no head and keeps its lines apart.
+    Each round doubles how far back a state sees, so the rounds are the
+    logarithm of the longest chain.  States that find no head after as many
+    steps as there are states lie on a cycle; ``low`` is its least line.
     """
-    ends = nodes.groupBy("line_id").agg(*[F.min_by(c, "seq").alias(f"{c}0") for c in "xy"], *[F.max_by(c, "seq").alias(f"{c}1") for c in "xy"])
-    ahead_of = ends.select(F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("line_id").alias("back"))
-    hop = ends.join(ahead_of.groupBy("x0", "y0").agg(F.min("back").alias("back")), ["x0", "y0"], "left").filter("back is null or back <> line_id")
-    hop = hop.select("line_id", "back", F.when(F.col("back").isNull(), 0).otherwise(1).alias("d"))
-    for _ in range(rounds):
-        further = hop.select(F.col("line_id").alias("back"), F.col("back").alias("back2"), F.col("d").alias("d2"))
-        hop = cut(hop.join(further, "back", "left").select("line_id", F.coalesce("back2", "back").alias("back"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
-        if hop.join(hop.filter("back is not null").select(F.col("line_id").alias("back")).distinct(), "back", "left_semi").limit(1).count() == 0:
-            break
-    head = F.coalesce("back", "line_id")
-    order = Window.partitionBy("chain_id").orderBy("d", "seq")
-    return nodes.join(hop, "line_id").withColumn("chain_id", head).filter((F.col("d") == 0) | (F.col("seq") > 0)).select("chain_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y", "line_id")
+    c = F.col
+    head = c("back_line").isNull()
+    hop = states.select("line_id", "dir", F.coalesce("back_line", "line_id").alias("head_line"), F.when(head, c("dir")).otherwise(c("back_dir")).alias("head_dir"), F.when(head, 0).otherwise(1).alias("d"), head.alias("done"), "line_id").toDF("line_id", "dir", "head_line", "head_dir", "d", "done", "low")
+    hop, reach = cut(hop), 1
+    while reach < 2 * total and hop.filter(~c("done")).limit(1).count():
+        further = hop.select(c("line_id").alias("head_line"), c("dir").alias("head_dir"), c("head_line").alias("line2"), c("head_dir").alias("dir2"), c("d").alias("d2"), c("done").alias("done2"), c("low").alias("low2"))
+        hop = cut(hop.join(further, ["head_line", "head_dir"]).select("line_id", "dir", c("line2").alias("head_line"), c("dir2").alias("head_dir"), (c("d") + c("d2")).alias("d"), c("done2").alias("done"), F.least("low", "low2").alias("low")))
+        reach *= 2
+    return hop
+
+
+def merge_touching(nodes: DataFrame) -> DataFrame:
+    """Lines chained where two ends meet, whichever ends they are: (chain_id, seq, x, y, line_id).
+
+    A point where more than two ends meet is a junction and joins nothing; a
+    line whose own ends meet stays as it is.  A chain runs the way most of its
+    lines run (ties: from the end with the smaller line), the others are turned;
+    its id is its first line.  A closed chain begins at the start of its
+    smallest line and ends there again.  Every line is walked in both ways, and
+    pointer doubling finds the head of each walk.
+    """
+    c = F.col
+    ends = nodes.groupBy("line_id").agg(*[F.min_by(x, "seq").alias(f"{x}0") for x in "xy"], *[F.max_by(x, "seq").alias(f"{x}1") for x in "xy"], F.min("seq").alias("s0"), F.max("seq").alias("s1"))
+    ends = cut(ends)
+    total = ends.count()
+    at = ends.select("line_id", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), c(f"x{i}").alias("x"), c(f"y{i}").alias("y")) for i in (0, 1)])).alias("e")).select("line_id", "e.*")
+    end = F.struct("line_id", "side")
+    met = at.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(end).alias("a"), F.max(end).alias("b")).filter("n = 2 and a.line_id <> b.line_id")
+    pairs = cut(met.select(F.explode(F.array(F.struct("a", "b"), F.struct(c("b").alias("a"), c("a").alias("b")))).alias("p")).select("p.a.line_id", "p.a.side", c("p.b.line_id").alias("other"), c("p.b.side").alias("other_side")))
+    # A walk in direction 0 enters a line at its start, in direction 1 at its end.
+    walks = ends.select("line_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("dir"))
+
+    def ranks(pairs: DataFrame) -> DataFrame:
+        back = pairs.select("line_id", c("side").alias("dir"), c("other").alias("back_line"), (1 - c("other_side")).alias("back_dir"))
+        return _ranked(walks.join(back, ["line_id", "dir"], "left"), total)
+
+    found = ranks(pairs)
+    closed = found.filter(~c("done")).select("low").distinct()
+    if closed.limit(1).count():
+        # A cycle is opened at the start of its smallest line.
+        opened = pairs.join(closed.select(c("low").alias("line_id"), F.lit(0).alias("side")), ["line_id", "side"], "left_anti")
+        found = ranks(opened.join(closed.select(c("low").alias("other"), F.lit(0).alias("other_side")), ["other", "other_side"], "left_anti"))
+    walk = found.groupBy("head_line", "head_dir").agg(F.count("*").alias("n"), F.sum("dir").alias("turned"), F.max_by("line_id", "d").alias("tail"))
+    chosen = walk.filter((2 * c("turned") < c("n")) | ((2 * c("turned") == c("n")) & (c("head_line") <= c("tail")))).select("head_line", "head_dir")
+    kept = found.join(chosen, ["head_line", "head_dir"]).select("line_id", "dir", c("head_line").alias("chain_id"), "d").join(ends.select("line_id", "s0", "s1"), "line_id")
+    order = Window.partitionBy("chain_id").orderBy("d", "_at")
+    entry = F.when(c("dir") == 0, c("s0")).otherwise(c("s1"))
+    rows = nodes.join(kept, "line_id").filter((c("d") == 0) | (c("seq") != entry)).withColumn("_at", F.when(c("dir") == 0, c("seq")).otherwise(-c("seq")))
+    return rows.select("chain_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y", "line_id")
 
 
 def merge_snap(nodes: DataFrame, distance: float) -> DataFrame:

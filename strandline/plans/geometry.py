@@ -171,6 +171,8 @@ def line_merge_touching(spark, sf):
     n = _nodes(spark, sf).withColumn("part", F.floor(F.col("seq") / 10))
     ends = n.filter((F.col("seq") % 10 == 0) & (F.col("seq") > 0)).withColumn("part", F.col("part") - 1)
     cut = n.unionByName(ends).select((F.col("line_id") * 1000 + F.col("part")).alias("line_id"), (F.col("seq") - F.col("part") * 10).alias("seq"), "x", "y")
+    # Every third piece is turned, so that starts meet starts and ends meet ends.
+    cut = cut.withColumn("seq", F.when(F.col("line_id") % 1000 % 3 == 1, -F.col("seq")).otherwise(F.col("seq")))
     # The last piece may be a single node that ends the piece before.
     whole = cut.groupBy("line_id").agg(F.count("*").alias("n")).filter("n > 1").select("line_id")
     return rounded(L.merge_touching(cut.join(whole, "line_id")).select("chain_id", "seq", "x", "y"))

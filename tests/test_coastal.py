@@ -193,6 +193,22 @@ def test_touching_lines_are_chained(spark):
     assert chains == {"a": [0.0, 1.0, 2.0], "c": [9.0, 8.0]}
 
 
+def test_rings_cycles_and_turned_lines_are_kept(spark):
+    lines = {
+        1: [(0, 0), (1, 0), (1, 1), (0, 0)],  # a ring
+        2: [(10, 0), (11, 0)], 3: [(11, 0), (11, 1), (10, 0)],  # a cycle of two
+        4: [(20, 0), (21, 0)], 5: [(22, 0), (21, 0)], 6: [(22, 0), (23, 0)],  # end to end, start to start
+        7: [(30, 0), (31, 0)], 8: [(31, 0), (32, 0)], 9: [(31, 0), (31, 5)],  # a junction
+        **{100 + i: [(i, 50), (i + 1, 50)] for i in range(70)},
+    }
+    nodes = spark.createDataFrame([(k, i, float(x), float(y)) for k, own in lines.items() for i, (x, y) in enumerate(own)], "line_id long, seq long, x double, y double")
+    chains = {}
+    for r in L.merge_touching(nodes).orderBy("chain_id", "seq").collect():
+        chains.setdefault(r["chain_id"], []).append((r["x"], r["y"]))
+    want = {1: lines[1], 2: [(10, 0), (11, 0), (11, 1), (10, 0)], 4: [(20, 0), (21, 0), (22, 0), (23, 0)], 7: lines[7], 8: lines[8], 9: lines[9], 100: [(i, 50) for i in range(71)]}
+    assert chains == {k: [(float(x), float(y)) for x, y in v] for k, v in want.items()}
+
+
 def test_scores_of_missing_cells_are_null(spark):
     cells = spark.createDataFrame([(1,), (2,)], "cell_id int")
     rates = spark.createDataFrame([(1, 0.5)], "cell_id int, hist_rate double")
