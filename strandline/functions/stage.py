@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; where the session names no folder, one of this machine is set (tests)."""
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session gets a temporary folder and
+    a cluster an error: executors could not read a folder of this machine.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='strandline-')}")
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='strandline-')}")
     return df.checkpoint()
