@@ -33,10 +33,14 @@ STATES = 8
 ENDINGS, ENDING_BYTES = 512, 3
 #: A word has a class of its own from one token in so many; is looked up in tasks from one in so many.
 CLASS_SHARE, TABLE_SHARE = 4096, 1 << 20
-#: Training texts of the first rounds: a bound; and rounds on them and on all.
-SEED_TEXTS, SEED_ROUNDS, FULL_ROUNDS = 3_000, 10, 2
+#: Training texts that give the starting model, a bound, and rounds on them.
+SEED_TEXTS, SEED_ROUNDS = 3_000, 5
+#: Rounds on all training texts end when the log probability gains less than this share, and at the latest after so many.
+LEAST_GAIN, MOST_ROUNDS = 5e-4, 12
 #: Tokens that are in memory at once: of a buffer of texts, and of one recursion.
 BUFFER_TOKENS, GROUP_TOKENS = 4_000_000, 400_000
+#: Steps of the backward walk that are in memory at once.
+SEGMENT = 65_536
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,36 +215,55 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, texts: list[np.ndarray]) -> Model:
-    """Expected counts of starts, moves and emissions (forward and backward)."""
-    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)
+def _ahead(model: Model, codes: np.ndarray, sizes: list[int], first: int, last: int, alpha: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """Scaled forward vectors and emissions of steps ``first`` to ``last``, after ``alpha``, and the log of their scales."""
+    alphas, scaled, log = [], [], 0.0
+    for t in range(first, last):
+        n = sizes[t]
+        e = model.emit[codes[t, :n]]
+        alpha = (model.start if t == 0 else alpha[:n] @ model.move) * e
+        scale = alpha.sum(axis=1)
+        alpha /= scale[:, None]
+        e /= scale[:, None]
+        log += float(np.log(scale).sum())
+        alphas.append(alpha)
+        scaled.append(e)
+    return alphas, scaled, log
+
+
+def expected(model: Model, texts: list[np.ndarray]) -> tuple[Model, float]:
+    """Expected counts of starts, moves and emissions (forward and backward), and the log probability of the texts.
+
+    Steps are taken in segments: of a very long text only the forward vector
+    before each segment is kept, and a segment is walked again on the way back.
+    """
+    start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit), 0.0
     for group in _groups(texts):
         codes, active = _padded(texts, group)
         sizes = active.tolist()
-        alphas, scaled = [], []
-        for t, n in enumerate(sizes):
-            e = model.emit[codes[t, :n]]
-            a = (model.start if t == 0 else alphas[-1][:n] @ model.move) * e
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            alphas.append(a)
-            e /= scale[:, None]
-            scaled.append(e)
-        beta = np.ones((sizes[-1], STATES))
-        gammas = [alphas[-1]]
-        for t in range(len(sizes) - 2, -1, -1):
-            n, m = sizes[t], sizes[t + 1]
-            ahead = scaled[t + 1] * beta[:m]
-            move += alphas[t][:m].T @ ahead
-            beta = np.ones((n, STATES))
-            beta[:m] = ahead @ model.move.T
-            gammas.append(alphas[t] * beta)
-        start += gammas[-1].sum(axis=0)
-        seen = np.concatenate([codes[t, : sizes[t]] for t in range(len(sizes) - 1, -1, -1)])
-        gamma = np.concatenate(gammas)
-        for k in range(STATES):
-            emit[:, k] += np.bincount(seen, gamma[:, k], len(emit))
-    return Model(start, move * model.move, emit)
+        firsts, before = list(range(0, len(sizes), SEGMENT)), [None]
+        for first in firsts[:-1]:
+            before.append(_ahead(model, codes, sizes, first, first + SEGMENT, before[-1])[0][-1])
+        ahead = None
+        for first in reversed(firsts):
+            last = min(first + SEGMENT, len(sizes))
+            alphas, scaled, log = _ahead(model, codes, sizes, first, last, before.pop())
+            total += log
+            gammas = []
+            for t in range(last - 1, first - 1, -1):
+                beta = np.ones((sizes[t], STATES))
+                if ahead is not None:
+                    move += alphas[t - first][: len(ahead)].T @ ahead
+                    beta[: len(ahead)] = ahead @ model.move.T
+                gammas.append(alphas[t - first] * beta)
+                ahead = scaled[t - first] * beta
+            if first == 0:
+                start += gammas[-1].sum(axis=0)
+            seen = np.concatenate([codes[t, : sizes[t]] for t in range(last - 1, first - 1, -1)])
+            gamma = np.concatenate(gammas)
+            for k in range(STATES):
+                emit[:, k] += np.bincount(seen, gamma[:, k], len(emit))
+    return Model(start, move * model.move, emit), total
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -258,23 +281,26 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Record
         yield held, texts
 
 
-def train_round(coded: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch: counts summed by Spark, then normalised with a little smoothing."""
+def train_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round of Baum-Welch: counts summed by Spark, then normalised with a little smoothing.
+
+    Also the natural log of the texts' probability under ``model``.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Model(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit))
+        total, log = Model(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)), 0.0
         for _, texts in _buffers(batches):
-            got = expected(model, texts)
-            total = Model(total.start + got.start, total.move + got.move, total.emit + got.emit)
-        flat = np.concatenate([total.start, total.move.ravel(), total.emit.ravel()])
-        at = np.flatnonzero(flat > 1e-12)
+            got, own = expected(model, texts)
+            total, log = Model(total.start + got.start, total.move + got.move, total.emit + got.emit), log + own
+        flat = np.concatenate([total.start, total.move.ravel(), total.emit.ravel(), [log]])
+        at = np.flatnonzero(np.abs(flat) > 1e-12)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
 
     table = coded.select("codes").mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(STATES + STATES**2 + model.emit.size)
+    flat = np.zeros(STATES + STATES**2 + model.emit.size + 1)
     flat[table.column("at").to_numpy()] = table.column("n").to_numpy()
-    start, move, emit = flat[:STATES] + 0.1, flat[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1, flat[STATES + STATES**2 :].reshape(-1, STATES) + 0.01
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    start, move, emit = flat[:STATES] + 0.1, flat[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1, flat[STATES + STATES**2 : -1].reshape(-1, STATES) + 0.01
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(flat[-1])
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -283,7 +309,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     Rows outside the held-out fold train the model.  Null reads as empty text,
     which has one token, the end.  Without training rows all counts are zero
     and the states are those of the first model.  Words are told apart by
-    64-bit hashes.  Other columns are ignored.
+    64-bit hashes.  Other columns are ignored.  A bounded sample gives the
+    starting model; then every round sees every training text.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -301,9 +328,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     model = first_model(frequencies)
     if vocabulary.texts:
         for _ in range(SEED_ROUNDS):
-            model = train_round(seeds, model)
-        for _ in range(FULL_ROUNDS):
-            model = train_round(learned, model)
+            model, _ = train_round(seeds, model)
+        before = None
+        for _ in range(MOST_ROUNDS):
+            model, log = train_round(learned, model)
+            if before is not None and log - before < LEAST_GAIN * abs(log):
+                break
+            before = log
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _buffers(batches):
