@@ -9,10 +9,11 @@ what is found further in is embedded media, which is carved out.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -41,10 +42,47 @@ WIDTH = 64
 RATE = 8000
 
 
+class Value:
+    """The bytes of one value with what its validators share.
+
+    Many hits may lead to the same end marks and the same chains of blocks;
+    each mark is searched and each block walked once, so a value takes steps in
+    proportion to its length however many false hits it holds.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self._marks: dict[bytes, list[int]] = {}
+        self._chains: dict[str, dict[int, int]] = {}
+
+    def mark(self, mark: bytes, past: int) -> int:
+        """The first place of ``mark`` at ``past`` or later, or -1."""
+        if mark not in self._marks:
+            found, at = [], self.raw.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.raw.find(mark, at + 1)
+            self._marks[mark] = found
+        own = self._marks[mark]
+        i = bisect.bisect_left(own, past)
+        return own[i] if i < len(own) else -1
+
+    def chain(self, name: str, at: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where the chain of blocks from ``at`` ends; ``step`` gives the next place and whether the chain ends there (-1: broken)."""
+        known, path = self._chains.setdefault(name, {}), []
+        end = known.get(at)
+        while end is None:
+            path.append(at)
+            at, last = step(at)
+            end = at if last or at < 0 else known.get(at)
+        known.update(dict.fromkeys(path, end))
+        return end
+
+
 # Validators: the length of the media that begins at ``at``, or 0.
 
 
-def _wav(b: bytes, at: int) -> int:
+def _wav(b: bytes, at: int, value: Value) -> int:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return 0
     end, p = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12
@@ -56,7 +94,7 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if p == end <= len(b) and {b"fmt ", b"data"} <= seen else 0
 
 
-def _au(b: bytes, at: int) -> int:
+def _au(b: bytes, at: int, value: Value) -> int:
     if len(b) < at + 24:
         return 0
     head, size, kind, rate, channels = struct.unpack_from(">5I", b, at + 4)
@@ -64,7 +102,7 @@ def _au(b: bytes, at: int) -> int:
     return head + size if ok and at + head + size <= len(b) else 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, value: Value) -> int:
     if len(b) < at + 54:
         return 0
     size, spare, start, head, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -73,7 +111,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if ok and start >= 14 + head and size == start + row * abs(height) and at + size <= len(b) else 0
 
 
-def _pgm(b: bytes, at: int) -> int:
+def _pgm(b: bytes, at: int, value: Value) -> int:
     fields = b[at : at + 40].split(maxsplit=4)
     if len(fields) < 4 or fields[0] != b"P5" or not all(f.isdigit() for f in fields[1:4]) or fields[3] != b"255":
         return 0
@@ -82,69 +120,76 @@ def _pgm(b: bytes, at: int) -> int:
     return size if b[at + head - 5 : at + head] == b"\n255\n" and at + size <= len(b) else 0
 
 
-def _png(b: bytes, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        size, kind = int.from_bytes(b[p : p + 4]), b[p + 4 : p + 8]
-        end = p + 12 + size
-        if end > len(b) or first != (kind == b"IHDR") or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end]):
-            return 0
-        if kind == b"IEND":
-            return end - at
-        p, first = end, False
-    return 0
+def _png(b: bytes, at: int, value: Value) -> int:
+    def chunk(p: int) -> tuple[int, bool]:
+        end = p + 12 + int.from_bytes(b[p : p + 4])
+        if p + 12 > len(b) or end > len(b) or zlib.crc32(memoryview(b)[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end]):
+            return -1, True
+        return end, b[p + 4 : p + 8] == b"IEND"
 
+    def later(p: int) -> tuple[int, bool]:
+        return (-1, True) if b[p + 4 : p + 8] == b"IHDR" else chunk(p)
 
-def _gif(b: bytes, at: int) -> int:
-    if len(b) < at + 14:
+    if b[at + 12 : at + 16] != b"IHDR":
         return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    while p < len(b):
+    first, _ = chunk(at + 8)
+    end = value.chain("png", first, later) if first > 0 else -1
+    return end - at if end > 0 else 0
+
+
+def _gif(b: bytes, at: int, value: Value) -> int:
+    def blocks(p: int) -> tuple[int, bool]:
+        return (p + 1, True) if p >= len(b) or b[p] == 0 else (p + 1 + b[p], False)
+
+    def part(p: int) -> tuple[int, bool]:
+        if p >= len(b):
+            return -1, True
         if b[p] == 0x3B:
-            return p + 1 - at
+            return p + 1, True
         if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p += 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0)
-        else:
-            return 0
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+            return value.chain("gif blocks", p + 2, blocks), False
+        if b[p] == 0x2C and p + 10 <= len(b):
+            return value.chain("gif blocks", p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0), blocks), False
+        return -1, True
+
+    if len(b) < at + 14:
+        return 0
+    end = value.chain("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0), part)
+    return end - at if end > 0 else 0
+
+
+def _jpeg(b: bytes, at: int, value: Value) -> int:
+    def segment(p: int) -> tuple[int, bool]:
         size = int.from_bytes(b[p + 2 : p + 4])
+        if p + 4 > len(b) or b[p] != 0xFF or size < 2:
+            return -1, True
         if b[p + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", p + 2 + size)
-            return end + 2 - at if end >= 0 else 0
-        if size < 2:
-            return 0
-        p += 2 + size
-    return 0
+            end = value.mark(b"\xff\xd9", p + 2 + size)
+            return (end + 2, True) if end >= 0 else (-1, True)
+        return p + 2 + size, False
+
+    end = value.chain("jpeg", at + 2, segment)
+    return end - at if end > 0 else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    inflate = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, value: Value) -> int:
+    inflate, rest, p = zlib.decompressobj(31), memoryview(b), at
     try:
-        rest = inflate.decompress(b[at:], 1 << 16)
-        while not inflate.eof and inflate.unconsumed_tail and rest:
-            rest = inflate.decompress(inflate.unconsumed_tail, 1 << 16)
+        while p < len(b) and not inflate.eof:
+            inflate.decompress(rest[p : p + (1 << 14)])
+            p += 1 << 14
     except zlib.error:
         return 0
-    return len(b) - at - len(inflate.unused_data) if inflate.eof else 0
+    return min(p, len(b)) - at - len(inflate.unused_data) if inflate.eof else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() else 0
+def _pdf(b: bytes, at: int, value: Value) -> int:
+    end = value.mark(b"%%EOF", at) if b[at + 5 : at + 6].isdigit() else -1
+    return end + 5 - at if end >= 0 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, value: Value) -> int:
+    end = value.mark(b"PK\x05\x06", at)
     if end < 0 or len(b) < end + 22:
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -166,10 +211,10 @@ def _automaton() -> ahocorasick.Automaton:
 def sniff(value: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of all media in ``value`` that aren't inside others of the list."""
     found: list[tuple[str, int, int]] = []
-    past = 0
+    past, whole = 0, Value(value)
     for last, (kind, back) in _automaton().iter(value.decode("latin-1")):
         at = last + 1 - back
-        if at >= past and (size := VALIDATORS[kind](value, at)):
+        if at >= past and (size := VALIDATORS[kind](value, at, whole)):
             found.append((kind, at, size))
             past = at + size
     return found
