@@ -55,24 +55,24 @@ def seeds_of(notice: str) -> list[tuple[int, str]]:
 
 
 @cache
-def _search() -> tuple[ahocorasick.Automaton, dict[str, regex.Pattern]]:
+def _search(searched: tuple[str, ...]) -> tuple[ahocorasick.Automaton, dict[str, regex.Pattern]]:
     found, by_seed = ahocorasick.Automaton(), {}
-    for notice in NOTICES:
+    for notice in searched:
         for at, seed in seeds_of(notice):
             by_seed.setdefault(seed, []).append((notice, at))
     for seed, where in by_seed.items():
         found.add_word(seed, (len(seed), where))
     found.make_automaton()
-    return found, {n: regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={edits_of(n)}}}") for n in NOTICES}
+    return found, {n: regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={edits_of(n)}}}") for n in searched}
 
 
-def notices(text: str) -> list[tuple[str, int, int, int]]:
+def notices(text: str, searched: tuple[str, ...] = tuple(NOTICES)) -> list[tuple[str, int, int, int]]:
     """(notice, start, end, edits) in a text of words; of spans of a notice that overlap, that with the fewest edits.
 
     Every seed's own window is searched, so no better match elsewhere hides a
     notice; a window is no longer than a notice and its edits.
     """
-    automaton, patterns = _search()
+    automaton, patterns = _search(searched)
     windows: dict[str, set[tuple[int, int]]] = {}
     for last, (size, where) in automaton.iter(text):
         for notice, at in where:
@@ -108,9 +108,10 @@ def base_places(text: str) -> list[tuple[int, str]]:
     """(word, label) of all exact places of the base phrases."""
     found, padded = [], f" {text} "
     for phrase, label in BASE.items():
-        at = padded.find(f" {phrase} ")
+        at, word, counted = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            found.append((padded.count(" ", 0, at), label))
+            word, counted = word + padded.count(" ", counted, at), at
+            found.append((word, label))
             at = padded.find(f" {phrase} ", at + 1)
     return found
 
@@ -119,13 +120,17 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()),
 _BASE_PLACE = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, searched: dict[str, str] = NOTICES) -> DataFrame:
     """(doc_id, n_words, base, spans): exact places and fuzzy spans in every text.
 
     ``base`` holds the word where a base phrase begins and its label; ``spans``
     the label, first and last word, edits and similarity (1 less edits over the
     notice's length) of each verified notice.  Null and empty texts have no
     words and empty lists.  Extra columns are ignored.
+
+    ``searched`` gives the notices, as lower-cased words with one blank
+    between, and their labels: a list that a task can hold, however long the
+    texts are.  ``notice_table`` makes one from a table.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -142,9 +147,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                     text = b" ".join(own).decode("latin-1")
                     n_words.append(len(own))
                     base.append([{"word": w, "label": x} for w, x in base_places(text)] if "license" in text else [])
+                    hits = notices(text, tuple(searched))
+                    blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32) if hits else None
+                    word = lambda at: int(np.searchsorted(blanks, at))  # noqa: B023, E731
                     spans.append([
-                        {"label": NOTICES[n], "first_word": text.count(" ", 0, s + (text[s : s + 1] == " ")), "last_word": text.count(" ", 0, e - (text[e - 1 : e] == " ")), "edits": k, "similarity": 1 - k / len(n)}
-                        for n, s, e, k in notices(text)
+                        {"label": searched[n], "first_word": word(s + (text[s : s + 1] == " ")), "last_word": word(e - (text[e - 1 : e] == " ")), "edits": k, "similarity": 1 - k / len(n)}
+                        for n, s, e, k in hits
                     ])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(base, _BASE_PLACE), pa.array(spans, _SPAN)], names=["doc_id", "n_words", "base", "spans"])
 
@@ -152,6 +160,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, base array<struct<word: long, label: string>>, spans array<struct<label: string, first_word: long, last_word: long, edits: int, similarity: double>>")
 
 
+def notice_table(table: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """The notices of a table (notice, label), as words; more than ``most`` are an error, never cut."""
+    rows = table.select("notice", "label").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} notices")
+    to_words = bytes(int(LOWER[b]) if TEXT_WORDS[LOWER[b]] else 32 for b in range(256))
+    words = {" ".join((r["notice"] or "").encode().translate(to_words).decode("latin-1").split(" ")): r["label"] for r in sorted(rows, key=lambda r: (r["notice"] or "", r["label"] or ""))}
+    return {" ".join(w.split()): label for w, label in words.items() if w.split()}
+
+
 def license_digest(docs: DataFrame) -> DataFrame:
     """The registered query: counts, places, labels and the best similarity."""
     from pyspark.sql import functions as F
