@@ -49,12 +49,13 @@ def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame)
     """The stored postings (doc, doc_id, term, pos) of ``vocabulary`` (word, term).
 
     ``doc`` numbers the rows, so rows with equal or null ids stay apart.  Term
-    -1 stands once in each row, at the position past its last word.
+    -1 stands once in each row, at the position past its last word, and alone
+    holds the id.
     """
     ends = vocabulary.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term"))
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tokens = numbered.select("doc", "doc_id", F.posexplode(F.concat(text_words(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
-    postings = tokens.join(small(vocabulary.unionByName(ends)), "word").select("term", "doc", "pos", "doc_id")
+    postings = tokens.join(small(vocabulary.unionByName(ends)), "word").select("term", "doc", "pos", F.when(F.col("term") == -1, F.col("doc_id")).alias("doc_id"))
     return durable(postings.sortWithinPartitions("term", "doc", "pos"), "postings")
 
 
@@ -63,7 +64,8 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
     ``phrases`` holds (phrase, terms): distinct phrases and their term numbers.
     """
-    counts = index.filter("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
+    # Rows of a frequent term among the phrases meet its count in one task, so counts are broadcast where they are few.
+    counts = small(durable(index.filter("term >= 0").groupBy("term").agg(F.count("*").alias("n")), "term-counts"))
     parts = phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
     parts = durable(
         parts.join(counts, "term", "left")
@@ -94,7 +96,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slack: int) -> DataF
     Near means at most ``slack`` positions away, in any order.  Positions are
     cut into blocks of ``slack`` so that the join is on equal blocks.
     """
-    counts = index.filter("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
+    counts = small(durable(index.filter("term >= 0").groupBy("term").agg(F.count("*").alias("n")), "term-counts"))
     parts = phrases.select("phrase", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term", "left")
     order = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "term")
     parts = durable(parts.withColumn("rank", F.row_number().over(order)).withColumn("terms", F.count("*").over(Window.partitionBy("phrase"))), "proximity-parts")
