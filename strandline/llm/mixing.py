@@ -12,6 +12,8 @@ sums over slices of the key's range, then a window inside each slice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,20 +64,25 @@ def water_levels(sources: DataFrame) -> DataFrame:
     )
 
 
-def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def sized(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
     """(doc_id, name, absent, size, key): what mixing needs of each document.
 
-    The quality weight is the share of words against words and symbol marks.
+    ``weight`` names a column of quality weights above 0 up to 1 (null: 1);
+    without it the weight is the share of words against words and symbol marks.
+    A row without an id draws its key by the digest of its text.
     """
+    c = F.col
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     marks = F.coalesce(F.regexp_count("text", F.lit(MARK)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), F.col("source").isNull().alias("absent"), size.alias("size"), marks.alias("marks")).select(
-        "doc_id", "name", "absent", "size",
-        (-F.log(unit(F.col("doc_id"), seed)) / ((F.col("size") + 1) / (F.col("size") + 1 + F.col("marks")))).alias("key"),
-    )
+    quality = F.coalesce(c(weight).cast("double"), F.lit(1.0)) if weight else (c("size") + 1) / (c("size") + 1 + c("marks"))
+    drawn = F.coalesce(c("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(
+        "doc_id", F.coalesce(c("source").cast("string"), F.lit("")).alias("name"), c("source").isNull().alias("absent"), size.alias("size"), marks.alias("marks"),
+        unit(drawn, seed).alias("unit"), *([c(weight)] if weight else []))
+    return rows.select("doc_id", "name", "absent", "size", (-F.log("unit") / quality).alias("key"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), one row for each row of ``docs``.
 
     ``size`` counts words between blanks (null: 0).  ``taken`` counts the words
@@ -85,16 +92,16 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Rows with equal ids draw equal keys and stand next to each other.  A null
     source is a source of its own, after all others.  Extra columns are ignored.
     """
-    rows = durable(sized(docs, seed), "mixing-sizes")
-    slices = max(LEAST_SLICES, -(-docs.count() // SLICE_ROWS))
+    rows = durable(sized(docs, seed, weight), "mixing-sizes")
+    slices = max(LEAST_SLICES, -(-rows.count() // SLICE_ROWS))
     sources = water_levels(rows.groupBy("name", "absent").agg(F.sum("size").alias("source_size")))
     plan = sources.withColumn("epochs", F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))).select(
         "name", "absent", "source_size", "target",
         F.coalesce("epochs", F.lit(0)).alias("epochs"),
         (F.col("target") - F.coalesce("epochs", F.lit(0)) * F.col("source_size")).alias("rest"),
     )
-    # Keys are exponential, so this spreads them evenly over the slices, in order.
-    cut = rows.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices))
+    # Keys are exponential with rates up to 1, so no slice of equal width holds more than ln 2 / slices of the rows.
+    cut = rows.withColumn("slice", F.floor(F.col("key") * (slices / math.log(2))))
     sums = cut.groupBy("name", "absent", "slice").agg(F.sum("size").alias("total"))
     starts = sums.withColumn("start", F.sum("total").over(Window.partitionBy("name", "absent").orderBy("slice")) - F.col("total")).drop("total")
     inside = Window.partitionBy("name", "absent", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -107,25 +114,26 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it, all columns kept.
+def mixed_documents(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it, all columns kept, whatever their names.
 
     Of rows that repeat an id, each is taken as often as the one taken most.
     """
-    copies = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(small(copies), docs["doc_id"].eqNullSafe(copies["_d"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    copies = durable(mix_sources(docs, seed, weight).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0"), "mixing-copies")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = held.join(small(copies), F.col("row.doc_id").eqNullSafe(copies["doc_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 #: The same mix in DuckDB: one running sum for each source.
 ORACLE = rf"""
 WITH sized AS (
-  SELECT doc_id, coalesce(source, '') AS name, source IS NULL AS absent,
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS drawn, coalesce(source, '') AS name, source IS NULL AS absent,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     coalesce(len(regexp_extract_all(text, '[#$%&*|!~^<>{{}}=+_\\\[\]]')), 0) AS marks
   FROM documents),
 keyed AS (
-  SELECT *, -ln((CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((CAST('0x' || substr(md5('{SEED}:' || drawn), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
     / (CAST(size + 1 AS DOUBLE) / (size + 1 + marks)) AS key FROM sized),
 sources AS (SELECT name, absent, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY absent, name) - 1) % 3 + 1 AS INT)] AS weight, source_size * 3 AS cap FROM sources),
