@@ -20,18 +20,23 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 20
 #: Bytes of an Arrow batch sent to a Python worker.
 BATCH_BYTES = 4 << 20
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a new temporary one where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session gets a temporary folder and
+    a cluster an error: executors could not read a folder of this machine.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -39,20 +44,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     It cuts the lineage: an executor that is lost later costs no work from
-    before this point.
+    before this point.  ``clear_tables`` deletes the tables of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandline-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strandline-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else left to shuffle.
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application made; results that read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/strandline-tables/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows of ``size`` bytes in all, else left to shuffle.
 
-    ``df`` must be cheap to count.
+    Rows count 32 bytes and their strings, binaries and arrays.  ``df`` must be
+    cheap to read: a stored table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) for c, t in ((f"`{f.name}`", f.dataType.typeName()) for f in df.schema.fields) if t in ("string", "binary", "array", "struct", "map")]
+    width = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(32))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= size else df
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -284,7 +284,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     sizes = durable(leaders.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "jaccard-sizes")
     # One row of each wanted text: that of its first id.
     texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = small(leaders.join(unique.select("id", "copies", "text_key", "text_id"), "id"), WANTED_ROWS)
+    wanted = small(durable(leaders.join(unique.select("id", "copies", "text_key", "text_id"), "id"), "jaccard-wanted"), WANTED_ROWS)
     found = texts.join(wanted, (texts["key"] == wanted["text_key"]) & texts["doc_id"].eqNullSafe(wanted["text_id"]))
     sets = durable(_with_sets(found), "jaccard-sets")
     placed = (
@@ -309,12 +309,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One row of each class of ``docs``, that of the smallest id, all columns kept."""
+    """One row of each class of ``docs``, that of the smallest id, all columns kept, whatever their names."""
     classes = durable(jaccard_classes(docs).select("doc_id", "text_key", "first"), "jaccard-classes")
     rows = classes.groupBy("doc_id", "text_key").agg(F.max("first").alias("first"), F.count("*").alias("n"))
-    gone = rows.filter(~F.col("first")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("d")) & (key == F.col("k")), "left_anti")
+    gone = durable(rows.filter(~F.col("first")).select("doc_id", "text_key"), "jaccard-gone")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own_key"))
+    kept = held.join(small(gone), F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (F.col("own_key") == gone["text_key"]), "left_anti")
     # Rows that repeat both id and text are one document.
-    repeated = rows.filter(F.col("first") & (F.col("n") > 1)).limit(1).count()
-    return kept.withColumn("_k", key).dropDuplicates(["doc_id", "_k"]).drop("_k") if repeated else kept
+    if rows.filter(F.col("first") & (F.col("n") > 1)).limit(1).count():
+        kept = kept.withColumn("own_id", F.col("row.doc_id")).dropDuplicates(["own_id", "own_key"])
+    return kept.select("row.*")

@@ -187,35 +187,36 @@ def uniform_shards(
     n = docs.count()
     levels = max(1, (max(least_blocks, -(-n // block_rows)) - 1).bit_length())
     slices = max(4, -(-n // (shards * block_rows)))
-    mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *key)
-    blocks = docs.select(*kept, F.pmod(mix("block"), F.lit(2**levels)).alias("_block"))
-    copy = Window.partitionBy("_block", *key).orderBy("_block")
-    rows = blocks.withColumn("_copy", F.row_number().over(copy)).select(
-        *kept, "_block", F.xxhash64(mix("first"), "_copy").alias("_first"), F.xxhash64(mix("second"), "_copy").alias("_second"),
-    )
-    counts = blocks.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n"))
-    cuts = communication_matrix(counts, levels, shards, seed).withColumnRenamed("block", "_block")
-    local = Window.partitionBy("_block").orderBy("_first", *key)
+    # Rows travel as one column, so that their names never clash with ours.
+    own = [F.col(f"row.`{k}`") for k in key]
+    mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *own)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    blocks = held.select("row", F.pmod(mix("block"), F.lit(2**levels)).alias("block"))
+    copy = Window.partitionBy("block", *own).orderBy("block")
+    rows = blocks.withColumn("copy", F.row_number().over(copy)).select("row", "block", F.xxhash64(mix("first"), "copy").alias("first"), F.xxhash64(mix("second"), "copy").alias("second"))
+    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    cuts = communication_matrix(counts, levels, shards, seed)
+    local = Window.partitionBy("block").orderBy("first", *own)
     dealt = (
-        rows.withColumn("_place", F.row_number().over(local) - 1)
-        .join(cuts, "_block")
+        rows.withColumn("place", F.row_number().over(local) - 1)
+        .join(cuts, "block")
         .select(
-            *kept, "_second",
-            F.size(F.filter("cuts", lambda c: c <= F.col("_place"))).alias("shard"),
+            "row", "second",
+            F.size(F.filter("cuts", lambda c: c <= F.col("place"))).alias("shard"),
             # A slice is a range of the second random key, so slices in turn are one random order.
-            F.floor((F.shiftrightunsigned("_second", 11).cast("double") / float(2**53)) * slices).alias("_slice"),
+            F.floor((F.shiftrightunsigned("second", 11).cast("double") / float(2**53)) * slices).alias("slice"),
         )
     )
     starts = (
-        dealt.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice")) - F.col("_n"))
-        .drop("_n")
+        dealt.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+        .withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n"))
+        .drop("n")
     )
-    again = Window.partitionBy("shard", "_slice").orderBy(F.shiftrightunsigned("_second", 11), *key)
+    again = Window.partitionBy("shard", "slice").orderBy(F.shiftrightunsigned("second", 11), *own)
     return (
-        dealt.withColumn("_rank", F.row_number().over(again) - 1)
-        .join(starts, ["shard", "_slice"])
-        .select(*kept, "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"))
+        dealt.withColumn("rank", F.row_number().over(again) - 1)
+        .join(starts, ["shard", "slice"])
+        .select("row.*", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"))
     )
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,13 @@ def items(spark):
     return spark.createDataFrame([("i1", prose(1, 60)), ("i2", "ONE"), ("i3", None), ("i4", ""), (None, "no id here"), ("i5", prose(9, 30))], "item_id string, text string")
 
 
+def test_column_names_of_ours_may_clash(spark):
+    names = ["d", "k", "_d", "_k", "_kept", "_copies", "_copy", "_block", "block", "row", "copy", "first", "second", "copies", "kept", "own_id", "own_key", "text_key", "key", "words", "line", "owner"]
+    docs = spark.createDataFrame([(i, f"a text of some words that is number {i // 2}", f"s{i % 2}", *([i] * len(names))) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    for out in (jaccard.keep_representatives(docs), mixing.mixed_documents(docs), lines.deduplicate_lines(docs), sharding.uniform_shards(docs, 3, key=["doc_id"]).drop("shard", "slot")):
+        assert out.columns == docs.columns and out.count() > 0
+
+
 # Sharding
 
 
@@ -117,7 +125,12 @@ def test_forward_equals_all_paths():
                 total += p
             assert log == pytest.approx(math.log(total))
         before = hmm.forward(model, texts).sum()
-        got = hmm.expected(model, texts)
+        got, log = hmm.expected(model, texts)
+        assert log == pytest.approx(before)
+        hmm.SEGMENT, whole = 2, hmm.SEGMENT
+        short, _ = hmm.expected(model, texts)
+        hmm.SEGMENT = whole
+        assert np.allclose(short.move, got.move) and np.allclose(short.emit, got.emit) and np.allclose(short.start, got.start)
         assert got.start.sum() == pytest.approx(3) and got.emit.sum() == pytest.approx(8) and got.move.sum() == pytest.approx(5)
         after = hmm.Model(got.start / got.start.sum(), got.move / got.move.sum(axis=1, keepdims=True), got.emit / got.emit.sum(axis=0))
         assert hmm.forward(after, texts).sum() >= before
@@ -179,6 +192,13 @@ def test_broken_media_is_no_media():
     assert media.sniff(b"PK\x03\x04" + struct.pack("<I", 9)) == []
 
 
+def test_many_false_hits_take_linear_time():
+    began = time.perf_counter()
+    for unit in (b"%PDF-1", b"PK\x03\x04", b"GIF89a1234567!a" + b"\x07" * 9, b"\xff\xd8\xff\xe0\x00\x02", b"\x1f\x8b\x08" + bytes(30), b"RIFF    WAVE", b"BM", b"P5 9 9 255 "):
+        media.sniff(unit * (2_000_000 // len(unit)))
+    assert time.perf_counter() - began < 60
+
+
 def test_media_digest_edges(edge, empty):
     got = media.media_digest(edge).toPandas()
     texts = edge.select("doc_id", "text").toPandas()
@@ -254,6 +274,42 @@ def test_fuzzy_notices_are_found_within_the_bound():
         assert any(n == notice for n, *_ in licenses.notices("".join(letters)))
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_random_notices_equal_edit_distances():
+    # Edited notices between other words: each is reported with its edits or fewer, and no span has more than it says.
+    rng, names = random.Random(4), ("all rights reserved", "released under the mit license")
+    for _ in range(60):
+        parts, text = [], ""
+        for _ in range(4):
+            text += prose(rng.randrange(10**6), rng.randrange(4)) + " "
+            notice = list(name := rng.choice(names))
+            for _ in range(rng.randint(0, licenses.edits_of(name))):
+                at = rng.randrange(1, len(notice) - 1)
+                notice[at : at + 1] = rng.choice([[], [rng.choice("xyz")], [notice[at], rng.choice("xyz")]])
+            parts.append((name, len(text), len(text) + len(notice), edit_distance("".join(notice), name)))
+            text += "".join(notice) + " "
+        found = licenses.notices(text)
+        assert all(edit_distance(text[s:e], n) <= k <= licenses.edits_of(n) for n, s, e, k in found)
+        for name, start, end, edits in parts:
+            if edits <= licenses.edits_of(name):
+                assert any(n == name and s < end and start < e and k <= edits for n, s, e, k in found), (text, name)
+
+
+def test_notices_from_a_table(spark):
+    table = spark.createDataFrame([("Free for ANY use, forever!", "free"), (None, "none")], "notice string, label string")
+    docs = spark.createDataFrame([(1, "it is free for any usee forever here"), (2, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r["spans"] for r in licenses.scan_licenses(docs, licenses.notice_table(table)).collect()}
+    assert [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in got[1]] == [("free", 2, 6, 1)] and got[2] == []
+
+
 def test_adjacent_notices_are_all_found():
     own = lambda text: [x[1:] for x in licenses.notices(text) if x[0] == "all rights reserved"]
     text = "all rights reservd foo all rights reserved"
