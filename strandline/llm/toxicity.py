@@ -4,20 +4,20 @@ Many voters look at a text: word lists of several languages, word lists and
 word beginnings mined from labelled training rows, and patterns.  Each votes
 toxic, clean or nothing.  A generative label model, fitted by expectation
 maximisation on the counts of vote patterns over the whole training fold,
-estimates how each voter votes under either class; votes of correlated voters
-are discounted.  Its posteriors label a bounded sample, and a linear classifier
+estimates how each voter votes under either class and which voters follow each
+other: a tree of correlations is part of the model.  Its posteriors label a bounded sample, and a linear classifier
 on the presence of mined and lexicon words and on the votes of the lexicons and
 patterns is trained on them.  The classifier alone scores texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import LOWER, TEXT_WORDS, bounded_batches, durable, mix, pieces, utf8, word_sums, words
@@ -42,7 +42,10 @@ SURE, LEAST_ODDS = 1.64, 2.0
 KINDS = (0, 4, 5, 6)
 #: Voters of mined features: groups for each kind.
 GROUPS = 3
-ROUNDS = 8
+#: Rounds of expectation maximisation, and those before which correlations are estimated.
+ROUNDS, TREE_ROUNDS = 8, (0, 2, 4)
+#: Rows that a voter's own shares count for in its tables, and information (nats) an edge of the tree must have.
+BACK_OFF, LEAST_GAIN = 20.0, 0.02
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -226,60 +229,130 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter, the prior, and each voter's discount."""
+    """A prior and, for each class, how voters vote given the vote of the voter they lean on.
+
+    ``parent`` names that voter (-1: none).  The voters form a tree, so the
+    product over voters is a probability of all votes together, and a voter
+    that only repeats another one adds nothing.
+    """
 
     prior: float
-    given: np.ndarray  # class, voter, vote
-    discount: np.ndarray
+    parent: np.ndarray
+    table: np.ndarray  # class, voter, vote of the parent, vote
+
+    @property
+    def weights(self) -> np.ndarray:
+        return np.log(self.table[1]) - np.log(self.table[0])
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        weight = np.log(self.given[1]) - np.log(self.given[0])
-        voters = np.arange(votes.shape[1])
-        return np.log(self.prior / (1 - self.prior)) + (weight[voters, votes] * self.discount).sum(axis=1)
+        voters = np.arange(len(self.parent))
+        above = np.where(self.parent < 0, 0, votes[:, np.maximum(self.parent, 0)])
+        return np.log(self.prior / (1 - self.prior)) + self.weights[voters, above, votes].sum(axis=1)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of votes."""
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -40, 40)))
+
+
+def _table(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Conditional tables from (class, voter, vote of the parent, vote) counts; rare rows lean on the voter's own shares."""
+    own = counts.sum(axis=2) + 0.5
+    own /= own.sum(axis=2, keepdims=True)
+    table = (counts + BACK_OFF * own[:, :, None, :]) / (counts.sum(axis=3, keepdims=True) + BACK_OFF)
+    return np.where((parent < 0)[None, :, None, None], own[:, :, None, :], table)
+
+
+def _expected(patterns: DataFrame, model: LabelModel | None, places: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Expected counts (class, place) over (votes, label, n): summed in each task, then by Spark.
+
+    ``places`` gives the places that each row of votes counts at; without a
+    model the labels are the classes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size)
+        for batch in batches:
+            rows = batch.column("votes").to_pylist()
+            if not rows:
+                continue
+            votes = (np.frombuffer("".join(rows).encode(), np.uint8) - 48).astype(np.int64).reshape(len(rows), -1)
+            n = np.asarray(batch.column("n").to_numpy(zero_copy_only=False), float)
+            p = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), float) if model is None else model.posterior(votes)
+            at = places(votes)
+            total[:size] += np.bincount(at.ravel(), np.repeat(n * (1 - p), at.shape[1]), size)
+            total[size:] += np.bincount(at.ravel(), np.repeat(n * p, at.shape[1]), size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(2 * size)
+    for r in patterns.select("votes", "label", "n").mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(2, size)
+
+
+def _counts(patterns: DataFrame, model: LabelModel | None, parent: np.ndarray) -> np.ndarray:
+    """Expected (class, voter, vote of the parent, vote) counts."""
+    voters = len(parent)
+
+    def places(votes: np.ndarray) -> np.ndarray:
+        above = np.where(parent < 0, 0, votes[:, np.maximum(parent, 0)])
+        return np.arange(voters) * 9 + above * 3 + votes
+
+    return _expected(patterns, model, places, voters * 9).reshape(2, voters, 3, 3)
+
+
+def _tree(patterns: DataFrame, model: LabelModel, voters: int) -> np.ndarray:
+    """The parent of each voter in the tree of the strongest correlations within classes (Chow and Liu).
+
+    The driver gets 9 counts for each pair of voters and class, whatever the
+    size of the corpus.
+    """
+    first, second = np.triu_indices(voters, 1)
+    places = lambda votes: np.arange(len(first)) * 9 + votes[:, first] * 3 + votes[:, second]
+    found = _expected(patterns, model, places, max(1, len(first) * 9))
+    joint = np.zeros((voters, voters, 2, 9))
+    if len(first):
+        joint[first, second] = found.reshape(2, len(first), 9).transpose(1, 0, 2)
+    total = max(1.0, joint[0, 1].sum()) if voters > 1 else 1.0
+    gain = np.zeros((voters, voters))
+    for a in range(voters):
+        for b in range(a + 1, voters):
+            for own in joint[a, b].reshape(2, 3, 3) / total:
+                outer = own.sum(axis=1, keepdims=True) * own.sum(axis=0, keepdims=True) / max(own.sum(), 1e-300)
+                gain[a, b] += (own[own > 0] * np.log(own[own > 0] / outer[own > 0])).sum()
+    gain += gain.T
+    # The largest tree, grown from the first voter; edges without information are left out.
+    parent, inside = np.full(voters, -1), [0]
+    while len(inside) < voters:
+        rest = [i for i in range(voters) if i not in inside]
+        a, b = max(((a, b) for a in inside for b in rest), key=lambda e: gain[e])
+        parent[b] = a if gain[a, b] > LEAST_GAIN else -1
+        inside.append(b)
+    return parent
 
 
 def fit_label_model(patterns: DataFrame, voters: int, prior: float) -> LabelModel:
-    """Expectation maximisation over (votes, label, n), one aggregation a round.
+    """Expectation maximisation over (votes, label, n): one aggregation a round.
 
-    ``votes`` is a string of digits.  Rows with a label keep it; others get the
-    posterior under the model of the round before.  The first round starts from
-    voters that are right in most cases.  The last aggregation counts how often
-    voters fire together, from which correlations beyond chance discount them.
+    ``votes`` is a string of digits.  Labelled rows give the voters' first
+    accuracies; without labels the first round takes voters to be right in
+    most cases.  Then every round gives every row, labelled or not, its
+    posterior.  Voters begin as independent; before some of the rounds the tree
+    of their correlations is estimated anew.
     """
-    given = np.zeros((2, voters, 3))
-    given[1], given[0] = (0.1, 0.4, 0.5), (0.3, 0.02, 0.68)
-    discount = np.ones(voters)
-
-    def posterior(model: LabelModel) -> Column:
-        weight = np.log(model.given[1]) - np.log(model.given[0])
-        logit = F.lit(float(np.log(model.prior / (1 - model.prior))))
-        for i in range(voters):
-            digit = F.substring("votes", i + 1, 1)
-            logit = logit + F.when(digit == "0", float(weight[i, 0] * model.discount[i])).when(digit == "1", float(weight[i, 1] * model.discount[i])).otherwise(float(weight[i, 2] * model.discount[i]))
-        return F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-logit)))
-
-    model = LabelModel(prior, given, discount)
-    for _ in range(ROUNDS):
-        weighed = patterns.select("votes", "n", posterior(model).alias("p")).select(
-            F.posexplode(F.split("votes", "")).alias("voter", "vote"), (F.col("n") * F.col("p")).alias("bad"), (F.col("n") * (1 - F.col("p"))).alias("good"))
-        sums = np.full((2, voters, 3), 0.5)
-        for r in weighed.filter(F.col("vote") != "").groupBy("voter", "vote").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():
-            sums[:, r["voter"], int(r["vote"])] += (r["good"], r["bad"])
-        total = sums.sum(axis=2)
-        model = LabelModel(float(np.clip(total[1, 0] / total[:, 0].sum(), 1e-4, 0.9)), sums / total[:, :, None], discount)
-    # Pairs that fire together, for each class: n of pair and of single voters (the diagonal).
-    fired = patterns.select("n", posterior(model).alias("p"), F.filter(F.transform(F.sequence(F.lit(1), F.lit(voters)), lambda i: F.when(F.substring("votes", i, 1) == "1", i - 1)), lambda i: i.isNotNull()).alias("on"))
-    pairs = fired.select("n", "p", "on", F.explode("on").alias("a")).select("n", "p", "a", F.explode("on").alias("b")).groupBy("a", "b").agg(F.sum(F.col("n") * F.col("p")).alias("bad"), F.sum(F.col("n") * (1 - F.col("p"))).alias("good")).collect()
-    both, size = np.zeros((2, voters, voters)), np.maximum(1.0, total[:, 0])
-    for r in pairs:
-        both[:, r["a"], r["b"]] = (r["good"], r["bad"])
-    rate = both / size[:, None, None]
-    alone = np.diagonal(rate, axis1=1, axis2=2)
-    spread = np.sqrt(np.maximum(alone * (1 - alone), 1e-9))
-    correlation = (rate - alone[:, :, None] * alone[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
-    shared = np.clip(correlation, 0, 1).mean(axis=0)
-    np.fill_diagonal(shared, 0)
-    return LabelModel(model.prior, model.given, 1 / (1 + shared.sum(axis=1)))
+    alone = np.full(voters, -1)
+    start = np.zeros((2, voters, 3, 3))
+    start[0, :, 0], start[1, :, 0] = (0.3, 0.02, 0.68), (0.1, 0.4, 0.5)
+    counts = 20 * start + _counts(patterns.filter(F.col("label").isNotNull()), None, alone)
+    model = LabelModel(prior, alone, _table(counts, alone))
+    for i in range(ROUNDS):
+        if i in TREE_ROUNDS:
+            parent = _tree(patterns, model, voters)
+            model = LabelModel(model.prior, parent, _table(_counts(patterns, model, parent), parent))
+        counts = _counts(patterns, model, model.parent)
+        size = counts[:, 0].sum(axis=(1, 2))
+        model = LabelModel(float(np.clip((size[1] + 0.5) / (size.sum() + 1), 1e-4, 0.9)), model.parent, _table(counts, model.parent))
+    return model
 
 
 @dataclass
@@ -319,7 +392,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     Labels are learned from rows of ``labels`` outside fold 0 whose label is
     not null.  Null texts are empty; an empty text gets the score of a text
     without any feature.  Labels enter by the mined features and the label
-    model's counts; the classifier learns its posteriors.  Without labels the
+    model's first accuracies; the classifier learns its posteriors.  Without labels the
     voters are the lexicons and patterns.  Other columns of ``docs`` are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -345,7 +418,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     model = fit_label_model(patterns, len(voters.names), prior)
     sample = sample_rows(voted, TRAINING_ROWS, voted.count(), 2).limit(2 * TRAINING_ROWS).select("votes", "keys").collect()
     votes = np.array([[int(c) for c in r["votes"]] for r in sample], np.int64).reshape(len(sample), len(voters.names))
-    target = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -40, 40)))
+    target = model.posterior(votes)
     classifier = _train(voters, [np.array(r["keys"], np.int64) for r in sample], target)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

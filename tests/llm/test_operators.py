@@ -1,5 +1,6 @@
 """Corpus operators on edge rows, empty tables and clashing columns, and against brute force."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -378,6 +379,28 @@ def test_toxic_words_are_learned(spark):
     assert (held.predicted == held.toxic).mean() > 0.97
 
 
+def test_posteriors_equal_the_product_of_the_tree():
+    rng, parent = np.random.default_rng(1), np.array([-1, 0, 1])
+    table = rng.random((2, 3, 3, 3))
+    model = toxicity.LabelModel(0.3, parent, table / table.sum(axis=3, keepdims=True))
+    for v in itertools.product(range(3), repeat=3):
+        both = [prior * math.prod(model.table[c, i, 0 if parent[i] < 0 else v[parent[i]], v[i]] for i in range(3)) for c, prior in ((0, 0.7), (1, 0.3))]
+        assert model.posterior(np.array([v]))[0] == pytest.approx(both[1] / sum(both))
+
+
+def test_a_planted_copy_of_a_voter_adds_nothing(spark):
+    rng, n = np.random.default_rng(2), 20_000
+    y = rng.random(n) < 0.25
+    votes = np.stack([np.where(rng.random(n) < 0.8, y, ~y).astype(int) for _ in range(4)], axis=1)
+    fit = lambda v: toxicity.fit_label_model(spark.createDataFrame(list(collections.Counter("".join(map(str, r)) for r in v).items()), "votes string, n long").withColumn("label", F.lit(None).cast("int")), v.shape[1], 0.25)
+    alone, copied = fit(votes), fit(np.concatenate([votes, votes[:, :1]], axis=1))
+    assert copied.parent[4] == 0
+    odds = np.log(0.25 / 0.75) + ((2 * votes - 1) * np.log(4)).sum(axis=1)
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    assert np.abs(chance(alone.log_odds(votes)) - chance(odds)).mean() < 0.1
+    assert np.abs(chance(copied.log_odds(np.concatenate([votes, votes[:, :1]], axis=1))) - chance(odds)).mean() < 0.1
+
+
 def test_lexicon_words_count_without_being_mined(spark):
     # One common insult of a lexicon in the training rows; a rare one of the same lexicon, never mined, and a clean text.
     rng = random.Random(6)
