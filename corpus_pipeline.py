@@ -51,7 +51,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: SQL can't express the toxicity stage; tests compare the run with brute force.
+#: SQL can't express the toxicity stage; tests hold a small run against a plain version of each stage.
 ORACLE_SQL = None
 
 
