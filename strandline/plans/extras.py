@@ -259,6 +259,53 @@ def sink_barriers(spark, sf):
     return rounded(b.select(F.floor(F.col("transect_id") / 50).alias("line_id"), "transect_id", "toe_dist", "back_toe_dist", "toe_z", "crest_z", "back_toe_z"))
 
 
+def _cliff_pairs(spark, sf):
+    """Vertices of the patches between the tops and the toes of runs of cliffs."""
+    c = cliff_lines(spark, sf)
+    side = lambda d: c.select("line_id", "run", F.col("transect_id").alias("seq"), F.col(d).alias("x"), (F.col("transect_id") * 10.0).alias("y"))
+    return U.between(side("top_dist"), side("toe_dist"), ["line_id", "run"])
+
+
+@query("sink_cliffs")
+def sink_cliffs(spark, sf):
+    return rounded(_cliff_pairs(spark, sf).select("line_id", "run", "seq", "x", "y"))
+
+
+@query("sink_crest_lines")
+def sink_crest_lines(spark, sf):
+    runs = crest_lines(spark, sf).groupBy("line_id", "run")
+    return rounded(runs.agg(F.min("transect_id").alias("first_id"), F.max("transect_id").alias("last_id"), F.count("*").alias("n"), F.max("crest_z").alias("crest_z")))
+
+
+@query("sink_dune_sis")
+def sink_dune_sis(spark, sf):
+    """Dune parameters of each transect with water level, regime and asset of each scenario."""
+    from strandline.operators import storm as X
+    from strandline.plans import cells as C
+
+    water = C._regimes(spark, sf).select("transect_id", "scenario", "twl", "regime", "asset_dist", "asset_elev")
+    return rounded(sink_dune_params(spark, sf).join(water.filter(F.col("regime").isin(*X.REGIMES)), "transect_id", "left"))
+
+
+@query("sink_patches", duck(*Z._VV, then=Z._PA + " SELECT 8 AS scenario, 2050 AS year, line_id, run, count(*) AS n, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x FROM pv GROUP BY ALL"))
+def sink_patches(spark, sf):
+    fields = Z._patches(spark, sf).withColumns({"scenario": F.lit(8), "year": F.lit(2050)})
+    return rounded(fields.groupBy("scenario", "year", "line_id", "run").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x")))
+
+
+_VEG = Z._ST + """, vy AS (SELECT series_id // 200 AS line_id, series_id, year(proj_date)::INT AS year, distance - 12 AS x, CASE WHEN series_id % 28 <> 0 THEN 1 END AS f FROM fu WHERE scenario = 8 AND percentile = 50),
+ vr AS (SELECT *, sum(c) OVER (PARTITION BY line_id, year ORDER BY series_id) AS run FROM (SELECT *, CASE WHEN (f IS NOT NULL) IS DISTINCT FROM lag(f IS NOT NULL) OVER (PARTITION BY line_id, year ORDER BY series_id) THEN 1 ELSE 0 END AS c FROM vy)),
+ vk AS (SELECT *, count(*) OVER (PARTITION BY line_id, year, run) AS k FROM vr WHERE f IS NOT NULL)"""
+
+
+@query("sink_future_veg", duck(*Z._VV, then=_VEG + " SELECT year, line_id, run, series_id, round(x, 6) AS x FROM vk WHERE k >= 2"))
+def sink_future_veg(spark, sf):
+    """Vegetation-edge lines of every projection year."""
+    f = Z._future(spark, sf).filter((F.col("scenario") == 8) & (F.col("percentile") == 50))
+    rows = f.select(F.year("proj_date").alias("year"), F.floor(F.col("series_id") / 200).alias("line_id"), "series_id", (F.col("distance") - 12).alias("x"), (F.col("series_id") % 28 != 0).alias("has"))
+    return rounded(U.islands(rows, ["line_id", "year"], "series_id", F.col("has")).select("year", "line_id", "run", "series_id", "x"))
+
+
 # Lines and transects
 
 
