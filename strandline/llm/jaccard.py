@@ -33,8 +33,8 @@ VALUES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 #: Texts that are looked up by broadcast, at most.
 WANTED_ROWS = 200_000
-#: Members of a block.
-BLOCK = 256
+#: Members of a block, and bytes of their sets, about: blocks are dealt by hash.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 _RNG = np.random.default_rng(5)
 _FACTORS = (_RNG.integers(1, 2**32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -245,7 +245,7 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
-    """(id, copies, leaders, values, set) of the members (…, text) that meet others."""
+    """(id, copies, leaders, values, set, bytes) of the members (…, text) that meet others."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,9 +256,9 @@ def _with_sets(texts: DataFrame) -> DataFrame:
                 values.extend(v.tobytes() for v in signatures(row, h, last - first))
                 cuts = np.searchsorted(row, np.arange(last - first + 1))
                 sets.extend(h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("leaders"), pa.array(values, pa.binary()), pa.array(sets, pa.binary())], names=["id", "copies", "leaders", "values", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("leaders"), pa.array(values, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["id", "copies", "leaders", "values", "set", "bytes"])
 
-    return texts.select("id", "copies", "leaders", "text").mapInArrow(expand, "id long, copies long, leaders array<long>, values binary, set binary")
+    return texts.select("id", "copies", "leaders", "text").mapInArrow(expand, "id long, copies long, leaders array<long>, values binary, set binary, bytes long")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -281,12 +281,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     banded = unique.select("id", F.posexplode("bands").alias("band", "key"))
     met = banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     leaders = durable(banded.join(met, ["band", "key"]).groupBy("id").agg(F.array_sort(F.collect_set("leader")).alias("leaders")), "jaccard-leaders")
-    sizes = durable(leaders.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "jaccard-sizes")
     # One row of each wanted text: that of its first id.
     texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = small(durable(leaders.join(unique.select("id", "copies", "text_key", "text_id"), "id"), "jaccard-wanted"), WANTED_ROWS)
     found = texts.join(wanted, (texts["key"] == wanted["text_key"]) & texts["doc_id"].eqNullSafe(wanted["text_id"]))
     sets = durable(_with_sets(found), "jaccard-sets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    sizes = durable(sets.select("bytes", F.explode("leaders").alias("leader")).groupBy("leader").agg(blocks.alias("blocks")), "jaccard-sizes")
     placed = (
         sets.select("*", F.explode("leaders").alias("leader")).join(sizes, "leader")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
