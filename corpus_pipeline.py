@@ -51,7 +51,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: SQL can't express the toxicity stage; tests hold a small run against a plain version of each stage.
+#: SQL can't express the toxicity stage; tests hold each stage's rows against its operator on the smallest tables.
 ORACLE_SQL = None
 
 
