@@ -5,7 +5,7 @@ other words are classed by their ending.  Inside a class a word's probability
 is its smoothed share of the class's tokens, from counts over the whole
 training fold, so the model gives every token string a probability.  Expected
 counts of states are summed across partitions each round; a few rounds on a
-bounded sample break the symmetry, the last rounds see every training text.
+bounded sample give a starting model, then every round sees every training text.
 The scaled forward recursion then gives the exact probability of each text,
 however long.
 
