@@ -187,3 +187,77 @@ def barriers(profile: DataFrame, keys: list[str], mhws: float, rounds: int = 60,
         *keys, g("toe")["d"].alias("toe_dist"), g("top")["d"].alias("top_dist"), g("b.top")["d"].alias("back_top_dist"), g("b.toe")["d"].alias("back_toe_dist"),
         F.get("p", -F.col("crest.i"))["d"].alias("crest_dist"), F.col("crest.z").alias("crest_z"), g("toe")["z"].alias("toe_z"), g("top")["z"].alias("top_z"), g("b.toe")["z"].alias("back_toe_z"),
         (g("top")["z"] - g("toe")["z"]).alias("front_height"), (g("b.top")["z"] - g("b.toe")["z"]).alias("back_height"), (g("b.toe")["d"] - g("toe")["d"]).alias("toe_width"), volume.alias("volume"))
+
+
+def searchable(profile: DataFrame, keys: list[str], rocky: DataFrame, found: DataFrame) -> DataFrame:
+    """The part of each profile where a barrier can be: none on rocky transects, nothing landward of a cliff's toe.
+
+    ``rocky`` holds (keys, rocky), ``found`` the result of ``cliffs``; a
+    transect missing from either, or of unknown roughness, is searched whole.
+    """
+    toes = found.filter("cliff").select(*keys, F.col("toe_dist").alias("cliff_toe"))
+    soft = profile.join(rocky.filter("rocky").select(*keys), keys, "left_anti").join(toes, keys, "left")
+    return soft.filter(F.col("cliff_toe").isNull() | (F.col("dist") <= F.col("cliff_toe"))).drop("cliff_toe")
+
+
+def bins(profile: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Mean distance and height in steps of ``width`` along each profile, numbered from 1."""
+    means = profile.filter("z is not null").groupBy(*keys, F.floor(F.col("dist") / width).alias("bin")).agg(F.avg("dist").alias("d"), F.avg("z").alias("z"))
+    return means.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("bin")))
+
+
+def cliffs_binned(profile: DataFrame, keys: list[str], width: float, lead: int = 5, falling: int = 8) -> DataFrame:
+    """Cliff top and toe of each binned profile by one detrending, slope in degrees.
+
+    A profile starts ``lead`` bins before its first bin above the sea, ends
+    before the sea returns and before the bin where ``falling`` bins in a row
+    have gone down.  The toe is the last bin before the land, the top the
+    highest above the chord from first to last bin; of equal ones the first.
+    Profiles under the sea have no row; where top and toe are one bin, or the
+    profile is one bin, the slope is null.
+    """
+    whole, by = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("n")
+    b = bins(profile, keys, width).withColumn("land", F.min(F.when(F.col("z") > 0, F.col("n"))).over(whole))
+    b = b.filter(F.col("n") >= F.col("land") - lead).withColumn("sea", F.min(F.when((F.col("n") > F.col("land")) & (F.col("z") <= 0), F.col("n"))).over(whole))
+    b = b.filter(F.col("sea").isNull() | (F.col("n") < F.col("sea")))
+    falls = F.coalesce(F.col("z") < F.lag("z").over(by), F.lit(False))
+    b = b.withColumn("falls", falls).withColumn("down", F.col("n") - F.max(F.when(~F.col("falls"), F.col("n"))).over(by))
+    b = b.withColumn("stop", F.min(F.when(F.col("down") >= falling, F.col("n"))).over(whole)).filter(F.col("stop").isNull() | (F.col("n") < F.col("stop")))
+    end = F.struct("n", "d", "z")
+    b = b.withColumns({"a": F.min(end).over(whole), "e": F.max(end).over(whole)})
+    tilt = F.coalesce((F.col("a.z") - F.col("e.z")) / F.nullif(F.col("e.d") - F.col("a.d"), F.lit(0.0)), F.lit(0.0))
+    b = b.withColumn("r", F.col("z") - (F.col("e.d") - F.col("d")) * tilt)
+    at_toe = F.col("n") == F.greatest(F.col("land") - 1, F.col("a.n"))
+    found = b.groupBy(*keys).agg(
+        F.max(F.when(F.col("z") != 0, F.struct("r", (-F.col("n")).alias("i"), "d"))).alias("top"),
+        F.max(F.when(at_toe, F.struct("r", "d"))).alias("toe"), F.count("*").alias("n_bins"))
+    height = F.col("top.r") - F.col("toe.r")
+    slope = F.degrees(F.atan(height / F.nullif(F.abs(F.col("top.d") - F.col("toe.d")), F.lit(0.0))))
+    return found.select(*keys, F.col("top.d").alias("top_dist"), F.col("toe.d").alias("toe_dist"), height.alias("height"), slope.alias("slope_deg"), "n_bins")
+
+
+def barriers_simple(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """Toe and top on both sides of the highest node above the sea, each by one detrending.
+
+    A side is detrended by the chord from its end to the highest node; its top
+    is the largest residual, its toe the least, of equal ones the node nearest
+    the sea.  A top beyond its toe gives way to the highest node.
+    """
+    whole = Window.partitionBy(*keys)
+    p = profile.filter("z > 0").withColumns({
+        "hi": F.max(F.struct("z", (-F.col("ix")).alias("i"), "dist")).over(whole),
+        "first": F.min(F.struct("ix", "dist", "z")).over(whole), "last": F.max(F.struct("ix", "dist", "z")).over(whole)})
+
+    def residual(end: str) -> Column:
+        tilt = (F.col("hi.z") - F.col(f"{end}.z")) / F.nullif(F.col("hi.dist") - F.col(f"{end}.dist"), F.lit(0.0))
+        return F.col("z") + (F.col(f"{end}.dist") - F.col("dist")) * F.coalesce(tilt, F.lit(0.0))
+
+    front, back = F.col("ix") <= -F.col("hi.i"), F.col("ix") >= -F.col("hi.i")
+    p = p.withColumns({"fr": F.when(front, residual("first")), "br": F.when(back, residual("last"))})
+    top = lambda r: F.max(F.when(F.col(r).isNotNull(), F.struct(r, (-F.col("ix")).alias("i"), "dist")))
+    toe = lambda r: F.min(F.when(F.col(r).isNotNull(), F.struct(r, "ix", "dist")))
+    s = p.groupBy(*keys).agg(F.first("hi").alias("hi"), top("fr").alias("ft"), toe("fr").alias("fb"), top("br").alias("bt"), toe("br").alias("bb"))
+    return s.select(
+        *keys, F.col("fb.dist").alias("toe_dist"), F.when(F.col("ft.dist") < F.col("fb.dist"), F.col("hi.dist")).otherwise(F.col("ft.dist")).alias("top_dist"),
+        F.col("hi.dist").alias("crest_dist"), F.col("hi.z").alias("crest_z"),
+        F.when(F.col("bt.dist") > F.col("bb.dist"), F.col("hi.dist")).otherwise(F.col("bt.dist")).alias("back_top_dist"), F.col("bb.dist").alias("back_toe_dist"))

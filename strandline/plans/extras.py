@@ -182,20 +182,41 @@ def profile_unmask(spark, sf):
     return Z._profile(spark, sf).groupBy("transect_id").agg(F.count("*").alias("n"), F.count_if(F.col("dist").between(50, 200)).alias("n_masked"))
 
 
-@query("barrier_detect_simple", duck("profile", then=""", m AS (SELECT *, arg_max(dist, z * 1000000 - ix) OVER p AS dm, max(z) OVER p AS zm, min(dist) OVER p AS d0, arg_min(z, ix) OVER p AS z0 FROM profile WINDOW p AS (PARTITION BY transect_id)),
+@query("barrier_residuals", duck("profile", then=""", m AS (SELECT *, arg_max(dist, z * 1000000 - ix) OVER p AS dm, max(z) OVER p AS zm, min(dist) OVER p AS d0, arg_min(z, ix) OVER p AS z0 FROM profile WINDOW p AS (PARTITION BY transect_id)),
  r AS (SELECT transect_id, dist, ix, z - z0 - (dist - d0) * (zm - z0) / nullif(dm - d0, 0) AS res FROM m WHERE dist <= dm) SELECT transect_id, round(min(res), 9) AS lowest, round(max(res), 9) AS highest FROM r GROUP BY 1"""))
-def barrier_detect_simple(spark, sf):
+def barrier_residuals(spark, sf):
     w = Window.partitionBy("transect_id")
     m = Z._profile(spark, sf).withColumns({"top": F.max(F.struct("z", (-F.col("ix")).alias("i"), "dist")).over(w), "low": F.min(F.struct("ix", "dist", "z")).over(w)})
     res = F.col("z") - F.col("low.z") - (F.col("dist") - F.col("low.dist")) * (F.col("top.z") - F.col("low.z")) / F.nullif(F.col("top.dist") - F.col("low.dist"), F.lit(0.0))
     return rounded(m.filter(F.col("dist") <= F.col("top.dist")).groupBy("transect_id").agg(F.min(res).alias("lowest"), F.max(res).alias("highest")), 9)
 
 
-@query("cliff_detect_binned", duck("profile", then=" SELECT transect_id, floor(dist / 25)::BIGINT AS bin, round(avg(z), 9) AS z_mean, count(*) AS n FROM profile WHERE z > 0 GROUP BY 1, 2"))
-def cliff_detect_binned(spark, sf):
+@query("profile_bins", duck("profile", then=" SELECT transect_id, floor(dist / 25)::BIGINT AS bin, round(avg(z), 9) AS z_mean, count(*) AS n FROM profile WHERE z > 0 GROUP BY 1, 2"))
+def profile_bins(spark, sf):
     return rounded(Z._profile(spark, sf).filter("z > 0").groupBy("transect_id", F.floor(F.col("dist") / 25).alias("bin")).agg(F.avg("z").alias("z_mean"), F.count("*").alias("n")), 9)
 
 
+@query("barrier_detect_simple", duck("profile", then=""", m AS (SELECT *, max(z) OVER p AS hz, arg_max(ix, z * 1000000 - ix) OVER p AS hi, min(ix) OVER p AS i0, max(ix) OVER p AS i1 FROM profile WHERE z > 0 WINDOW p AS (PARTITION BY transect_id)),
+ e AS (SELECT transect_id, max(hi) AS hi, max(dist) FILTER (ix = hi) AS hd, max(hz) AS hz, max(dist) FILTER (ix = i0) AS d0, max(z) FILTER (ix = i0) AS z0, max(dist) FILTER (ix = i1) AS d1, max(z) FILTER (ix = i1) AS z1 FROM m GROUP BY 1),
+ r AS (SELECT p.transect_id, p.ix, p.dist, CASE WHEN p.ix <= hi THEN z + (d0 - dist) * coalesce((hz - z0) / nullif(hd - d0, 0), 0) END AS fr, CASE WHEN p.ix >= hi THEN z + (d1 - dist) * coalesce((hz - z1) / nullif(hd - d1, 0), 0) END AS br FROM profile p JOIN e USING (transect_id) WHERE z > 0),
+ t AS (SELECT transect_id, first(dist ORDER BY fr DESC, ix) FILTER (fr IS NOT NULL) AS ft, first(dist ORDER BY fr, ix) FILTER (fr IS NOT NULL) AS fb, first(dist ORDER BY br DESC, ix) FILTER (br IS NOT NULL) AS bt, first(dist ORDER BY br, ix) FILTER (br IS NOT NULL) AS bb FROM r GROUP BY 1)
+ SELECT transect_id, fb AS toe_dist, CASE WHEN ft < fb THEN hd ELSE ft END AS top_dist, hd AS crest_dist, round(hz, 6) AS crest_z, CASE WHEN bt > bb THEN hd ELSE bt END AS back_top_dist, bb AS back_toe_dist FROM t JOIN e USING (transect_id)"""))
+def barrier_detect_simple(spark, sf):
+    return rounded(R.barriers_simple(Z._profile(spark, sf), ["transect_id"]))
+
+
+@query("cliff_detect_binned", duck("profile", then=""", b AS (SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY bin) AS n FROM (SELECT transect_id, floor(dist / 10) AS bin, avg(dist) AS d, avg(z) AS z FROM profile WHERE z IS NOT NULL GROUP BY 1, 2)),
+ l AS (SELECT *, min(n) FILTER (z > 0) OVER (PARTITION BY transect_id) AS land FROM b), s AS (SELECT *, min(n) FILTER (n > land AND z <= 0) OVER (PARTITION BY transect_id) AS sea FROM l WHERE n >= land - 5),
+ f AS (SELECT *, coalesce(z < lag(z) OVER (PARTITION BY transect_id ORDER BY n), false) AS falls FROM s WHERE sea IS NULL OR n < sea),
+ w AS (SELECT *, n - max(n) FILTER (NOT falls) OVER (PARTITION BY transect_id ORDER BY n) AS down FROM f), x AS (SELECT *, min(n) FILTER (down >= 8) OVER (PARTITION BY transect_id) AS stop FROM w),
+ k AS (SELECT * FROM x WHERE stop IS NULL OR n < stop), e AS (SELECT transect_id, min(n) AS n0, arg_min(d, n) AS d0, arg_min(z, n) AS z0, arg_max(d, n) AS d1, arg_max(z, n) AS z1 FROM k GROUP BY 1),
+ r AS (SELECT k.*, n0, z - (d1 - d) * coalesce((z0 - z1) / nullif(d1 - d0, 0), 0) AS r FROM k JOIN e USING (transect_id)),
+ t AS (SELECT transect_id, first(r ORDER BY r DESC, n) FILTER (z <> 0) AS tr, first(d ORDER BY r DESC, n) FILTER (z <> 0) AS td, max(r) FILTER (n = greatest(land - 1, n0)) AS br, max(d) FILTER (n = greatest(land - 1, n0)) AS bd, count(*) AS n_bins FROM r GROUP BY 1)
+ SELECT transect_id, round(td, 6) AS top_dist, round(bd, 6) AS toe_dist, round(tr - br, 6) AS height, round(degrees(atan((tr - br) / nullif(abs(td - bd), 0))), 6) AS slope_deg, n_bins FROM t"""))
+def cliff_detect_binned(spark, sf):
+    return rounded(R.cliffs_binned(Z._profile(spark, sf), ["transect_id"], 10.0))
+
+
 @query("barrier_extent_map", duck("raster_cell", "cell_box", then=Z._CEN + Z._SWT + " SELECT transect_id, count(*) FILTER (z > 6) AS n_above, round(min(along) FILTER (z > 6), 6) AS first_along, round(max(along) FILTER (z > 6), 6) AS last_along FROM sw GROUP BY 1"))
 def barrier_extent_map(spark, sf):
     above = F.when(F.col("z") > 6, F.col("along"))
@@ -204,13 +225,12 @@ def barrier_extent_map(spark, sf):
 
 @query("morphology_all")
 def morphology_all(spark, sf):
-    p = Z._profile(spark, sf)
-    rough = R.roughness(p, ["transect_id"], 5.0, 8.0)
-    return rounded(rough.join(R.barriers(p, ["transect_id"], 1.0).select("transect_id", "crest_z", "front_height", "toe_width"), "transect_id", "left"))
+    rough = R.roughness(Z._profile(spark, sf), ["transect_id"], 5.0, 8.0)
+    return rounded(rough.join(R.barriers(Z._soft(spark, sf), ["transect_id"], 1.0).select("transect_id", "crest_z", "front_height", "toe_width"), "transect_id", "left"))
 
 
 def _barriers(spark, sf):
-    return R.barriers(Z._profile(spark, sf), ["transect_id"], 1.0).withColumn("line_id", F.floor(F.col("transect_id") / 50))
+    return R.barriers(Z._soft(spark, sf), ["transect_id"], 1.0).withColumn("line_id", F.floor(F.col("transect_id") / 50))
 
 
 @query("crest_lines")

@@ -119,6 +119,14 @@ def _profile(spark, sf):
     return view(spark, sf, "profile")
 
 
+def _soft(spark, sf):
+    """Profiles where barriers are looked for: off rocky transects, up to the toe of a cliff."""
+    from strandline.operators.clusters import rocky
+
+    p = _profile(spark, sf)
+    return R.searchable(p, _P, rocky(R.roughness(p, _P, 5.0, 8.0), _P), R.cliffs(p, _P))
+
+
 @query("profile_crossings", duck("profile", then=_CR + " SELECT transect_id, ix, round(position, 6) AS position, rising, number FROM cr"))
 def profile_crossings(spark, sf):
     return rounded(R.crossings(_profile(spark, sf), _P, 3.0).select("transect_id", "ix", "position", "rising", F.col("number").cast("long").alias("number")))
@@ -164,17 +172,17 @@ def cliff_detect_window(spark, sf):
 
 @query("barrier_detect")
 def barrier_detect(spark, sf):
-    return rounded(R.barriers(_profile(spark, sf), _P, 1.0))
+    return rounded(R.barriers(_soft(spark, sf), _P, 1.0))
 
 
 @query("barrier_detect_window")
 def barrier_detect_window(spark, sf):
-    return rounded(R.barriers(_profile(spark, sf).filter("ix > 0 and dist between 20 and 350"), _P, 1.0))
+    return rounded(R.barriers(_soft(spark, sf).filter("ix > 0 and dist between 20 and 350"), _P, 1.0))
 
 
 @query("barrier_elevations")
 def barrier_elevations(spark, sf):
-    return rounded(R.barriers(_profile(spark, sf), _P, 1.0).select("transect_id", "toe_z", "top_z", "crest_z", "back_toe_z"))
+    return rounded(R.barriers(_soft(spark, sf), _P, 1.0).select("transect_id", "toe_z", "top_z", "crest_z", "back_toe_z"))
 
 
 @query("rocky_cluster")

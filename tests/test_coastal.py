@@ -153,6 +153,37 @@ def test_cliff_has_its_top_and_toe(spark):
     assert r["cliff"] and r["converged"] and (r["toe_dist"], r["top_dist"]) == (20.0, 25.0)
 
 
+def test_no_barrier_on_rock_or_behind_a_cliff(spark):
+    rows = [(t, i, 5.0 * i, float(i % 4)) for t in ("rock", "cliff", "free", "unknown") for i in range(6)]
+    p = spark.createDataFrame(rows, "s string, ix int, dist double, z double")
+    rocky = spark.createDataFrame([("rock", True), ("cliff", False), ("unknown", None)], "s string, rocky boolean")
+    found = spark.createDataFrame([("cliff", 10.0, True), ("free", 5.0, False)], "s string, toe_dist double, cliff boolean")
+    left = R.searchable(p, K, rocky, found)
+    assert left.columns == p.columns
+    assert {r["s"]: r["count"] for r in left.groupBy("s").count().collect()} == {"cliff": 3, "free": 6, "unknown": 6}
+
+
+def test_binned_cliff(spark):
+    sea, face = [-1.0] * 8, [1, 8, 15, 22, 22.5, 23]
+    r = R.cliffs_binned(profile(spark, sea + face + [-1.0, 50.0]), K, 5.0).first()
+    # Five bins of sea stay, the second sea ends the profile.
+    assert (r["toe_dist"], r["top_dist"], r["n_bins"]) == (35.0, 55.0, 11)
+    chord = 24 / 50
+    assert r["height"] == pytest.approx(23 - 20 * chord) and r["slope_deg"] == pytest.approx(math.degrees(math.atan((23 - 20 * chord) / 20)))
+    # Eight bins down in a row end it before the eighth.
+    r = R.cliffs_binned(profile(spark, [0.0, 5, 20] + [19.0 - i for i in range(12)]), K, 5.0).first()
+    assert (r["top_dist"], r["n_bins"]) == (10.0, 10)
+    assert R.cliffs_binned(profile(spark, [-1.0, -2.0]), K, 5.0).count() == 0
+    assert R.cliffs_binned(profile(spark, [3.0]), K, 5.0).first()["slope_deg"] is None
+
+
+def test_simple_barrier(spark):
+    r = R.barriers_simple(profile(spark, [-1, 0.5, 0.6, 4, 5, 4.5, 1, 0.8, 0.7]), K).first()
+    assert tuple(r)[1:] == (10.0, 15.0, 20.0, 5.0, 25.0, 30.0)
+    assert tuple(R.barriers_simple(profile(spark, [3.0]), K).first())[1:] == (0.0, 0.0, 0.0, 3.0, 0.0, 0.0)
+    assert R.barriers_simple(profile(spark, [-3.0, None]), K).count() == 0
+
+
 @pytest.mark.parametrize("twl,setup,want", [(1.0, 0.5, "Swash"), (3.0, 1.0, "Collision"), (6.0, 4.0, "Overwash"), (6.0, 5.5, "Inundation"), (5.0, 1.0, None)])
 def test_regimes(spark, twl, setup, want):
     row = spark.range(1).select(X.regime(F.lit(twl), F.lit(setup), F.lit(2.0), F.lit(5.0), F.lit(True), F.lit(None).cast("double"), F.lit(1.0)).alias("r"))
