@@ -275,7 +275,7 @@ def sink_dune_params(spark, sf):
 
 @query("sink_barriers")
 def sink_barriers(spark, sf):
-    b = R.barriers(Z._profile(spark, sf), ["transect_id"], 1.0)
+    b = R.barriers(Z._soft(spark, sf), ["transect_id"], 1.0)
     return rounded(b.select(F.floor(F.col("transect_id") / 50).alias("line_id"), "transect_id", "toe_dist", "back_toe_dist", "toe_z", "crest_z", "back_toe_z"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.output import rounded
 from strandline.functions.reproject import to_lonlat
+from strandline.functions.stage import shared_folder
 from strandline.operators import lines as L
 from strandline.operators import series as S
 from strandline.plans.registry import query
 from strandline.sources.files import lines_as_features, require
-from strandline.sources.views import duck, view
+from strandline.sources.views import duck, stream_view, table_stream, view
 from strandline.streaming import observations as O
 
 
@@ -268,29 +271,31 @@ def fn_json(spark, sf):
     return j.select("series_id", n.cast("long").alias("n")).filter("n > 0")
 
 
-# Streams run over the stored tables to their end; each is compared with its batch form.
+# Streams read the stored tables to their end and write each batch to the shared folder; each is compared with its batch form.
+
+
+def _stream_folder(spark):
+    return f"{shared_folder(spark)}/streams/{uuid4().hex}"
 
 
 @query("stream_obs_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def stream_obs_tumbling(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))
-    return rounded(O.tumbling(events, "ts", "1 day", "1 day", ["event_type"], "value")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    events = table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))
+    folder = _stream_folder(spark)
+    O.run_to_end(O.tumbling(events, "ts", "1 day", "1 day", ["event_type"], "value"), O.append_batch(f"{folder}/out"), folder, "update")
+    return rounded(O.updated(spark, f"{folder}/out", ["start", "event_type"])).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_rate_epr_ols", duck("obs", then=""" SELECT series_id, count(*) AS n, round(CASE WHEN max(obs_date) > min(obs_date) THEN (arg_max(value, obs_date) - arg_min(value, obs_date)) / (date_diff('day', min(obs_date), max(obs_date)) / 365.25) END, 6) AS epr,
  round(CASE WHEN count(*) >= 3 THEN regr_slope(value, date_diff('day', DATE '1970-01-01', obs_date) / 365.25) END, 6) AS ols FROM obs GROUP BY 1"""))
 def stream_rate_epr_ols(spark, sf):
-    return rounded(O.rates(O.sufficient(view(spark, sf, "obs"), ["series_id"]), ["series_id"]))
+    folder = _stream_folder(spark)
+    O.run_to_end(stream_view(spark, sf, "obs_raw", "lineitem"), O.upsert_batch(f"{folder}/out", ["series_id"]), folder)
+    return rounded(O.rates(O.sufficient(O.upserted(spark, f"{folder}/out", ["series_id"]), ["series_id"]), ["series_id"]))
 
 
 @query("stream_ts_upsert", duck("obs", then=" SELECT series_id, obs_date, value FROM obs"))
 def stream_ts_upsert(spark, sf):
-    # Three batches in turn, by arrival; later batches replace equal dates.
-    raw = view(spark, sf, "obs_raw")
-    merged = None
-    for i in range(3):
-        batch = raw.filter(F.col("arrival") % 3 == i)
-        merged = batch if merged is None else merged.unionByName(batch)
-        last = F.max(F.struct("arrival", "value", "source", "error")).alias("o")
-        merged = merged.groupBy("series_id", "obs_date").agg(last).select("series_id", "obs_date", "o.value", "o.error", "o.source", "o.arrival")
-    return merged.select("series_id", "obs_date", "value")
+    folder = _stream_folder(spark)
+    O.run_to_end(stream_view(spark, sf, "obs_raw", "lineitem"), O.upsert_batch(f"{folder}/out", ["series_id"]), folder)
+    return O.upserted(spark, f"{folder}/out", ["series_id"]).select("series_id", "obs_date", "value")

@@ -54,6 +54,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_text(name).format(e0="embedding[0]", e1="embedding[1]", **names))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The files of one table as a stream, new ones included as they come."""
+    path = f"{sf_dir}/{table}.parquet"
+    # A stream lists folders and patterns; the pattern also takes a table of one file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
+    """The view ``name`` over the one table it reads, as a stream."""
+    return spark.sql(_text(name), **{table: table_stream(spark, sf_dir, table)})
+
+
 def duck(*views: str, then: str) -> str:
     """DuckDB SQL: the views as common table expressions, then ``then`` (which may begin with a comma and more).
 

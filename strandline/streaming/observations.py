@@ -6,7 +6,7 @@ of the same date replaces the one before, whatever the order of arrival.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.series import YEAR, days
@@ -32,19 +32,39 @@ def rates(sums: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n", ((c("b.value") - c("a.value")) / F.when(years > 0, years)).alias("epr"), F.when((c("n") >= 3) & (det > 0), (c("n") * c("sxy") - c("sx") * c("sy")) / det).alias("ols"))
 
 
+def append_batch(path: str):
+    """A ``foreachBatch`` function that writes each batch to a folder of its own; a replayed batch writes the same folder again."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def upsert_batch(path: str, keys: list[str]):
-    """A ``foreachBatch`` function that keeps the last arrival of each series and date in a table.
+    """A ``foreachBatch`` function that keeps the last arrival of each series and date in its batch.
 
-    Each batch writes a new version folder and then moves on to it; a replayed
-    batch writes the same folder again, so a restart does no harm.
+    A batch writes only what it brings, so its cost doesn't grow with the
+    table; ``upserted`` reads the last of all batches.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kept = batch.select(*keys, "obs_date", "value", "error", "source", "arrival")
-        if number > 0:
-            kept = kept.unionByName(spark.read.parquet(f"{path}/v={number - 1}"))
-        last = F.max(F.struct("arrival", "value", "source", "error"))
-        merged = kept.groupBy(*keys, "obs_date").agg(last.alias("o")).select(*keys, "obs_date", "o.value", "o.error", "o.source", "o.arrival")
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return merge
+    write = append_batch(path)
+    return lambda batch, number: write(_last(batch, keys), number)
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last arrival of each series and date over all batches that ``upsert_batch`` wrote."""
+    return _last(spark.read.parquet(path), keys)
+
+
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    last = F.max(F.struct("arrival", "value", "source", "error"))
+    return rows.groupBy(*keys, "obs_date").agg(last.alias("o")).select(*keys, "obs_date", "o.value", "o.error", "o.source", "o.arrival")
+
+
+def updated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key over the batches of a stream in update mode that ``append_batch`` wrote."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("o")).select(*keys, *[f"o.{c}" for c in rest])
+
+
+def run_to_end(stream: DataFrame, write, folder: str, mode: str = "append") -> None:
+    """Hand all that the stream's source holds now to ``write``; progress lies in ``folder``, so another run goes on from there."""
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()

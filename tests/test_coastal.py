@@ -283,12 +283,26 @@ def test_required_columns_and_keys(spark):
 
 
 def test_streamed_upsert_equals_batch(spark, tmp_path):
-    from strandline.streaming.observations import upsert_batch
+    from strandline.streaming.observations import run_to_end, upsert_batch, upserted
 
     raw = spark.createDataFrame([("a", "2000-01-01", float(i % 3), 1.0, "x", i) for i in range(6)], "s string, obs_date string, value double, error double, source string, arrival long").withColumn("obs_date", F.to_date("obs_date"))
     for i in range(2):
         raw.filter(F.col("arrival") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(upsert_batch(str(tmp_path / "out"), K)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert [r["value"] for r in spark.read.parquet(str(last)).collect()] == [r["value"] for r in S.upsert(raw, K).collect()]
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        run_to_end(stream, upsert_batch(str(tmp_path / "out"), K), str(tmp_path))
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    assert [r["value"] for r in upserted(spark, str(tmp_path / "out"), K).collect()] == [r["value"] for r in S.upsert(raw, K).collect()]
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    from strandline.streaming.observations import append_batch, run_to_end, tumbling, updated
+
+    days = [("a", "2020-01-01 01:00:00", 1.0)], [("a", "2020-01-09 01:00:00", 2.0)], [("a", "2020-01-01 02:00:00", 5.0), ("a", "2020-01-09 02:00:00", 4.0)]
+    schema = "k string, ts timestamp, value double"
+    for i, day in enumerate(days):
+        spark.createDataFrame([(k, t, v) for k, t, v in day], "k string, ts string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        run_to_end(tumbling(rows, "ts", "1 day", "1 day", ["k"], "value"), append_batch(str(tmp_path / "out")), str(tmp_path), "update")
+    got = {(r["start"].day, r["n"], r["mean"]) for r in updated(spark, str(tmp_path / "out"), ["start", "k"]).collect()}
+    assert got == {(1, 1, 1.0), (9, 2, 3.0)}
