@@ -151,14 +151,14 @@ def sink_extreme(spark, sf):
 # Profiles
 
 
-@query("profile_sample", duck("raster_cell", "cell_box", then=""", pn AS (SELECT cell_id AS transect_id, ix, xmin + 10 + ix * 9.0::DOUBLE AS x, ymin + 20 + ix * 8.0::DOUBLE AS y FROM cell_box, range(0, 20) r(ix))
+@query("profile_sample", duck("raster_cell", "zone_box", then=""", pn AS (SELECT cell_id AS transect_id, ix, xmin + 10 + ix * 9.0::DOUBLE AS x, ymin + 20 + ix * 8.0::DOUBLE AS y FROM zone_box, range(0, 20) r(ix))
  SELECT transect_id, ix, round(arg_min(z, tile), 6) AS z FROM pn JOIN raster_cell ON col_ix = floor(x / 20)::BIGINT AND row_ix = floor((1000 - y) / 20)::BIGINT WHERE z > 0 GROUP BY 1, 2"""))
 def profile_sample(spark, sf):
-    n = view(spark, sf, "cell_box").withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).select(F.col("cell_id").alias("transect_id"), "ix", (F.col("xmin") + 10 + F.col("ix") * 9.0).alias("x"), (F.col("ymin") + 20 + F.col("ix") * 8.0).alias("y"))
+    n = view(spark, sf, "zone_box").withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).select(F.col("cell_id").alias("transect_id"), "ix", (F.col("xmin") + 10 + F.col("ix") * 9.0).alias("x"), (F.col("ymin") + 20 + F.col("ix") * 8.0).alias("y"))
     return rounded(A.sample(n, view(spark, sf, "raster_cell").filter("z > 0"), ["transect_id", "ix"], 0.0, 1000.0, 20.0))
 
 
-@query("swath_combined", duck("raster_cell", "cell_box", then=Z._CEN + Z._SWT + " SELECT transect_id, floor(along / 20)::BIGINT AS ix, round(sum(z / greatest(dto, 1) ** 2) / sum(1 / greatest(dto, 1) ** 2), 6) AS z, count(*) AS n FROM sw GROUP BY 1, 2"))
+@query("swath_combined", duck("raster_cell", "zone_box", then=Z._CEN + Z._SWT + " SELECT transect_id, floor(along / 20)::BIGINT AS ix, round(sum(z / greatest(dto, 1) ** 2) / sum(1 / greatest(dto, 1) ** 2), 6) AS z, count(*) AS n FROM sw GROUP BY 1, 2"))
 def swath_combined(spark, sf):
     w = 1 / F.greatest(F.col("to"), F.lit(1.0)) ** 2
     return rounded(Z._swath(spark, sf).groupBy("transect_id", F.floor(F.col("along") / 20).alias("ix")).agg((F.sum(F.col("z") * w) / F.sum(w)).alias("z"), F.count("*").alias("n")))
@@ -217,7 +217,7 @@ def cliff_detect_binned(spark, sf):
     return rounded(R.cliffs_binned(Z._profile(spark, sf), ["transect_id"], 10.0))
 
 
-@query("barrier_extent_map", duck("raster_cell", "cell_box", then=Z._CEN + Z._SWT + " SELECT transect_id, count(*) FILTER (z > 6) AS n_above, round(min(along) FILTER (z > 6), 6) AS first_along, round(max(along) FILTER (z > 6), 6) AS last_along FROM sw GROUP BY 1"))
+@query("barrier_extent_map", duck("raster_cell", "zone_box", then=Z._CEN + Z._SWT + " SELECT transect_id, count(*) FILTER (z > 6) AS n_above, round(min(along) FILTER (z > 6), 6) AS first_along, round(max(along) FILTER (z > 6), 6) AS last_along FROM sw GROUP BY 1"))
 def barrier_extent_map(spark, sf):
     above = F.when(F.col("z") > 6, F.col("along"))
     return rounded(Z._swath(spark, sf).groupBy("transect_id").agg(F.count(above).alias("n_above"), F.min(above).alias("first_along"), F.max(above).alias("last_along")))

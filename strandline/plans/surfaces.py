@@ -13,15 +13,15 @@ from strandline.operators import series as S
 from strandline.plans.registry import query
 from strandline.sources.views import duck, view
 
-# Rasters: 50 x 50 cells; points scaled to them.
+# Rasters: a strip of 50 rows; points in units of cells, zones and swaths along it.
 
 
 def _points(spark, sf):
-    return view(spark, sf, "site_point").select("site_id", (F.col("x") / 20).alias("x"), (F.col("y") / 20).alias("y"))
+    return view(spark, sf, "grid_point")
 
 
-_RC = ", pt AS (SELECT site_id, x / 20 AS x, y / 20 AS y, floor(x / 20)::BIGINT AS col_ix, floor(50 - y / 20)::BIGINT AS row_ix FROM site_point)"
-_V = ("site_point", "raster_cell")
+_RC = ", pt AS (SELECT site_id, floor(x)::BIGINT AS col_ix, floor(50 - y)::BIGINT AS row_ix FROM grid_point)"
+_V = ("grid_point", "raster_cell")
 
 
 @query("raster_sample_point", duck(*_V, then=_RC + " SELECT site_id, round(arg_min(z, tile), 6) AS z FROM pt JOIN raster_cell USING (row_ix, col_ix) GROUP BY 1"))
@@ -49,7 +49,7 @@ def raster_tile_index(spark, sf):
     return view(spark, sf, "raster_cell").groupBy("tile").agg(F.min("row_ix").alias("row_min"), F.max("row_ix").alias("row_max"), F.min("col_ix").alias("col_min"), F.max("col_ix").alias("col_max"), F.count("*").alias("n"))
 
 
-@query("raster_resample_bilinear", duck(*_V, then=""", m AS (SELECT row_ix, col_ix, max(z) AS z FROM raster_cell GROUP BY 1, 2), f AS (SELECT site_id, x / 20 - 0.5 AS fx, 50 - y / 20 - 0.5 AS fy FROM site_point),
+@query("raster_resample_bilinear", duck(*_V, then=""", m AS (SELECT row_ix, col_ix, max(z) AS z FROM raster_cell GROUP BY 1, 2), f AS (SELECT site_id, x - 0.5 AS fx, 50 - y - 0.5 AS fy FROM grid_point),
  n AS (SELECT site_id, (floor(fx) + j)::BIGINT AS col_ix, (floor(fy) + i)::BIGINT AS row_ix, (CASE WHEN j = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN i = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM f, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
  SELECT site_id, round(sum(w * z) / nullif(sum(w), 0), 6) AS z FROM n JOIN m USING (row_ix, col_ix) GROUP BY 1"""))
 def raster_resample_bilinear(spark, sf):
@@ -68,9 +68,9 @@ def _centres(spark, sf):
 _CEN = ", cen AS (SELECT (col_ix + 0.5::DOUBLE) * 20 AS x, (49.5::DOUBLE - row_ix) * 20 AS y, max(z) AS z, row_ix, col_ix FROM raster_cell GROUP BY row_ix, col_ix)"
 
 
-@query("zonal_stats", duck("raster_cell", "cell_box", then=_CEN + " SELECT cell_id, count(z) AS n_pix, round(min(z), 6) AS z_min, round(avg(z), 6) AS z_mean, round(median(z), 6) AS z_median, round(avg((z < 5)::INT), 6) AS low5_frac, round(avg((z < 10)::INT), 6) AS low10_frac FROM cell_box LEFT JOIN cen ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY 1"))
+@query("zonal_stats", duck("raster_cell", "zone_box", then=_CEN + " SELECT cell_id, count(z) AS n_pix, round(min(z), 6) AS z_min, round(avg(z), 6) AS z_mean, round(median(z), 6) AS z_median, round(avg((z < 5)::INT), 6) AS low5_frac, round(avg((z < 10)::INT), 6) AS low10_frac FROM zone_box LEFT JOIN cen ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY 1"))
 def zonal_stats(spark, sf):
-    return rounded(A.zonal(_centres(spark, sf), view(spark, sf, "cell_box"), 200.0))
+    return rounded(A.zonal(_centres(spark, sf), view(spark, sf, "zone_box"), 200.0))
 
 
 @query("idw_grid", duck("site_point", then=""", g AS (SELECT id % 20 AS col_ix, id // 20 AS row_ix, (id % 20 + 0.5::DOUBLE) * 50 AS x, (id // 20 + 0.5::DOUBLE) * 50 AS y FROM range(0, 400) r(id)),
@@ -81,28 +81,28 @@ def idw_grid(spark, sf):
     return rounded(A.idw_grid(p, 20, 20, 50.0, 12, 1.0, 300.0))
 
 
-_SWT = """, tr AS (SELECT cell_id AS transect_id, xmin + 30 AS start_x, ymin + 40 AS start_y, xmax - 20 AS end_x, ymax - 35 AS end_y FROM cell_box),
+_SWT = """, tr AS (SELECT cell_id AS transect_id, xmin + 30 AS start_x, ymin + 40 AS start_y, xmax - 20 AS end_x, ymax - 35 AS end_y FROM zone_box),
  sw AS (SELECT transect_id, row_ix, col_ix, z, ((x - start_x) * dx + (y - start_y) * dy) / l AS along, abs((x - start_x) * dy - (y - start_y) * dx) / l AS dto FROM (SELECT *, end_x - start_x AS dx, end_y - start_y AS dy, sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2) AS l FROM tr) t, cen
  WHERE abs((x - start_x) * dy - (y - start_y) * dx) / l <= 40 AND ((x - start_x) * dx + (y - start_y) * dy) / l BETWEEN 0 AND l)"""
 
 
 def _swath(spark, sf):
-    t = view(spark, sf, "cell_box").select(F.col("cell_id").alias("transect_id"), (F.col("xmin") + 30).alias("start_x"), (F.col("ymin") + 40).alias("start_y"), (F.col("xmax") - 20).alias("end_x"), (F.col("ymax") - 35).alias("end_y"))
+    t = view(spark, sf, "zone_box").select(F.col("cell_id").alias("transect_id"), (F.col("xmin") + 30).alias("start_x"), (F.col("ymin") + 40).alias("start_y"), (F.col("xmax") - 20).alias("end_x"), (F.col("ymax") - 35).alias("end_y"))
     return A.swath(_centres(spark, sf), t, 40.0, 200.0)
 
 
-@query("swath_sample", duck("raster_cell", "cell_box", then=_CEN + _SWT + " SELECT transect_id, row_ix, col_ix, round(z, 6) AS z, round(along, 6) AS along, round(dto, 6) AS dist_to FROM sw"))
+@query("swath_sample", duck("raster_cell", "zone_box", then=_CEN + _SWT + " SELECT transect_id, row_ix, col_ix, round(z, 6) AS z, round(along, 6) AS along, round(dto, 6) AS dist_to FROM sw"))
 def swath_sample(spark, sf):
     return rounded(_swath(spark, sf).select("transect_id", "row_ix", "col_ix", "z", "along", F.col("to").alias("dist_to")))
 
 
-@query("swath_idw", duck("raster_cell", "cell_box", then=_CEN + _SWT + """, nd AS (SELECT *, unnest(range(greatest(ceil((along - 40) / 20), 0)::BIGINT, greatest(floor((along + 40) / 20), 0)::BIGINT + 1)) AS ix FROM sw)
+@query("swath_idw", duck("raster_cell", "zone_box", then=_CEN + _SWT + """, nd AS (SELECT *, unnest(range(greatest(ceil((along - 40) / 20), 0)::BIGINT, greatest(floor((along + 40) / 20), 0)::BIGINT + 1)) AS ix FROM sw)
  SELECT transect_id, ix, round(sum(z / greatest((along - ix * 20) ** 2 + dto ** 2, 1e-6)) / sum(1 / greatest((along - ix * 20) ** 2 + dto ** 2, 1e-6)), 6) AS z, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max, round(stddev_pop(z), 6) AS z_std, count(*) AS n FROM nd WHERE abs(along - ix * 20) < 40 GROUP BY 1, 2"""))
 def swath_idw(spark, sf):
     return rounded(A.swath_profile(_swath(spark, sf), ["transect_id"], 20.0, 40.0))
 
 
-@query("swath_percentiles", duck("raster_cell", "cell_box", then=_CEN + _SWT + " SELECT transect_id, round(quantile_cont(z, 0.16), 8) AS p16, round(median(z), 8) AS p50, round(quantile_cont(z, 0.84), 8) AS p84, round(avg(z), 8) AS mean, round(stddev_pop(z), 8) AS std FROM sw GROUP BY 1"))
+@query("swath_percentiles", duck("raster_cell", "zone_box", then=_CEN + _SWT + " SELECT transect_id, round(quantile_cont(z, 0.16), 8) AS p16, round(median(z), 8) AS p50, round(quantile_cont(z, 0.84), 8) AS p84, round(avg(z), 8) AS mean, round(stddev_pop(z), 8) AS std FROM sw GROUP BY 1"))
 def swath_percentiles(spark, sf):
     q = F.percentile("z", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("q")
     s = _swath(spark, sf).groupBy("transect_id").agg(q, F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"))

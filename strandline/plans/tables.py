@@ -51,30 +51,29 @@ def scan_raster_by_name(spark, sf):
 
 @query("scan_ascii_grid", duck("raster_cell", then=" SELECT col_ix::INT AS col_ix, row_ix::INT AS row_ix, round((col_ix + 0.5) * 5, 6) AS x, round((50 - row_ix - 0.5) * 5, 6) AS y, round(max(z), 6) AS z FROM raster_cell GROUP BY ALL"))
 def scan_ascii_grid(spark, sf):
-    """The raster's tiles written as ASCII grids of 50 by 50 cells and read back; where tiles overlap, the highest cell."""
+    """The raster's tiles written as ASCII grids of 50 by 22 cells and read back; where tiles overlap, the highest cell."""
     import uuid
 
     from strandline.functions.stage import shared_folder
     from strandline.sources.files import read_ascii_grid
 
     cells = view(spark, sf, "raster_cell")
-    ix = F.sequence(F.lit(0), F.lit(49))
-    whole = cells.select("tile").distinct().select("tile", F.explode(ix).alias("row_ix")).select("tile", "row_ix", F.explode(ix).alias("col_ix"))
+    ix = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    whole = cells.select("tile").distinct().select("tile", ix(F.lit(0).cast("long"), 50).alias("row_ix")).select("tile", "row_ix", ix(F.col("tile") * 20, 22).alias("col_ix"))
     values = whole.join(cells, ["tile", "row_ix", "col_ix"], "left").groupBy("tile", "row_ix").agg(F.array_sort(F.collect_list(F.struct("col_ix", F.coalesce("z", F.lit(-9999.0)).cast("string").alias("v")))).alias("c"))
     text = values.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("row_ix", F.array_join("c.v", " ").alias("line")))).alias("r"))
-    head = "ncols 50\nnrows 50\nxllcorner 0\nyllcorner 0\ncellsize 5\nNODATA_value -9999\n"
+    head = F.format_string("ncols 22\nnrows 50\nxllcorner %d\nyllcorner 0\ncellsize 5\nNODATA_value -9999\n", F.col("tile") * 100)
     path = f"{shared_folder(spark)}/strandline-tables/{spark.sparkContext.applicationId}/grids-{uuid.uuid4().hex}"
-    text.select("tile", F.concat(F.lit(head), F.array_join("r.line", "\n")).alias("value")).repartition("tile").write.partitionBy("tile").text(path)
-    return rounded(read_ascii_grid(spark, path).groupBy("col_ix", "row_ix", "x", "y").agg(F.max("z").alias("z")))
+    text.select("tile", F.concat(head, F.array_join("r.line", "\n")).alias("value")).repartition("tile").write.partitionBy("tile").text(path)
+    return rounded(read_ascii_grid(spark, path).groupBy(F.floor(F.col("x") / 5).cast("int").alias("col_ix"), "row_ix", "x", "y").agg(F.max("z").alias("z")))
 
 
-@query("rsl_sample", duck("rsl_dim", "raster_cell", "site_point", then=""", pt AS (SELECT site_id, floor(x / 20)::BIGINT AS col_ix, floor(50 - y / 20)::BIGINT AS row_ix FROM site_point), m AS (SELECT row_ix, col_ix, max(z) AS z FROM raster_cell GROUP BY 1, 2)
+@query("rsl_sample", duck("rsl_dim", "raster_cell", "grid_point", then=""", pt AS (SELECT site_id, floor(x)::BIGINT AS col_ix, floor(50 - y)::BIGINT AS row_ix FROM grid_point), m AS (SELECT row_ix, col_ix, max(z) AS z FROM raster_cell GROUP BY 1, 2)
  SELECT site_id, scenario, percentile, proj_year, round(level + z / 1000, 9) AS level FROM pt JOIN m USING (row_ix, col_ix), rsl_dim"""))
 def rsl_sample(spark, sf):
     from strandline.operators import raster as A
 
-    p = view(spark, sf, "site_point").select("site_id", (F.col("x") / 20).alias("x"), (F.col("y") / 20).alias("y"))
-    at = A.locate(p, 0.0, 50.0, 1.0).join(A.mosaic_max(view(spark, sf, "raster_cell")), ["row_ix", "col_ix"])
+    at = A.locate(view(spark, sf, "grid_point"), 0.0, 50.0, 1.0).join(A.mosaic_max(view(spark, sf, "raster_cell")), ["row_ix", "col_ix"])
     return rounded(at.crossJoin(F.broadcast(view(spark, sf, "rsl_dim"))).select("site_id", "scenario", "percentile", "proj_year", (F.col("level").cast("double") + F.col("z") / 1000).alias("level")), 9)
 
 

@@ -23,8 +23,14 @@ VIEWS = {
       row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq, c_acctbal FROM {customer}) q""",
     "profile": """SELECT transect_id, ix, CAST(5 * ix AS DOUBLE) AS dist, CAST(z AS DOUBLE) AS z FROM (SELECT user_id AS transect_id,
       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix, value / 40 AS z FROM {events}) q""",
-    "raster_cell": """SELECT o_orderkey % 4 AS tile, o_orderkey % 50 AS row_ix, CAST(FLOOR(o_orderkey / 50) AS BIGINT) % 50 AS col_ix,
-      CAST(MIN(o_totalprice) / 10000 - 2 AS DOUBLE) AS z FROM {orders} GROUP BY o_orderkey % 4, o_orderkey % 50, CAST(FLOOR(o_orderkey / 50) AS BIGINT) % 50""",
+    # A strip of 50 rows that lengthens with the orders, in tiles of 20 columns; a tile's first two columns lie in the tile before too, at other heights.
+    "raster_cell": """SELECT CAST(FLOOR(col_ix / 20) AS BIGINT) - k AS tile, row_ix, col_ix, z + k * (row_ix % 3 - 1) * 0.5E0 AS z FROM (SELECT o_orderkey % 50 AS row_ix,
+      CAST(FLOOR(o_orderkey / 50) AS BIGINT) AS col_ix, CAST(MIN(o_totalprice) / 10000 - 2 AS DOUBLE) AS z FROM {orders} GROUP BY o_orderkey % 50, CAST(FLOOR(o_orderkey / 50) AS BIGINT)) q
+      CROSS JOIN (VALUES (0), (1)) AS e(k) WHERE k = 0 OR (col_ix >= 20 AND col_ix % 20 < 2)""",
+    # Points in units of cells and zones along that strip.
+    "grid_point": """SELECT vec_id AS site_id, CAST({e0} AS DOUBLE) * 50 + 25 + CAST(FLOOR(vec_id / 50) * 25 AS DOUBLE) AS x, CAST({e1} AS DOUBLE) * 50 + 25 AS y FROM {embeddings}""",
+    "zone_box": """SELECT s_suppkey AS cell_id, CAST(FLOOR(s_suppkey / 5) * 200 AS DOUBLE) AS xmin, CAST(s_suppkey % 5 * 200 AS DOUBLE) AS ymin,
+      CAST(FLOOR(s_suppkey / 5) * 200 + 200 AS DOUBLE) AS xmax, CAST(s_suppkey % 5 * 200 + 200 AS DOUBLE) AS ymax FROM {supplier}""",
     "cell_box": """SELECT n_nationkey AS cell_id, CAST(n_nationkey % 5 * 200 AS DOUBLE) AS xmin, CAST(FLOOR(n_nationkey / 5) * 200 AS DOUBLE) AS ymin,
       CAST(n_nationkey % 5 * 200 + 200 AS DOUBLE) AS xmax, CAST(FLOOR(n_nationkey / 5) * 200 + 200 AS DOUBLE) AS ymax FROM {nation}""",
     "site_point": """SELECT vec_id AS site_id, CAST({e0} AS DOUBLE) * 1000 + 500 AS x, CAST({e1} AS DOUBLE) * 1000 + 500 AS y, label FROM {embeddings}""",
