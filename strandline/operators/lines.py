@@ -233,3 +233,31 @@ def merge_snap(nodes: DataFrame, distance: float) -> DataFrame:
     snap = pairs.groupBy("line_id").agg(F.first("s0").alias("seq"), F.min(F.struct("distance", "other", "qx", "qy")).alias("b")).select("line_id", "seq", F.col("b.qx").alias("_x"), F.col("b.qy").alias("_y"))
     moved = nodes.join(snap, ["line_id", "seq"], "left").select("line_id", "seq", F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
     return merge_touching(moved)
+
+
+def make_simple(nodes: DataFrame, g: float) -> DataFrame:
+    """Lines without loops: where a line crosses itself, it goes on from its last pass there.
+
+    The crossing point takes the place of the nodes of the loop.  Loops are
+    taken in order along the line, so crossings inside a loop that is gone no
+    longer count, and no two pieces that stay cross.  A ring that only closes
+    at its ends stays whole; pieces that run over each other stay.  Segments
+    meet in grid cells of width ``g``; ``seq`` counts without gaps.
+    """
+    from strandline.operators.spatial import intersections
+
+    c = F.col
+    seg = segments(nodes).withColumn("ends", F.max("seq").over(Window.partitionBy("line_id")) - 1).filter("x2 is not null")
+    a, b = (seg.select("line_id", c("seq").alias(s), c("x").alias(f"{s}x1"), c("y").alias(f"{s}y1"), c("x2").alias(f"{s}x2"), c("y2").alias(f"{s}y2"), c("ends").alias(f"{s}_ends")) for s in "ab")
+    closing = (c("a") == 0) & (c("t") == 0) & (c("b") == c("b_ends")) & (c("u") == 1)
+    met = intersections(a, b, g, ["line_id"]).filter((c("b") > c("a") + 1) & ~closing)
+    met = met.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct((c("a") + c("t")).alias("begin"), (-c("b") - c("u")).alias("end"), c("ix").alias("x"), c("iy").alias("y")))).alias("met"))
+    walk = F.aggregate(
+        "met", F.struct(F.lit(-1.0).alias("at"), F.filter("met", lambda m: F.lit(False)).alias("loops")),
+        lambda s, m: F.when(m["begin"] >= s["at"], F.struct((-m["end"]).alias("at"), F.concat(s["loops"], F.array(m)).alias("loops"))).otherwise(s))
+    loops = met.select("line_id", walk["loops"].alias("loops"))
+    kept = nodes.join(loops, "line_id", "left").filter(~F.coalesce(F.exists("loops", lambda m: (m["begin"] < c("seq")) & (c("seq") <= -m["end"])), F.lit(False)))
+    kept = kept.select("line_id", c("seq").cast("double").alias("at"), "x", "y")
+    # A crossing on a node is there already.
+    points = loops.select("line_id", F.explode("loops").alias("m")).filter("m.begin > floor(m.begin)").select("line_id", c("m.begin").alias("at"), "m.x", "m.y")
+    return kept.unionByName(points).select("line_id", (F.row_number().over(Window.partitionBy("line_id").orderBy("at")) - 1).alias("seq"), "x", "y")

@@ -165,7 +165,48 @@ def barriers(profile: DataFrame, keys: list[str], mhws: float, rounds: int = 60,
     rows = rows.filter("top > toe and top < last").withColumn("reach", F.get("p", "top")["d"] + 300)
     rows = rows.withColumn("m", F.array_max(F.transform(F.filter("p", lambda a: a["d"] <= F.col("reach")), lambda a: a["i"])))
     rows = rows.withColumn("m", _once(F.when(F.col("m") == F.col("top"), F.col("last")).otherwise(F.col("m"))))
-    top, m = F.col("top"), F.col("m")
+    return _with_backs(rows, keys, rounds, step)
+
+
+def barriers_window(profile: DataFrame, keys: list[str], mhws: float, least: float = 0.001, rounds: int = 60, step: float = 5.0) -> DataFrame:
+    """As ``barriers``, for profiles cut to a window: the front toe starts at the highest point and moves seaward.
+
+    The toe moves to the lowest residual of the chord from the first node to
+    itself while that lies more than ``least`` under it, and never stays
+    landward of the top.  The first toe under mean high water moves, once, to
+    the node nearest that level (or the one before if that is above it), and
+    stays.  The back is looked for up to the last node.
+    """
+    rows = pack(profile.filter("z >= 0"), keys).withColumns({"hi": _highest(F.col("p")), "last": F.size("p") - 1})
+    rows = rows.filter((F.col("hi") > 0) & (F.get("p", "hi")["z"] >= mhws))
+    p, zero = F.col("p"), F.lit(0)
+
+    def front(s: Column) -> Column:
+        def on_top(t: Column) -> Column:
+            ok = (t["i"] > 0) & (t["i"] < s["top"]) & (t["r"] > 0.001) & (F.get(p, t["i"])["z"] > mhws)
+            return let(F.when(ok, t["i"]).otherwise(s["top"]), lambda top: let(_extreme(p, zero, s["toe"], zero, s["toe"], -1), lambda b: on_low(top, b)))
+
+        def on_low(top: Column, b: Column) -> Column:
+            free = (b["i"] < s["toe"]) & (b["r"] > least) & ~s["level"]
+            return let(F.least(F.when(free, b["i"]).otherwise(s["toe"]), top), lambda low: on_level(top, low))
+
+        def on_level(top: Column, low: Column) -> Column:
+            under = ~s["level"] & (F.get(p, low)["z"] < mhws)
+            between = F.slice(p, low + 1, F.greatest(s["toe"] - low + 1, F.lit(1)))
+            nearest = -F.array_max(F.transform(between, lambda a: F.struct((-F.abs(a["z"] - mhws)).alias("z"), (-a["i"]).alias("i"))))["i"]
+            return let(F.when(under, let(nearest, lambda n: F.when(F.get(p, n)["z"] > mhws, n - 1).otherwise(n))).otherwise(low), lambda toe: F.struct(
+                top.alias("top"), toe.alias("toe"), (s["level"] | under).alias("level"), ((top != s["top"]) | (toe != s["toe"])).alias("moved")))
+
+        return let(_extreme(p, zero, s["top"], zero, s["top"], 1), on_top)
+
+    start = F.struct(F.col("hi").alias("top"), F.col("hi").alias("toe"), F.lit(False).alias("level"), F.lit(True).alias("moved"))
+    rows = rows.withColumn("s", _repeat(start, front, rounds)).withColumns({"top": F.col("s.top"), "toe": F.col("s.toe"), "m": F.col("last")})
+    return _with_backs(rows.filter("top > toe and top < last"), keys, rounds, step)
+
+
+def _with_backs(rows: DataFrame, keys: list[str], rounds: int, step: float) -> DataFrame:
+    """The measures of barriers with a known front (p, top, toe, last), the back being looked for up to node ``m``."""
+    p, zero, top, m = F.col("p"), F.lit(0), F.col("top"), F.col("m")
 
     def back(s: Column) -> Column:
         def on_toe(b: Column) -> Column:

@@ -27,13 +27,13 @@ def bucketed(df: DataFrame, x0: str, y0: str, x1: str, y1: str, g: float, pad: f
     return df.withColumn("_c", F.explode(_cells(F.col(x0), F.col(x1), F.col(y0), F.col(y1), g, pad))).select(*df.columns, "_c.gx", "_c.gy")
 
 
-def intersections(a: DataFrame, b: DataFrame, g: float) -> DataFrame:
+def intersections(a: DataFrame, b: DataFrame, g: float, on: list[str] | None = None) -> DataFrame:
     """Crossing points of segments ``a`` (ax1, ay1, ax2, ay2) and ``b`` (bx1 …).
 
     Returns all columns of both with t and u in [0, 1] along each and the point
-    (ix, iy).  A pair counts in the cell of its crossing point alone.
+    (ix, iy).  With ``on``, only pairs equal in those columns meet.  A pair counts in the cell of its crossing point alone.
     """
-    met = bucketed(a, "ax1", "ay1", "ax2", "ay2", g).join(bucketed(b, "bx1", "by1", "bx2", "by2", g), ["gx", "gy"])
+    met = bucketed(a, "ax1", "ay1", "ax2", "ay2", g).join(bucketed(b, "bx1", "by1", "bx2", "by2", g), [*(on or []), "gx", "gy"])
     c = F.col
     dax, day, dbx, dby = c("ax2") - c("ax1"), c("ay2") - c("ay1"), c("bx2") - c("bx1"), c("by2") - c("by1")
     det = dax * dby - day * dbx

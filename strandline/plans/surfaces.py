@@ -177,7 +177,7 @@ def barrier_detect(spark, sf):
 
 @query("barrier_detect_window")
 def barrier_detect_window(spark, sf):
-    return rounded(R.barriers(_soft(spark, sf).filter("ix > 0 and dist between 20 and 350"), _P, 1.0))
+    return rounded(R.barriers_window(_soft(spark, sf).filter("ix > 0 and dist between 20 and 350"), _P, 1.0))
 
 
 @query("barrier_elevations")

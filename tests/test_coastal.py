@@ -141,6 +141,15 @@ def test_triangle_barrier(spark):
     assert R.widths(profile(spark, z), K, 3.0).first()["n"] == 1
 
 
+def test_window_moves_the_front_toe_seaward(spark):
+    p = profile(spark, [0.2, 0.5, 0.7, 1.2, 4, 5, 4, 2, 1.5, 1.4])
+    # Landward from the sea the toe stops at its first node over the level; seaward from the top it goes on to the last node under it.
+    assert R.barriers(p, K, 1.0).first()["toe_dist"] == 15
+    r = R.barriers_window(p, K, 1.0).first()
+    assert (r["toe_dist"], r["top_dist"], r["toe_z"]) == (10, 25, 0.7)
+    assert R.barriers_window(p, K, 1.0, least=0.5).first()["toe_dist"] == 15
+
+
 @pytest.mark.parametrize("z", [[2.0] * 12, [None] * 12, []])
 def test_flat_and_empty_profiles_have_nothing(spark, z):
     p = profile(spark, z)
@@ -201,6 +210,18 @@ def test_square_patch_area(spark):
     assert U.patch_area(v, K).first()["area"] == 4.0
 
 
+def test_loops_are_cut_at_their_crossing(spark):
+    line = lambda i, *xy: [(i, n, float(x), float(y)) for n, (x, y) in enumerate(xy)]
+    rows = line(1, (0, 0), (10, 0), (10, 5), (5, 5), (5, -5), (20, -5)) + line(2, (0, 0), (4, 0), (4, 4), (0, 4), (0, 0)) + line(3, (0, 0), (5, 0), (9, 1))
+    # A loop inside a loop goes with it; a second one after it is cut too.
+    rows += line(4, (0, 0), (20, 0), (20, 9), (14, 9), (14, 4), (17, 4), (17, 6), (10, 6), (10, -6), (30, -6), (30, 3), (25, 3), (25, -9))
+    got = {}
+    for r in L.make_simple(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 7.0).orderBy("line_id", "seq").collect():
+        got.setdefault(r["line_id"], []).append((r["seq"], r["x"], r["y"]))
+    want = {1: [(0, 0), (5, 0), (5, -5), (20, -5)], 2: [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], 3: [(0, 0), (5, 0), (9, 1)], 4: [(0, 0), (10, 0), (10, -6), (25, -6), (25, -9)]}
+    assert got == {k: [(n, float(x), float(y)) for n, (x, y) in enumerate(v)] for k, v in want.items()}
+
+
 def test_dropped_overlaps_leave_no_crossing(spark):
     t = spark.createDataFrame([("a", i) for i in range(5)], "line_id string, transect_id int")
     pairs = spark.createDataFrame([("a", 0, 1, 5.0, 9.0), ("a", 1, 2, 9.0, 4.0), ("a", 3, 4, 1.0, 1.0)], "line_id string, a int, b int, la double, lb double")
