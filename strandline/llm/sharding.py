@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.llm.common import durable, small
+
 #: Rows of a block, as a target: it decides how many blocks there are.
 BLOCK_ROWS = 65_536
 #: Blocks at least, so that small inputs still use many tasks.
@@ -169,6 +171,34 @@ def communication_matrix(counts: DataFrame, levels: int, shards: int, seed: int)
     return level.select((F.col("node") - 2**levels).alias("block"), running.alias("cuts"))
 
 
+def _body(held: DataFrame) -> Column:
+    """A hash of the whole row but its maps, which Spark doesn't hash."""
+    return F.xxhash64(*[F.col(f"row.`{f.name}`") for f in held.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()])
+
+
+def _in_blocks(held: DataFrame, own: list[Column], blocks: int, seed: int, block_rows: int) -> DataFrame:
+    """(row, block, born): every row of ``held`` (row) in the block that its key falls into.
+
+    A key of more than ``block_rows`` rows would fill one block.  Its rows are
+    counted where they are equal, before they are exchanged, and made again in
+    parts of ``block_rows``; each falls into a block of its own draw.  ``born``
+    tells them apart and is 0 for all other rows.  There are at most as many
+    such keys as blocks.
+    """
+    at = lambda *parts: F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *own, *parts), F.lit(blocks))
+    marked = held.withColumn("mark", F.xxhash64(*own))
+    hot = durable(marked.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("mark"), "sharding-hot")
+    if not hot.limit(1).count():
+        return held.select("row", at().alias("block"), F.lit(0).cast("long").alias("born"))
+    hot = small(hot)
+    rest = marked.join(hot, "mark", "left_anti").select("row", at().alias("block"), F.lit(0).cast("long").alias("born"))
+    equal = marked.join(hot, "mark", "left_semi").groupBy("row").agg(F.count("*").alias("n"))
+    parts = equal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_rows)))).repartition("part", _body(held))
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * block_rows + 1, F.least("n", (F.col("part") + 1) * block_rows))))
+    born = copies.select("row", F.xxhash64(_body(held), "copy").alias("born"))
+    return rest.unionByName(born.select("row", at("born").alias("block"), "born"))
+
+
 def uniform_shards(
     docs: DataFrame, shards: int, *, key: list[str], seed: int = 20_240_607,
     block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS,
@@ -179,9 +209,10 @@ def uniform_shards(
     are numbered, so copies too go to places of their own.  Nulls are values
     like any other.  ``slot`` counts from 0 without gaps in each shard.
     Columns ``shard`` and ``slot`` of the input are replaced.  An empty input
-    gives an empty result with the same columns.  The input is counted once
-    (its block sizes) and exchanged twice, by block and by place in the shard;
-    no window spans more than one block or one slice of a shard.
+    gives an empty result with the same columns.  The input is counted twice
+    (its keys and its block sizes) and exchanged twice, by block and by place
+    in the shard; no window spans more than one block or one slice of a shard,
+    also where one row is repeated without end.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     n = docs.count()
@@ -191,9 +222,10 @@ def uniform_shards(
     own = [F.col(f"row.`{k}`") for k in key]
     mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *own)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    blocks = held.select("row", F.pmod(mix("block"), F.lit(2**levels)).alias("block"))
-    copy = Window.partitionBy("block", *own).orderBy("block")
-    rows = blocks.withColumn("copy", F.row_number().over(copy)).select("row", "block", F.xxhash64(mix("first"), "copy").alias("first"), F.xxhash64(mix("second"), "copy").alias("second"))
+    blocks = _in_blocks(held, own, 2**levels, seed, block_rows)
+    # Rows equal in the key alone are numbered in an order of their own, the same on every run.
+    copy = Window.partitionBy("block", *own).orderBy("born", _body(held))
+    rows = blocks.withColumn("copy", F.row_number().over(copy)).select("row", "block", F.xxhash64(mix("first"), "copy").alias("first"), F.xxhash64(mix("second"), "copy", "born").alias("second"))
     counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
     cuts = communication_matrix(counts, levels, shards, seed)
     local = Window.partitionBy("block").orderBy("first", *own)

@@ -98,6 +98,21 @@ def test_copies_are_spread(spark):
     assert (a.groupby("shard").size() == 100).all() and not a.duplicated(["shard", "slot"]).any()
 
 
+def test_a_row_repeated_beyond_a_block_is_spread(spark):
+    docs = spark.range(900).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 400, "t").when(F.col("id") < 600, "u").alias("text"))
+    key = [F.col("row.doc_id")]
+    blocks = sharding._in_blocks(docs.select(F.struct("doc_id", "text").alias("row")), key, 16, 3, 50).groupBy("block").count().toPandas()["count"]
+    assert len(blocks) == 16 and blocks.sum() == 900 and blocks.max() < 110
+    a = sharding.uniform_shards(docs, 6, key=["doc_id"], block_rows=50, least_blocks=16).toPandas()
+    assert (a.groupby("shard").size() == 150).all() and not a.duplicated(["shard", "slot"]).any()
+    assert a.fillna({"text": ""}).groupby(["doc_id", "text"]).size().to_dict() == {(1, "t"): 400, (1, "u"): 200, **{(i, ""): 1 for i in range(600, 900)}}
+    # Two thirds of the rows stand next to each other as often as chance has it.
+    one = a.sort_values(["shard", "slot"]).doc_id.to_numpy() == 1
+    assert abs((one[1:] & one[:-1]).mean() - 4 / 9) < 0.06
+    again = sharding.uniform_shards(docs.repartition(5), 6, key=["doc_id"], block_rows=50, least_blocks=16).toPandas()
+    assert a.fillna("").sort_values(["shard", "slot"]).to_numpy().tolist() == again.fillna("").sort_values(["shard", "slot"]).to_numpy().tolist()
+
+
 def test_shard_digest_edges(spark, edge, empty):
     got = sharding.shard_digest(edge).toPandas()
     assert len(got) == edge.count() and not got.duplicated(["shard", "slot"]).any()
