@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontamination, lines, mixing
+from strandline.llm import decontamination, lines, mixing, ranking
 
 
 def oracle_sql() -> dict[str, str]:
@@ -10,4 +10,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontamination.ORACLE,
         "op7_mixing": mixing.ORACLE,
         "op10_line_dedup": lines.ORACLE,
+        "op13_ranked_search": ranking.ORACLE,
     }
