@@ -81,6 +81,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all embeddings."""
+    from strandline.llm.whitening import whitened_components
+
+    return whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
     from strandline.llm.ranking import rank_documents
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
+        "op11_whitening": op11_whitening,
         "op13_ranked_search": op13_ranked_search,
         "pipeline": pipeline,
     }
