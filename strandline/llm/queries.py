@@ -88,6 +88,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold marks of the template, formatted in windows and read back."""
+    from strandline.llm.chat import chat_digest
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.sql("SELECT -1L, turn, role, '</s>[INST] ok [/INST]' FROM VALUES (0L, 'user'), (1L, 'assistant') AS t (turn, role)")
+    return chat_digest(turns.union(marked))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
     from strandline.llm.ranking import rank_documents
@@ -115,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
         "op11_whitening": op11_whitening,
+        "op12_chat_windows": op12_chat_windows,
         "op13_ranked_search": op13_ranked_search,
         "pipeline": pipeline,
     }
