@@ -127,7 +127,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, block_docs: int = BLOCK_
     schema = f"block long, term long, at array<int>, times array<int>, size array<int>, ids array<{ids.simpleString()}>"
     index = docs.select("doc_id", "text").mapInArrow(post, schema)
     if known is None:
-        index = index.join(vocabulary.select("term").distinct(), "term", "left_semi").unionByName(index.filter("term is null"))
+        every = durable(index, "ranking-every")
+        index = every.join(vocabulary.select("term").distinct(), "term", "left_semi").select(every.columns).unionByName(every.filter("term is null"))
     return durable(index, "ranking-index")
 
 
