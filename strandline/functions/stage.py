@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side that may be broadcast: those of a dimension, packed or not.
+FEW = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else left to Spark's own choice of join."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.deviates import key_words, normals
+from strandline.functions.stage import few
+
 YEAR = 365.2425
 
 
@@ -29,24 +32,28 @@ def calibration_rslr(latest: Column, hist_mm: Column, date2: Column, l1: Column,
     return hist_mm / 1000 + (first - hist_mm / 1000) * F.coalesce(share, F.lit(0.0))
 
 
-def levels_at(rsl: DataFrame, latest: DataFrame, keys: list[str], place: list[str] | None = None) -> DataFrame:
-    """Level at each series' latest date for every scenario and percentile, clamped at the ends.
+def _level(p: str, field: str) -> Column:
+    """``field`` of the dated entries ``p`` at latest_date: linear between dates, clamped at the ends."""
+    before = F.array_max(F.filter(p, lambda a: a["proj_date"] <= F.col("latest_date")))
+    after = F.array_min(F.filter(p, lambda a: a["proj_date"] >= F.col("latest_date")))
+    span = F.datediff(after["proj_date"], before["proj_date"]).cast("double")
+    inside = before[field] + (after[field] - before[field]) * F.datediff("latest_date", before["proj_date"]) / F.nullif(span, F.lit(0.0))
+    return F.coalesce(inside, before[field], after[field])
+
+
+def with_levels(state: DataFrame, rsl: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """``state`` with scenario, percentile and ``p``, the array of (proj_date, level) in order, for each of them.
 
     ``rsl`` (scenario, percentile, proj_date, level) is a dimension of a few
-    rows for each scenario, packed into one array for each.  With ``place``,
-    columns of both sides, it holds levels for each place instead, and the two
-    are joined on them by Spark's own choice of join.
+    rows for each scenario.  With ``place``, columns of both sides, it holds
+    levels for each place instead, and the two are joined on them by Spark's
+    own choice of join.  ``level0`` is the level at latest_date, ``first`` and
+    ``second`` are the first two entries of ``p``.
     """
     place = place or []
     packed = rsl.groupBy(*place, "scenario", "percentile").agg(F.array_sort(F.collect_list(F.struct("proj_date", "level"))).alias("p"))
-    own = latest.select(*keys, *[c for c in place if c not in keys], "latest_date")
-    pairs = own.join(packed, place) if place else own.crossJoin(F.broadcast(packed))
-    before = F.array_max(F.filter("p", lambda a: a["proj_date"] <= F.col("latest_date")))
-    after = F.array_min(F.filter("p", lambda a: a["proj_date"] >= F.col("latest_date")))
-    rows = pairs.withColumns({"a": before, "b": after})
-    span = F.datediff("b.proj_date", "a.proj_date").cast("double")
-    inside = F.col("a.level") + (F.col("b.level") - F.col("a.level")) * F.datediff("latest_date", "a.proj_date") / F.nullif(span, F.lit(0.0))
-    return rows.select(*keys, "scenario", "percentile", F.coalesce(inside, F.col("a.level"), F.col("b.level")).alias("level0"), F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
+    rows = state.join(packed, place) if place else state.crossJoin(few(packed))
+    return rows.withColumns({"level0": _level("p", "level"), "first": F.get("p", F.lit(0)), "second": F.get("p", F.lit(1))})
 
 
 def _clamped(raw: Column) -> Column:
@@ -63,14 +70,13 @@ def bruun(state: DataFrame, rsl: DataFrame, keys: list[str], place: list[str] |
     limits defence and rock (null: none).  Sea levels are one dimension for all
     series, or those of each series' ``place``.
     """
-    base = state.join(levels_at(rsl, state, keys, place), keys)
+    base = with_levels(state, rsl, place)
     c = F.col
     h = -c("rate")
     s = F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01))
     rc = calibration_rslr(c("latest_date"), c("hist_rslr"), c("second.proj_date"), c("first.level"), c("second.level"), c("first.proj_date"))
     base = base.withColumns({"h": h, "s": s}).withColumn("v", c("depth") * c("h") + c("depth") / c("s") * rc)
-    dates = base.join(rsl, [*place, "scenario", "percentile"]) if place else base.join(F.broadcast(rsl), ["scenario", "percentile"])
-    rows = dates.withColumn("dt", F.datediff("proj_date", "latest_date") / YEAR)
+    rows = base.withColumn("x", F.explode("p")).withColumns({"proj_date": c("x.proj_date"), "level": c("x.level")}).withColumn("dt", F.datediff("proj_date", "latest_date") / YEAR)
     change = -(c("level") - c("level0")) / c("s") + c("v") * c("dt") / c("depth")
     raw = c("latest_distance") - change
     d = F.when(c("dt") <= 0, c("latest_distance")).otherwise(_clamped(raw))
@@ -92,40 +98,45 @@ def first_erosion(future: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "scenario", "percentile").agg(F.min(F.when(F.col("distance") > F.col("before"), F.year("proj_date"))).alias("first_year"))
 
 
-def normal(key: Column, sample: Column, stream: int) -> Column:
-    """A standard normal deviate from two modular generators (Box-Muller), the same in any SQL."""
-    u = lambda a: (F.pmod((key * 7919 + sample * 104729 + (stream * 2 + a) * 15485863) * 48271 % 2147483647, F.lit(2147483647)) + 0.5) / 2147483647.0
-    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1))
+#: The 95 % point of the normal law.
+Z95 = 1.6448536269514722
 
 
-def monte_carlo(state: DataFrame, rsl: DataFrame, keys: list[str], samples: int = 100, shares: tuple[float, ...] = (0.025, 0.16, 0.5, 0.84, 0.975)) -> DataFrame:
-    """Percentiles of the future distance for each scenario and date: (keys, scenario, proj_date, q).
+def monte_carlo(
+    state: DataFrame, rsl: DataFrame, keys: list[str], samples: int = 100, shares: tuple[float, ...] = (0.025, 0.16, 0.5, 0.84, 0.975), place: list[str] | None = None,
+) -> DataFrame:
+    """Percentiles of the future distance for each scenario and date: (keys, scenario, proj_date, latest_distance, q).
 
     ``state`` is that of ``bruun`` with rate_se and residual_se; its first key
-    is a whole number that seeds the deviates.  A sample draws one rate, one
-    residual and one sea-level score for all dates: the level is the median
-    plus score times spread, with the spread from the 5th and 95th percentile.
-    Samples stay in one array for each row, so nothing is exploded or shuffled
-    for them; percentiles are interpolated between sorted samples.
+    is a whole number that seeds the deviates together with the scenario.  A
+    sample draws one rate, one residual and one sea-level score for all dates:
+    the level is the median plus score times spread, with the spread from the
+    5th and 95th percentile.  Samples stay in one array for each row, so nothing
+    is exploded or shuffled for them; percentiles are interpolated between
+    sorted samples.  Series without rate, rate_se or residual_se have none.
     """
     c = F.col
+    place = place or []
     level = lambda p: F.max(F.when(c("percentile") == p, c("level")))
-    both = rsl.groupBy("scenario", "proj_date").agg(level(50).alias("mid"), ((level(95) - level(5)) / (2 * 1.64485)).alias("spread"))
-    parts = {"mid": both.select("scenario", F.lit(50).alias("percentile"), "proj_date", c("mid").alias("level")), "spread": both.select("scenario", F.lit(50).alias("percentile"), "proj_date", c("spread").alias("level"))}
-    at = {n: levels_at(p, state, keys).select(*keys, "scenario", F.struct("level0", c("first.level").alias("l1"), c("second.level").alias("l2"), c("first.proj_date").alias("d1"), c("second.proj_date").alias("d2")).alias(n)) for n, p in parts.items()}
-    seed = c(keys[0])
-    noise = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long")), lambda k: F.struct(
-        (c("rate") + normal(seed, k, 0) * c("rate_se")).alias("rate"), (normal(seed, k, 1) * c("residual_se")).alias("residual"), normal(seed, k, 2).alias("z")))
-    base = state.withColumn("noise", noise).join(at["mid"], keys).join(at["spread"], [*keys, "scenario"]).withColumn("s", F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01)))
-    rows = base.join(F.broadcast(both.withColumnsRenamed({"mid": "mid_level", "spread": "spread_level"})), "scenario").withColumn("dt", F.datediff("proj_date", "latest_date") / YEAR)
+    both = rsl.groupBy(*place, "scenario", "proj_date").agg(level(50).alias("mid"), ((level(95) - level(5)) / (2 * Z95)).alias("spread"))
+    packed = both.groupBy(*place, "scenario").agg(F.array_sort(F.collect_list(F.struct("proj_date", "mid", "spread"))).alias("p"))
+    known = state.filter("rate is not null and rate_se is not null and residual_se is not null")
+    base = known.join(packed, place) if place else known.crossJoin(few(packed))
+    # A row costs thousands of steps but few bytes: dealt by number, small partitions aren't joined to one.
+    base = base.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "scenario").withColumn("_key", key_words(c(keys[0]), c("scenario")))
+    noise = F.transform(normals(c("_key"), samples, 3), lambda n: F.named_struct(F.lit("rate"), c("rate") + n[0] * c("rate_se"), F.lit("residual"), n[1] * c("residual_se"), F.lit("z"), n[2]))
+    base = base.withColumns({
+        "noise": noise, "s": F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01)), "first": F.get("p", F.lit(0)), "second": F.get("p", F.lit(1)),
+        "mid0": _level("p", "mid"), "spread0": _level("p", "spread")})
+    rows = base.withColumn("x", F.explode("p")).withColumn("dt", F.datediff("x.proj_date", "latest_date") / YEAR)
 
     # A sampled position is linear in its rate and score, so each row holds the factors and samples take a few steps each.
-    years = lambda hist, n: calibration_rslr(c("latest_date"), hist, c("mid.d2"), c(f"{n}.l1"), c(f"{n}.l2"), c("mid.d1"))
-    moved = lambda level, n, hist: (c(level) - c(f"{n}.level0")) / c("s") - years(hist, n) / c("s") * c("dt")
-    rows = rows.select(*keys, "scenario", "proj_date", "noise", "dt", "latest_distance", "defence", "rock",
-                       (c("latest_distance") + moved("mid_level", "mid", c("hist_rslr"))).alias("base"), moved("spread_level", "spread", F.lit(0.0)).alias("by_score"))
+    years = lambda hist, n: calibration_rslr(c("latest_date"), hist, c("second.proj_date"), c(f"first.{n}"), c(f"second.{n}"), c("first.proj_date"))
+    moved = lambda n, hist: (c(f"x.{n}") - c(f"{n}0")) / c("s") - years(hist, n) / c("s") * c("dt")
+    rows = rows.select(*keys, "scenario", c("x.proj_date").alias("proj_date"), "noise", "dt", "latest_distance", "defence", "rock",
+                       (c("latest_distance") + moved("mid", c("hist_rslr"))).alias("base"), moved("spread", F.lit(0.0)).alias("by_score"))
     distance = lambda x: F.when(c("dt") <= 0, c("latest_distance")).otherwise(_clamped(c("base") + c("dt") * x["rate"] + c("by_score") * x["z"])) + x["residual"]
-    sorted_samples = rows.select(*keys, "scenario", "proj_date", F.array_sort(F.transform("noise", distance)).alias("d"))
+    sorted_samples = rows.select(*keys, "scenario", "proj_date", "latest_distance", F.sort_array(F.transform("noise", distance)).alias("d"))
 
     def quantile(q: float) -> Column:
         at = q * (samples - 1)
@@ -133,4 +144,4 @@ def monte_carlo(state: DataFrame, rsl: DataFrame, keys: list[str], samples: int
         below, above = F.get("d", F.lit(low)), F.get("d", F.lit(min(low + 1, samples - 1)))
         return below + (above - below) * (at - low)
 
-    return sorted_samples.select(*keys, "scenario", "proj_date", F.array(*[quantile(q) for q in shares]).alias("q"))
+    return sorted_samples.select(*keys, "scenario", "proj_date", "latest_distance", F.array(*[quantile(q) for q in shares]).alias("q"))

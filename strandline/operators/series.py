@@ -147,6 +147,17 @@ def time_weighted(obs: DataFrame, keys: list[str], tau: float = 10.0) -> DataFra
 METHODS = ("EPR", "OLS", "OLS5", "OLS10", "TheilSen", "TWR")
 
 
+def rates(obs: DataFrame, keys: list[str], method: str = "TWR", tau: float = 10.0) -> DataFrame:
+    """The rates of one method, with rate_se and residual_se (null where the method has none)."""
+    fits = {
+        "EPR": lambda: end_point(obs, keys), "OLS": lambda: least_squares(obs, keys), "OLS5": lambda: least_squares(obs, keys, 5),
+        "OLS10": lambda: least_squares(obs, keys, 10), "TheilSen": lambda: theil_sen(obs, keys), "TWR": lambda: time_weighted(obs, keys, tau)}
+    if method not in fits:
+        raise ValueError(f"no such method: {method}")
+    fit = fits[method]()
+    return fit.withColumns({c: F.lit(None).cast("double") for c in ("rate_se", "residual_se") if c not in fit.columns})
+
+
 def all_rates(obs: DataFrame, keys: list[str], tau: float = 10.0) -> DataFrame:
     """(keys, method, rate, rate_se, rate_unc, residual_se, intercept, r2, n) for all six methods.
 

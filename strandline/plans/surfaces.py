@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.deviates import duck_keys, duck_uniform
 from strandline.functions.output import rounded
+from strandline.functions.stage import few
 from strandline.operators import profiles as R
 from strandline.operators import project as J
 from strandline.operators import raster as A
 from strandline.operators import runs as U
 from strandline.operators import series as S
+from strandline.plans import series as Y
 from strandline.plans.registry import query
 from strandline.sources.views import duck, view
 
@@ -275,14 +278,13 @@ def bruun_predict(spark, sf):
 
 @query("cross_scenarios", duck(*_VV, then=_ST + " SELECT series_id, count(*) AS n, count(DISTINCT scenario) AS scenarios FROM fu GROUP BY 1"))
 def cross_scenarios(spark, sf):
-    rows = _state(spark, sf).select("series_id").crossJoin(F.broadcast(_dim(spark, sf)))
+    rows = _state(spark, sf).select("series_id").crossJoin(few(_dim(spark, sf)))
     return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.countDistinct("scenario").alias("scenarios"))
 
 
 @query("calibration_rslr", duck(*_VV, then=_ST + " SELECT series_id, scenario, percentile, round(rc * 1000, 6) AS rate_mm FROM b0"))
 def calibration_rslr(spark, sf):
-    s = _state(spark, sf)
-    b = s.join(J.levels_at(_dim(spark, sf), s, ["series_id"]), "series_id")
+    b = J.with_levels(_state(spark, sf), _dim(spark, sf))
     c = F.col
     rc = J.calibration_rslr(c("latest_date"), c("hist_rslr"), c("second.proj_date"), c("first.level"), c("second.level"), c("first.proj_date"))
     return rounded(b.select("series_id", "scenario", "percentile", (rc * 1000).alias("rate_mm")))
@@ -323,22 +325,26 @@ def sink_future_transects(spark, sf):
     return rounded(p.select("series_id", "scenario", *[F.col(f"{y}_{c}").alias(f"{c}_{y}") for c in ("dist", "rsl") for y in (2050, 2100)]))
 
 
-_MC = _ST + """, fit AS (SELECT series_id, regr_slope(y, x) * 365.25 AS fit_rate, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)) AS rse, sqrt(greatest(0, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) * 365.25 AS se
- FROM (SELECT series_id, date_diff('day', DATE '1970-01-01', obs_date)::DOUBLE AS x, value AS y FROM obs) GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
- sm AS (SELECT fit.*, k, """ + ", ".join(f"sqrt(-2 * ln((((series_id * 7919 + k * 104729 + {s * 2} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) * cos(2 * pi() * ((((series_id * 7919 + k * 104729 + {s * 2 + 1} * 15485863) * 48271 % 2147483647) + 0.5) / 2147483647.0)) AS n{s}" for s in (0, 1, 2)) + """ FROM fit, range(1, 101) r(k)),
- sp AS (SELECT scenario, proj_date, max(level) FILTER (percentile = 50) AS mid, (max(level) FILTER (percentile = 95) - max(level) FILTER (percentile = 5)) / (2 * 1.64485) AS spread FROM dim GROUP BY 1, 2),
- ls AS (SELECT scenario, min(proj_date) AS d1, (list(proj_date ORDER BY proj_date))[2] AS d2, (list(mid ORDER BY proj_date))[1] AS m1, (list(mid ORDER BY proj_date))[2] AS m2, (list(spread ORDER BY proj_date))[1] AS s1, (list(spread ORDER BY proj_date))[2] AS s2 FROM sp GROUP BY 1),
- m0 AS (SELECT st.*, sm.k, sm.fit_rate + n0 * se AS rk, n1 * rse AS rest, n2 AS z, ls.scenario, d1, d2, m1 + n2 * s1 AS l1, m2 + n2 * s2 AS l2, greatest(least(hinterland, shoreface), 0.01) AS s FROM sm JOIN st USING (series_id), ls),
+_MC = _ST + Y._TWR + f""", sp AS (SELECT scenario, proj_date, max(level) FILTER (percentile = 50) AS mid, (max(level) FILTER (percentile = 95) - max(level) FILTER (percentile = 5)) / (2 * 1.6448536269514722) AS spread FROM dim GROUP BY 1, 2),
+ l0 AS (SELECT scenario, min(proj_date) AS d1, (list(proj_date ORDER BY proj_date))[2] AS d2, (list(mid ORDER BY proj_date))[1] AS m1, (list(mid ORDER BY proj_date))[2] AS m2, (list(spread ORDER BY proj_date))[1] AS s1, (list(spread ORDER BY proj_date))[2] AS s2 FROM sp GROUP BY 1),
+ ks AS (SELECT st.* EXCLUDE (rate), twr.rate AS fit_rate, rate_se AS se, residual_se AS rse, l0.* FROM st JOIN twr USING (series_id), l0 WHERE rate_se IS NOT NULL),
+ sm AS (SELECT *, """ + ", ".join(f"sqrt(-2 * ln({duck_uniform(f'k * 4 + {i}')})) * {f}(2 * pi() * {duck_uniform(f'k * 4 + {i + 1}')}) AS n{n}" for n, i, f in ((0, 0, "cos"), (1, 0, "sin"), (2, 2, "cos"))) + f""" FROM {duck_keys("ks", "series_id", "scenario")}, range(0, 100) r(k)),
+ m0 AS (SELECT sm.*, fit_rate + n0 * se AS rk, n1 * rse AS rest, n2 AS z, m1 + n2 * s1 AS l1, m2 + n2 * s2 AS l2, greatest(least(hinterland, shoreface), 0.01) AS s FROM sm),
  m1 AS (SELECT *, hist_rslr / 1000 + ((l2 - l1) / (date_diff('day', d1, d2) / 365.2425) - hist_rslr / 1000) * greatest(0, least(1, date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, (latest_date - INTERVAL 60 MONTH)::DATE) / date_diff('day', (latest_date - INTERVAL 120 MONTH)::DATE, d2)::DOUBLE)) AS rc FROM m0),
  m2 AS (SELECT m1.*, sp.proj_date, date_diff('day', latest_date, sp.proj_date) / 365.2425 AS dt, latest_distance - (-(mid + z * spread - l1) / s + (depth * -rk + depth / s * rc) * (date_diff('day', latest_date, sp.proj_date) / 365.2425) / depth) AS raw FROM m1 JOIN sp USING (scenario)),
- mc AS (SELECT series_id, scenario, proj_date, rest + CASE WHEN dt <= 0 THEN latest_distance WHEN defence IS NOT NULL AND raw > defence THEN defence WHEN rock IS NOT NULL AND raw > rock THEN rock ELSE raw END AS d FROM m2)"""
+ mc AS (SELECT series_id, scenario, proj_date, latest_distance, rest + CASE WHEN dt <= 0 THEN latest_distance WHEN defence IS NOT NULL AND raw > defence THEN defence WHEN rock IS NOT NULL AND raw > rock THEN rock ELSE raw END AS d FROM m2)"""
 
 
-@query("bruun_montecarlo", duck(*_VV, then=_MC + " SELECT series_id, scenario, proj_date, round(quantile_cont(d, 0.025), 5) AS q025, round(quantile_cont(d, 0.16), 5) AS q16, round(quantile_cont(d, 0.5), 5) AS q50, round(quantile_cont(d, 0.84), 5) AS q84, round(quantile_cont(d, 0.975), 5) AS q975 FROM mc GROUP BY 1, 2, 3"))
+def _sampled(spark, sf, method: str = "TWR"):
+    """Percentiles of the sampled projections by the rates of a method."""
+    fit = S.rates(view(spark, sf, "obs"), ["series_id"], method).select("series_id", "rate", "rate_se", "residual_se")
+    return J.monte_carlo(_state(spark, sf).drop("rate").join(fit, "series_id"), _dim(spark, sf), ["series_id"])
+
+
+@query("bruun_montecarlo", duck(*_VV, then=_MC + " SELECT series_id, scenario, proj_date, round(quantile_cont(d, 0.025), 4) AS q025, round(quantile_cont(d, 0.16), 4) AS q16, round(quantile_cont(d, 0.5), 4) AS q50, round(quantile_cont(d, 0.84), 4) AS q84, round(quantile_cont(d, 0.975), 4) AS q975 FROM mc GROUP BY 1, 2, 3"))
 def bruun_montecarlo(spark, sf):
-    fit = S.least_squares(view(spark, sf, "obs"), ["series_id"]).filter("rate_se is not null").select("series_id", "rate", "rate_se", "residual_se")
-    q = J.monte_carlo(_state(spark, sf).drop("rate").join(fit, "series_id"), _dim(spark, sf), ["series_id"])
-    return rounded(q.select("series_id", "scenario", "proj_date", *[F.col("q")[i].alias(n) for i, n in enumerate(("q025", "q16", "q50", "q84", "q975"))]), 5)
+    q = _sampled(spark, sf)
+    return rounded(q.select("series_id", "scenario", "proj_date", *[F.col("q")[i].alias(n) for i, n in enumerate(("q025", "q16", "q50", "q84", "q975"))]), 4)
 
 
 # Runs along lines of 50 series
