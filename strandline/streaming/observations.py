@@ -1,35 +1,92 @@
 """Incremental forms of the series operators for feeds of observations.
 
-The reference behaviour these extend is the sorted insert where an observation
-of the same date replaces the one before, whatever the order of arrival.
+A series is keyed state: a map of date to observation, and the sums its rates
+follow from.  An observation of a date that is there already takes the place of
+the one before if it arrived later, whatever the order in which they come: what
+the old one added to the sums is taken back, so a batch costs what it brings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from strandline.operators.series import YEAR, days
 
+#: The state store that keeps maps by key.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGE = "obs_date date, value double, error double, source string"
+
 
 def tumbling(stream: DataFrame, time: str, late: str, width: str, keys: list[str], value: str) -> DataFrame:
     """Count and mean of a value by window and keys, for batch or stream; late rows are dropped."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), *keys, "n", "mean")
 
 
-def sufficient(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Running sums from which end-point and least-squares rates follow, in update mode."""
-    x, y = days("obs_date") / YEAR - 25, F.col("value")
-    o = F.struct("obs_date", "value")
-    return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.min(o).alias("a"), F.max(o).alias("b"))
-
-
-def rates(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """End-point and least-squares rate from the running sums."""
-    c = F.col
-    det = c("n") * c("sxx") - c("sx") ** 2
-    years = F.datediff("b.obs_date", "a.obs_date") / YEAR
-    return sums.select(*keys, "n", ((c("b.value") - c("a.value")) / F.when(years > 0, years)).alias("epr"), F.when((c("n") >= 3) & (det > 0), (c("n") * c("sxy") - c("sx") * c("sy")) / det).alias("ols"))
+class _Series(StatefulProcessor):
+    """State of one series; each batch emits its rates and the observations that the batch changed."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("observations", "day int", "value double, error double, source string, arrival long")
+        self.sums = handle.getValueState("sums", "n long, sx double, sy double, sxx double, sxy double, first_day int, first_value double, last_day int, last_value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        brought: dict[int, tuple] = {}
+        order = lambda o: (o[3], o[0], o[2] is not None, o[2] or "")
+        for batch in rows:
+            for day, *o in zip(batch["day"].tolist(), batch["value"].tolist(), batch["error"].tolist(), batch["source"].tolist(), batch["arrival"].tolist(), strict=True):
+                o[1], o[2] = (None if pd.isna(x) else x for x in o[1:3])
+                if day not in brought or order(o) > order(brought[day]):
+                    brought[day] = tuple(o)
+        n, sx, sy, sxx, sxy, first, first_value, last, last_value = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0, 0.0, 0.0, None, None, None, None)
+        changed = []
+        for day, o in sorted(brought.items()):
+            old = self.held.getValue((day,)) if n and first <= day <= last else None
+            if old is not None and order(tuple(old)) >= order(o):
+                continue
+            self.held.updateValue((day,), o)
+            x, y = day / YEAR - 25, o[0]
+            if old is None:
+                n, sx, sxx = n + 1, sx + x, sxx + x * x
+            gain = y - (old[0] if old is not None else 0.0)
+            sy, sxy = sy + gain, sxy + x * gain
+            first, first_value = (day, y) if first is None or day <= first else (first, first_value)
+            last, last_value = (day, y) if last is None or day >= last else (last, last_value)
+            changed.append({"obs_date": pd.Timestamp(day, unit="D").date(), "value": y, "error": o[1], "source": o[2]})
+        if not changed:
+            return
+        self.sums.update((n, sx, sy, sxx, sxy, first, first_value, last, last_value))
+        spread = n * sxx - sx * sx
+        epr = (last_value - first_value) / ((last - first) / YEAR) if last > first else None
+        ols = (n * sxy - sx * sy) / spread if n >= 3 and spread > 0 else None
+        yield pd.DataFrame([{**dict(zip(self.keys, key, strict=True)), "n": n, "epr": epr, "ols": ols, "changes": changed}])
+
+    def close(self) -> None:
+        pass
+
+
+def observed(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, epr, ols, changes) of every series that a batch of observations changes, in update mode.
+
+    ``stream`` has obs_date, value, error, source and arrival.  Of one date the
+    last arrival counts, then the larger value, then the larger source.  Rates
+    are those of all that a series has so far: end points, and least squares
+    from three dates.  ``changes`` holds the batch's new and replacing
+    observations.  Rows without date, value or arrival are dropped.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = stream.filter("obs_date is not null and value is not null and arrival is not null").select(*keys, days("obs_date").cast("int").alias("day"), F.col("value").cast("double").alias("value"), F.col("error").cast("double").alias("error"), "source", F.col("arrival").cast("long").alias("arrival"))
+    named = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(_Series(keys), StructType.fromDDL(f"{named}, n long, epr double, ols double, changes array<struct<{_CHANGE.replace(' ', ': ').replace(',:', ',')}>>"), "Update", "None")
 
 
 def append_batch(path: str):
@@ -57,6 +114,13 @@ def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "obs_date").agg(last.alias("o")).select(*keys, "obs_date", "o.value", "o.error", "o.source", "o.arrival")
 
 
+def changed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Every observation as the batches of ``observed`` that ``append_batch`` wrote left it."""
+    rows = spark.read.parquet(path).select(*keys, "batch", F.explode("changes").alias("o")).select(*keys, "batch", "o.*")
+    last = F.max_by(F.struct("value", "error", "source"), "batch")
+    return rows.groupBy(*keys, "obs_date").agg(last.alias("o")).select(*keys, "obs_date", "o.*")
+
+
 def updated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row of each key over the batches of a stream in update mode that ``append_batch`` wrote."""
     rows = spark.read.parquet(path)
