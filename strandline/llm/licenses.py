@@ -3,7 +3,8 @@
 A notice that occurs with at most k edits holds at least one of any k + 1
 pieces of it unchanged (pigeonhole).  One automaton finds all pieces of all
 notices in a single pass; around each hit, bounded-error matching of the
-``regex`` library verifies the edits and gives the span.  Texts are searched as
+``regex`` library verifies the edits and gives the span, which must be of whole
+words and hold the words that name the licence unedited.  Texts are searched as
 their lower-cased words with one blank between, so line breaks and punctuation
 inside a notice cost no edits.
 """
@@ -29,17 +30,65 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "spdx license identifier mit": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "released under the isc license": "isc",
+    "licensed under the isc license": "isc",
+    "spdx license identifier isc": "isc",
     "licensed under the apache license version 2 0": "apache",
+    "released under the apache license version 2 0": "apache",
+    "spdx license identifier apache 2 0": "apache",
     "this work is licensed under the gnu general public license version 3": "gpl",
+    "this work is licensed under the gnu general public license version 2": "gpl-2",
     "under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "under the terms of the gnu general public license version 2": "gpl-2",
+    "under the terms of the gnu general public license version 3": "gpl-3",
+    "spdx license identifier gpl 2 0": "gpl-2",
+    "spdx license identifier gpl 3 0": "gpl-3",
     "gnu lesser general public license": "lgpl",
+    "spdx license identifier lgpl 2 1": "lgpl",
+    "spdx license identifier lgpl 3 0": "lgpl",
+    "gnu affero general public license": "agpl",
+    "spdx license identifier agpl 3 0": "agpl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3",
+    "released under the bsd 2 clause license": "bsd-2",
+    "released under the bsd 3 clause license": "bsd-3",
+    "licensed under the bsd 2 clause license": "bsd-2",
+    "licensed under the bsd 3 clause license": "bsd-3",
+    "spdx license identifier bsd 2 clause": "bsd-2",
+    "spdx license identifier bsd 3 clause": "bsd-3",
     "subject to the terms of the mozilla public license": "mpl",
+    "released under the mpl license": "mpl",
+    "licensed under the mpl license": "mpl",
+    "spdx license identifier mpl 2 0": "mpl",
+    "made available under the terms of the eclipse public license": "epl",
+    "released under the epl license": "epl",
+    "licensed under the epl license": "epl",
+    "spdx license identifier epl 2 0": "epl",
+    "licensed under cc by 4 0": "cc-by",
+    "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "licensed under a creative commons attribution": "cc-by",
+    "licensed under a creative commons attribution sharealike": "cc-by-sa",
+    "licensed under a creative commons attribution noncommercial": "cc-by-nc",
+    "licensed under a creative commons attribution noderivatives": "cc-by-nd",
+    "licensed under a creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "licensed under a creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "dedicated to the public domain under cc0": "cc0",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
+# Words that name a licence or its version. A span must hold exactly those of its notice, each unedited.
+NAMING = frozenset(
+    "mit isc apache gnu gpl lgpl agpl lesser affero bsd mpl mozilla epl eclipse cc cc0 by sa nc nd creative commons attribution sharealike noncommercial noderivatives noderivs share alike non commercial derivatives"
+    " unencumbered 0 1 2 3 4 5".split())
+# Of these, words that make another licence of the one they stand beside.
+MODIFIERS = frozenset("sa nc nd sharealike noncommercial noderivatives noderivs share non no".split())
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 
@@ -104,6 +153,46 @@ def notices(text: str, searched: tuple[str, ...] = tuple(NOTICES)) -> list[tuple
     return found
 
 
+def whole_notices(text: str, searched: tuple[str, ...] = tuple(NOTICES), naming: frozenset[str] = NAMING) -> list[tuple[str, int, int, int]]:
+    """(notice, start, end, edits) of spans of whole words that hold the ``naming`` words of their notice, in order, and no others.
+
+    A span that begins or ends inside a word takes that word in or leaves it
+    out, whichever costs fewer edits; the edits of all its words must be within
+    the notice's bound.  So no edit falls on the word that names the licence,
+    and a span beside a word that makes another licence of it is none.  Of spans
+    of different notices that overlap, that with the most characters stays,
+    an edit counting as many as allow one; then that with the fewest edits.
+    """
+    found = []
+    _, patterns = _search(searched)
+    for notice, start, end, _ in notices(text, searched):
+        start, end = start + len(text[start:end]) - len(text[start:end].lstrip(" ")), end - len(text[start:end]) + len(text[start:end].rstrip(" "))
+        before, after = text.rfind(" ", 0, start) + 1, text.find(" ", end) if " " in text[end:] else len(text)
+        begins = {before, start if before == start else text.find(" ", start) + 1 or len(text)}
+        ends = {after, end if after == end else text.rfind(" ", 0, end)}
+        best = None
+        for a in begins:
+            for b in ends:
+                if 0 <= a < b and (m := patterns[notice].fullmatch(text, a, b)) and (best is None or (sum(m.fuzzy_counts), a, b) < best):
+                    best = (sum(m.fuzzy_counts), a, b)
+        if best is None:
+            continue
+        edits, a, b = best
+        named = [w for w in notice.split() if w in naming]
+        if [w for w in text[a:b].split() if w in naming] != named:
+            continue
+        beside = {w for w in (*text[max(0, a - 40) : a].split()[-1:], *text[b : b + 40].split()[:1])}
+        if named and beside & MODIFIERS:
+            continue
+        found.append((CHARS_PER_EDIT * edits - len(notice), edits, a, b, notice))
+    kept: list[tuple[int, int, str, int]] = []
+    for _, edits, a, b, notice in sorted(found):
+        at = bisect.bisect(kept, (a,))
+        if all(y <= a or b <= x for x, y, *_ in kept[max(0, at - 1) : at + 1]):
+            kept.insert(at, (a, b, notice, edits))
+    return [(notice, a, b, edits) for a, b, notice, edits in kept]
+
+
 def base_places(text: str) -> list[tuple[int, str]]:
     """(word, label) of all exact places of the base phrases."""
     found, padded = [], f" {text} "
@@ -120,7 +209,7 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()),
 _BASE_PLACE = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
 
 
-def scan_licenses(docs: DataFrame, searched: dict[str, str] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, searched: dict[str, str] = NOTICES, naming: frozenset[str] = NAMING) -> DataFrame:
     """(doc_id, n_words, base, spans): exact places and fuzzy spans in every text.
 
     ``base`` holds the word where a base phrase begins and its label; ``spans``
@@ -130,7 +219,10 @@ def scan_licenses(docs: DataFrame, searched: dict[str, str] = NOTICES) -> DataFr
 
     ``searched`` gives the notices, as lower-cased words with one blank
     between, and their labels: a list that a task can hold, however long the
-    texts are.  ``notice_table`` makes one from a table.
+    texts are.  ``notice_table`` makes one from a table.  Which spans count is
+    said at ``whole_notices``; ``naming`` gives the words that must be unedited.
+    Texts are compared by bytes, so a letter of two bytes in place of another
+    costs two edits.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -147,11 +239,11 @@ def scan_licenses(docs: DataFrame, searched: dict[str, str] = NOTICES) -> DataFr
                     text = b" ".join(own).decode("latin-1")
                     n_words.append(len(own))
                     base.append([{"word": w, "label": x} for w, x in base_places(text)] if "license" in text else [])
-                    hits = notices(text, tuple(searched))
+                    hits = whole_notices(text, tuple(searched), naming)
                     blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32) if hits else None
                     word = lambda at: int(np.searchsorted(blanks, at))  # noqa: B023, E731
                     spans.append([
-                        {"label": searched[n], "first_word": word(s + (text[s : s + 1] == " ")), "last_word": word(e - (text[e - 1 : e] == " ")), "edits": k, "similarity": 1 - k / len(n)}
+                        {"label": searched[n], "first_word": word(s), "last_word": word(e - 1), "edits": k, "similarity": 1 - k / len(n)}
                         for n, s, e, k in hits
                     ])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(base, _BASE_PLACE), pa.array(spans, _SPAN)], names=["doc_id", "n_words", "base", "spans"])

@@ -335,6 +335,41 @@ def test_adjacent_notices_are_all_found():
     assert [k for *_, k in own(many)] == [1, 0, 1] * 20
 
 
+def test_every_notice_has_its_own_label_alone():
+    labels = lambda text: {licenses.NOTICES[n] for n, *_ in licenses.whole_notices(text)}
+    for notice, label in licenses.NOTICES.items():
+        assert labels(notice) == labels(f"some words {notice} and more") == {label}
+        for k, word in enumerate(notice.split()):
+            if word not in licenses.NAMING and len(word) > 3:
+                edited = " ".join([*notice.split()[:k], word[:-2] + "q" + word[-1], *notice.split()[k + 1 :]])
+                assert labels(edited) <= {label}
+    # Each naming word changed for each other: no notice gets the label of another licence.
+    for notice in licenses.NOTICES:
+        own = notice.split()
+        for k, word in enumerate(own):
+            for other in licenses.NAMING - {word} if word in licenses.NAMING else ():
+                text = " ".join([*own[:k], other, *own[k + 1 :]])
+                assert labels(text) <= {x for n, x in licenses.NOTICES.items() if f" {n} " in f" {text} "}, text
+    assert labels("licensed under cc by sa 4 0") == {"cc-by-sa"} and labels("licensed under cc by xx 4 0") == set()
+    assert labels("released under the mpl license") == {"mpl"} and labels("released under the xyz license") == set()
+    assert labels("licensed under a creative commons attribution non commercial license") == set()
+
+
+def test_spans_are_whole_words():
+    found = lambda text: [(n, text[a:b], k) for n, a, b, k in licenses.whole_notices(text)]
+    for text in ("overall rights reserved", "small lights reserved", "all rights reservedness", "tall rights reserve"):
+        assert found(text) == []
+    assert found("x all rights reserveds y") == [("all rights reserved", "all rights reserveds", 1)]
+    assert found("all rightsreserved") == [("all rights reserved", "all rightsreserved", 1)]
+    rng = random.Random(8)
+    for _ in range(200):
+        own = [rng.choice(["all", "rights", "reserved", "al", "right", "reservd", "over", "x"]) for _ in range(rng.randint(2, 9))]
+        text = " ".join(own)
+        runs = {" ".join(own[i:j]): edit_distance(" ".join(own[i:j]), "all rights reserved") for i in range(len(own)) for j in range(i + 1, len(own) + 1)}
+        got = found(text)
+        assert all(runs[part] == k <= 1 for _, part, k in got) and bool(got) == any(d <= 1 for d in runs.values())
+
+
 # Mixing
 
 
