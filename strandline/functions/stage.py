@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()).rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application that no one has written to yet, in the shared folder."""
+    return f"{shared_folder(spark)}/strandline-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)

@@ -62,6 +62,18 @@ def _clamped(raw: Column) -> Column:
     return F.when(c("defence").isNotNull() & (raw > c("defence")), c("defence")).when(c("rock").isNotNull() & (raw > c("rock")), c("rock")).otherwise(raw)
 
 
+def with_sampled_levels(state: DataFrame, sampled: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``with_levels``, from levels sampled for each series: (keys, levels), an array of (scenario, percentile, proj_date, level).
+
+    The array stays in the row of its series: nothing but ``state`` and the samples is shuffled.
+    """
+    rows = state.join(sampled.select(*keys, "levels"), keys).withColumn("_s", F.explode(F.array_distinct(F.transform("levels", lambda a: F.struct(a["scenario"], a["percentile"])))))
+    own = F.filter("levels", lambda a: (a["scenario"] == F.col("_s.scenario")) & (a["percentile"] == F.col("_s.percentile")))
+    p = F.array_sort(F.transform(own, lambda a: F.struct(a["proj_date"], a["level"])))
+    rows = rows.select(*state.columns, "_s.scenario", "_s.percentile", p.alias("p"))
+    return rows.withColumns({"level0": _level("p", "level"), "first": F.get("p", F.lit(0)), "second": F.get("p", F.lit(1))})
+
+
 def bruun(state: DataFrame, rsl: DataFrame, keys: list[str], place: list[str] | None = None) -> DataFrame:
     """Future distance and mean rate for each date of every scenario and percentile.
 
@@ -70,12 +82,15 @@ def bruun(state: DataFrame, rsl: DataFrame, keys: list[str], place: list[str] |
     limits defence and rock (null: none).  Sea levels are one dimension for all
     series, or those of each series' ``place``.
     """
-    base = with_levels(state, rsl, place)
+    return projected(with_levels(state, rsl, place), keys)
+
+
+def projected(base: DataFrame, keys: list[str]) -> DataFrame:
+    """``bruun`` of a state that has its levels."""
     c = F.col
-    h = -c("rate")
     s = F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01))
     rc = calibration_rslr(c("latest_date"), c("hist_rslr"), c("second.proj_date"), c("first.level"), c("second.level"), c("first.proj_date"))
-    base = base.withColumns({"h": h, "s": s}).withColumn("v", c("depth") * c("h") + c("depth") / c("s") * rc)
+    base = base.withColumns({"h": -c("rate"), "s": s}).withColumn("v", c("depth") * c("h") + c("depth") / c("s") * rc)
     rows = base.withColumn("x", F.explode("p")).withColumns({"proj_date": c("x.proj_date"), "level": c("x.level")}).withColumn("dt", F.datediff("proj_date", "latest_date") / YEAR)
     change = -(c("level") - c("level0")) / c("s") + c("v") * c("dt") / c("depth")
     raw = c("latest_distance") - change

@@ -23,6 +23,44 @@ def sample_or(points: DataFrame, cells: DataFrame, key: list[str], xmin: float,
     return points.select(*key).distinct().join(sample(points, cells, key, xmin, ymax, res), key, "left").withColumn("z", F.coalesce("z", F.lit(default)))
 
 
+def sample_stack(points: DataFrame, stack: DataFrame, keys: list[str], names: list[str], value: str, xmin: float, ymax: float, res: float) -> DataFrame:
+    """(keys, levels): the values of all rasters of a stack under each point, an array of (names, value).
+
+    ``stack`` holds cells (names, row_ix, col_ix, value).  A cell's values are
+    packed before points meet them, so each point is shuffled once however
+    many rasters there are.  Points without a cell have no row.
+    """
+    packed = stack.groupBy("row_ix", "col_ix").agg(F.array_sort(F.collect_list(F.struct(*names, value))).alias("levels"))
+    return locate(points, xmin, ymax, res).join(packed, ["row_ix", "col_ix"]).select(*keys, "levels")
+
+
+def first_below(transects: DataFrame, cells: DataFrame, keys: list[str], threshold: float, xmin: float, ymax: float, res: float, samples: int = 50) -> DataFrame:
+    """(keys, distance) of the first place along each transect whose value lies from 0 to under ``threshold``.
+
+    Transects (start_x, start_y, end_x, end_y) are sampled at ``samples`` places
+    from end to end; between the neighbours of the first hit the search is
+    repeated about every metre.  Transects without a hit, with one only at
+    their last sample, or none at the second search, are left out.
+    """
+    c = F.col
+    low = cells.filter((c("v") >= 0) & (c("v") < threshold)).select("row_ix", "col_ix")
+
+    def first(rows: DataFrame, kept: list[str]) -> DataFrame:
+        """The least ``_k`` of the rows (keys, kept, _part, _k) whose point is on a low cell."""
+        points = rows.withColumns({"x": c("start_x") + c("_part") * (c("end_x") - c("start_x")), "y": c("start_y") + c("_part") * (c("end_y") - c("start_y"))})
+        return locate(points, xmin, ymax, res).join(low, ["row_ix", "col_ix"]).groupBy(*keys, *kept).agg(F.min("_k").alias("_k"))
+
+    ends = ["start_x", "start_y", "end_x", "end_y"]
+    coarse = transects.select(*keys, *ends, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_k")).withColumn("_part", c("_k") / (samples - 1.0))
+    hit = first(coarse, ends).filter(c("_k") < samples - 1)
+    length = F.hypot(c("end_x") - c("start_x"), c("end_y") - c("start_y"))
+    hit = hit.select(*keys, *ends, length.alias("_length"), (F.greatest(c("_k") - 1, F.lit(0)) / (samples - 1.0)).alias("_a"), ((c("_k") + 1) / (samples - 1.0)).alias("_b"))
+    hit = hit.withColumn("_n", F.greatest(F.floor((c("_b") - c("_a")) * c("_length")), F.lit(2)))
+    fine = hit.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), c("_n") - 1))).withColumn("_part", c("_a") + (c("_b") - c("_a")) * c("_k") / (c("_n") - 1))
+    found = first(fine, ["_length", "_a", "_b", "_n"])
+    return found.select(*keys, (c("_length") * (c("_a") + (c("_b") - c("_a")) * c("_k") / (c("_n") - 1))).alias("distance"))
+
+
 def bilinear(points: DataFrame, cells: DataFrame, key: str, xmin: float, ymax: float, res: float) -> DataFrame:
     """Weighted mean of the four cell centres around each point; missing centres are left out."""
     fx, fy = (F.col("x") - xmin) / res - 0.5, (ymax - F.col("y")) / res - 0.5

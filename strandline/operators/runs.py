@@ -50,3 +50,32 @@ def patch_area(vertices: DataFrame, keys: list[str]) -> DataFrame:
 def between(front: DataFrame, back: DataFrame, keys: list[str]) -> DataFrame:
     """Vertices of the patches between two lines: one line, then the other reversed."""
     return front.select(*keys, F.col("seq").cast("long").alias("seq"), "x", "y").unionByName(back.select(*keys, (F.lit(2_000_000_000) - F.col("seq")).cast("long").alias("seq"), "x", "y"))
+
+
+def boundary_lines(rows: DataFrame, keys: list[str], order: str, erosion_only: bool = True) -> DataFrame:
+    """Vertices of two lines around a prediction, that meet at both ends of each run.
+
+    ``rows`` has recent, recent_x/y, and low, high with low_x/y and high_x/y
+    (null: no prediction).  Both begin at the recent position of the transect
+    before the run (else of its first) and end at that of the one after it
+    (else of its last), so the band tapers to nothing.
+    """
+    c = F.col
+    by = Window.partitionBy(*keys).orderBy(order)
+    near = rows.withColumns({f"_{n}_{x}": f(f"recent_{x}").over(by) for n, f in (("b", F.lag), ("a", F.lead)) for x in "xy"})
+    run = islands(near, keys, order, c("low_x").isNotNull() & c("high_x").isNotNull())
+    place = Window.partitionBy(*keys, "run").orderBy(order)
+    run = run.withColumns({"_first": F.row_number().over(place) == 1, "_last": F.lead(order).over(place).isNull()})
+
+    def at(side: str, x: str) -> Column:
+        return F.when((c(side) > c("recent")) | F.lit(not erosion_only), c(f"{side}_{x}")).otherwise(c(f"recent_{x}"))
+
+    def vertex(part: int, *xy: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), *[v.alias(n) for v, n in zip(xy, ("low_x", "low_y", "high_x", "high_y"), strict=True)])
+
+    def anchor(n: str) -> list[Column]:
+        return [F.coalesce(f"_{n}_{x}", f"recent_{x}") for x in "xy"] * 2
+
+    own = vertex(1, *[at(side, x) for side in ("low", "high") for x in "xy"])
+    parts = F.array(F.when(c("_first"), vertex(0, *anchor("b"))), own, F.when(c("_last"), vertex(2, *anchor("a"))))
+    return run.withColumn("v", F.explode(F.filter(parts, lambda v: v.isNotNull()))).select(*keys, "run", order, "v.*")

@@ -211,3 +211,22 @@ def interpolate(obs: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
     span = F.datediff("b.obs_date", "a.obs_date")
     inside = F.col("a.value") + (F.col("b.value") - F.col("a.value")) * F.datediff("at_date", "a.obs_date") / F.when(span > 0, span)
     return both.select(*keys, "at_date", F.coalesce(inside, F.col("a.value"), F.col("b.value")).alias("value"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` (keys, obs_date, value) with ``at_date`` and ``at_value``: the last of ``right`` at or before its date, else the first of all.
+
+    Both sides are sorted once by series and date; a date of both counts as at it.
+    """
+    rows = left.select(*keys, "obs_date", "value", F.lit(1).alias("_side"), F.lit(None).cast("struct<d: date, v: double>").alias("_o")).unionByName(
+        right.select(*keys, "obs_date", F.lit(None).cast("double").alias("value"), F.lit(0).alias("_side"), F.struct(F.col("obs_date").alias("d"), F.col("value").alias("v")).alias("_o")))
+    by = Window.partitionBy(*keys).orderBy("obs_date", "_side")
+    before = F.last("_o", True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_o", True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn("_at", F.coalesce(before, after)).filter("_side = 1").select(*keys, "obs_date", "value", F.col("_at.d").alias("at_date"), F.col("_at.v").alias("at_value"))
+
+
+def offset_of(second: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, offset): how far the first series lies past the second at the second's latest date, as of that date."""
+    newest = second.groupBy(*keys).agg(F.max(F.struct("obs_date", "value")).alias("o")).select(*keys, "o.obs_date", "o.value")
+    return as_of(newest, first, keys).filter("at_value is not null").select(*keys, (F.col("at_value") - F.col("value")).alias("offset"))

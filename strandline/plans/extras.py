@@ -52,12 +52,6 @@ def future_max_rate(spark, sf):
     return rounded(J.future_change(Z._future(spark, sf), K).groupBy("series_id").agg(F.max(F.abs("period_rate")).alias("max_rate")))
 
 
-@query("veg_edge_predict", duck(*Z._VV, then=Z._ST + " SELECT series_id, scenario, percentile, proj_date, round(distance - (latest_distance - 12), 6) AS distance FROM fu"))
-def veg_edge_predict(spark, sf):
-    f = Z._future(spark, sf)
-    return rounded(f.select("series_id", "scenario", "percentile", "proj_date", (F.col("distance") - (F.col("latest_distance") - 12)).alias("distance")))
-
-
 @query("shoreline_bathtub", duck("profile", "rsl_dim", then=""", pr AS (SELECT transect_id, scenario, proj_year, dist, z, level + 2.1 AS lv, lead(z) OVER w AS z2, lead(dist) OVER w AS d2, ix FROM profile, rsl_dim WHERE percentile = 50 AND proj_year IN (2050, 2100) WINDOW w AS (PARTITION BY transect_id, scenario, proj_year ORDER BY ix))
  SELECT transect_id, scenario, proj_year, round(arg_min(dist + abs((lv - z) / (z2 - z)) * (d2 - dist), ix), 6) AS position FROM pr WHERE (z > lv) <> (z2 > lv) AND z <> z2 GROUP BY 1, 2, 3"""))
 def shoreline_bathtub(spark, sf):
@@ -66,32 +60,12 @@ def shoreline_bathtub(spark, sf):
     return rounded(R.crossings(rows, ["transect_id", "scenario", "proj_year"], F.col("lv")).filter("number = 1").select("transect_id", "scenario", "proj_year", "position"))
 
 
-@query("sink_future_shorelines", duck(*Z._VV, then=Z._ST + " SELECT scenario, percentile, year(proj_date)::INT AS proj_year, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM fu GROUP BY 1, 2, 3"))
-def sink_future_shorelines(spark, sf):
-    return rounded(Z._future(spark, sf).groupBy("scenario", "percentile", F.year("proj_date").alias("proj_year")).agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance")))
-
-
-@query("sink_by_scenario_sheets", duck(*Z._VV, then=Z._ST + " SELECT scenario, count(*) FILTER (distance > latest_distance) AS eroding, count(*) AS n FROM fu GROUP BY 1"))
-def sink_by_scenario_sheets(spark, sf):
-    return Z._future(spark, sf).groupBy("scenario").agg(F.count_if(F.col("distance") > F.col("latest_distance")).alias("eroding"), F.count("*").alias("n"))
-
-
-@query("sink_transects_dispatch", duck("obs", then=" SELECT CASE WHEN series_id % 2 = 0 THEN 'flat' ELSE 'nested' END AS form, count(DISTINCT series_id) AS n FROM obs GROUP BY 1"))
-def sink_transects_dispatch(spark, sf):
-    return view(spark, sf, "obs").groupBy(F.when(F.col("series_id") % 2 == 0, "flat").otherwise("nested").alias("form")).agg(F.countDistinct("series_id").alias("n"))
-
-
 @query("sink_transect_points", duck("obs", then=" SELECT series_id, strftime(max(obs_date), '%Y-%m-%d') AS baseline, strftime(max(obs_date) - INTERVAL 60 MONTH, '%Y-%m-%d') AS calibration FROM obs GROUP BY 1"))
 def sink_transect_points(spark, sf):
     s = S.latest(view(spark, sf, "obs"), K)
     return s.select("series_id", F.date_format("latest_date", "yyyy-MM-dd").alias("baseline"), F.date_format(F.add_months("latest_date", -60), "yyyy-MM-dd").alias("calibration"))
 
 
-@query("sink_append_counts", duck("storm_in", then=" SELECT transect_id % 11 AS subcell, count(*) AS n, count(*) FILTER (barrier) AS barriers FROM storm_in GROUP BY 1"))
-def sink_append_counts(spark, sf):
-    return view(spark, sf, "storm_in").groupBy((F.col("transect_id") % 11).alias("subcell")).agg(F.count("*").alias("n"), F.count_if("barrier").alias("barriers"))
-
-
 # Lines through runs of transects
 
 _RUNQ = ", fm AS (SELECT line_id, run, series_id, recent, distance, recent_y FROM fn WHERE k >= 2)"
@@ -106,11 +80,6 @@ def future_proximity(spark, sf):
     return rounded(_runs(spark, sf).filter("distance > recent").select("line_id", "run", "series_id", (F.col("distance") + 10).alias("x")))
 
 
-@query("veg_edge_lines", duck(*Z._VV, then=Z._FL + _RUNQ + " SELECT line_id, run, series_id, round(distance - 12, 6) AS x FROM fm"))
-def veg_edge_lines(spark, sf):
-    return rounded(_runs(spark, sf).select("line_id", "run", "series_id", (F.col("distance") - 12).alias("x")))
-
-
 @query("error_lines", duck(*Z._VV, then=Z._FL + _RUNQ + " SELECT line_id, run, series_id, round(distance - 5, 6) AS low_x, round(distance + 5, 6) AS high_x FROM fm"))
 def error_lines(spark, sf):
     return rounded(_runs(spark, sf).select("line_id", "run", "series_id", (F.col("distance") - 5).alias("low_x"), (F.col("distance") + 5).alias("high_x")))
@@ -130,12 +99,6 @@ def range_lines(spark, sf):
     return rounded(f.groupBy(F.floor(F.col("series_id") / 200).alias("line_id"), "series_id").agg(F.min("distance").alias("low_x"), F.max("distance").alias("high_x")))
 
 
-@query("uncertainty_bounds", duck(*Z._VV, then=Z._ST + " SELECT series_id // 200 AS line_id, series_id, round(quantile_cont(distance, 0.16), 6) AS low_x, round(quantile_cont(distance, 0.84), 6) AS high_x FROM fu WHERE year(proj_date) = 2100 GROUP BY 1, 2"))
-def uncertainty_bounds(spark, sf):
-    f = Z._future(spark, sf).filter(F.year("proj_date") == 2100).groupBy(F.floor(F.col("series_id") / 200).alias("line_id"), "series_id").agg(F.percentile("distance", F.array(F.lit(0.16), F.lit(0.84))).alias("q"))
-    return rounded(f.select("line_id", "series_id", F.col("q")[0].alias("low_x"), F.col("q")[1].alias("high_x")))
-
-
 @query("extreme_lines", duck("profile", then=Z._CR + " SELECT transect_id // 50 AS line_id, transect_id, round(min(position), 6) AS front_x, round(max(position), 6) AS back_x FROM cr GROUP BY 1, 2 HAVING count(*) >= 2"))
 def extreme_lines(spark, sf):
     c = R.crossings(Z._profile(spark, sf), ["transect_id"], 3.0).groupBy(F.floor(F.col("transect_id") / 50).alias("line_id"), "transect_id").agg(F.min("position").alias("front_x"), F.max("position").alias("back_x"), F.count("*").alias("n"))
@@ -164,13 +127,6 @@ def swath_combined(spark, sf):
     return rounded(Z._swath(spark, sf).groupBy("transect_id", F.floor(F.col("along") / 20).alias("ix")).agg((F.sum(F.col("z") * w) / F.sum(w)).alias("z"), F.count("*").alias("n")))
 
 
-@query("rockhead_limit", duck("profile", then=", v AS (SELECT transect_id, ix, dist, z / 12 AS s FROM profile), f AS (SELECT transect_id, min(ix) FILTER (s >= 0 AND s < 0.1) AS ix, max(ix) AS last_ix FROM v GROUP BY 1) SELECT f.transect_id, round(CASE WHEN f.ix < last_ix THEN v.dist + 25 END, 6) AS limit_distance FROM f LEFT JOIN v ON v.transect_id = f.transect_id AND v.ix = f.ix"))
-def rockhead_limit(spark, sf):
-    v = Z._profile(spark, sf).withColumn("s", F.col("z") / 12)
-    first = F.min(F.when((F.col("s") >= 0) & (F.col("s") < 0.1), F.struct("ix", "dist"))).alias("f")
-    return rounded(v.groupBy("transect_id").agg(first, F.max("ix").alias("last")).select("transect_id", F.when(F.col("f.ix") < F.col("last"), F.col("f.dist") + 25).alias("limit_distance")))
-
-
 @query("point_lookup", duck("profile", then=" SELECT transect_id, round(max(z), 6) AS crest_z, min(dist) FILTER (z = zm) AS crest_dist FROM (SELECT *, max(z) OVER (PARTITION BY transect_id) AS zm FROM profile) GROUP BY 1"))
 def point_lookup(spark, sf):
     top = F.max(F.struct("z", (-F.col("dist")).alias("d"))).alias("t")
@@ -313,19 +269,6 @@ def sink_patches(spark, sf):
     return rounded(fields.groupBy("scenario", "year", "line_id", "run").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x")))
 
 
-_VEG = Z._ST + """, vy AS (SELECT series_id // 200 AS line_id, series_id, year(proj_date)::INT AS year, distance - 12 AS x, CASE WHEN series_id % 28 <> 0 THEN 1 END AS f FROM fu WHERE scenario = 8 AND percentile = 50),
- vr AS (SELECT *, sum(c) OVER (PARTITION BY line_id, year ORDER BY series_id) AS run FROM (SELECT *, CASE WHEN (f IS NOT NULL) IS DISTINCT FROM lag(f IS NOT NULL) OVER (PARTITION BY line_id, year ORDER BY series_id) THEN 1 ELSE 0 END AS c FROM vy)),
- vk AS (SELECT *, count(*) OVER (PARTITION BY line_id, year, run) AS k FROM vr WHERE f IS NOT NULL)"""
-
-
-@query("sink_future_veg", duck(*Z._VV, then=_VEG + " SELECT year, line_id, run, series_id, round(x, 6) AS x FROM vk WHERE k >= 2"))
-def sink_future_veg(spark, sf):
-    """Vegetation-edge lines of every projection year."""
-    f = Z._future(spark, sf).filter((F.col("scenario") == 8) & (F.col("percentile") == 50))
-    rows = f.select(F.year("proj_date").alias("year"), F.floor(F.col("series_id") / 200).alias("line_id"), "series_id", (F.col("distance") - 12).alias("x"), (F.col("series_id") % 28 != 0).alias("has"))
-    return rounded(U.islands(rows, ["line_id", "year"], "series_id", F.col("has")).select("year", "line_id", "run", "series_id", "x"))
-
-
 # Lines and transects
 
 
@@ -440,12 +383,6 @@ def line_make_simple(spark, sf):
 # Scalars
 
 
-@query("fn_source_name", "SELECT 'RSL_' || p_partkey AS name, p_partkey FROM part")
-def fn_source_name(spark, sf):
-    path = F.concat(F.lit("/data/layers/RSL_"), F.col("p_partkey").cast("string"), F.lit(".geojson"))
-    return spark.read.parquet(f"{sf}/part.parquet").select(F.regexp_extract(path, r"([^/]+)\.\w+$", 1).alias("name"), "p_partkey")
-
-
 @query("fn_round3", duck("obs", then=" SELECT series_id, round(avg(value), 3) AS mean3 FROM obs GROUP BY 1"))
 def fn_round3(spark, sf):
     return rounded(view(spark, sf, "obs").groupBy("series_id").agg(F.avg("value").alias("mean3")), 3)

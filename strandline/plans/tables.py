@@ -37,18 +37,6 @@ def scan_multipart_flatten(spark, sf):
     return flat.groupBy("line_id", "part").agg(F.count("*").alias("n"))
 
 
-@query("scan_dir_with_source", "SELECT 'part.parquet' AS source, count(*) AS n FROM part UNION ALL SELECT 'supplier.parquet', count(*) FROM supplier")
-def scan_dir_with_source(spark, sf):
-    counts = [spark.read.parquet(f"{sf}/{t}.parquet").select(F.lit(f"{t}.parquet").alias("source")) for t in ("part", "supplier")]
-    return counts[0].unionByName(counts[1]).groupBy("source").agg(F.count("*").alias("n"))
-
-
-@query("scan_raster_by_name", duck("rsl_dim", "site_point", then=" SELECT scenario, percentile, count(*) AS n, round(sum(level), 6) AS level FROM rsl_dim CROSS JOIN site_point WHERE scenario = 8 AND proj_year = 2050 GROUP BY 1, 2"))
-def scan_raster_by_name(spark, sf):
-    dim = view(spark, sf, "rsl_dim").filter("scenario = 8 and proj_year = 2050")
-    return rounded(view(spark, sf, "site_point").crossJoin(F.broadcast(dim)).groupBy("scenario", "percentile").agg(F.count("*").alias("n"), F.sum(F.col("level").cast("double")).alias("level")))
-
-
 @query("scan_ascii_grid", duck("raster_cell", then=" SELECT col_ix::INT AS col_ix, row_ix::INT AS row_ix, round((col_ix + 0.5) * 5, 6) AS x, round((50 - row_ix - 0.5) * 5, 6) AS y, round(max(z), 6) AS z FROM raster_cell GROUP BY ALL"))
 def scan_ascii_grid(spark, sf):
     """The raster's tiles written as ASCII grids of 50 by 22 cells and read back; where tiles overlap, the highest cell."""
@@ -68,15 +56,6 @@ def scan_ascii_grid(spark, sf):
     return rounded(read_ascii_grid(spark, path).groupBy(F.floor(F.col("x") / 5).cast("int").alias("col_ix"), "row_ix", "x", "y").agg(F.max("z").alias("z")))
 
 
-@query("rsl_sample", duck("rsl_dim", "raster_cell", "grid_point", then=""", pt AS (SELECT site_id, floor(x)::BIGINT AS col_ix, floor(50 - y)::BIGINT AS row_ix FROM grid_point), m AS (SELECT row_ix, col_ix, max(z) AS z FROM raster_cell GROUP BY 1, 2)
- SELECT site_id, scenario, percentile, proj_year, round(level + z / 1000, 9) AS level FROM pt JOIN m USING (row_ix, col_ix), rsl_dim"""))
-def rsl_sample(spark, sf):
-    from strandline.operators import raster as A
-
-    at = A.locate(view(spark, sf, "grid_point"), 0.0, 50.0, 1.0).join(A.mosaic_max(view(spark, sf, "raster_cell")), ["row_ix", "col_ix"])
-    return rounded(at.crossJoin(F.broadcast(view(spark, sf, "rsl_dim"))).select("site_id", "scenario", "percentile", "proj_year", (F.col("level").cast("double") + F.col("z") / 1000).alias("level")), 9)
-
-
 # Sinks give the rows that are written.
 
 

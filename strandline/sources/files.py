@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
@@ -34,6 +34,58 @@ def write_features(nodes: DataFrame, keys: list[str], path: str) -> None:
     lines_as_features(nodes, keys).select("feature").write.mode("overwrite").text(path)
 
 
+def write_layers(nodes: DataFrame, layer: str, keys: list[str], path: str) -> None:
+    """Lines of nodes (layer, keys, seq, x, y) as GeoJSON features, one file for each layer, named after it.
+
+    Spark writes a folder for each layer; its file is then moved to its name,
+    on the store itself.  There are as many moves as layers.
+    """
+    spark = nodes.sparkSession
+    rows = lines_as_features(nodes, [layer, *keys]).select(F.col(layer).alias("layer"), "feature")
+    rows.repartition("layer").write.mode("overwrite").partitionBy("layer").text(f"{path}/.parts")
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/.parts")):
+        name = folder.getPath().getName()
+        if name.startswith("layer="):
+            parts = sorted((f.getPath() for f in store.listStatus(folder.getPath())), key=lambda p: p.getName())
+            for i, part in enumerate(p for p in parts if p.getName().startswith("part-")):
+                store.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("layer=") + (f"-{i}" if i else "") + ".geojson"))
+    store.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/.parts"), True)
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    """(source, properties, seq, x, y) of the nodes of all layers of a folder; ``source`` is the name of the file that held them.
+
+    Files hold a GeoJSON feature a line, as ``write_layers`` makes them.
+    """
+    rows = spark.read.schema("properties map<string, string>, geometry struct<type: string, coordinates: array<array<double>>>").json(f"{path}/*.geojson")
+    # Names come as in a URL, in which a plus sign is one.
+    source = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    nodes = rows.filter("geometry.type = 'LineString'").select(source.alias("source"), "properties", F.posexplode("geometry.coordinates").alias("seq", "c"))
+    return nodes.select("source", "properties", "seq", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
+
+
+def base_name(path: Column) -> Column:
+    """The name of a file without folder and ending."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
+def write_as_named(rows: DataFrame, path: str, nested: str) -> DataFrame:
+    """``rows`` written in the form that ``path`` ends in, and read back: ``.csv`` flat, ``.json`` as they are, ``.parquet``.
+
+    A flat form has no room for the array ``nested``; its items become rows.
+    """
+    form = path.rsplit(".", 1)[-1]
+    if form == "csv":
+        rows = rows.select(*[c for c in rows.columns if c != nested], F.explode(nested).alias("_i")).select("*", "_i.*").drop("_i")
+    elif form not in ("json", "parquet"):
+        raise ValueError(f"no such form: {form}")
+    rows.write.mode("overwrite").format(form).save(path)
+    return rows.sparkSession.read.schema(rows.schema).format(form).load(path)
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells (tile, row_ix, col_ix, x, y, z) of ASCII grids; cells without data are dropped.
 

@@ -46,6 +46,16 @@ VIEWS = {
     "rsl_dim": """SELECT sc.scenario, pc.percentile, yr.y AS proj_year, 0.05E0 * sc.scenario * (yr.y - 2000) / 100 * (1 + pc.percentile / 100.0E0) AS level
       FROM (VALUES (2), (4), (8)) AS sc(scenario) CROSS JOIN (VALUES (5), (50), (95)) AS pc(percentile)
       CROSS JOIN (VALUES (2030), (2040), (2050), (2060), (2070), (2080), (2090), (2100)) AS yr(y)""",
+    # A stack of sea-level rasters by scenario, percentile and year: a strip of 5 rows that lengthens with the suppliers, with holes; and the places of series along it.
+    "level_cell": """SELECT scenario, percentile, proj_year, row_ix, col_ix, CAST(level AS DOUBLE) * (1 + row_ix * 0.02E0 + (col_ix % 11) * 0.01E0) AS level FROM (<rsl_dim>) d
+      CROSS JOIN (SELECT s_suppkey, s_suppkey % 5 AS row_ix, CAST(FLOOR(s_suppkey / 5) AS BIGINT) AS col_ix FROM {supplier}) c WHERE s_suppkey % 9 <> 0""",
+    "series_place": """SELECT p_partkey AS series_id, CAST(p_partkey * 2 + 7 AS DOUBLE) AS x, CAST(p_partkey % 997 AS DOUBLE) + 1.5E0 AS y FROM {part}""",
+    # A second series of positions: the vegetation edge.
+    "veg_raw": """SELECT l_partkey AS series_id, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 90 AS INT) AS obs_date, CAST(l_quantity AS DOUBLE) + 8 + CAST(l_tax AS DOUBLE) * 100 AS value, l_orderkey * 10 + l_linenumber AS arrival FROM {lineitem}""",
+    "veg": """SELECT series_id, obs_date, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, obs_date ORDER BY arrival DESC, value DESC) AS rn FROM (<veg_raw>) r) q WHERE rn = 1""",
+    # Depth of soft ground over rock, and transects across it.
+    "soft_cell": """SELECT row_ix, col_ix, MAX(z) / 5 AS v FROM (<raster_cell>) r GROUP BY row_ix, col_ix""",
+    "rock_transect": """SELECT p_partkey AS series_id, p_partkey * 1.4E0 AS start_x, 3.0E0 AS start_y, p_partkey * 1.4E0 + 120 AS end_x, 497.0E0 AS end_y FROM {part}""",
 }
 
 

@@ -13,7 +13,7 @@ from strandline.sources.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SOME = ["rate_all", "priority_index", "storm_regime", "segment_intersect", "extract_indicator", "zonal_stats", "bruun_predict", "future_shorelines", "profile_crossings", "summary_rollup", "ts_interp", "assign_nearest_cell", "barrier_detect_simple", "cliff_detect_binned", "profile_bins", "barrier_residuals", "line_make_simple", "raster_mosaic_max", "swath_idw", "scan_ascii_grid", "stream_obs_tumbling", "stream_rate_epr_ols", "stream_ts_upsert"]
+SOME = ["rate_all", "priority_index", "storm_regime", "segment_intersect", "extract_indicator", "zonal_stats", "bruun_predict", "future_shorelines", "profile_crossings", "summary_rollup", "ts_interp", "assign_nearest_cell", "barrier_detect_simple", "cliff_detect_binned", "profile_bins", "barrier_residuals", "line_make_simple", "raster_mosaic_max", "swath_idw", "scan_ascii_grid", "stream_obs_tumbling", "stream_rate_epr_ols", "stream_ts_upsert", "bruun_montecarlo", "scan_raster_by_name", "rsl_sample", "bruun_predict_place", "rockhead_limit", "uncertainty_bounds", "scan_dir_with_source", "layer_rates", "veg_edge_predict", "sink_future_veg", "sink_transects_dispatch", "sink_append_counts", "sink_by_scenario_sheets", "sink_future_shorelines"]
 
 
 @pytest.fixture(scope="module")
