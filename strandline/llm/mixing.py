@@ -64,8 +64,8 @@ def water_levels(sources: DataFrame) -> DataFrame:
     )
 
 
-def sized(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
-    """(doc_id, name, absent, size, key): what mixing needs of each document.
+def sized(docs: DataFrame, seed: int = SEED, weight: str | None = None, *also: str) -> DataFrame:
+    """(also, doc_id, name, absent, size, key): what mixing needs of each document.
 
     ``weight`` names a column of quality weights above 0 up to 1 (null: 1);
     without it the weight is the share of words against words and symbol marks.
@@ -77,52 +77,101 @@ def sized(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataF
     quality = F.coalesce(c(weight).cast("double"), F.lit(1.0)) if weight else (c("size") + 1) / (c("size") + 1 + c("marks"))
     drawn = F.coalesce(c("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(
-        "doc_id", F.coalesce(c("source").cast("string"), F.lit("")).alias("name"), c("source").isNull().alias("absent"), size.alias("size"), marks.alias("marks"),
+        *also, "doc_id", F.coalesce(c("source").cast("string"), F.lit("")).alias("name"), c("source").isNull().alias("absent"), size.alias("size"), marks.alias("marks"),
         unit(drawn, seed).alias("unit"), *([c(weight)] if weight else []))
-    return rows.select("doc_id", "name", "absent", "size", (-F.log("unit") / quality).alias("key"))
+    return rows.select(*also, "doc_id", "name", "absent", "size", (-F.log("unit") / quality).alias("key"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies), one row for each row of ``docs``.
+#: What rows have in common that are equal to the mix.
+GROUP = ["name", "absent", "key", "doc_id", "size"]
 
-    ``size`` counts words between blanks (null: 0).  ``taken`` counts the words
-    the mix takes, repeats included: complete epochs, and one more copy of the
-    documents whose middle lies within the rest of the budget, so a source ends
-    within half a document of its target.  Documents of size 0 add nothing.
-    Rows with equal ids draw equal keys and stand next to each other.  A null
-    source is a source of its own, after all others.  Extra columns are ignored.
+
+def mix_groups(rows: DataFrame) -> DataFrame:
+    """(name, absent, key, doc_id, size, n, source_size, target, epochs, more) for groups of equal rows of ``sized``.
+
+    Each of a group's ``n`` rows is taken ``epochs`` times, and ``more`` of them
+    once more.  Groups count as one row each, so an id of any number of rows is
+    one row of its slice.
     """
-    rows = durable(sized(docs, seed, weight), "mixing-sizes")
-    slices = max(LEAST_SLICES, -(-rows.count() // SLICE_ROWS))
-    sources = water_levels(rows.groupBy("name", "absent").agg(F.sum("size").alias("source_size")))
+    groups = durable(rows.groupBy(*GROUP).agg(F.count("*").alias("n")), "mixing-groups")
+    slices = max(LEAST_SLICES, -(-groups.count() // SLICE_ROWS))
+    total = F.col("n") * F.col("size")
+    sources = water_levels(groups.groupBy("name", "absent").agg(F.sum(total).alias("source_size")))
     plan = sources.withColumn("epochs", F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))).select(
         "name", "absent", "source_size", "target",
         F.coalesce("epochs", F.lit(0)).alias("epochs"),
         (F.col("target") - F.coalesce("epochs", F.lit(0)) * F.col("source_size")).alias("rest"),
     )
-    # Keys are exponential with rates up to 1, so no slice of equal width holds more than ln 2 / slices of the rows.
-    cut = rows.withColumn("slice", F.floor(F.col("key") * (slices / math.log(2))))
-    sums = cut.groupBy("name", "absent", "slice").agg(F.sum("size").alias("total"))
+    # Keys are exponential with rates up to 1, so no slice of equal width holds more than ln 2 / slices of the groups.
+    cut = groups.withColumn("slice", F.floor(F.col("key") * (slices / math.log(2))))
+    sums = cut.groupBy("name", "absent", "slice").agg(F.sum(total).alias("total"))
     starts = sums.withColumn("start", F.sum("total").over(Window.partitionBy("name", "absent").orderBy("slice")) - F.col("total")).drop("total")
     inside = Window.partitionBy("name", "absent", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("start") + F.col("upto") - total
+    one = F.when(before + F.col("size") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
+    # The middle of the j-th row lies (j - 1/2) sizes past what is before the group.
+    many = F.least(F.greatest(F.floor((F.col("rest") - before) / F.nullif("size", F.lit(0)) + 0.5), F.lit(0)), F.col("n"))
     return (
-        cut.withColumn("upto", F.sum("size").over(inside))
+        cut.withColumn("upto", F.sum(total).over(inside))
         .join(starts, ["name", "absent", "slice"])
         .join(plan, ["name", "absent"])
-        .withColumn("copies", (F.col("epochs") + F.when(F.col("start") + F.col("upto") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).cast("int"))
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+        .withColumn("more", F.when((F.col("n") == 1) | (F.col("size") == 0), one * F.col("n")).otherwise(many).cast("long"))
+        .select(*GROUP, "n", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "more")
     )
 
 
+def mix_sources(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies), one row for each row of ``docs``.
+
+    ``size`` counts words between blanks (null: 0).  ``taken`` counts the words
+    the mix takes, repeats included: complete epochs, and one more copy of the
+    documents whose middle lies within the rest of the budget, so a source ends
+    within half a document of its target.  Documents of size 0 add nothing.
+    Rows with equal ids draw equal keys and stand next to each other; equal ones
+    are counted, and made again from their count in parts of ``SLICE_ROWS`` that
+    fall into tasks of their own.  A null source is a source of its own, after
+    all others.  Extra columns are ignored.
+    """
+    groups = durable(mix_groups(durable(sized(docs, seed, weight), "mixing-sizes")), "mixing-mix")
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLICE_ROWS))
+    # By number: the few rows that make many would be joined to one partition else.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = groups.filter(F.col("n") > SLICE_ROWS).withColumn("part", F.explode(parts)).repartition(tasks, *GROUP, "part")
+    cut = groups.filter(F.col("n") <= SLICE_ROWS).withColumn("part", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("part") * SLICE_ROWS
+    rows = cut.withColumn("row", F.explode(F.sequence(first, F.least(first + SLICE_ROWS, F.col("n")) - 1)))
+    return rows.withColumn("copies", (F.col("epochs") + F.when(F.col("row") < F.col("more"), 1).otherwise(0)).cast("int")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+
+
 def mixed_documents(docs: DataFrame, seed: int = SEED, weight: str | None = None) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it, all columns kept, whatever their names.
 
-    Of rows that repeat an id, each is taken as often as the one taken most.
+    Of a group of equal ids, sources and sizes, the mix may take some rows once
+    more than the others (one group of each source at most): those rows are
+    numbered, in two levels of counts, and the first ones are taken.
     """
-    copies = durable(mix_sources(docs, seed, weight).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0"), "mixing-copies")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = held.join(small(copies), F.col("row.doc_id").eqNullSafe(copies["doc_id"]))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    own = {n: F.col(f"`{n}`") for n in ["doc_id", "source", "text", *([weight] if weight else [])]}
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.select(columns, *own.values())
+    base = durable(sized(held.select(*own), seed, weight), "mixing-sizes")
+    groups = durable(mix_groups(base).filter("epochs > 0 or more > 0").select(*GROUP, "n", "epochs", "more"), "mixing-groups-taken")
+    rows = sized(held, seed, weight, "row")
+    same = lambda g: (rows["doc_id"].eqNullSafe(g["doc_id"]) & (rows["name"] == g["name"]) & (rows["absent"] == g["absent"]) & (rows["key"] == g["key"]) & (rows["size"] == g["size"]))
+    whole = groups.filter("more = 0 or more = n")
+    whole = whole.select(*GROUP, (F.col("epochs") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("times"))
+    taken = rows.join(small(whole), same(whole)).select("row", "times")
+    some = groups.filter("more > 0 and more < n").withColumn("g", F.xxhash64(*GROUP))
+    if some.limit(1).count():
+        parted = durable(rows.join(small(some), same(some)).select("row", "g", "epochs", "more", F.monotonically_increasing_id().alias("at")), "mixing-parted")
+        part = F.shiftright("at", 33).alias("part")
+        counts = parted.groupBy("g", part).agg(F.count("*").alias("n"))
+        before = counts.withColumn("past", F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")).select("g", "part", "past")
+        inside = F.row_number().over(Window.partitionBy("g", "part").orderBy("at"))
+        numbered = parted.select("row", "g", "epochs", "more", "at", part).withColumn("place", inside).join(small(durable(before, "mixing-parts")), ["g", "part"])
+        once = F.when(F.col("place") + F.col("past") <= F.col("more"), 1).otherwise(0)
+        taken = taken.unionByName(numbered.select("row", (F.col("epochs") + once).alias("times")).filter("times > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("row.*")
 
 
 #: The same mix in DuckDB: one running sum for each source.

@@ -386,6 +386,28 @@ def test_mix_meets_targets_and_caps(spark, edge, empty):
     assert mixing.mixed_documents(edge).columns == edge.columns
 
 
+def test_many_rows_of_one_id_are_counted_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 5_000)
+    hot = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"), F.col("id").alias("n_chars"))
+    rest = spark.range(4_000).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 2 == 0, "b").when(F.col("id") % 3 == 0, "c").alias("source"), F.col("id").alias("n_chars"))
+    docs = hot.unionByName(rest)
+    groups = mixing.mix_groups(mixing.sized(docs)).toPandas()
+    assert len(groups) == 4_001 and groups.n.max() == 200_000 and ((groups.more > 0) & (groups.more < groups.n)).sum() == 1
+    mixed = mixing.mix_sources(docs)
+    assert mixed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 120_000
+    got = mixed.toPandas()
+    assert len(got) == 204_000 and set(got[got.doc_id == 7].copies) == {1, 2} or set(got[got.doc_id == 7].copies) == {0, 1}
+    for _, own in got.groupby(got.target):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max() / 2 + 1e-6
+    # By rows, the documents that come out meet the targets just as well, and no row is taken three times more than another.
+    out = mixing.mixed_documents(docs).groupBy("doc_id", "n_chars").count().toPandas()
+    assert out["count"].sum() == got.copies.sum()
+    own = out[out.doc_id == 7]["count"]
+    assert own.sum() == got[got.doc_id == 7].copies.sum() and own.max() - (own.min() if len(own) == 200_000 else 0) == 1
+    again = mixing.mix_sources(docs.repartition(7)).groupBy("doc_id", "size", "taken").count().toPandas()
+    assert sorted(map(tuple, again.to_numpy().tolist())) == sorted(map(tuple, got.groupby(["doc_id", "size", "taken"]).size().reset_index().to_numpy().tolist()))
+
+
 def test_water_levels_equal_resharing(spark):
     sizes = {"a": 5, "b": 100, "c": 40, "d": 1, "e": 300, "f": 2}
     rows = spark.createDataFrame([(k, False, v) for k, v in sizes.items()], "name string, absent boolean, source_size long")
