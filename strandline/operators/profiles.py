@@ -1,7 +1,8 @@
 """Cross-shore profiles: one row (keys, ix, dist, z) for each node.
 
 The detectors need a whole profile at once, so it is packed into one array and
-folded over in one expression; a profile is bounded by its transect's length.
+folded over in one expression, to its fixed point; a profile is bounded by its
+transect's length.
 """
 
 from __future__ import annotations
@@ -92,25 +93,27 @@ def _highest(p: Column, sign: int = 1) -> Column:
     return -F.array_max(F.transform(p, lambda a: F.struct((sign * a["z"]).alias("z"), (-a["i"]).alias("i"))))["i"]
 
 
-def _repeat(start: Column, step, rounds: int) -> Column:
-    """``step`` applied up to ``rounds`` times, until a state says it has not moved.
+def _repeat(start: Column, step, rounds: int | None) -> Column:
+    """``step`` applied until a state says it has not moved, or up to ``rounds`` times if given.
 
-    The result is exploded from an array of one, so that later filters use it
+    A step moves one of two places of the profile ``p``, each in one way only or
+    once for each place of the other, so twice the profile's length is always
+    enough; what doesn't move costs nothing.  The result is exploded from an array of one, so that later filters use it
     as it is and are not turned into a second run of the fold.
     """
-    return _once(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["moved"], step(s)).otherwise(s)))
+    return _once(F.aggregate(F.sequence(F.lit(1), F.lit(rounds) if rounds else 2 * F.size("p") + 4), start, lambda s, _: F.when(s["moved"], step(s)).otherwise(s)))
 
 
 def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def cliffs(profile: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+def cliffs(profile: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """Cliff top and toe of each profile by repeated detrending, with the cliff's measures.
 
     Top moves seaward to the highest residual of the chord toe to last point,
     toe landward to the lowest residual of the chord first to top, until both
-    stay; ``converged`` says that they did within ``rounds``.
+    stay; ``converged`` says that they did, also where ``rounds`` are given.
     """
     rows = pack(profile, keys).filter(F.exists("p", lambda a: a["z"] >= 10))
     last = F.array_max(F.transform(F.filter("p", lambda a: a["z"] != 0), lambda a: a["i"]))
@@ -135,7 +138,7 @@ def cliffs(profile: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
     return rows.select(*keys, F.col("a.d").alias("top_dist"), F.col("b.d").alias("toe_dist"), "height", "slope", (~F.col("moved")).alias("converged"), cliff.alias("cliff"))
 
 
-def barriers(profile: DataFrame, keys: list[str], mhws: float, rounds: int = 60, step: float = 5.0) -> DataFrame:
+def barriers(profile: DataFrame, keys: list[str], mhws: float, rounds: int | None = None, step: float = 5.0) -> DataFrame:
     """Front and back toe, crest, heights, widths and volume of the barrier in each profile.
 
     The front runs from the sea to the highest point, the back to the lowest
@@ -168,7 +171,7 @@ def barriers(profile: DataFrame, keys: list[str], mhws: float, rounds: int = 60,
     return _with_backs(rows, keys, rounds, step)
 
 
-def barriers_window(profile: DataFrame, keys: list[str], mhws: float, least: float = 0.001, rounds: int = 60, step: float = 5.0) -> DataFrame:
+def barriers_window(profile: DataFrame, keys: list[str], mhws: float, least: float = 0.001, rounds: int | None = None, step: float = 5.0) -> DataFrame:
     """As ``barriers``, for profiles cut to a window: the front toe starts at the highest point and moves seaward.
 
     The toe moves to the lowest residual of the chord from the first node to
@@ -204,7 +207,7 @@ def barriers_window(profile: DataFrame, keys: list[str], mhws: float, least: flo
     return _with_backs(rows.filter("top > toe and top < last"), keys, rounds, step)
 
 
-def _with_backs(rows: DataFrame, keys: list[str], rounds: int, step: float) -> DataFrame:
+def _with_backs(rows: DataFrame, keys: list[str], rounds: int | None, step: float) -> DataFrame:
     """The measures of barriers with a known front (p, top, toe, last), the back being looked for up to node ``m``."""
     p, zero, top, m = F.col("p"), F.lit(0), F.col("top"), F.col("m")
 

@@ -203,7 +203,7 @@ def barrier_lines(spark, sf):
 
 @query("cliff_lines")
 def cliff_lines(spark, sf):
-    c = R.cliffs(Z._profile(spark, sf), ["transect_id"]).withColumn("line_id", F.floor(F.col("transect_id") / 50))
+    c = R.cliffs(view(spark, sf, "cliff_profile"), ["transect_id"]).withColumn("line_id", F.floor(F.col("transect_id") / 50))
     return rounded(U.islands(c, ["line_id"], "transect_id", F.col("height") > 0, least=1).select("line_id", "run", "transect_id", "top_dist", "toe_dist"))
 
 

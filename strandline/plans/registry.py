@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from strandline.plans import cells, extras, geometry, layers, series, surfaces, tables  # noqa: F401
+    from strandline.plans import cells, detectors, extras, geometry, layers, series, surfaces, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -165,12 +165,12 @@ def roughness(spark, sf):
 
 @query("cliff_detect")
 def cliff_detect(spark, sf):
-    return rounded(R.cliffs(_profile(spark, sf), _P))
+    return rounded(R.cliffs(view(spark, sf, "cliff_profile"), _P))
 
 
 @query("cliff_detect_window")
 def cliff_detect_window(spark, sf):
-    return rounded(R.cliffs(_profile(spark, sf).filter("z > 0 and dist <= 300"), _P))
+    return rounded(R.cliffs(view(spark, sf, "cliff_profile").filter("z > 0 and dist <= 300"), _P))
 
 
 @query("barrier_detect")

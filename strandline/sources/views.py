@@ -53,6 +53,8 @@ VIEWS = {
     # A second series of positions: the vegetation edge.
     "veg_raw": """SELECT l_partkey AS series_id, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 90 AS INT) AS obs_date, CAST(l_quantity AS DOUBLE) + 8 + CAST(l_tax AS DOUBLE) * 100 AS value, l_orderkey * 10 + l_linenumber AS arrival FROM {lineitem}""",
     "veg": """SELECT series_id, obs_date, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, obs_date ORDER BY arrival DESC, value DESC) AS rn FROM (<veg_raw>) r) q WHERE rn = 1""",
+    # Profiles with a face some way up.
+    "cliff_profile": """SELECT transect_id, ix, dist, z * 0.5E0 + CASE WHEN ix < 8 + transect_id % 9 THEN ix * 0.05E0 ELSE 12 + transect_id % 7 + ix * 0.08E0 END AS z FROM (<profile>) r""",
     # Depth of soft ground over rock, and transects across it.
     "soft_cell": """SELECT row_ix, col_ix, MAX(z) / 5 AS v FROM (<raster_cell>) r GROUP BY row_ix, col_ix""",
     "rock_transect": """SELECT p_partkey AS series_id, p_partkey * 1.4E0 AS start_x, 3.0E0 AS start_y, p_partkey * 1.4E0 + 120 AS end_x, 497.0E0 AS end_y FROM {part}""",
