@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.stage import cut
 from strandline.functions.expr import ahead, along, bearing
 from strandline.operators.lines import points
 
@@ -93,19 +92,12 @@ def fix_topology(t: DataFrame, crossings: DataFrame, thin: int = 1) -> DataFrame
 def drop_overlaps(t: DataFrame, pairs: DataFrame) -> DataFrame:
     """Transects of which no two cross.
 
-    ``pairs`` holds crossing (a, b) with lengths (la, lb).  In each round every
-    transect that is the longest of all it still crosses goes (ties: the larger
-    number); rounds repeat until no pair is left.  The longest of all goes in
-    any round, so they end.
+    ``pairs`` holds crossing (a, b) with lengths (la, lb).  The longest of all
+    that still cross another goes, and so on (ties: the larger number).  One
+    goes, then, just when it crosses a shorter one: the shorter cannot have
+    gone before it.  So one pass tells which, however long a run of crossings is.
     """
-    left = pairs.select("line_id", "a", "b", "la", "lb").filter("line_id is not null and a <> b")
-    gone = None
-    while gone is None or left.limit(1).count():
-        both = left.select("line_id", F.col("a").alias("me"), F.struct(F.col("la").alias("l"), F.col("a").alias("i")).alias("mine"), F.struct(F.col("lb").alias("l"), F.col("b").alias("i")).alias("other")).union(
-            left.select("line_id", F.col("b"), F.struct(F.col("lb"), F.col("b")), F.struct(F.col("la"), F.col("a"))))
-        out = both.groupBy("line_id", "me").agg(F.max("mine").alias("mine"), F.max("other").alias("most")).filter("mine > most").select("line_id", F.col("me").alias("transect_id"))
-        gone = out if gone is None else gone.union(out)
-        gone = cut(gone)
-        a, b = gone.withColumnRenamed("transect_id", "a"), gone.withColumnRenamed("transect_id", "b")
-        left = cut(left.join(a, ["line_id", "a"], "left_anti").join(b, ["line_id", "b"], "left_anti"))
+    mine, other = F.struct(F.col("la").alias("l"), F.col("a").alias("i")), F.struct(F.col("lb").alias("l"), F.col("b").alias("i"))
+    longer = F.when(mine > other, F.col("a")).otherwise(F.col("b"))
+    gone = pairs.filter("line_id is not null and a <> b").select("line_id", longer.alias("transect_id")).distinct()
     return t.join(gone, ["line_id", "transect_id"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandline.plans import cells as C
 from strandline.plans import extras as X
 from strandline.plans import surfaces as Z
 from strandline.plans.registry import query
@@ -89,6 +90,10 @@ def _runs(rows: str, flag: str, least: int) -> str:
  SELECT *, ({flag}) AS f, CASE WHEN ({flag}) IS DISTINCT FROM lag({flag}) OVER (PARTITION BY line_id ORDER BY transect_id) THEN 1 ELSE 0 END AS c FROM (SELECT *, transect_id // 50 AS line_id FROM {rows}))) WHERE f) WHERE k >= {least})"""
 
 
+_DUNES = _BARRIER + """, fq AS (SELECT transect_id, min(ix) FILTER (z > 2) AS i0, min(ix) FILTER (z > 6) AS i1 FROM profile GROUP BY 1),
+ ff AS (SELECT fq.transect_id, coalesce(CASE WHEN i1 > i0 AND b.z > a.z THEN round((b.z - a.z) / (b.dist - a.dist), 6) END, 0.05) AS slope FROM fq LEFT JOIN profile a ON a.transect_id = fq.transect_id AND a.ix = i0 LEFT JOIN profile b ON b.transect_id = fq.transect_id AND b.ix = i1),
+ du AS (SELECT ff.transect_id, slope, toe_z, crest_z, toe_dist, crest_dist FROM ff LEFT JOIN ba USING (transect_id))"""
+_DUNE_OUT = ("slope", "toe_z", "crest_z", "toe_dist", "crest_dist")
 _BARRIER_RUNS, _CLIFF_RUNS = _BARRIER + _runs("ba", "crest_z IS NOT NULL", 2), _cliffs("SELECT * FROM cliff_profile") + _runs("cc", "height > 0", 1)
 
 for _name, _function, _views, _then in (
@@ -106,6 +111,8 @@ for _name, _function, _views, _then in (
     ("sink_front_points", X.sink_front_points, ("profile",), _BARRIER + f" SELECT transect_id // 50 AS line_id, transect_id, {_r('toe_dist', 'toe_z', 'front_height')} FROM ba"),
     ("sink_barrier_table", X.sink_barrier_table, ("profile",), _BARRIER + f" SELECT transect_id, {_r('toe_z', 'crest_z', 'back_toe_z')} FROM ba"),
     ("sink_barriers", X.sink_barriers, ("profile",), _BARRIER + f" SELECT transect_id // 50 AS line_id, transect_id, {_r('toe_dist', 'back_toe_dist', 'toe_z', 'crest_z', 'back_toe_z')} FROM ba"),
+    ("sink_dune_params", X.sink_dune_params, ("profile",), _DUNES + f" SELECT transect_id, {_r(*_DUNE_OUT)} FROM du"),
+    ("sink_dune_sis", X.sink_dune_sis, ("profile", "storm_in"), _DUNES + C._RUN + C._DUNE + C._REG + f" SELECT transect_id, {_r(*_DUNE_OUT)}, scenario, round(twl, 6) AS twl, regime, round(asset_dist, 6) AS asset_dist, round(asset_elev, 6) AS asset_elev FROM du LEFT JOIN (SELECT transect_id, scenario, twl, regime, asset_dist, asset_elev FROM rg WHERE regime IN {C.X.REGIMES!r}) USING (transect_id)"),
     ("sink_cliffs", X.sink_cliffs, ("cliff_profile",), _CLIFF_RUNS + " SELECT line_id, run, transect_id AS seq, round(top_dist, 6) AS x, transect_id * 10.0::DOUBLE AS y FROM ru UNION ALL SELECT line_id, run, 2000000000 - transect_id, round(toe_dist, 6), transect_id * 10.0::DOUBLE FROM ru"),
     ("sink_crest_lines", X.sink_crest_lines, ("profile",), _BARRIER_RUNS + " SELECT line_id, run, min(transect_id) AS first_id, max(transect_id) AS last_id, count(*) AS n, round(max(crest_z), 6) AS crest_z FROM ru GROUP BY 1, 2"),
 ):

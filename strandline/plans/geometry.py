@@ -280,10 +280,12 @@ def defence_limit(spark, sf):
     return rounded(_hits(spark, sf).groupBy(*_K).agg((F.min("distance") + 2).alias("limit_distance")))
 
 
-@query("dates_not_seen", _sql("SELECT DISTINCT line_id, transect_id, obs_date FROM hit WHERE obs_date NOT IN (SELECT DISTINCT obs_date FROM hit WHERE layer_id % 2 = 0)", _TR, _HIT))
+@query("dates_not_seen", _sql("SELECT DISTINCT line_id, transect_id, obs_date FROM hit WHERE (line_id, transect_id, obs_date) NOT IN (SELECT line_id, transect_id, obs_date FROM hit WHERE layer_id % 2 = 0)", _TR, _HIT))
 def dates_not_seen(spark, sf):
+    """Dates of hits that the transect itself has not seen in the layers before."""
     h = _hits(spark, sf)
-    return h.join(h.filter("layer_id % 2 = 0").select("obs_date").distinct(), "obs_date", "left_anti").select(*_K, "obs_date").distinct()
+    seen = h.filter("layer_id % 2 = 0").select(*_K, "obs_date").distinct()
+    return h.select(*_K, "obs_date").distinct().join(seen, [*_K, "obs_date"], "left_anti")
 
 
 @query("transect_between_contours", _sql("SELECT line_id, transect_id, round(arg_min(ix, round(t, 9)), 6) AS start_x, round(arg_min(iy, round(t, 9)), 6) AS start_y, round(arg_max(ix, round(t, 9)), 6) AS end_x, round(arg_max(iy, round(t, 9)), 6) AS end_y FROM hit GROUP BY 1, 2", _TR, _HIT))
@@ -313,9 +315,9 @@ _XX = """, x0 AS (SELECT a.line_id, a.transect_id AS a, b.transect_id AS b, a.st
 
 def _crossings(t):
     ends = {"ax1": "start_x", "ay1": "start_y", "ax2": "end_x", "ay2": "end_y"}
-    a = t.select(F.col("line_id").alias("la"), F.col("transect_id").alias("a"), T.length().alias("len_a"), *[F.col(v).alias(k) for k, v in ends.items()])
-    b = t.select(F.col("line_id").alias("lb"), F.col("transect_id").alias("b"), T.length().alias("len_b"), *[F.col(v).alias("b" + k[1:]) for k, v in ends.items()])
-    return P.intersections(a, b, 200.0).filter("la = lb and a < b").select(F.col("la").alias("line_id"), "a", "b", "len_a", "len_b")
+    a = t.select("line_id", F.col("transect_id").alias("a"), T.length().alias("len_a"), *[F.col(v).alias(k) for k, v in ends.items()])
+    b = t.select("line_id", F.col("transect_id").alias("b"), T.length().alias("len_b"), *[F.col(v).alias("b" + k[1:]) for k, v in ends.items()])
+    return P.intersections(a, b, 200.0, on=["line_id"]).filter("a < b").select("line_id", "a", "b", "len_a", "len_b")
 
 
 @query("transect_crossings", _sql("SELECT line_id, a, b FROM xx", _TR, _XX))
@@ -342,7 +344,8 @@ def transect_fix_topology(spark, sf):
     return rounded(T.fix_topology(t, bad).select(*_K, "start_x", "end_y"))
 
 
-@query("transect_drop_overlaps")
+@query("transect_drop_overlaps", _sql("""SELECT line_id, transect_id FROM tr WHERE (line_id, transect_id) NOT IN (SELECT line_id, CASE WHEN la > lb OR (la = lb AND a > b) THEN a ELSE b END FROM
+ (SELECT xx.*, round(sqrt((p.end_x - p.start_x) ** 2 + (p.end_y - p.start_y) ** 2), 6) AS la, round(sqrt((q.end_x - q.start_x) ** 2 + (q.end_y - q.start_y) ** 2), 6) AS lb FROM xx JOIN tr p ON p.line_id = xx.line_id AND p.transect_id = a JOIN tr q ON q.line_id = xx.line_id AND q.transect_id = b))""", _TR, _XX))
 def transect_drop_overlaps(spark, sf):
     t = _transects(spark, sf)
     x = _crossings(t).select("line_id", "a", "b", F.round("len_a", 6).alias("la"), F.round("len_b", 6).alias("lb"))
