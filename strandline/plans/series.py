@@ -144,9 +144,15 @@ def ts_interp(spark, sf):
     return rounded(S.interpolate(obs, at, K))
 
 
-@query("rate_bayes_linear", duck("obs", then=""", r AS (SELECT series_id, date_diff('day', DATE '1970-01-01', obs_date) / 365.25 - 25 AS x, value AS y FROM obs),
- s AS (SELECT series_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY 1)
- SELECT series_id, round(((n + 0.01) * sxy - sx * sy) / ((n + 0.01) * (sxx + 0.01) - sx * sx), 6) AS slope, round(((sxx + 0.01) * sy - sx * sxy) / ((n + 0.01) * (sxx + 0.01) - sx * sx), 6) AS level, n FROM s"""))
+_Z = S.Z95_EXACT
+_STUDENT = f"({_Z} + {(_Z**3 + _Z) / 4} / nu + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / nu ** 2 + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / nu ** 3 + {(79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160} / nu ** 4)"
+
+
+@query("rate_bayes_linear", duck("obs", then=f""", r AS (SELECT series_id, date_diff('day', DATE '1970-01-01', obs_date) / 365.25 - 25 AS x, value AS y FROM obs),
+ s AS (SELECT series_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM r GROUP BY 1),
+ t AS (SELECT *, (n + 0.01) * (sxx + 0.01) - sx * sx AS det, ((n + 0.01) * sxy - sx * sy) / ((n + 0.01) * (sxx + 0.01) - sx * sx) AS slope, ((sxx + 0.01) * sy - sx * sxy) / ((n + 0.01) * (sxx + 0.01) - sx * sx) AS level FROM s),
+ u AS (SELECT *, 2 + n / 2.0 AS an, 4.0::DOUBLE + n AS nu, 1 + greatest(0, syy - slope * sxy - level * sy) / 2 AS bn FROM t)
+ SELECT series_id, round(slope, 6) AS slope, round(level, 6) AS level, round(sqrt(bn / (an - 1)), 6) AS noise, round(slope - {_STUDENT} * sqrt(bn / an * (n + 0.01) / det), 6) AS slope_low, round(slope + {_STUDENT} * sqrt(bn / an * (n + 0.01) / det), 6) AS slope_high, n FROM u"""))
 def rate_bayes_linear(spark, sf):
     return rounded(S.bayes_linear(view(spark, sf, "obs"), K))
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.output import rounded
-from strandline.functions.reproject import to_lonlat
-from strandline.functions.stage import shared_folder
+from strandline.functions.reproject import to_wgs84
+from strandline.functions.stage import new_folder, shared_folder
 from strandline.operators import lines as L
 from strandline.operators import series as S
 from strandline.plans.registry import query
-from strandline.sources.files import lines_as_features, require
+from strandline.sources.files import lines_as_features, read_layers, require, write_layers
 from strandline.sources.views import duck, table_stream, view
 from strandline.streaming import observations as O
 
@@ -119,25 +119,39 @@ def stage_checkpoint(spark, sf):
     return cut(view(spark, sf, "obs")).groupBy("series_id").agg(F.count("*").alias("n"))
 
 
-_D = 6
-_LL = """, p AS (SELECT site_id, x + 300000 AS x, y + 700000 AS y FROM site_point),
+# From the national grid to longitude and latitude on WGS84
+
+_LL = """,
  c AS (SELECT *, 6377563.396::DOUBLE AS a, 6356256.909::DOUBLE AS b, 0.9996012717::DOUBLE AS f0, radians(49::DOUBLE) AS lat0, radians(-2::DOUBLE) AS lon0 FROM p), n AS (SELECT *, (a - b) / (a + b) AS n, 1 - b * b / (a * a) AS e2 FROM c),
  l0 AS (SELECT *, lat0 + (y + 100000) / (a * f0) AS lat FROM n)""" + "".join(f""",
  l{i + 1} AS (SELECT * REPLACE (lat + (y + 100000 - b * f0 * ((1 + n + 1.25 * n ** 2 + 1.25 * n ** 3) * (lat - lat0) - (3 * n + 3 * n ** 2 + 2.625 * n ** 3) * sin(lat - lat0) * cos(lat + lat0) + (1.875 * n ** 2 + 1.875 * n ** 3) * sin(2 * (lat - lat0)) * cos(2 * (lat + lat0)) - (35.0::DOUBLE / 24) * n ** 3 * sin(3 * (lat - lat0)) * cos(3 * (lat + lat0)))) / (a * f0) AS lat) FROM l{i})""" for i in range(5)) + """,
- q AS (SELECT *, a * f0 / sqrt(1 - e2 * sin(lat) ** 2) AS nu, a * f0 * (1 - e2) / (1 - e2 * sin(lat) ** 2) ** 1.5 AS rho, tan(lat) AS t, x - 400000 AS de FROM l5)
- SELECT site_id, round(degrees(lon0 + 1 / cos(lat) / nu * de - 1 / cos(lat) / (6 * nu ** 3) * (nu / rho + 2 * t ** 2) * de ** 3 + 1 / cos(lat) / (120 * nu ** 5) * (5 + 28 * t ** 2 + 24 * t ** 4) * de ** 5), 6) AS lon,
- round(degrees(lat - t / (2 * rho * nu) * de ** 2 + t / (24 * rho * nu ** 3) * (5 + 3 * t ** 2 + (nu / rho - 1) - 9 * t ** 2 * (nu / rho - 1)) * de ** 4 - t / (720 * rho * nu ** 5) * (61 + 90 * t ** 2 + 45 * t ** 4) * de ** 6), 6) AS lat FROM q"""
+ q AS (SELECT *, a * f0 / sqrt(1 - e2 * sin(lat) ** 2) AS nu, a * f0 * (1 - e2) / (1 - e2 * sin(lat) ** 2) ** 1.5 AS rho, tan(lat) AS t, x - 400000 AS de FROM l5),
+ r AS (SELECT *, lon0 + 1 / cos(lat) / nu * de - 1 / cos(lat) / (6 * nu ** 3) * (nu / rho + 2 * t ** 2) * de ** 3 + 1 / cos(lat) / (120 * nu ** 5) * (5 + 28 * t ** 2 + 24 * t ** 4) * de ** 5 AS lam, lat - t / (2 * rho * nu) * de ** 2 + t / (24 * rho * nu ** 3) * (5 + 3 * t ** 2 + (nu / rho - 1) - 9 * t ** 2 * (nu / rho - 1)) * de ** 4 - t / (720 * rho * nu ** 5) * (61 + 90 * t ** 2 + 45 * t ** 4) * de ** 6 AS phi FROM q),
+ g AS (SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS nu0 FROM r),
+ g1 AS (SELECT *, nu0 * cos(phi) * cos(lam) AS gx, nu0 * cos(phi) * sin(lam) AS gy, nu0 * (1 - e2) * sin(phi) AS gz FROM g),
+ g2 AS (SELECT *, 446.448 + (1 - 20.4894e-6) * gx - radians(0.8421 / 3600) * gy + radians(0.2470 / 3600) * gz AS wx, -125.157 + radians(0.8421 / 3600) * gx + (1 - 20.4894e-6) * gy - radians(0.1502 / 3600) * gz AS wy,
+  542.060 - radians(0.2470 / 3600) * gx + radians(0.1502 / 3600) * gy + (1 - 20.4894e-6) * gz AS wz, 6378137.0::DOUBLE AS wa, 1 - 6356752.314245::DOUBLE ** 2 / 6378137.0::DOUBLE ** 2 AS we FROM g1),
+ w0 AS (SELECT *, atan2(wz, sqrt(wx ** 2 + wy ** 2) * (1 - we)) AS wphi FROM g2)""" + "".join(f""",
+ w{i + 1} AS (SELECT * REPLACE (atan2(wz + we * wa / sqrt(1 - we * sin(wphi) ** 2) * sin(wphi), sqrt(wx ** 2 + wy ** 2)) AS wphi) FROM w{i})""" for i in range(5)) + """,
+ ll AS (SELECT * EXCLUDE (lat), degrees(atan2(wy, wx)) AS lon, degrees(wphi) AS lat FROM w5)"""
+
+
+@query("reproject_osgb", duck("site_point", then=", p AS (SELECT site_id, x + 300000 AS x, y + 700000 AS y FROM site_point)" + _LL + " SELECT site_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ll"))
+def reproject_osgb(spark, sf):
+    lon, lat = to_wgs84(F.col("x") + 300000, F.col("y") + 700000)
+    return rounded(view(spark, sf, "site_point").select("site_id", lon.alias("lon"), lat.alias("lat")), 7)
 
 
-@query("convert_layers_4326", duck("site_point", then=_LL))
+@query("convert_layers_4326", duck("line_node", then=", p AS (SELECT line_id, seq, x + 300000 AS x, y + 700000 AS y FROM line_node)" + _LL + " SELECT 'line_' || line_id || '.geojson' AS source, seq::INT AS seq, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ll"))
 def convert_layers_4326(spark, sf):
-    lon, lat = to_lonlat(F.col("x") + 300000, F.col("y") + 700000)
-    return rounded(view(spark, sf, "site_point").select("site_id", lon.alias("lon"), lat.alias("lat")))
-
-
-@query("reproject_osgb", duck("site_point", then=_LL))
-def reproject_osgb(spark, sf):
-    return convert_layers_4326(spark, sf)
+    """Each line as a layer of its own, written with its nodes in longitude and latitude, and read back."""
+    lon, lat = to_wgs84(F.col("x") + 300000, F.col("y") + 700000)
+    nodes = view(spark, sf, "line_node").select(F.concat(F.lit("line_"), F.col("line_id").cast("string")).alias("layer"), "line_id", "seq", lon.alias("lon"), lat.alias("lat"))
+    # Named first, renamed then: within one select, ``x`` in a lambda would be the new one.
+    nodes = nodes.withColumnsRenamed({"lon": "x", "lat": "y"})
+    path = new_folder(spark, "layers-4326")
+    write_layers(nodes, "layer", ["line_id"], path)
+    return rounded(read_layers(spark, path).select("source", "seq", F.col("x").alias("lon"), F.col("y").alias("lat")), 7)
 
 
 # Windows, sets and sorts
