@@ -7,10 +7,17 @@ functions or on the last date, so large day numbers cost no digits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from strandline.functions.expr import let
+from strandline.operators.slopes import median_slope
+
 YEAR = 365.25
 #: Two-sided 95 % points: as rounded in regression intervals, and exact for rank intervals.
 Z95, Z95_EXACT = 1.96, 1.959963984540054
@@ -84,36 +91,48 @@ def _median(sorted_array: Column) -> Column:
     return (F.get(sorted_array, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_array, F.floor(n / 2).cast("int"))) / 2
 
 
+def _with_slopes(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``slopes`` (b, lo, hi) of each series' dates and values ``_p``, by ``median_slope``."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("_p")
+            ends, flat = own.offsets.to_numpy() - own.offsets[0].as_py(), own.flatten()
+            x, y = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found = [median_slope(x[i:j], y[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            slopes = pa.array([None if f is None else dict(zip(("b", "lo", "hi"), f, strict=True)) for f in found], _SLOPES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, slopes], [*batch.schema.names, "slopes"])
+
+    return packed.mapInArrow(rank, StructType([*packed.schema.fields, StructField("slopes", StructType.fromDDL("b double, lo double, hi double"))]))
+
+
+_SLOPES = pa.struct([(n, pa.float64()) for n in ("b", "lo", "hi")])
+
+
+def _around() -> dict[str, Column]:
+    """Intercept, residual and total squares of the packed values ``_p`` around the line of median slope."""
+    b = F.col("slopes.b")
+    values = F.transform("_p", lambda o: o["y"])
+    level = _median(F.sort_array(values)) - b * _median(F.transform("_p", lambda o: o["x"]))
+    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size("_p")
+    rss = lambda a: F.aggregate("_p", F.lit(0.0), lambda s, o: s + (o["y"] - a - b * o["x"]) ** 2)
+    tss = lambda m: F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) ** 2)
+    return {"ts_a": level, "ts_rss": let(level, rss), "ts_tss": let(mean, tss)}
+
+
 def theil_sen(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Median of the slopes of all pairs of a series, with its 95 % rank interval.
 
-    A series is one row of two arrays; its pairs live in that row alone and no
-    pair is ever shuffled.
+    A series is one row, packed in order of date; no pair leaves it.  Its
+    slopes are ranked in bounded memory, so a series may have many thousand dates.
     """
     packed = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(days("obs_date").alias("x"), F.col("value").alias("y")))).alias("_p"))
-    # Two dates make a pair; a test on the slopes themselves would compute them twice.
-    packed = packed.filter((F.size("_p") >= 3) & (F.array_min("_p.x") < F.array_max("_p.x")))
-    slopes = F.flatten(F.transform("_p", lambda a: F.transform(F.filter("_p", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
-    ties = lambda c: F.aggregate(F.array_distinct(F.col(f"_p.{c}")), F.lit(0.0), lambda s, v: s + _tie(F.size(F.filter(F.col(f"_p.{c}"), lambda o: o == v))))
-    n = F.size("_p").cast("double")
-    table = packed.select(*keys, "_p", F.array_sort(slopes).alias("_s"), F.sqrt((n * (n - 1) * (2 * n + 5) - ties("x") - ties("y")) / 18).alias("sigma"))
-    m = F.size("_s")
-    high = F.least(F.bround((m + Z95_EXACT * F.col("sigma")) / 2, 0).cast("int"), m - 1)
-    low = F.greatest(F.bround((m - Z95_EXACT * F.col("sigma")) / 2, 0).cast("int") - 1, F.lit(0))
-    fit = table.select(*keys, "_p", _median(F.col("_s")).alias("b"), F.get("_s", low).alias("lo"), F.get("_s", high).alias("hi"),
-                       _median(F.array_sort(F.col("_p.x"))).alias("mx"), _median(F.array_sort(F.col("_p.y"))).alias("my"))
-    fit = fit.withColumn("a", F.col("my") - F.col("b") * F.col("mx"))
-    mean = F.aggregate("_p", F.lit(0.0), lambda s, o: s + o["y"]) / F.size("_p")
-    rss = F.aggregate("_p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("a") - F.col("b") * o["x"]) ** 2)
-    tss = F.aggregate("_p", F.lit(0.0), lambda s, o: s + (o["y"] - F.col("mean")) ** 2)
-    return fit.withColumn("mean", mean).select(*keys, "b", "lo", "hi", "a", rss.alias("rss"), tss.alias("tss"), F.size("_p").cast("long").alias("n")).select(
-        *keys, (F.col("b") * YEAR).alias("rate"), (F.col("lo") * YEAR).alias("rate_lo"), (F.col("hi") * YEAR).alias("rate_hi"),
-        F.sqrt(F.col("rss") / (F.col("n") - 2)).alias("residual_se"), F.col("a").alias("intercept"),
-        F.when(F.col("tss") > 0, F.round(1 - F.col("rss") / F.col("tss"), 3)).alias("r2"), "n")
-
-
-def _tie(k: Column) -> Column:
-    return (k * (k - 1) * (2 * k + 5)).cast("double")
+    fit = _with_slopes(packed).filter("slopes is not null").withColumns(_around())
+    c = F.col
+    return fit.select(
+        *keys, (c("slopes.b") * YEAR).alias("rate"), (c("slopes.lo") * YEAR).alias("rate_lo"), (c("slopes.hi") * YEAR).alias("rate_hi"),
+        F.sqrt(c("ts_rss") / (F.size("_p") - 2)).alias("residual_se"), c("ts_a").alias("intercept"),
+        F.when(c("ts_tss") > 0, F.round(1 - c("ts_rss") / c("ts_tss"), 3)).alias("r2"), F.size("_p").cast("long").alias("n"))
 
 
 def time_weighted(obs: DataFrame, keys: list[str], tau: float = 10.0) -> DataFrame:
@@ -161,17 +180,45 @@ def rates(obs: DataFrame, keys: list[str], method: str = "TWR", tau: float = 10.
 def all_rates(obs: DataFrame, keys: list[str], tau: float = 10.0) -> DataFrame:
     """(keys, method, rate, rate_se, rate_unc, residual_se, intercept, r2, n) for all six methods.
 
-    Observations are dealt to partitions by series once; all fits group and
-    window in there.
+    Each series is dealt to its task once and aggregated once, into the sums of
+    all methods and its packed dates and values; the methods are rows made of that one.
     """
-    obs = obs.select(*keys, "obs_date", "value", "error").repartition(*[F.col(k) for k in keys])
-    fits = [end_point(obs, keys), least_squares(obs, keys), least_squares(obs, keys, 5), least_squares(obs, keys, 10), theil_sen(obs, keys), time_weighted(obs, keys, tau)]
-    columns = {"rate": "double", "rate_se": "double", "rate_unc": "double", "residual_se": "double", "intercept": "double", "r2": "double", "n": "long"}
-    parts = [f.select(*keys, F.lit(m).alias("method"), *[(F.col(c) if c in f.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]) for m, f in zip(METHODS, fits, strict=True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    c, by = F.col, Window.partitionBy(*keys)
+    rows = obs.select(*keys, days("obs_date").alias("d"), c("value").alias("y"), "error").withColumn("last", F.max("d").over(by)).withColumn("t", c("d") - c("last"))
+    rows = rows.withColumn("w", F.exp(c("t") / (YEAR * tau)) / c("error") ** 2).withColumn("q", c("w") ** 2)
+    end = F.struct("d", "y", "error")
+    sums = [F.count("*").alias("n"), F.count("error").alias("known"), F.first("last").alias("last"), F.min(end).alias("a"), F.max(end).alias("b"),
+            F.array_sort(F.collect_list(F.struct(c("d").alias("x"), "y", "w"))).alias("_p"),
+            F.sum("w").alias("sw"), F.sum("q").alias("sq"), (F.sum(c("q") * c("t")) / F.sum("q")).alias("mx"), (F.sum(c("q") * c("y")) / F.sum("q")).alias("my"), F.sum(c("q") * c("t") * c("y")).alias("qty"), F.sum(c("q") * c("t") * c("t")).alias("qtt")]
+    for name, years in (("OLS", None), ("OLS5", 5), ("OLS10", 10)):
+        t = c("t") if years is None else F.when(c("t") >= -years * YEAR, c("t"))
+        sums.append(F.struct(F.regr_slope("y", t).alias("b"), F.regr_intercept("y", t).alias("a"), F.regr_sxx("y", t).alias("sxx"), F.regr_syy("y", t).alias("syy"), F.regr_sxy("y", t).alias("sxy"), F.regr_count("y", t).alias("n")).alias(name))
+    s = _with_slopes(rows.groupBy(*keys).agg(*sums)).withColumns(_around())
+    s = s.withColumn("tb", (c("qty") - c("sq") * c("mx") * c("my")) / F.nullif(c("qtt") - c("sq") * c("mx") ** 2, F.lit(0.0)))
+    s = s.withColumn("twr_rss", F.aggregate("_p", F.lit(0.0), lambda z, o: z + o["w"] * (o["y"] - c("my") - c("tb") * (o["x"] - c("last") - c("mx"))) ** 2) / c("sw"))
+    none = F.lit(None).cast("double")
+
+    def method(name: str, valid: Column, **values: Column) -> Column:
+        fields = {"rate": none, "rate_se": none, "rate_unc": none, "residual_se": none, "intercept": none, "r2": none, "n": F.lit(None).cast("long")} | values
+        return F.when(valid, F.struct(F.lit(name).alias("method"), *[v.cast("long" if k == "n" else "double").alias(k) for k, v in fields.items()]))
+
+    def ols(name: str) -> Column:
+        f = lambda x: c(f"{name}.{x}")
+        rss = F.greatest(F.lit(0.0), f("syy") - f("sxy") ** 2 / f("sxx"))
+        enough = f("n") > 2
+        se = F.when(enough, F.sqrt(rss / (f("n") - 2) / f("sxx")) * YEAR)
+        return method(name, (c("n") >= 3) & (f("n") >= 2) & (f("sxx") > 0), rate=f("b") * YEAR, rate_se=se, rate_unc=Z95 * se, residual_se=F.when(enough, F.sqrt(rss / (f("n") - 2))),
+                      intercept=f("a") - f("b") * c("last"), r2=F.when(enough & (f("syy") > 0), F.round(1 - rss / f("syy"), 3)), n=f("n"))
+
+    years = (c("b.d") - c("a.d")) / YEAR
+    se = F.sqrt(c("twr_rss") / (c("n") - 2) / c("OLS.sxx")) * YEAR
+    parts = F.array(
+        method("EPR", c("b.d") > c("a.d"), rate=(c("b.y") - c("a.y")) / years, rate_unc=F.sqrt(c("a.error") ** 2 + c("b.error") ** 2) / years),
+        ols("OLS"), ols("OLS5"), ols("OLS10"),
+        method("TheilSen", c("slopes").isNotNull(), rate=c("slopes.b") * YEAR, residual_se=F.sqrt(c("ts_rss") / (c("n") - 2)), intercept=c("ts_a"), r2=F.when(c("ts_tss") > 0, F.round(1 - c("ts_rss") / c("ts_tss"), 3)), n=c("n")),
+        method("TWR", (c("n") >= 3) & (c("known") == c("n")) & (c("OLS.sxx") > 0), rate=c("tb") * YEAR, rate_se=se, rate_unc=Z95 * se, residual_se=F.sqrt(c("twr_rss") / (c("n") - 2)),
+               intercept=c("my") - c("tb") * (c("mx") + c("last")), r2=F.when(c("OLS.syy") > 0, F.round(1 - c("twr_rss") / c("OLS.syy"), 3)), n=c("n")))
+    return s.select(*keys, F.explode(F.filter(parts, lambda m: m.isNotNull())).alias("m")).select(*keys, "m.*")
 
 
 def fitted(obs: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.reproject import to_lonlat, to_wgs84
 from strandline.operators import series as S
+from strandline.operators import slopes
 
 
 def test_published_points_lie_within_five_metres(spark):
@@ -48,3 +49,31 @@ def test_posterior_equals_the_closed_form(spark):
         assert np.isclose((r["slope_low"] + r["slope_high"]) / 2, mean[0], rtol=1e-6, atol=1e-9)
         draws = mean[0] + rng.standard_t(2 * shape, 400_000) * math.sqrt(scale / shape * np.linalg.inv(precision)[0, 0])
         assert abs(np.mean((draws > r["slope_low"]) & (draws < r["slope_high"])) - 0.95) < 0.003
+
+
+@pytest.mark.parametrize("kind", ["noise", "ties", "flat", "two dates"])
+def test_ranked_slopes_equal_a_sort(kind):
+    rng = np.random.default_rng(5)
+    n = 700
+    x = np.sort(rng.choice(9_000, n, replace=False)).astype(float) if kind != "two dates" else np.repeat([1.0, 9.0], n // 2)
+    y = {"noise": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float), "flat": np.zeros(n), "two dates": rng.integers(0, 9, n).astype(float)}[kind]
+    whole = np.sort([(y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(i + 1, n) if x[j] > x[i]])
+    ranks = [0, 1, len(whole) // 3, len(whole) // 2, len(whole) // 2 + 1, len(whole) - 1]
+    assert slopes.slopes_at(x, y, ranks) == whole[ranks].tolist()
+    # The same where nothing but a few thousand slopes is ever held, and brackets are drawn from few pairs.
+    assert slopes.slopes_at(x, y, ranks, pairs=5_000, drawn=2_000) == whole[ranks].tolist()
+    assert slopes.median_slope(x, y) == slopes.median_slope(x, y, 5_000)
+
+
+def test_rates_of_one_pass_equal_each_method(spark):
+    rng = np.random.default_rng(8)
+    series = {k: [(d, rng.integers(0, 40)) for d in sorted(rng.choice(9_000, n, replace=False))] for k, n in (("a", 30), ("b", 3), ("c", 2), ("d", 1))}
+    df = obs(spark, series).withColumn("error", F.when((F.col("s") == "b") & (F.col("value") > 20), None).otherwise(F.col("error") + F.col("value") % 3))
+    got = {(r["s"], r["method"]): r for r in S.all_rates(df, ["s"]).collect()}
+    for name in S.METHODS:
+        own = {r["s"]: r for r in S.rates(df, ["s"], name).collect()}
+        assert {s for s, m in got if m == name} == set(own)
+        for s, r in own.items():
+            for column in ("rate", "rate_se", "residual_se"):
+                a, b = got[s, name][column], r[column]
+                assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-8, atol=1e-9))
