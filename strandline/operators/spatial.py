@@ -92,20 +92,47 @@ def nearest_within(p: DataFrame, key: str, q: DataFrame, q_key: str, radius: flo
     return pairs.groupBy(key).agg(F.min(F.struct("distance", F.col(q_key).alias("k"))).alias("b")).select(key, F.col("b.k").alias(q_key), F.col("b.distance").alias("distance"))
 
 
-def in_polygon(p: DataFrame, key: str, edges: DataFrame, poly: str, g: float) -> DataFrame:
-    """(key, polygon) of points inside polygons: an odd number of edges to the right.
+def _odd(at: DataFrame, key: str, edges: DataFrame, poly: str, g: float) -> DataFrame:
+    """(key, polygon) of pairs (key, polygon, x, y, gy) whose point has an odd number of the polygon's edges to the right.
 
-    ``edges`` (poly, x1, y1, x2, y2).  An edge counts if the point's y lies in
-    its half-open range, so points on shared edges belong to one side.  Points
-    meet edges of their row of the grid.
+    An edge counts if the point's y lies in its half-open range, so points on
+    shared edges belong to one side.
     """
-    rows = edges.filter(F.col("y1") != F.col("y2")).withColumn("gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / g), F.floor(F.greatest("y1", "y2") / g))))
-    at = p.select(key, "x", "y").withColumn("gy", F.floor(F.col("y") / g))
     c = F.col
+    rows = edges.filter(c("y1") != c("y2")).withColumn("gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / g), F.floor(F.greatest("y1", "y2") / g))))
     spans = (c("y1") <= c("y")) != (c("y2") <= c("y"))
     right = c("x") < c("x1") + (c("y") - c("y1")) * (c("x2") - c("x1")) / (c("y2") - c("y1"))
-    crossed = at.join(rows, "gy").filter(spans & right)
-    return crossed.groupBy(key, poly).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(key, poly)
+    return at.join(rows, [poly, "gy"]).filter(spans & right).groupBy(key, poly).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(key, poly)
+
+
+def inside_cells(edges: DataFrame, poly: str, g: float) -> tuple[DataFrame, DataFrame]:
+    """(polygon, gx, gy) of the grid cells that polygons hold whole, and of those that their edges may touch.
+
+    Between two touched cells of a row all cells are alike, so one centre tells
+    for the whole gap.  There are as many cells as the polygons' area holds.
+    """
+    c = F.col
+    touched = cut(bucketed(edges.select(poly, "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", g).select(poly, "gx", "gy").distinct())
+    gaps = touched.withColumn("to", F.lead("gx").over(Window.partitionBy(poly, "gy").orderBy("gx"))).filter(c("to") > c("gx") + 1)
+    gaps = gaps.select(poly, "gy", (c("gx") + 1).alias("gx"), (c("to") - 1).alias("to"))
+    centres = gaps.select(poly, "gx", "gy", ((c("gx") + 0.5) * g).alias("x"), ((c("gy") + 0.5) * g).alias("y"), F.struct("gx", "gy").alias("gap"))
+    held = _odd(centres, "gap", edges, poly, g).select(poly, c("gap.gx").alias("gx"), c("gap.gy").alias("gy"))
+    whole = gaps.join(held, [poly, "gx", "gy"]).select(poly, F.explode(F.sequence("gx", "to")).alias("gx"), "gy")
+    return whole, touched
+
+
+def in_polygon(p: DataFrame, key: str, edges: DataFrame, poly: str, g: float) -> DataFrame:
+    """(key, polygon) of points inside polygons, given by ``edges`` (poly, x1, y1, x2, y2).
+
+    A point in a cell that a polygon holds whole is inside without a look at
+    any edge; one in a cell that its edges touch meets the edges of that polygon
+    in its row of the grid; all others are outside.
+    """
+    at = p.select(key, "x", "y").withColumns({"gx": F.floor(F.col("x") / g), "gy": F.floor(F.col("y") / g)})
+    whole, touched = inside_cells(edges, poly, g)
+    inner = at.join(whole, ["gx", "gy"]).select(key, poly)
+    border = _odd(at.join(touched, ["gx", "gy"]).select(key, poly, "x", "y", "gy"), key, edges, poly, g)
+    return inner.distinct().unionByName(border)
 
 
 def box_distance(x: Column, y: Column) -> Column:

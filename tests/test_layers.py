@@ -105,3 +105,22 @@ def test_forms_by_the_ending_of_a_path(spark, tmp_path):
         assert files.write_as_named(rows, f"{tmp_path}/a.{form}", "p").collect() == rows.collect()
     with pytest.raises(ValueError):
         files.write_as_named(rows, f"{tmp_path}/a.shp", "p")
+
+
+@pytest.mark.parametrize("g", [1.0, 7.0, 40.0, 500.0])
+def test_points_in_polygons_equal_all_edges(spark, g):
+    from strandline.operators import spatial as P
+
+    rng = random.Random(int(g))
+    rings = {0: [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)], 1: [(50.0, 0.0), (100.0, 0.0), (100.0, 50.0), (50.0, 50.0)]}
+    for k in range(2, 6):
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(12))
+        rings[k] = [(50 + rng.uniform(5, 60) * math.cos(t), 40 + rng.uniform(5, 60) * math.sin(t)) for t in turns]
+    edges = [(k, *a, *b) for k, r in rings.items() for a, b in zip(r, r[1:] + r[:1])]
+    points = [(i, rng.choice([rng.uniform(-30, 130), float(rng.randint(-3, 12) * 10)]), rng.choice([rng.uniform(-30, 120), float(rng.randint(-3, 12) * 10)])) for i in range(400)]
+
+    def inside(x, y, ring):
+        return sum((y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]) if y1 != y2) % 2 == 1
+
+    got = {tuple(r) for r in P.in_polygon(spark.createDataFrame(points, "i int, x double, y double"), "i", spark.createDataFrame(edges, "k int, x1 double, y1 double, x2 double, y2 double"), "k", g).collect()}
+    assert got == {(i, k) for i, x, y in points for k, r in rings.items() if inside(x, y, r)} and len(got) > 100
