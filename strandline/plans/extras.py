@@ -25,14 +25,19 @@ K = ["series_id"]
 # Projection variants
 
 
-def _bands(spark, sf, error: float):
-    """Projections for the rate less, as and plus an error."""
-    s = Z._state(spark, sf).withColumn("k", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("rate", F.col("rate") + F.col("k") * error)
+def _bands(spark, sf, error: float | None):
+    """Projections for the rate less, as and plus an error; without one, the uncertainty of the rate itself."""
+    s = Z._state(spark, sf)
+    if error is None:
+        s = s.join(S.end_point(view(spark, sf, "obs"), K).select("series_id", "rate_unc"), K)
+    s = s.withColumn("k", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("rate", F.col("rate") + F.col("k") * (F.col("rate_unc") if error is None else error))
     return J.bruun(s, Z._dim(spark, sf), ["series_id", "k"])
 
 
-def _band_sql(error: float) -> str:
-    text = Z._ST.replace(", 1.2::DOUBLE AS hist_rslr", ", 1.2::DOUBLE AS hist_rslr").replace("lv AS (SELECT scenario", "st3 AS (SELECT st.* REPLACE (rate + k * %s AS rate), k FROM st, (VALUES (-1), (0), (1)) v(k)),\n lv AS (SELECT scenario" % error)
+def _band_sql(error: float | None) -> str:
+    text = Z._ST.replace("lv AS (SELECT scenario", "st3 AS (SELECT st.* REPLACE (rate + k * %s AS rate), k FROM st, (VALUES (-1), (0), (1)) v(k)),\n lv AS (SELECT scenario" % ("rate_unc" if error is None else error))
+    if error is None:
+        text = text.replace("1.2::DOUBLE AS hist_rslr", "1.2::DOUBLE AS hist_rslr, sqrt(arg_min(error, obs_date) ** 2 + arg_max(error, obs_date) ** 2) / (date_diff('day', min(obs_date), max(obs_date)) / 365.25) AS rate_unc")
     return text.replace("b0 AS (SELECT st.*", "b0 AS (SELECT st3.*").replace("AS rc FROM st, lv)", "AS rc FROM st3, lv)").replace("fu AS (SELECT series_id,", "fu AS (SELECT series_id, k,")
 
 
@@ -80,9 +85,14 @@ def future_proximity(spark, sf):
     return rounded(_runs(spark, sf).filter("distance > recent").select("line_id", "run", "series_id", (F.col("distance") + 10).alias("x")))
 
 
-@query("error_lines", duck(*Z._VV, then=Z._FL + _RUNQ + " SELECT line_id, run, series_id, round(distance - 5, 6) AS low_x, round(distance + 5, 6) AS high_x FROM fm"))
+@query("error_lines", duck(*Z._VV, then=_band_sql(None) + """, eb AS (SELECT series_id // 200 AS line_id, series_id, series_id % 28 <> 0 AS f, min(distance) AS low_x, max(distance) AS high_x FROM fu WHERE scenario = 8 AND percentile = 50 AND year(proj_date) = 2050 GROUP BY 1, 2, 3),
+ er AS (SELECT *, sum(c) OVER (PARTITION BY line_id ORDER BY series_id) AS run FROM (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY line_id ORDER BY series_id) THEN 1 ELSE 0 END AS c FROM eb)),
+ ek AS (SELECT *, count(*) OVER (PARTITION BY line_id, run) AS n FROM er WHERE f) SELECT line_id, run, series_id, round(low_x, 6) AS low_x, round(high_x, 6) AS high_x FROM ek WHERE n >= 2"""))
 def error_lines(spark, sf):
-    return rounded(_runs(spark, sf).select("line_id", "run", "series_id", (F.col("distance") - 5).alias("low_x"), (F.col("distance") + 5).alias("high_x")))
+    """Lines through the nearest and farthest projection when each rate is off by its own uncertainty."""
+    b = _bands(spark, sf, None).filter((F.col("scenario") == 8) & (F.col("percentile") == 50) & (F.year("proj_date") == 2050))
+    ends = b.groupBy(F.floor(F.col("series_id") / 200).alias("line_id"), "series_id").agg(F.min("distance").alias("low_x"), F.max("distance").alias("high_x"))
+    return rounded(U.islands(ends, ["line_id"], "series_id", F.col("series_id") % 28 != 0).select("line_id", "run", "series_id", "low_x", "high_x"))
 
 
 @query("erosion_buffer", duck(*Z._VV, then=Z._FL + _RUNQ + ", bv AS (SELECT line_id, run, series_id AS seq, distance AS x, recent_y AS y FROM fm UNION ALL SELECT line_id, run, 2000000000 - series_id, distance + 10, recent_y FROM fm) SELECT line_id, run, round(sum(x * y2 - x2 * y) / 2, 4) AS area FROM (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM bv WINDOW w AS (PARTITION BY line_id, run ORDER BY seq)) GROUP BY 1, 2"))
@@ -133,9 +143,11 @@ def point_lookup(spark, sf):
     return rounded(Z._profile(spark, sf).groupBy("transect_id").agg(top).select("transect_id", F.col("t.z").alias("crest_z"), (-F.col("t.d")).alias("crest_dist")))
 
 
-@query("profile_unmask", duck("profile", then=" SELECT transect_id, count(*) AS n, count(*) FILTER (dist BETWEEN 50 AND 200) AS n_masked FROM profile GROUP BY 1"))
+@query("profile_unmask", duck("profile", then=" SELECT transect_id, ix, round(z, 6) AS z, CASE WHEN NOT dist BETWEEN 50 AND 200 THEN round(z, 6) + 0 END AS searched FROM profile"))
 def profile_unmask(spark, sf):
-    return Z._profile(spark, sf).groupBy("transect_id").agg(F.count("*").alias("n"), F.count_if(F.col("dist").between(50, 200)).alias("n_masked"))
+    """Each node's height, and its height in the search from which 50 to 200 m are masked: the mask is a column, so nothing is lost by it."""
+    z = F.round("z", 6)
+    return Z._profile(spark, sf).select("transect_id", "ix", z.alias("z"), F.when(~F.col("dist").between(50, 200), z).alias("searched"))
 
 
 @query("barrier_residuals", duck("profile", then=""", m AS (SELECT *, arg_max(dist, z * 1000000 - ix) OVER p AS dm, max(z) OVER p AS zm, min(dist) OVER p AS d0, arg_min(z, ix) OVER p AS z0 FROM profile WINDOW p AS (PARTITION BY transect_id)),
@@ -272,9 +284,10 @@ def sink_patches(spark, sf):
 # Lines and transects
 
 
-@query("coast_spline", duck("line_node", then=G._CR + " SELECT line_id, count(*) AS n FROM cr GROUP BY 1"))
+@query("coast_spline", duck("line_node", then=G._CR + " SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, k) - 1 AS seq, round(x, 6) AS x, round(y, 6) AS y FROM cr"))
 def coast_spline(spark, sf):
-    return L.densify(G._nodes(spark, sf), 5.0).groupBy("line_id").agg(F.count("*").alias("n"))
+    """Every line of the coast as a curve of points at most 5 m apart."""
+    return rounded(L.densify(G._nodes(spark, sf), 5.0).select("line_id", "seq", "x", "y"))
 
 
 @query("line_smooth_output", duck("line_node", then=G._smooth_sql(L.savgol_weights(7, 2), False)))
@@ -282,15 +295,15 @@ def line_smooth_output(spark, sf):
     return rounded(L.smooth(L.dedupe(G._nodes(spark, sf)), 7, order=2))
 
 
-@query("line_merge_snap", duck("line_node", then=" SELECT line_id * 1000 AS chain_id, count(*) AS n FROM line_node GROUP BY 1"))
+@query("line_merge_snap", duck("line_node", then=" SELECT line_id * 1000 AS chain_id, seq, x, round(y, 6) AS y FROM line_node"))
 def line_merge_snap(spark, sf):
-    # Pieces of ten segments, each begun 5 cm beside the end of the one before.
+    """Pieces of ten segments, each begun 5 cm beside the end of the one before, joined again where that end lies."""
     n = G._nodes(spark, sf).withColumn("part", F.floor(F.col("seq") / 10))
     ends = n.filter((F.col("seq") % 10 == 0) & (F.col("seq") > 0)).withColumn("part", F.col("part") - 1)
     cut = n.withColumn("y", F.when((F.col("seq") % 10 == 0) & (F.col("seq") > 0), F.col("y") + 0.05).otherwise(F.col("y"))).unionByName(ends)
     cut = cut.select((F.col("line_id") * 1000 + F.col("part")).alias("line_id"), (F.col("seq") - F.col("part") * 10).alias("seq"), "x", "y")
     whole = cut.groupBy("line_id").agg(F.count("*").alias("n")).filter("n > 1").select("line_id")
-    return L.merge_snap(cut.join(whole, "line_id"), 0.1).groupBy("chain_id").agg(F.count("*").alias("n"))
+    return rounded(L.merge_snap(cut.join(whole, "line_id"), 0.1).select("chain_id", "seq", "x", "y"))
 
 
 _BOX = """, sg AS (SELECT line_id * 10000 + transect_id AS sid, start_x AS x1, (start_y + 1e9) % 1000 AS y1, end_x - start_x AS dx, end_y - start_y AS dy FROM tr WHERE abs(end_x - start_x) > 1e-6 AND abs(end_y - start_y) > 1e-6),

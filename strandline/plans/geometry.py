@@ -24,15 +24,15 @@ def _transects(spark, sf):
     return T.generate(_nodes(spark, sf), SPACING, HALF, HALF)
 
 
-def _shifted(spark, sf):
-    """Segments of the lines moved 40 m north, with a date by line."""
-    seg = L.segments(_nodes(spark, sf).withColumn("y", F.col("y") + 40)).filter("x2 is not null")
+def _shifted(spark, sf, north: int = 40):
+    """Segments of the lines moved north, with a date by line."""
+    seg = L.segments(_nodes(spark, sf).withColumn("y", F.col("y") + north)).filter("x2 is not null")
     return seg.select(F.col("line_id").alias("layer_id"), F.col("seq").alias("layer_seq"), F.col("x").alias("bx1"), F.col("y").alias("by1"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"), F.expr("make_date(1880 + layer_id * 6, 6, 1)").alias("obs_date"))
 
 
-def _hits(spark, sf):
+def _hits(spark, sf, north: int = 40):
     t = _transects(spark, sf).select("line_id", "transect_id", "coast_x", "coast_y", "orient", F.col("start_x").alias("ax1"), F.col("start_y").alias("ay1"), F.col("end_x").alias("ax2"), F.col("end_y").alias("ay2"))
-    hits = P.intersections(t, _shifted(spark, sf), 200.0)
+    hits = P.intersections(t, _shifted(spark, sf, north), 200.0)
     return hits.withColumn("distance", along(F.col("ix"), F.col("iy"), F.col("coast_x"), F.col("coast_y"), F.col("orient")))
 
 
@@ -275,9 +275,11 @@ def attr_at_hit(spark, sf):
     return _hits(spark, sf).groupBy(*_K).agg(first).select(*_K, "b.layer_id", "b.layer_seq")
 
 
-@query("defence_limit", _sql("SELECT line_id, transect_id, round(min(distance) + 2, 6) AS limit_distance FROM hit GROUP BY 1, 2", _TR, _HIT))
+@query("defence_limit", _sql("SELECT line_id, transect_id, round(arg_min(distance, round(abs(distance), 6)) + 2, 6) AS limit_distance FROM dh GROUP BY 1, 2", _TR, _HIT.replace("lay AS", "dlay AS").replace("+ 40", "+ 15").replace("hx AS", "dx_ AS").replace("lay.*", "dlay.*").replace("JOIN lay ON", "JOIN dlay ON").replace("hy AS", "dy_ AS").replace("FROM hx", "FROM dx_").replace("FROM hy", "FROM dy_").replace("hit AS", "dh AS")))
 def defence_limit(spark, sf):
-    return rounded(_hits(spark, sf).groupBy(*_K).agg((F.min("distance") + 2).alias("limit_distance")))
+    """Where defences hold the shore: a layer of their own, the crossing nearest the coast, and an allowance of 2 m behind it."""
+    near = F.min_by("distance", F.round(F.abs("distance"), 6))
+    return rounded(_hits(spark, sf, 15).groupBy(*_K).agg((near + 2).alias("limit_distance")))
 
 
 @query("dates_not_seen", _sql("SELECT DISTINCT line_id, transect_id, obs_date FROM hit WHERE (line_id, transect_id, obs_date) NOT IN (SELECT line_id, transect_id, obs_date FROM hit WHERE layer_id % 2 = 0)", _TR, _HIT))

@@ -276,10 +276,9 @@ def bruun_predict(spark, sf):
     return rounded(_future(spark, sf).select("series_id", "scenario", "percentile", "proj_date", "distance", "mean_rate"))
 
 
-@query("cross_scenarios", duck(*_VV, then=_ST + " SELECT series_id, count(*) AS n, count(DISTINCT scenario) AS scenarios FROM fu GROUP BY 1"))
+@query("cross_scenarios", duck(*_VV, then=_ST + " SELECT series_id, scenario, percentile, proj_date, round(level, 9) AS level FROM st, dim"))
 def cross_scenarios(spark, sf):
-    rows = _state(spark, sf).select("series_id").crossJoin(few(_dim(spark, sf)))
-    return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.countDistinct("scenario").alias("scenarios"))
+    return rounded(_state(spark, sf).select("series_id").crossJoin(few(_dim(spark, sf))), 9)
 
 
 @query("calibration_rslr", duck(*_VV, then=_ST + " SELECT series_id, scenario, percentile, round(rc * 1000, 6) AS rate_mm FROM b0"))

@@ -59,11 +59,12 @@ def scan_ascii_grid(spark, sf):
 # Sinks give the rows that are written.
 
 
-@query("sink_lines", duck("line_node", then=" SELECT line_id, count(*) AS n, min(seq) AS first_seq FROM line_node GROUP BY 1"))
+@query("sink_lines", duck("line_node", then=" SELECT line_id, seq::INT AS seq, x, round(y, 6) AS y FROM line_node"))
 def sink_lines(spark, sf):
-    f = lines_as_features(view(spark, sf, "line_node"), ["line_id"])
-    back = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<double>>")
-    return f.select("line_id", F.size(back).cast("long").alias("n"), F.lit(0).cast("long").alias("first_seq"))
+    """All lines written as one layer of features and read back from its file."""
+    path = new_folder(spark, "lines")
+    write_layers(view(spark, sf, "line_node").withColumn("layer", F.lit("lines")), "layer", ["line_id"], path)
+    return rounded(read_layers(spark, path).select(F.col("properties")["line_id"].cast("int").alias("line_id"), "seq", "x", "y"))
 
 
 _EPR = "SELECT series_id, count(*) AS n, arg_max(value, obs_date) AS latest_value, (arg_max(value, obs_date) - arg_min(value, obs_date)) / (date_diff('day', min(obs_date), max(obs_date)) / 365.25) AS epr FROM obs GROUP BY 1 HAVING min(obs_date) < max(obs_date)"
@@ -180,10 +181,12 @@ def win_rank_nearest(spark, sf):
     return view(spark, sf, "obs").groupBy("series_id").agg(best).select("series_id", "b.obs_date", "b.value")
 
 
-@query("sort_by_distance", duck("site_point", then=" SELECT label, list(site_id ORDER BY x, site_id)[1] AS first_id, count(*) AS n FROM site_point GROUP BY 1"))
+@query("sort_by_distance", duck("site_point", then=" SELECT label, site_id, row_number() OVER (PARTITION BY label ORDER BY round(sqrt((x - 500) ** 2 + (y - 500) ** 2), 9), site_id)::INT AS place, round(sqrt((x - 500) ** 2 + (y - 500) ** 2), 6) AS distance FROM site_point"))
 def sort_by_distance(spark, sf):
-    s = view(spark, sf, "site_point").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x", "site_id"))).alias("p"), F.count("*").alias("n"))
-    return s.select("label", F.col("p")[0]["site_id"].alias("first_id"), "n")
+    """Sites of each label in order of their distance from the middle of the area."""
+    d = F.hypot(F.col("x") - 500, F.col("y") - 500)
+    by = Window.partitionBy("label").orderBy(F.round("distance", 9), "site_id")
+    return rounded(view(spark, sf, "site_point").select("label", "site_id", d.alias("distance")).withColumn("place", F.row_number().over(by)))
 
 
 @query("union_layers", duck("cell_rate", "cell_coast", then=" SELECT cell_id, count(hist_rate) AS n_rate, count(len) AS n_len FROM (SELECT cell_id, hist_rate, NULL::DOUBLE AS len FROM cell_rate UNION ALL SELECT cell_id, NULL, len FROM cell_coast) GROUP BY 1"))
@@ -192,9 +195,12 @@ def union_layers(spark, sf):
     return both.groupBy("cell_id").agg(F.count("hist_rate").alias("n_rate"), F.count("len").alias("n_len"))
 
 
-@query("dedupe_keep_order", duck("raster_cell", then=" SELECT tile, min(row_ix * 50 + col_ix) AS first_place FROM raster_cell GROUP BY 1"))
+@query("dedupe_keep_order", duck("obs_raw", then=" SELECT series_id, obs_date, row_number() OVER (PARTITION BY series_id ORDER BY first_seen, obs_date)::INT AS place FROM (SELECT series_id, obs_date, min(arrival) AS first_seen FROM obs_raw GROUP BY 1, 2)"))
 def dedupe_keep_order(spark, sf):
-    return view(spark, sf, "raster_cell").groupBy("tile").agg(F.min(F.col("row_ix") * 50 + F.col("col_ix")).alias("first_place"))
+    """The different dates of each series in the order in which they first came."""
+    first = view(spark, sf, "obs_raw").groupBy("series_id", "obs_date").agg(F.min("arrival").alias("first_seen"))
+    by = Window.partitionBy("series_id").orderBy("first_seen", "obs_date")
+    return first.select("series_id", "obs_date", F.row_number().over(by).alias("place"))
 
 
 # Scalars
