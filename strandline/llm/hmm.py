@@ -16,6 +16,7 @@ that many, and are looked up in the tasks.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -310,7 +311,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     which has one token, the end.  Without training rows all counts are zero
     and the states are those of the first model.  Words are told apart by
     64-bit hashes.  Other columns are ignored.  A bounded sample gives the
-    starting model; then every round sees every training text.
+    starting model (all rows where their ids leave it empty); then every round
+    sees every training text.  A warning says if the rounds ended before the
+    log probability settled.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -320,6 +323,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     coded = durable(code_texts(docs, vocabulary), "hmm-coded")
     learned = coded.filter(F.col("fold") != HELD_OUT).select("doc_id", "codes")
     seeds = durable(sample_rows(learned, SEED_TEXTS, vocabulary.texts, 1), "hmm-seeds")
+    if not seeds.limit(1).count():
+        # Few ids, as when all rows share one, may all fall outside the sample.
+        seeds = learned
     frequencies = np.zeros(vocabulary.size)
     own = vocabulary.classes >= 0
     frequencies[vocabulary.classes[own]] = vocabulary.counts[own]
@@ -334,7 +340,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
             model, log = train_round(learned, model)
             if before is not None and log - before < LEAST_GAIN * abs(log):
                 break
-            before = log
+            last, before = before, log
+        else:
+            warnings.warn(f"the log probability still gained {log - last:.4g} in the last of {MOST_ROUNDS} rounds", stacklevel=2)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _buffers(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandline.llm.common import bounded_batches
+from strandline.llm.common import bounded_batches, durable
 
 # The magic bytes of each format and how far before them the file begins.
 MAGIC = {
@@ -342,13 +342,13 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The registered query: store every text, sniff the stored bytes, read the samples back.
+    """The registered query: store every text in a table, sniff the bytes read from it, decode the samples.
 
     The carrier is chosen by the type that sniffing finds, never by the
     declared one.  ``feature`` says type, declared type, samples, mean sample
     and the embedded media (type and start) that were carved.
     """
-    stored = store_texts(docs)
+    stored = durable(store_texts(docs), "media-stored")
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, hmm, jaccard, licenses, lines, media, mixing, quality, sharding, toxicity
+from strandline.llm import decontamination, folds, hmm, jaccard, licenses, lines, media, mixing, quality, sharding, toxicity
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BLANK = re.compile("[^\x20\x09-\x0d]+")
@@ -154,6 +154,17 @@ def test_forward_equals_all_paths():
         hmm.STATES = old
 
 
+def test_one_id_for_all_training_rows_still_parts_the_states(spark, monkeypatch):
+    texts = [("the cat of a dog and " * 6 if i % 2 else "12 + 7 = 19 ; ") * (1 + i % 3) + prose(i, 5) for i in range(60)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    many = hmm.score_texts(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).agg(F.sum("score"), F.sum("base_score")).first()
+    monkeypatch.setattr(hmm, "SEED_TEXTS", 1)  # a sample of one in sixty ids: one id is in it or, as here, not
+    for one in ids[:2]:
+        assert not folds.sample_rows(spark.createDataFrame([(one,)], "doc_id long"), 1, 60, 1).count()
+        got = hmm.score_texts(spark.createDataFrame([(one, t) for t in texts], "doc_id long, text string")).agg(F.sum("score"), F.sum("base_score")).first()
+        assert got[1] == pytest.approx(many[1]) and got[0] == pytest.approx(many[0], rel=0.02)
+
+
 def test_base_scores_equal_counting(spark, edge, empty):
     got = hmm.score_texts(edge).toPandas()
     rows = edge.select("doc_id", "text").collect()
