@@ -52,7 +52,12 @@ class Template:
 
     @cached_property
     def _held(self) -> re.Pattern[str]:
-        return re.compile("|".join(f"({re.escape(m[0])})({re.escape(self.escape)}*)({re.escape(m[1:])})" for m in self._all))
+        rests = {f: "|".join(re.escape(m[1:]) for m in self._all if m[0] == f) for f in self._firsts}
+        return re.compile("|".join(f"{re.escape(f)}(?:{re.escape(self.escape)})*(?:{rest})" for f, rest in rests.items()))
+
+    @cached_property
+    def _firsts(self) -> list[str]:
+        return sorted({m[0] for m in self._all})
 
     @cached_property
     def _mark(self) -> re.Pattern[str]:
@@ -60,11 +65,15 @@ class Template:
 
     def escaped(self, text: str) -> str:
         """``text`` without any mark."""
-        return self._held.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + self.escape + g[1] + g[2], text)
+        if not any(f in text for f in self._firsts):
+            return text
+        return self._held.sub(lambda m: m[0][0] + self.escape + m[0][1:], text)
 
     def unescaped(self, text: str) -> str:
         """The text that ``escaped`` was given."""
-        return self._held.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1][len(self.escape) :] + g[2], text)
+        if self.escape not in text:
+            return text
+        return self._held.sub(lambda m: m[0][0] + m[0][1:].removeprefix(self.escape), text)
 
     def turn(self, role: str, text: str) -> tuple[str, int, int]:
         """(formatted turn, start, end): where the escaped text lies in it."""
