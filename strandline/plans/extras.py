@@ -284,10 +284,10 @@ def sink_patches(spark, sf):
 # Lines and transects
 
 
-@query("coast_spline", duck("line_node", then=G._CR + " SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, k) - 1 AS seq, round(x, 6) AS x, round(y, 6) AS y FROM cr"))
+@query("coast_spline", duck("line_node", then=G._CR + " SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, k) - 1 AS seq, round(x, 9) AS x, round(y, 9) AS y FROM cr"))
 def coast_spline(spark, sf):
     """Every line of the coast as a curve of points at most 5 m apart."""
-    return rounded(L.densify(G._nodes(spark, sf), 5.0).select("line_id", "seq", "x", "y"))
+    return rounded(L.densify(G._nodes(spark, sf), 5.0).select("line_id", "seq", "x", "y"), 9)
 
 
 @query("line_smooth_output", duck("line_node", then=G._smooth_sql(L.savgol_weights(7, 2), False)))
