@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import lines as L
+from strandline.operators import spatial as P
 
 NODES = "line_id long, seq long, x double, y double"
 
@@ -44,3 +45,24 @@ def test_smoothing_takes_time_by_the_nodes_of_a_line_not_their_square(spark):
     began = time.monotonic()
     assert L.smooth(nodes, 21).agg(F.count("x"), F.count("y")).first() == (n, n)
     assert time.monotonic() - began < 30
+
+
+def test_nearest_segments_equal_all_pairs_near_and_far(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(0, 900, (80, 2)), rng.normal(0, 60, (80, 2))
+    # The last point's answer lies beyond the last radius of a series that grows fourfold from 100, but within the limit.
+    p = np.vstack([rng.uniform(-200, 1100, (60, 2)), [[5000.0, -7000.0], [600_000.0, 500.0], [3_000_000.0, 0.0]]])
+    seg = spark.createDataFrame([tuple(map(float, (*u, *(u + v)))) for u, v in zip(a, b)], "x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "k long, x double, y double")
+    t = np.clip(((p[:, None] - a) * b).sum(-1) / (b * b).sum(-1), 0, 1)
+    want = np.sqrt((((p[:, None] - a) - t[..., None] * b) ** 2).sum(-1)).min(1)
+    found = {r["k"]: r for r in P.nearest_segment(points, "k", seg, 100.0, 1e6).collect()}
+    assert set(found) == set(range(62))
+    assert all(abs(found[i]["distance"] - want[i]) < 1e-6 for i in found)
+    assert all(abs(np.hypot(p[i][0] - r["near_x"], p[i][1] - r["near_y"]) - want[i]) < 1e-6 for i, r in found.items())
+
+
+def test_many_cells_are_not_sent_by_way_of_the_driver(spark):
+    cells = spark.range(20_000).select("id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("gx"))
+    plan = P.spread(spark.range(9).select(F.col("id").cast("int").alias("gx")), cells, ["gx"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
