@@ -2,12 +2,14 @@
 
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import lines as L
 from strandline.operators import spatial as P
+from strandline.plans import registry
 
 NODES = "line_id long, seq long, x double, y double"
 
@@ -66,3 +68,19 @@ def test_many_cells_are_not_sent_by_way_of_the_driver(spark):
     cells = spark.range(20_000).select("id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("gx"))
     plan = P.spread(spark.range(9).select(F.col("id").cast("int").alias("gx")), cells, ["gx"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["line_merge_touching", "line_merge_snap", "transect_clip_polygon"])
+def test_ids_of_long_lines_do_not_run_into_the_next_line(spark, tmp_path, name):
+    # 1,050 pieces and over 10,000 transects a line.
+    n = 10_500
+    customers = spark.range(2 * n).select(F.col("id").alias("c_custkey"), F.floor(F.col("id") / n).cast("int").alias("c_nationkey"), (F.sin("id") * 8000 + 5000).alias("c_acctbal"))
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want, got = con.execute(registry.oracle_sql()[name]).fetch_df(), registry.queries()[name](spark, str(tmp_path)).toPandas()
+    keys = list(want.columns)
+    want, got = (f[keys].astype(float).sort_values(keys).to_numpy() for f in (want, got))
+    assert want.shape == got.shape and np.allclose(want, got, rtol=0, atol=1e-5)
