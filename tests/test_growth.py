@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import lines as L
 from strandline.operators import spatial as P
+from strandline.operators.clusters import rocky
 from strandline.plans import registry
 
 NODES = "line_id long, seq long, x double, y double"
@@ -84,3 +85,17 @@ def test_ids_of_long_lines_do_not_run_into_the_next_line(spark, tmp_path, name):
     keys = list(want.columns)
     want, got = (f[keys].astype(float).sort_values(keys).to_numpy() for f in (want, got))
     assert want.shape == got.shape and np.allclose(want, got, rtol=0, atol=1e-5)
+
+
+def test_clusters_read_their_measures_once_not_each_round(spark):
+    read = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 1, (200, 2)) ** 3)]
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rough = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "t long, slope_rough double, z_rough double")
+    assert rocky(rough, ["t"]).count() == 200
+    assert read.value <= 400
