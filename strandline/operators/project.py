@@ -65,9 +65,10 @@ def _clamped(raw: Column) -> Column:
 def with_sampled_levels(state: DataFrame, sampled: DataFrame, keys: list[str]) -> DataFrame:
     """As ``with_levels``, from levels sampled for each series: (keys, levels), an array of (scenario, percentile, proj_date, level).
 
-    The array stays in the row of its series: nothing but ``state`` and the samples is shuffled.
+    The array stays in the row of its series: nothing but ``state`` and the samples is shuffled.  The two are merged,
+    as neither is small for the estimate of its files.
     """
-    rows = state.join(sampled.select(*keys, "levels"), keys).withColumn("_s", F.explode(F.array_distinct(F.transform("levels", lambda a: F.struct(a["scenario"], a["percentile"])))))
+    rows = state.join(sampled.select(*keys, "levels").hint("merge"), keys).withColumn("_s", F.explode(F.array_distinct(F.transform("levels", lambda a: F.struct(a["scenario"], a["percentile"])))))
     own = F.filter("levels", lambda a: (a["scenario"] == F.col("_s.scenario")) & (a["percentile"] == F.col("_s.percentile")))
     p = F.array_sort(F.transform(own, lambda a: F.struct(a["proj_date"], a["level"])))
     rows = rows.select(*state.columns, "_s.scenario", "_s.percentile", p.alias("p"))

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import lines as L
+from strandline.operators import project as J
+from strandline.operators import raster as A
 from strandline.operators import spatial as P
 from strandline.operators.clusters import rocky
 from strandline.plans import registry
@@ -99,3 +101,20 @@ def test_clusters_read_their_measures_once_not_each_round(spark):
     rough = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "t long, slope_rough double, z_rough double")
     assert rocky(rough, ["t"]).count() == 200
     assert read.value <= 400
+
+
+def test_packed_levels_and_low_cells_are_merged_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stack = spark.createDataFrame([(8, 50, 2050, 0, 0, 0.1), (8, 50, 2060, 0, 0, 0.2)], "scenario int, percentile int, proj_year int, row_ix long, col_ix long, level double")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 50.0, 5.0)], "series_id long, x double, y double")
+    sampled = A.sample_stack(points, stack, ["series_id"], ["scenario", "percentile", "proj_year"], "level", 0.0, 10.0, 10.0)
+    assert [(r["series_id"], [v["level"] for v in r["levels"]]) for r in sampled.collect()] == [(1, [0.1, 0.2])]
+    state = spark.createDataFrame([(1,)], "series_id long").withColumn("latest_date", F.to_date(F.lit("2000-01-01")))
+    dated = sampled.select("series_id", F.transform("levels", lambda v: F.struct(v["scenario"].alias("scenario"), v["percentile"].alias("percentile"), F.make_date(v["proj_year"], F.lit(1), F.lit(1)).alias("proj_date"), v["level"].alias("level"))).alias("levels"))
+    for df in (sampled, J.with_sampled_levels(state, dated, ["series_id"])):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    cells = spark.createDataFrame([(0, 3, 0.1), (0, 3, 0.2), (0, 6, 0.3)], "row_ix long, col_ix long, v double")
+    across = spark.createDataFrame([(7, 0.0, 5.0, 98.0, 5.0), (8, 0.0, 50.0, 98.0, 50.0)], "series_id long, start_x double, start_y double, end_x double, end_y double")
+    found = A.first_below(across, cells, ["series_id"], 0.4, 0.0, 10.0, 10.0)
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert [(r["series_id"], 30 <= r["distance"] < 32) for r in found.collect()] == [(7, True)]
