@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.operators import series as S
@@ -71,3 +72,32 @@ def test_a_batch_writes_what_it_brings(spark, tmp_path):
     seen = run(spark, str(tmp_path), [many, [("a", day(7), 2.0, 1.0, "x", 1000)]])
     assert [len(x["a"]["changes"]) for x in seen] == [500, 1] and seen[1]["a"]["n"] == 500
     assert spark.read.parquet(f"{tmp_path}/out").filter(F.col("batch") == 1).count() == 1
+
+
+class Counted:
+    """A state that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls.append(name)
+            place = a[0] if name in ("getValue", "updateValue") else ()
+            if name in ("update", "updateValue"):
+                self.rows[place] = a[-1]
+            return self.rows.get(place)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_the_series():
+    calls = []
+    handle = type("Handle", (), {"getMapState": lambda *a: Counted(calls), "getValueState": lambda *a: Counted(calls)})()
+    state = O._Bucket(1)
+    state.init(handle)
+    for batch in range(2):
+        rows = pd.DataFrame([{"bucket": 0, "key0": s, "day": 9000 + d + batch, "value": float(d), "error": None, "source": None, "arrival": batch} for s in range(500) for d in range(3)])
+        calls.clear()
+        (out,) = state.handleInputRows((0,), iter([rows[:700], rows[700:]]), None)
+        assert len(out) == 500 and set(out["n"]) == {3 + batch} and len(calls) <= 4
