@@ -8,6 +8,7 @@ other.  Arrays go through the mixer a step at a time: nothing is computed twice.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,26 @@ def normals(key: Column, samples: int, width: int) -> Column:
     return out
 
 
+def drawn(keys: np.ndarray, samples: int, width: int) -> list[np.ndarray]:
+    """``normals`` of many keys at once, in a task: ``width`` arrays of a row for each row of ``keys`` (two words), a column for each sample."""
+    keys = keys.astype(np.uint32)[:, :, None]
+    step, out = 2 * -(-width // 2), []
+
+    def uniform(first: int) -> np.ndarray:
+        words = np.arange(first, first + samples * step, step).astype(np.uint32)[None, :]
+        for i in (0, 1):
+            words = words + keys[:, i]
+            for _ in range(2):
+                words = (words ^ (words >> np.uint32(16))) * np.uint32(FACTOR)
+            words = words ^ (words >> np.uint32(16))
+        return (words + 0.5) / WORDS
+
+    for i in range(0, width, 2):
+        r, t = np.sqrt(-2 * np.log(uniform(i))), 2 * np.pi * uniform(i + 1)
+        out += [r * f(t) for f in (np.cos, np.sin)[: width - i]]
+    return out
+
+
 def duck_mix(word: str) -> str:
     """DuckDB SQL of the mix of a word given as SQL."""
     for _ in range(2):

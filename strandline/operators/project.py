@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from strandline.functions.deviates import key_words, normals
+from strandline.functions.deviates import drawn, key_words
 from strandline.functions.stage import few
 
 YEAR = 365.2425
@@ -127,9 +132,9 @@ def monte_carlo(
     is a whole number that seeds the deviates together with the scenario.  A
     sample draws one rate, one residual and one sea-level score for all dates:
     the level is the median plus score times spread, with the spread from the
-    5th and 95th percentile.  Samples stay in one array for each row, so nothing
-    is exploded or shuffled for them; percentiles are interpolated between
-    sorted samples.  Series without rate, rate_se or residual_se have none.
+    5th and 95th percentile.  Samples are drawn and sorted in the task, a block
+    of rows at a time, and never are rows of their own; percentiles are
+    interpolated between sorted samples.  Series without rate, rate_se or residual_se have none.
     """
     c = F.col
     place = place or []
@@ -140,24 +145,57 @@ def monte_carlo(
     base = known.join(packed, place) if place else known.crossJoin(few(packed))
     # A row costs thousands of steps but few bytes: dealt by number, small partitions aren't joined to one.
     base = base.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "scenario").withColumn("_key", key_words(c(keys[0]), c("scenario")))
-    noise = F.transform(normals(c("_key"), samples, 3), lambda n: F.named_struct(F.lit("rate"), c("rate") + n[0] * c("rate_se"), F.lit("residual"), n[1] * c("residual_se"), F.lit("z"), n[2]))
     base = base.withColumns({
-        "noise": noise, "s": F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01)), "first": F.get("p", F.lit(0)), "second": F.get("p", F.lit(1)),
+        "s": F.greatest(F.least("hinterland", "shoreface"), F.lit(0.01)), "first": F.get("p", F.lit(0)), "second": F.get("p", F.lit(1)),
         "mid0": _level("p", "mid"), "spread0": _level("p", "spread")})
-    rows = base.withColumn("x", F.explode("p")).withColumn("dt", F.datediff("x.proj_date", "latest_date") / YEAR)
 
-    # A sampled position is linear in its rate and score, so each row holds the factors and samples take a few steps each.
+    # A sampled position is linear in its rate and score, so each date holds the factors and samples take a few steps each.
     years = lambda hist, n: calibration_rslr(c("latest_date"), hist, c("second.proj_date"), c(f"first.{n}"), c(f"second.{n}"), c("first.proj_date"))
-    moved = lambda n, hist: (c(f"x.{n}") - c(f"{n}0")) / c("s") - years(hist, n) / c("s") * c("dt")
-    rows = rows.select(*keys, "scenario", c("x.proj_date").alias("proj_date"), "noise", "dt", "latest_distance", "defence", "rock",
-                       (c("latest_distance") + moved("mid", c("hist_rslr"))).alias("base"), moved("spread", F.lit(0.0)).alias("by_score"))
-    distance = lambda x: F.when(c("dt") <= 0, c("latest_distance")).otherwise(_clamped(c("base") + c("dt") * x["rate"] + c("by_score") * x["z"])) + x["residual"]
-    sorted_samples = rows.select(*keys, "scenario", "proj_date", "latest_distance", F.sort_array(F.transform("noise", distance)).alias("d"))
-
-    def quantile(q: float) -> Column:
-        at = q * (samples - 1)
-        low = int(at)
-        below, above = F.get("d", F.lit(low)), F.get("d", F.lit(min(low + 1, samples - 1)))
-        return below + (above - below) * (at - low)
-
-    return sorted_samples.select(*keys, "scenario", "proj_date", "latest_distance", F.array(*[quantile(q) for q in shares]).alias("q"))
+    base = base.withColumns({"by_mid": years(c("hist_rslr"), "mid") / c("s"), "by_spread": years(F.lit(0.0), "spread") / c("s")})
+    dt = lambda x: F.datediff(x["proj_date"], c("latest_date")) / YEAR
+    moved = lambda x, n: (x[n] - c(f"{n}0")) / c("s") - c(f"by_{n}") * dt(x)
+    dates = F.transform("p", lambda x: F.struct(x["proj_date"].alias("proj_date"), dt(x).alias("dt"), (c("latest_distance") + moved(x, "mid")).alias("base"), moved(x, "spread").alias("by_score")))
+    rows = base.select(*keys, "scenario", "latest_distance", *[c("_key")[i].alias(f"_key{i}") for i in (0, 1)], *[c(n).cast("double").alias(f"_{n}") for n in ("rate", "rate_se", "residual_se", "latest_distance", "defence", "rock")], dates.alias("_dates"))
+    own = [*keys, "scenario", "latest_distance"]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dates = batch.column("_dates")
+            counts = np.diff(dates.offsets.to_numpy())
+            # Blocks of about half a million sampled positions.
+            block = np.cumsum(counts) * samples // 500_000
+            for at in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(block)) + 1):
+                if len(at):
+                    yield _sampled(batch.slice(at[0], len(at)), own, samples, shares)
+
+    fields = [rows.schema[n] for n in own]
+    schema = StructType([*fields[:-1], *StructType.fromDDL("proj_date date"), fields[-1], *StructType.fromDDL("q array<double>")])
+    return rows.mapInArrow(sample, schema)
+
+
+def _sampled(batch: pa.RecordBatch, own: list[str], samples: int, shares: tuple[float, ...]) -> pa.RecordBatch:
+    """Percentiles of the sampled positions of each row and date; null where a factor is."""
+    number = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+    dates = batch.column("_dates")
+    flat, row = dates.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(dates.offsets.to_numpy()))
+    n0, n1, z = drawn(np.column_stack([batch.column(f"_key{i}").to_numpy() for i in (0, 1)]), samples, 3)
+    rate, rate_se, residual_se, latest, defence, rock = (number(batch.column(f"_{n}"))[:, None] for n in ("rate", "rate_se", "residual_se", "latest_distance", "defence", "rock"))
+    rate, residual = rate + n0 * rate_se, n1 * residual_se
+    dt, base, by_score = (number(flat.field(n))[:, None] for n in ("dt", "base", "by_score"))
+    raw = base + dt * rate[row] + by_score * z[row]
+    rock, defence, latest = rock[row], defence[row], latest[row]
+    d = np.where(dt <= 0, latest, np.where(raw > defence, defence, np.where(raw > rock, rock, raw))) + residual[row]
+    d.sort(axis=1)
+    q = []
+    for at in (share * (samples - 1) for share in shares):
+        below, above = d[:, int(at)], d[:, min(int(at) + 1, samples - 1)]
+        q.append(below + (above - below) * (at - int(at)))
+    q = np.column_stack(q)
+    missing = np.zeros(len(row), dtype=bool)
+    needed = [latest] + [np.where(dt <= 0, 0.0, x) for x in (base, by_score, dt)]
+    for x in needed:
+        missing |= np.isnan(x[:, 0])
+    values = pa.array(q.ravel(), mask=np.repeat(missing, len(shares)))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(shares), pa.int32()), values)
+    held = [batch.column(n).take(pa.array(row)) for n in own]
+    return pa.RecordBatch.from_arrays([*held[:-1], flat.field("proj_date"), held[-1], lists], [*own[:-1], "proj_date", own[-1], "q"])

@@ -106,3 +106,20 @@ def test_levels_of_places(spark):
 
 def test_series_without_a_rate_have_no_samples(spark):
     assert project.monte_carlo(state(spark, rate_se=None), levels(spark).drop("cell"), ["series_id"]).count() == 0
+
+
+def test_deviates_drawn_in_a_task_are_those_of_the_columns(spark):
+    keys = [(5, 1), (-7, 2), (1 << 40, 3)]
+    rows = spark.createDataFrame(keys, "seed long, part int").select(deviates.key_words(F.col("seed"), F.col("part")).alias("key"))
+    for width in (1, 2, 3):
+        want = np.array([r["n"] for r in rows.select(deviates.normals(F.col("key"), 50, width).alias("n")).collect()])
+        got = deviates.drawn(np.array([r["key"] for r in rows.collect()]), 50, width)
+        assert len(got) == width and all(np.allclose(got[i], want[:, :, i], rtol=0, atol=1e-12) for i in range(width))
+
+
+def test_samples_are_never_columns_of_the_plan(spark):
+    found = project.monte_carlo(state(spark, rate_se=0.1, residual_se=0.1), levels(spark).filter("cell = 2").drop("cell"), ["series_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(" not in plan
+    missing = project.monte_carlo(state(spark, rate_se=0.1, residual_se=0.1).withColumn("hist_rslr", F.lit(None).cast("double")), levels(spark).filter("cell = 2").drop("cell"), ["series_id"])
+    assert {x for r in missing.collect() for x in r["q"]} == {None}
