@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import lines as L
+from strandline.operators import profiles as R
 from strandline.operators import project as J
 from strandline.operators import raster as A
 from strandline.operators import spatial as P
@@ -103,6 +104,44 @@ def test_clusters_read_their_measures_once_not_each_round(spark):
     assert read.value <= 400
 
 
+@pytest.mark.parametrize("name", ["barrier_detect", "barrier_detect_window", "sink_crest_points"])
+def test_nodes_of_profiles_are_packed_once_not_joined_or_exchanged_for_each_detector(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan
+    assert not any(step in plan for step in ("Exchange", "Join", "Window", "collect_list"))
+
+
+def test_packed_profiles_have_the_measures_and_the_parts_of_their_rows(spark):
+    rng = np.random.default_rng(5)
+    kinds = {"rock": (8, 5), "cliff": (4, 1), "low": (3, 2), "sunk": (-9, 1), "one": (2, 1), "none": (2, 1)}
+    rows = []
+    for k, (mean, spread) in kinds.items():
+        z = [2.0] if k == "one" else [float(v) for v in rng.normal(mean, spread, 40)]
+        if k == "cliff":
+            z[25:] = [v + 20 for v in z[25:]]
+        if k == "none":
+            z = [None] * 5
+        rows += [(k, i, 5.0 * i, None if k == "low" and i % 9 == 4 else v) for i, v in enumerate(z)]
+    profile, keys = spark.createDataFrame(rows, "t string, ix long, dist double, z double"), ["t"]
+
+    found = {r["t"]: r for r in R.roughness(profile, keys, 5.0, 8.0).collect()}
+    assert set(found) == set(kinds) - {"sunk", "none"}
+    for k, r in found.items():
+        z = [v for t, _, _, v in rows if t == k]
+        inside = [(a, b) for a, b in zip(z, [*z[1:], None]) if a is not None and -1 < a < 8]
+        slopes = [(b - a) / 5 for a, b in inside if b is not None]
+        assert abs(r["z_rough"] - np.std([a for a, _ in inside])) < 1e-12
+        assert (r["slope_rough"] is None) if not slopes else abs(r["slope_rough"] - np.subtract(*np.percentile(slopes, [95, 5]))) < 1e-12
+
+    rocky_ones = spark.createDataFrame([("rock", True), ("cliff", False), ("low", None)], "t string, rocky boolean")
+    want = R.searchable(profile, keys, rocky_ones, R.cliffs(profile, keys)).filter("z >= 0")
+    packed = R.searchable_of(R.whole(profile, keys), keys, F.when(F.col("t") == "rock", True).when(F.col("t") == "cliff", False))
+    nodes = lambda df: sorted((r["t"], r["dist"], r["z"]) for r in df.collect())
+    assert nodes(packed.select("t", F.inline("p")).select("t", F.col("d").alias("dist"), "z")) == nodes(want)
+    assert 0 < sum(r[0] == "cliff" for r in nodes(want)) < 40
+    assert sorted(map(str, R.barriers_of(packed, keys, 1.0).collect())) == sorted(map(str, R.barriers(want, keys, 1.0).collect()))
+
+
 def test_packed_levels_and_low_cells_are_merged_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     stack = spark.createDataFrame([(8, 50, 2050, 0, 0, 0.1), (8, 50, 2060, 0, 0, 0.2)], "scenario int, percentile int, proj_year int, row_ix long, col_ix long, level double")
