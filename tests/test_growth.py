@@ -175,3 +175,28 @@ def test_nearest_points_make_pairs_by_their_number_not_their_density(spark):
         # Engines differ in the last digit of a distance, so partners are compared where it is 0: copies, by their keys.
         assert all(abs(found[i][1] - v) < 1e-9 and (v > 0 or found[i][0] == j) for i, (j, v) in want.items())
     assert "SortMergeJoin" in P.points_within(p, q, 60.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def _tables(path, **frames):
+    """Tables for a query and its SQL, and a connection that sees them."""
+    con = duckdb.connect()
+    for t, df in frames.items():
+        df.coalesce(1).write.parquet(f"{path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    return str(path), con
+
+
+def _sites(spark, xy):
+    """Embeddings whose sites lie at places in metres."""
+    rows = [(i, [(float(x) - 500) / 1000, (float(y) - 500) / 1000], 0) for i, (x, y) in enumerate(xy)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_every_site_is_searched_for_its_neighbours(spark, tmp_path):
+    xy = np.random.default_rng(6).normal(500, 60, (90, 2))
+    path, con = _tables(tmp_path, embeddings=_sites(spark, xy))
+    got = registry.queries()["points_within"](spark, path).toPandas()
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    np.fill_diagonal(d, np.inf)
+    assert set(zip(got["site_id"], got["other_id"], strict=True)) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 60), strict=True)}
+    assert len(con.execute(registry.oracle_sql()["points_within"]).fetch_df()) == len(got)
