@@ -200,3 +200,17 @@ def test_every_site_is_searched_for_its_neighbours(spark, tmp_path):
     np.fill_diagonal(d, np.inf)
     assert set(zip(got["site_id"], got["other_id"], strict=True)) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 60), strict=True)}
     assert len(con.execute(registry.oracle_sql()["points_within"]).fetch_df()) == len(got)
+
+
+def test_far_sites_have_their_twelve_nearest_too(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    # A swarm, a few sites far from it and each other, many in one place.
+    xy = np.vstack([rng.normal(500, 5, (120, 2)), [[9000.0, 500.0], [500.0, -70_000.0]], rng.uniform(-4000, 4000, (9, 2)), np.full((40, 2), 1500.0)])
+    path, con = _tables(tmp_path, embeddings=_sites(spark, xy))
+    got = registry.queries()["topk_neighbours"](spark, path).toPandas()
+    assert got.groupby("site_id").size().tolist() == [12] * len(xy)
+    order = ["site_id", "rank"]
+    want = con.execute(registry.oracle_sql()["topk_neighbours"]).fetch_df()
+    assert got.sort_values(order)[[*order, "other_id"]].to_numpy().tolist() == want.sort_values(order)[[*order, "other_id"]].to_numpy().tolist()
+    few = P.k_nearest(spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, None, 1.0)], "a long, x double, y double"), "a", spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "b long, qx double, qy double"), "b", 12, same=True)
+    assert sorted(map(tuple, few.collect())) == [(1, 2, 5.0, 1), (2, 1, 5.0, 1)]
