@@ -1,5 +1,6 @@
 """Operators on inputs of the shape that large tables have: long lines, far points, many copies."""
 
+import math
 import time
 
 import duckdb
@@ -214,3 +215,19 @@ def test_far_sites_have_their_twelve_nearest_too(spark, tmp_path):
     assert got.sort_values(order)[[*order, "other_id"]].to_numpy().tolist() == want.sort_values(order)[[*order, "other_id"]].to_numpy().tolist()
     few = P.k_nearest(spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, None, 1.0)], "a long, x double, y double"), "a", spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "b long, qx double, qy double"), "b", 12, same=True)
     assert sorted(map(tuple, few.collect())) == [(1, 2, 5.0, 1), (2, 1, 5.0, 1)]
+
+
+def test_nearest_transects_are_near_as_lines_and_sites_without_one_stay(spark, tmp_path):
+    # A coast along y = 0: transects cross it every 50 m and reach 100 m to both sides.
+    coast = spark.range(24).select(F.col("id").alias("c_custkey"), F.lit(0).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"))
+    # By the coast (510, 180) is 180 m off, by the transect 80; (510, 290) is 190 m from the transect alone.
+    xy = [(510.0, 180.0), (510.0, 290.0), (510.0, 310.0), (530.0, -20.0)]
+    path, con = _tables(tmp_path, embeddings=_sites(spark, xy), customer=coast)
+    got = registry.queries()["nearest_transect_200m"](spark, path).toPandas().sort_values("site_id")
+    assert got["transect_id"].tolist()[:2] == [9, 9] and got["transect_id"].isna().tolist() == [False, False, True, False] and got["transect_id"].tolist()[3] == 10
+    assert np.allclose(got["distance"].to_numpy(float)[[0, 1, 3]], [math.hypot(10, 80), math.hypot(10, 190), 20.0], atol=1e-4)
+    # The older shoreline lies 40 m north, on the transects' seaward side.
+    assert np.allclose(got["change"].to_numpy(float)[[0, 1, 3]], -40, atol=1e-4)
+    want = con.execute(registry.oracle_sql()["nearest_transect_200m"]).fetch_df().sort_values("site_id")
+    cols = ["line_id", "transect_id", "distance", "orient", "change"]
+    assert np.allclose(got[cols].to_numpy(float), want[cols].to_numpy(float), atol=1e-5, equal_nan=True)
