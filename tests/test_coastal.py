@@ -327,3 +327,15 @@ def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
         run_to_end(tumbling(rows, "ts", "1 day", "1 day", ["k"], "value"), append_batch(str(tmp_path / "out")), str(tmp_path), "update")
     got = {(r["start"].day, r["n"], r["mean"]) for r in updated(spark, str(tmp_path / "out"), ["start", "k"]).collect()}
     assert got == {(1, 1, 1.0), (9, 2, 3.0)}
+
+
+def test_transects_are_cut_to_the_part_nearest_the_coast(spark):
+    # Two squares on the way; the coast point lies nearer the middle of the second.
+    box = lambda i, x0: [(i, *e) for e in ((x0, 0.0, x0 + 100, 0.0), (x0 + 100, 0.0, x0 + 100, 100.0), (x0 + 100, 100.0, x0, 100.0), (x0, 100.0, x0, 0.0))]
+    edges = spark.createDataFrame(box(1, 0.0) + box(2, 200.0), "cell_id int, x1 double, y1 double, x2 double, y2 double")
+    rows = [("a", i, i, 180.0, y, -50.0, y, 350.0, y, 90.0) for i, y in ((0, 300.0), (1, 50.0), (2, 60.0))]
+    t = spark.createDataFrame(rows, "line_id string, transect_id long, sid long, coast_x double, coast_y double, start_x double, start_y double, end_x double, end_y double, orient double")
+    seg = t.selectExpr("sid", "start_x as ax1", "start_y as ay1", "end_x as ax2", "end_y as ay2")
+    found = T.nearest_part(t, "sid", P.clip_segments(seg, "sid", edges, "cell_id", 50.0), "cell_id", 1.0).orderBy("sid").collect()
+    assert [(r["sid"], r["number"], r["cell_id"]) for r in found] == [(1, 0, 2), (2, 1, 2)]
+    assert all((r["start_x"], r["end_x"]) == pytest.approx((199, 301)) and r["start_y"] == pytest.approx(r["end_y"]) for r in found)
