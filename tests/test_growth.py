@@ -231,3 +231,36 @@ def test_nearest_transects_are_near_as_lines_and_sites_without_one_stay(spark, t
     want = con.execute(registry.oracle_sql()["nearest_transect_200m"]).fetch_df().sort_values("site_id")
     cols = ["line_id", "transect_id", "distance", "orient", "change"]
     assert np.allclose(got[cols].to_numpy(float), want[cols].to_numpy(float), atol=1e-5, equal_nan=True)
+
+
+def _runs_of(rows):
+    """Places of each run's rows."""
+    runs = {}
+    for r in rows:
+        runs.setdefault((r["line_id"], r["run"]), []).append(r["seq"])
+    return runs
+
+
+def test_crest_lines_have_vertices_and_end_where_a_transect_has_no_barrier(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = registry.queries()["sink_crest_lines"](spark, sf).collect()
+    crests = {r["transect_id"]: r for r in registry.queries()["sink_crest_points"](spark, sf).collect()}
+    every = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    runs = _runs_of(rows)
+    assert len(rows) == len({r["seq"] for r in rows}) > len(runs) > 3
+    assert all(set(ids) == {i for i in every if min(ids) <= i <= max(ids)} and len(ids) > 1 for ids in runs.values())
+    assert all((r["x"], r["y"], r["z"]) == (crests[r["seq"]]["crest_dist"], 10.0 * r["seq"], crests[r["seq"]]["crest_z"]) for r in rows)
+
+
+def test_barriers_are_written_as_four_lines_and_two_patches(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = registry.queries()["sink_barriers"](spark, sf).collect()
+    kinds = {k: [r for r in rows if r["kind"] == k] for k in ("front_top", "front_toe", "back_top", "back_toe", "top_patch", "toe_patch")}
+    assert sum(map(len, kinds.values())) == len(rows)
+    lines = [_runs_of(kinds[k]) for k in ("front_top", "front_toe", "back_top", "back_toe")]
+    crests = _runs_of(registry.queries()["sink_crest_lines"](spark, sf).collect())
+    assert all({k: sorted(v) for k, v in line.items()} == {k: sorted(v) for k, v in crests.items()} for line in lines)
+    for side in ("top", "toe"):
+        ring = lambda key: [(r["x"], r["y"]) for r in sorted(kinds[f"{side}_patch"], key=lambda r: r["seq"]) if (r["line_id"], r["run"]) == key]
+        edge = lambda k, key: [(r["x"], r["y"]) for r in sorted(kinds[k], key=lambda r: r["seq"]) if (r["line_id"], r["run"]) == key]
+        assert all(ring(key) == edge(f"front_{side}", key) + edge(f"back_{side}", key)[::-1] for key in crests)
