@@ -339,3 +339,41 @@ def test_transects_are_cut_to_the_part_nearest_the_coast(spark):
     found = T.nearest_part(t, "sid", P.clip_segments(seg, "sid", edges, "cell_id", 50.0), "cell_id", 1.0).orderBy("sid").collect()
     assert [(r["sid"], r["number"], r["cell_id"]) for r in found] == [(1, 0, 2), (2, 1, 2)]
     assert all((r["start_x"], r["end_x"]) == pytest.approx((199, 301)) and r["start_y"] == pytest.approx(r["end_y"]) for r in found)
+
+
+def _peucker(p, tolerance):
+    """Kept places of the nodes, by recursion."""
+    a, d = p[0], p[-1] - p[0]
+    if len(p) < 3:
+        return list(range(len(p)))
+    f = np.clip(((p - a) @ d) / (d @ d), 0, 1) if d @ d > 0 else np.zeros(len(p))
+    far = np.hypot(*(p - a - f[:, None] * d).T)[1:-1]
+    i = int(far.argmax()) + 1
+    if far.max() <= tolerance:
+        return [0, len(p) - 1]
+    return _peucker(p[: i + 1], tolerance)[:-1] + [i + k for k in _peucker(p[i:], tolerance)]
+
+
+def test_simplified_lines_keep_what_douglas_and_peucker_keep(spark):
+    rng = np.random.default_rng(8)
+    lines = {k: np.cumsum(rng.normal(0, 1, (n, 2)), axis=0) for k, n in enumerate((1, 2, 3, 60, 3000))}
+    lines[5] = np.vstack([lines[3], lines[3][:1]])  # a ring
+    rows = [(k, 2 * i, *map(float, v)) for k, p in lines.items() for i, v in enumerate(p)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        # Batches of 50 rows hold several lines, or part of one.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        found = L.simplify(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 1.5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    for k, p in lines.items():
+        assert sorted(r["seq"] // 2 for r in found if r["line_id"] == k) == (_peucker(p, 1.5) if len(p) > 1 else [0])
+
+
+def test_merging_snaps_starts_and_ends_and_drops_nodes_on_a_chord(spark):
+    # Lines 1 and 2 begin within 0.1 m of each other, line 3 ends so near the start of 4; a node of 2 lies 0.1 m off its chord, one of 4 lies 3 m off.
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 0.0, 50.0), (2, 0, 0.06, 0.0), (2, 1, 50.0, 0.1), (2, 2, 100.0, 0.0)]
+    rows += [(3, 0, 500.0, 0.0), (3, 1, 600.0, 0.0), (4, 0, 600.0, 0.07), (4, 1, 650.0, 3.0), (4, 2, 700.0, 0.0)]
+    found = L.merge_snap(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 0.1).orderBy("chain_id", "seq").collect()
+    chains = {k: [(r["x"], r["y"]) for r in found if r["chain_id"] == k] for k in {r["chain_id"] for r in found}}
+    assert sorted(chains.values()) == [[(0.0, 50.0), (0.0, 0.0), (100.0, 0.0)], [(500.0, 0.0), (600.0, 0.07), (650.0, 3.0), (700.0, 0.0)]] or sorted(chains.values()) == [[(100.0, 0.0), (0.0, 0.0), (0.0, 50.0)], [(500.0, 0.0), (600.0, 0.07), (650.0, 3.0), (700.0, 0.0)]]
