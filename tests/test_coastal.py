@@ -377,3 +377,23 @@ def test_merging_snaps_starts_and_ends_and_drops_nodes_on_a_chord(spark):
     found = L.merge_snap(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 0.1).orderBy("chain_id", "seq").collect()
     chains = {k: [(r["x"], r["y"]) for r in found if r["chain_id"] == k] for k in {r["chain_id"] for r in found}}
     assert sorted(chains.values()) == [[(0.0, 50.0), (0.0, 0.0), (100.0, 0.0)], [(500.0, 0.0), (600.0, 0.07), (650.0, 3.0), (700.0, 0.0)]] or sorted(chains.values()) == [[(100.0, 0.0), (0.0, 0.0), (0.0, 50.0)], [(500.0, 0.0), (600.0, 0.07), (650.0, 3.0), (700.0, 0.0)]]
+
+
+def test_each_pass_of_smoothing_resamples_and_keeps_the_ends(spark):
+    rng = np.random.default_rng(9)
+    lines = {1: np.cumsum(rng.uniform(-9, 30, (40, 2)), axis=0), 2: np.array([[0.0, 0.0], [3.0, 4.0]]), 3: np.array([[0.0, 0.0], [0.0, 20.0], [0.0, 20.0], [0.0, 33.0]])}
+    rows = [(k, i, *map(float, v)) for k, p in lines.items() for i, v in enumerate(p)]
+    found = L.smooth_passes(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 5.0, 5, 1, 3).orderBy("line_id", "seq").collect()
+    for k, p in lines.items():
+        for _ in range(3):
+            at = np.r_[0, np.cumsum(np.hypot(*np.diff(p, axis=0).T))]
+            d = np.r_[np.arange(0, at[-1], 5.0), at[-1]]
+            keep = np.r_[True, np.diff(at) > 0]
+            p = np.array([np.interp(d, at[keep], v[keep]) for v in p.T]).T
+            n = len(p)
+            fold = [abs((i + n - 1) % (2 * n - 2) - (n - 1)) for i in range(-2 - (n - 1), n + 2 - (n - 1))]
+            fold = [n - 1 - f for f in fold]
+            s = np.array([p[[fold[i + j] for j in range(5)]].mean(0) for i in range(n)])
+            p = np.vstack([p[:1], s, p[-1:]])
+        mine = np.array([(r["x"], r["y"]) for r in found if r["line_id"] == k])
+        assert mine.shape == p.shape and np.allclose(mine, p, atol=1e-9)
