@@ -397,3 +397,40 @@ def test_each_pass_of_smoothing_resamples_and_keeps_the_ends(spark):
             p = np.vstack([p[:1], s, p[-1:]])
         mine = np.array([(r["x"], r["y"]) for r in found if r["line_id"] == k])
         assert mine.shape == p.shape and np.allclose(mine, p, atol=1e-9)
+
+
+def test_smoothing_spline_bends_least_within_its_bound(spark):
+    rng = np.random.default_rng(10)
+    walk = np.cumsum(rng.uniform(2, 30, (14, 2)) * rng.choice([-1, 1], (14, 2), p=[0.2, 0.8]), axis=0)
+    lines = {1: walk, 2: np.repeat(walk[:9], 2, axis=0), 3: np.array([[0.0, 0.0], [9.0, 0.2], [20.0, -0.3], [30.5, 0.1], [44.0, 0.0]]), 4: walk[:3]}
+    rows = [(k, i, *map(float, v)) for k, p in lines.items() for i, v in enumerate(p)]
+    found = L.smooth_spline(spark.createDataFrame(rows, "line_id long, seq long, x double, y double"), 2.0, 1.0).orderBy("line_id", "seq").collect()
+    for k, p in lines.items():
+        p = p[np.r_[True, np.any(np.diff(p, axis=0) != 0, axis=1)]]
+        mine = np.array([(r["x"], r["y"]) for r in found if r["line_id"] == k])
+        if len(p) < 4:
+            assert np.array_equal(mine, p)
+            continue
+        n, h = len(p), np.hypot(*np.diff(p, axis=0).T)
+        u = np.r_[0, np.cumsum(h)]
+        q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+        for j in range(n - 2):
+            q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+            r[j, j] = (h[j] + h[j + 1]) / 3
+            if j:
+                r[j, j - 1] = r[j - 1, j] = h[j] / 6
+        rest = lambda a: a * q @ np.linalg.solve(r + a * q.T @ q, q.T @ p)  # noqa: E731, B023
+        lo, hi = -40.0, 60.0
+        for _ in range(100):
+            lo, hi = ((lo + hi) / 2, hi) if (rest(2 ** ((lo + hi) / 2)) ** 2).sum() <= 4.0 * n else (lo, (lo + hi) / 2)
+        a = 2**lo
+        f, g = p - rest(a), np.vstack([np.zeros(2), np.linalg.solve(r + a * q.T @ q, q.T @ p), np.zeros(2)])
+        if k == 3:  # within the bound of its straight line
+            f, g = np.array([np.polyval(np.polyfit(u, v, 1), u) for v in p.T]).T, g * 0
+        else:
+            assert ((p - f) ** 2).sum() == pytest.approx(4.0 * n)
+        at = np.r_[np.arange(u[1], u[-2], 1.0), u[-1]]
+        i = np.minimum(np.searchsorted(u, at, "right") - 1, n - 2)
+        b, c, w = (u[i + 1] - at)[:, None], (at - u[i])[:, None], h[i][:, None]
+        want = (b * f[i] + c * f[i + 1]) / w - b * c / 6 * ((1 + b / w) * g[i] + (1 + c / w) * g[i + 1])
+        assert mine.shape == (len(at) + 2, 2) and np.allclose(mine, np.vstack([p[:1], want, p[-1:]]), atol=1e-6)
